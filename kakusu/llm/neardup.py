@@ -7,6 +7,10 @@ half of the keys (i, 1..m) at once; a document is shuffled m times instead of m
 its first common band. Two sets of similarity s meet with probability (1 - (1 - s^r)^m)^2: 0.9998 at 0.85 with m = 10,
 r = 3; and more above.
 
+Candidates also pass a bitmap test that loses no link: each set carries a bitmap of several bits a member, and a bit that one
+map has alone is a member that the other set lacks. So most pairs below the threshold never leave the join, also in large
+groups of near-copies.
+
 Documents of equal sets count as one from the start, so copies never form pairs. Candidate pairs are verified on full
 sets in blocks: nodes of one neighbourhood are cut into chunks of bounded size and each pair of chunks is one task, so a
 set is sent once for each chunk that it meets instead of once for each pair. Verified links are contracted in the task.
@@ -27,6 +31,7 @@ from .graph import components
 
 BANDS, ROWS = 10, 3
 CHUNK = 256
+MAP_LONGS = 64
 
 
 def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +56,14 @@ def bands(values: np.ndarray, rows: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """At least eight bits for each member as longs, 64 longs at most; sets of one length class can be compared."""
+    bits = min(64 * MAP_LONGS, max(64, 1 << (8 * len(shingles) - 1).bit_length()))
+    out = np.zeros(bits, dtype=bool)
+    out[shingles & np.uint64(bits - 1)] = True
+    return np.packbits(out).view(np.int64)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -70,10 +83,10 @@ def _signatures(k: int, m: int, r: int):
                 s = shingle_hashes(words_of(text), k)
                 if len(s):
                     sig = bands(signature(s, hashers), r)
-                    rows.append((doc_id, len(s), *digest(s), sig[:m], sig[m:]))
+                    rows.append((doc_id, len(s), *digest(s), sig[:m], sig[m:], bitmap(s)))
                 else:
-                    rows.append((doc_id, 0, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "low", "a", "b"])
+                    rows.append((doc_id, 0, None, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "low", "a", "b", "bits"])
 
     return run
 
@@ -119,12 +132,18 @@ def _verify(percent: int):
 
 
 def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """``l, r``: pairs of different nodes (columns node, n, a, b) that meet in a table and whose sizes allow a link."""
-    rows = nodes.select("node", "n", "a", "b", F.posexplode("a").alias("i", "key"))
+    """``l, r``: pairs of different nodes (columns node, n, a, b, bits) that meet in a table and may have a link."""
+    keys = nodes.select("node", F.posexplode("a").alias("i", "key"))
+    shared = keys.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
+    some = nodes.join(keys.join(shared, ["i", "key"]).select("node").distinct(), "node")
+    rows = some.select("node", "n", "a", "b", "bits", F.posexplode("a").alias("i", "key"))
     x, y = rows.alias("x"), rows.alias("y")
+    alone = lambda p, q: f"aggregate(zip_with({p}.bits, {q}.bits, (u, v) -> bit_count(u & ~v)), 0, (t, k) -> t + k)"
+    both = f"least(x.n - {alone('x', 'y')}, y.n - {alone('y', 'x')})"
     meet = F.expr(
         f"x.i = y.i and x.key = y.key and x.node < y.node and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         " and array_position(zip_with(x.a, y.a, (p, q) -> p = q), true) = x.i + 1 and exists(zip_with(x.b, y.b, (p, q) -> p = q), t -> t)"
+        f" and (size(x.bits) <> size(y.bits) or {100 + percent} * {both} >= {percent} * (x.n + y.n))"
     )
     return x.join(y, meet).select(F.col("x.node").alias("l"), F.col("y.node").alias("r"))
 
@@ -139,9 +158,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     need(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = cut(base.mapInPandas(_signatures(shingle, m, r), "doc_id long, n_shingles long, node long, low long, a array<int>, b array<int>"))
+    sigs = cut(base.mapInPandas(_signatures(shingle, m, r), "doc_id long, n_shingles long, node long, low long, a array<int>, b array<int>, bits array<long>"))
     full = sigs.filter("n_shingles > 0")
-    nodes = cut(full.groupBy("node", "low").agg(F.min(F.struct("doc_id", "n_shingles", "a", "b")).alias("s")).select("node", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.a", "s.b"))
+    nodes = cut(full.groupBy("node", "low").agg(F.min(F.struct("doc_id", "n_shingles", "a", "b", "bits")).alias("s")).select("node", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.a", "s.b", "s.bits"))
     pairs = cut(candidate_pairs(nodes, percent))
 
     ends = pairs.select(F.col("r").alias("node"), F.col("l").alias("near")).unionByName(pairs.select(F.col("l").alias("node"), F.col("l").alias("near")))
