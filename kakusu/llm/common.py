@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -33,6 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[tuple] = []
+
+
+def _forget() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone already; the folder is the cluster's to clean
+            return
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, as a compressed table with statistics in the checkpoint folder; removed when the program ends."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_forget)
+    _WRITTEN.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """``df``, after checking that it has each of the columns ``names`` exactly once (other columns are free)."""
     for name in names:

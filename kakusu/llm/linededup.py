@@ -7,8 +7,8 @@ can still overlap behind the shared word) and by a 128-bit map of each set: a bi
 other set lacks. What remains is verified on the whole sets. A line goes if any earlier line matches it.
 
 Equal sets are one class from the start, so copies never pair. Ahead of the join each class is compared with the earliest
-class that has the same two least word hashes; classes settled by that no longer look for partners, which keeps large
-groups of near-copies linear.
+class that has the same least and greatest word hash; only classes without such a likely match, or whose likely match fails
+the verification, look for partners in the join. That keeps large groups of near-copies linear and the result exact.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, need
+from .common import GAP, keep, need
 
 #: Buckets of the word counts that order words by rarity: a fixed size, whatever the corpus.
 BUCKETS = 16_384
@@ -31,77 +31,89 @@ def _rarity(docs: DataFrame) -> str:
     return "cast(split('" + ",".join(map(str, ranks)) + "', ',') as array<bigint>)"  # folded to a literal
 
 
-def _sets(lines: DataFrame, rarity: str) -> DataFrame:
-    """Adds ``toks``: the distinct words of ``line`` as longs, rare ones first."""
-    hashed = lines.withColumn("_h", F.expr(f"array_distinct(transform(filter(split(lower(line), r'{GAP}'), w -> w <> ''), w -> xxhash64(w)))"))
-    return hashed.withColumn("toks", F.expr(f"sort_array(transform(_h, h -> shiftleft(get({rarity}, cast(pmod(h, {BUCKETS}) as int)), 56) | (h & {_LOW56}L)))")).drop("_h")
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Adds ``hs``: hashes of the distinct words of ``line``."""
+    return lines.withColumn("hs", F.expr(f"array_distinct(transform(array_remove(split(lower(line), r'{GAP}'), ''), w -> xxhash64(w)))"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("_id", "_copy", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
 
 
-def _bits(which: int) -> str:
-    return f"aggregate(filter(toks, t -> (t & 1) = {which}), 0L, (m, t) -> m | shiftleft(1L, cast(shiftright(t, 1) & 63 as int)))"
-
-
 def _enough(nx: str, ny: str, both: str) -> str:
+    """Jaccard >= 0.8, for an overlap ``both`` of sets of these sizes."""
     return f"9 * ({both}) >= 4 * ({nx} + {ny})"
 
 
+#: Up to so many words one 64-bit map holds a set; larger sets spread over two, by one bit of the hash.
+_ONE_MAP = 48
+_BIT = "shiftleft(1L, cast(shiftright(h, 20) & 63 as int))"
+_MAP0 = f"if(n <= {_ONE_MAP}, aggregate(hs, 0L, (m, h) -> m | {_BIT}), aggregate(hs, 0L, (m, h) -> m | if(h & 1 = 0, {_BIT}, 0L)))"
+_MAP1 = f"if(n <= {_ONE_MAP}, 0L, aggregate(hs, 0L, (m, h) -> m | if(h & 1 = 1, {_BIT}, 0L)))"
+_FITS = (
+    f"5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and ((x.n <= {_ONE_MAP}) <> (y.n <= {_ONE_MAP}) or "
+    + _enough("x.n", "y.n", "least(x.n - bit_count(x.m0 & ~y.m0) - bit_count(x.m1 & ~y.m1), y.n - bit_count(y.m0 & ~x.m0) - bit_count(y.m1 & ~x.m1))")
+    + ")"
+)
+_EARLIER = "(x.id < y.id or (x.id = y.id and (x.pos < y.pos or (x.pos = y.pos and x.cls < y.cls))))"
+
+
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _copy, pos``: the lines of ``docs`` that an earlier line matches with Jaccard >= 0.8.
 
-    Lines are ordered by id (null first), hash of the text, and position. Rows that repeat id and text are the same
-    place: a line never matches itself. Lines without words match nothing. Null texts have no lines.
+    Lines are ordered by id (null first), position, and hash. Rows that repeat id and text are the same place: a line
+    never matches itself. Lines without words match nothing. Null texts have no lines.
     """
     need(docs, id_col, text_col)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_copy"))
     rarity = _rarity(base)
-    sets = _sets(_lines(base), rarity)
-    place = F.struct("_id", "_copy", "pos")
-    shown = sets.select(
-        place.alias("place"),
-        F.size("toks").alias("n"),
-        F.xxhash64("toks").alias("set"),
-        F.xxhash64(F.lit(1), "toks").alias("low"),
-        F.expr("slice(toks, 1, size(toks) - cast(ceil(size(toks) * 0.8D) as int) + 1)").alias("prefix"),
-        F.expr(_bits(0)).alias("m0"),
-        F.expr(_bits(1)).alias("m1"),
-        F.expr("xxhash64(slice(array_sort(transform(toks, t -> xxhash64(t))), 1, 2))").alias("kin"),
-    ).filter("n > 0")
-    lines = cut(shown)
-
-    classes = lines.groupBy("set", "low").agg(F.min("place").alias("first"), F.min(F.struct("n", "prefix", "m0", "m1", "kin")).alias("s")).select("set", "first", "s.*")
-    classes = cut(classes)
-    later_copies = lines.select("set", "low", "place").join(lines.groupBy("set", "low").agg(F.min("place").alias("first")), ["set", "low"]).filter("place > first").select("place")
-
-    fits = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and " + _enough("x.n", "y.n", "least(x.n - bit_count(x.m0 & ~y.m0) - bit_count(x.m1 & ~y.m1), y.n - bit_count(y.m0 & ~x.m0) - bit_count(y.m1 & ~x.m1))")
-    kin = classes.groupBy("kin").agg(F.min(F.struct("first", "set", "n", "m0", "m1")).alias("s"), F.count("*").alias("c")).filter("c > 1").select("kin", "s.*")
-    y, x = classes.alias("y"), kin.alias("x")
-    quick = y.join(x, F.expr(f"x.kin = y.kin and x.first < y.first and {fits}")).select(F.col("y.set").alias("later"), F.col("x.set").alias("earlier"))
-    settled = cut(_verified(base, classes, cut(quick), rarity))
-
-    rows = classes.join(settled.withColumn("done", F.lit(True)), classes.set == settled.later, "left").select("set", "first", "n", "m0", "m1", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("i", "tok"))
-    y, x = rows.alias("y"), rows.alias("x")
-    near = f"x.tok = y.tok and y.open and x.first < y.first and {fits} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)")
-    pairs = cut(y.join(x, F.expr(near)).select(F.col("y.set").alias("later"), F.col("x.set").alias("earlier")).distinct())
-    found = settled.unionByName(_verified(base, classes, pairs, rarity)).distinct()
-    firsts = classes.join(found, classes.set == found.later, "left_semi").select(F.col("first").alias("place"))
-    return later_copies.unionByName(firsts).select("place.*")
-
-
-def _verified(base: DataFrame, classes: DataFrame, pairs: DataFrame, rarity: str) -> DataFrame:
+    hashed = _hashed(_lines(base)).withColumn("n", F.size("hs")).filter("n > 0")
+    coded = f"sort_array(transform(hs, h -> shiftleft(get({rarity}, cast(pmod(h, {BUCKETS}) as int)), 56) | (h & {_LOW56}L)))"
+    shown = hashed.select("_id", "_copy", "pos", "n", F.expr(coded).alias("toks"), F.expr(_MAP0).alias("m0"), F.expr(_MAP1).alias("m1"), F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
+    prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
+    lines = keep(shown.select("_id", "_copy", "pos", "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kin", prefix.alias("prefix")))
+
+    first = F.min(F.struct("_id", "pos", "_copy", "n", "m0", "m1", "kin", "prefix"))
+    classes = keep(lines.groupBy("cls", "low").agg(first.alias("s")).select("cls", "low", "s.*"))
+    own = classes.select(F.col("cls").alias("c"), F.col("low").alias("l"), F.col("_id").alias("first_id"), F.col("_copy").alias("first_copy"), F.col("pos").alias("first_pos"))
+    same = F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("pos") == F.col("first_pos"))
+    copies = lines.select("_id", "_copy", "pos", "cls", "low").join(own, (F.col("cls") == F.col("c")) & (F.col("low") == F.col("l"))).filter(~same).select("_id", "_copy", "pos")
+
+    ranked = classes.withColumn("id", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))) if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    slim = ranked.select("cls", "id", "pos", "n", "m0", "m1", "kin")
+    heads = slim.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1")).alias("s"), F.count("*").alias("c")).filter("c > 1").select("kin", "s.*")
+    likely = keep(slim.alias("y").join(heads.alias("x"), F.expr(f"x.kin = y.kin and {_EARLIER} and {_FITS}")).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")))
+
+    def partners(asking: DataFrame) -> DataFrame:
+        rows = asking.select("cls", "id", "pos", "n", "m0", "m1", "ask", F.posexplode("prefix").alias("i", "tok"))
+        near = f"x.tok = y.tok and y.ask > least(x.i, 0) and {_EARLIER} and {_FITS} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)")  # ask: tested in the join, so that both sides are one exchange
+        return keep(rows.alias("y").join(rows.alias("x"), F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")).distinct())
+
+    def asking(who: DataFrame, wanted: bool) -> DataFrame:
+        flag = who.select(F.col("later").alias("f")).distinct().withColumn("has", F.lit(1))
+        return ranked.join(flag, F.col("cls") == F.col("f"), "left").withColumn("ask", F.coalesce("has", F.lit(0)) if wanted else 1 - F.coalesce("has", F.lit(0)))
+
+    tried = likely.unionByName(partners(asking(likely, False)))
+    found = keep(_verified(base, classes, tried))
+    failed = keep(likely.join(found, "later", "left_anti").select("later").distinct())
+    if failed.limit(1).count():
+        again = partners(asking(failed, True))
+        found = found.unionByName(_verified(base, classes, again)).distinct()
+    matched = classes.join(found, F.col("cls") == F.col("later"), "left_semi").select("_id", "_copy", "pos")
+    return copies.unionByName(matched)
+
+
+def _verified(base: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``later`` of the pairs whose whole sets have Jaccard >= 0.8; sets are made again from the few lines in question."""
-    asked = pairs.select(F.col("later").alias("set")).unionByName(pairs.select(F.col("earlier").alias("set"))).distinct()
-    where = classes.join(asked, "set").select("set", "first.*")
-    docs = base.join(where.select("_id", "_copy").distinct(), base["_id"].eqNullSafe(where["_id"]) & (base["_copy"] == where["_copy"]), "left_semi")
+    asked = pairs.select(F.col("later").alias("cls")).unionByName(pairs.select(F.col("earlier").alias("cls"))).distinct()
+    where = keep(classes.join(asked, "cls").select("cls", "_id", "_copy", "pos"))
+    docs = base.join(where.select(F.col("_id").alias("i"), F.col("_copy").alias("c")).distinct(), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_copy") == F.col("c")), "left_semi")
     lines = _lines(docs).dropDuplicates(["_id", "_copy", "pos"]).alias("l")
-    wanted = lines.join(where.alias("w"), F.expr("l._id <=> w._id and l._copy = w._copy and l.pos = w.pos")).select("w.set", "l.line")
-    sets = _sets(wanted, rarity).select("set", "toks")
-    a, b = sets.select(F.col("set").alias("later"), F.col("toks").alias("ty")), sets.select(F.col("set").alias("earlier"), F.col("toks").alias("tx"))
+    wanted = lines.join(where.alias("w"), F.expr("l._id <=> w._id and l._copy = w._copy and l.pos = w.pos")).select("w.cls", "l.line")
+    sets = _hashed(wanted).select("cls", "hs")
+    a, b = sets.select(F.col("cls").alias("later"), F.col("hs").alias("hy")), sets.select(F.col("cls").alias("earlier"), F.col("hs").alias("hx"))
     both = pairs.join(a, "later").join(b, "earlier")
-    return both.filter(_enough("size(tx)", "size(ty)", "size(array_intersect(tx, ty))")).select("later").distinct()
+    return both.filter(_enough("size(hx)", "size(hy)", "size(array_intersect(hx, hy))")).select("later").distinct()
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
