@@ -11,8 +11,9 @@ Candidates also pass a bitmap test that loses no link: each set carries a bitmap
 map has alone is a member that the other set lacks. So most pairs below the threshold never leave the join, also in large
 groups of near-copies.
 
-Documents of equal sets count as one from the start, so copies never form pairs. Candidate pairs are verified on full
-sets in blocks: nodes of one neighbourhood are cut into chunks of bounded size and each pair of chunks is one task, so a
+Documents of equal sets count as one from the start, so copies never form pairs. First each node is compared
+with few members of its buckets, which joins most copies of an original; then all remaining pairs of different components
+are. Candidate pairs are verified on full sets in blocks: nodes of one neighbourhood are cut into chunks of bounded size and each pair of chunks is one task, so a
 set is sent once for each chunk that it meets instead of once for each pair. Verified links are contracted in the task.
 """
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, need, shingle_hashes, words_of
+from .common import cut, keep, mix, need, shingle_hashes, words_of
 from .graph import components
 
 BANDS, ROWS = 10, 3
@@ -131,21 +132,53 @@ def _verify(percent: int):
     return run
 
 
-def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """``l, r``: pairs of different nodes (columns node, n, a, b, bits) that meet in a table and may have a link."""
-    keys = nodes.select("node", F.posexplode("a").alias("i", "key"))
-    shared = keys.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
-    some = nodes.join(keys.join(shared, ["i", "key"]).select("node").distinct(), "node")
-    rows = some.select("node", "n", "a", "b", "bits", F.posexplode("a").alias("i", "key"))
-    x, y = rows.alias("x"), rows.alias("y")
+def _meet(percent: int) -> str:
+    """Whether rows x and y (node, n, a, b, bits) share a key in one of the tables and may have a link."""
     alone = lambda p, q: f"aggregate(zip_with({p}.bits, {q}.bits, (u, v) -> bit_count(u & ~v)), 0, (t, k) -> t + k)"
     both = f"least(x.n - {alone('x', 'y')}, y.n - {alone('y', 'x')})"
-    meet = F.expr(
-        f"x.i = y.i and x.key = y.key and x.node < y.node and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        " and array_position(zip_with(x.a, y.a, (p, q) -> p = q), true) = x.i + 1 and exists(zip_with(x.b, y.b, (p, q) -> p = q), t -> t)"
+    return (
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and exists(zip_with(x.a, y.a, (p, q) -> p = q), t -> t) and exists(zip_with(x.b, y.b, (p, q) -> p = q), t -> t)"
         f" and (size(x.bits) <> size(y.bits) or {100 + percent} * {both} >= {percent} * (x.n + y.n))"
     )
-    return x.join(y, meet).select(F.col("x.node").alias("l"), F.col("y.node").alias("r"))
+
+
+def star_pairs(some: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """``l, r``: each node with two members of each of its buckets: the one with most company, and one by hash.
+
+    At most twice the number of buckets for each node. An original and its many copies become one component by these.
+    """
+    sized = keys.join(keys.groupBy("i", "key").agg(F.count("*").alias("c")), ["i", "key"])
+    company = sized.groupBy(F.col("node").alias("at")).agg(F.sum("c").alias("company"))
+    ranked = sized.join(company, F.col("node") == F.col("at"))
+    hubs = ranked.groupBy("i", "key").agg(F.max(F.struct("company", "node"))["node"].alias("hub"), F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"].alias("other"))
+    ends = keys.join(hubs, ["i", "key"]).select("node", F.explode(F.array("hub", "other")).alias("hub")).filter("node <> hub").distinct()
+    held = ends.join(some, "node").select("hub", F.struct("node", "n", "a", "b", "bits").alias("x"))
+    both = held.join(some.select(F.col("node").alias("hub"), F.struct("node", "n", "a", "b", "bits").alias("y")), "hub")
+    return both.filter(F.expr(_meet(percent))).select(F.expr("least(x.node, y.node)").alias("l"), F.expr("greatest(x.node, y.node)").alias("r")).distinct()
+
+
+def candidate_pairs(some: DataFrame, percent: int) -> DataFrame:
+    """``l, r``: all pairs of nodes of different components (column comp) that meet in a table and may have a link."""
+    rows = some.select("node", "n", "a", "b", "bits", "comp", F.posexplode("a").alias("i", "key"))
+    x, y = rows.alias("x"), rows.alias("y")
+    first = "x.i = y.i and x.key = y.key and x.node < y.node and x.comp <> y.comp and array_position(zip_with(x.a, y.a, (p, q) -> p = q), true) = x.i + 1"
+    return x.join(y, F.expr(f"{first} and {_meet(percent)}")).select(F.col("x.node").alias("l"), F.col("y.node").alias("r"))
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """``a, b``: links among ``pairs`` (l, r) by whole sets (node, shingles), contracted within each task.
+
+    Nodes are dealt into blocks by their least partner, in chunks of about ``chunk``; a task has two blocks at most.
+    """
+    ends = pairs.select(F.col("r").alias("node"), F.col("l").alias("near")).unionByName(pairs.select(F.col("l").alias("node"), F.col("l").alias("near")))
+    near = ends.groupBy("node").agg(F.min("near").alias("label"))
+    sizes = near.groupBy("label").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    block = cut(near.join(sizes, "label").select("node", F.xxhash64("label", F.expr("pmod(xxhash64(node), chunks)")).alias("block")))
+    tasks = pairs.join(block.select(F.col("node").alias("l"), F.col("block").alias("bl")), "l").join(block.select(F.col("node").alias("r"), F.col("block").alias("br")), "r")
+    tasks = cut(tasks.select("l", "r", F.xxhash64(F.least("bl", "br"), F.greatest("bl", "br")).alias("task")))
+    members = tasks.select(F.col("task").alias("at"), F.col("l").alias("node")).unionByName(tasks.select(F.col("task").alias("at"), F.col("r").alias("node"))).distinct()
+    held = members.join(sets, "node")
+    return cut(tasks.groupBy("task").cogroup(held.groupBy("at")).applyInPandas(_verify(percent), "a long, b long"))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = BANDS, r: int = ROWS, chunk: int = CHUNK) -> DataFrame:
@@ -161,22 +194,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = cut(base.mapInPandas(_signatures(shingle, m, r), "doc_id long, n_shingles long, node long, low long, a array<int>, b array<int>, bits array<long>"))
     full = sigs.filter("n_shingles > 0")
     nodes = cut(full.groupBy("node", "low").agg(F.min(F.struct("doc_id", "n_shingles", "a", "b", "bits")).alias("s")).select("node", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.a", "s.b", "s.bits"))
-    pairs = cut(candidate_pairs(nodes, percent))
-
-    ends = pairs.select(F.col("r").alias("node"), F.col("l").alias("near")).unionByName(pairs.select(F.col("l").alias("node"), F.col("l").alias("near")))
-    near = ends.groupBy("node").agg(F.min("near").alias("label"))
-    sizes = near.groupBy("label").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    block = cut(near.join(sizes, "label").select("node", F.xxhash64("label", F.expr("pmod(xxhash64(node), chunks)")).alias("block")))
-    tasks = pairs.join(block.select(F.col("node").alias("l"), F.col("block").alias("bl")), "l").join(block.select(F.col("node").alias("r"), F.col("block").alias("br")), "r")
-    tasks = cut(tasks.select("l", "r", F.xxhash64(F.least("bl", "br"), F.greatest("bl", "br")).alias("task")))
-
-    ids = nodes.join(block.select("node"), "node").select(F.col("rep").alias("doc_id")).distinct()
+    keys = nodes.select("node", F.posexplode("a").alias("i", "key"))
+    shared = keys.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
+    keys = cut(keys.join(shared, ["i", "key"]))
+    some = cut(nodes.join(keys.select("node").distinct(), "node").select("node", "rep", "n", "a", "b", "bits"))
+    ids = some.select(F.col("rep").alias("doc_id")).distinct()
     texts = base.join(ids, base.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-    sets = texts.mapInPandas(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
-    members = tasks.select(F.col("task").alias("at"), F.col("l").alias("node")).unionByName(tasks.select(F.col("task").alias("at"), F.col("r").alias("node"))).distinct()
-    held = members.join(sets, "node")
-    edges = tasks.groupBy("task").cogroup(held.groupBy("at")).applyInPandas(_verify(percent), "a long, b long")
-    comps = components(cut(edges))
+    sets = keep(texts.mapInPandas(_sets(shingle), "node long, shingles array<long>").join(some.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
+
+    links = verified_links(cut(star_pairs(some, keys, percent)), sets, percent, chunk)
+    joined = components(links)
+    rest = some.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    more = verified_links(cut(candidate_pairs(rest, percent)), sets, percent, chunk)
+    comps = components(links.unionByName(more))
 
     owner = nodes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = owner.groupBy("component").agg(F.min("rep").alias("component_id"))
