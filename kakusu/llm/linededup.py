@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, keep, need
+from .common import keep, need
 
 #: Buckets of the word counts that order words by rarity: a fixed size, whatever the corpus.
 BUCKETS = 16_384
@@ -25,7 +25,7 @@ _LOW56 = (1 << 56) - 1
 
 def _rarity(docs: DataFrame) -> str:
     """Class of each bucket of word hashes, 0 to 127 by the logarithm of its count over all lines, as a SQL array."""
-    words = docs.select(F.explode(F.split(F.lower("_text"), GAP)).alias("w")).select(F.expr(f"pmod(xxhash64(w), {BUCKETS})").alias("b"))
+    words = docs.select(F.explode(F.split(F.translate(F.lower("_text"), "\t\r\n\v\f", "     "), " ")).alias("w")).select(F.expr(f"pmod(xxhash64(w), {BUCKETS})").alias("b"))
     counts = {r.b: r.n for r in words.groupBy("b").agg(F.count("*").alias("n")).collect()}  # at most BUCKETS rows
     ranks = (min(127, 4 * counts.get(b, 0).bit_length() + (counts.get(b, 0) >> max(0, counts.get(b, 0).bit_length() - 3) & 3)) for b in range(BUCKETS))
     return "cast(split('" + ",".join(map(str, ranks)) + "', ',') as array<bigint>)"  # folded to a literal
@@ -33,7 +33,7 @@ def _rarity(docs: DataFrame) -> str:
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """Adds ``hs``: hashes of the distinct words of ``line``."""
-    return lines.withColumn("hs", F.expr(f"array_distinct(transform(array_remove(split(lower(line), r'{GAP}'), ''), w -> xxhash64(w)))"))
+    return lines.withColumn("hs", F.expr(f"array_distinct(transform(array_remove(split(translate(lower(line), '\\t\\r\\u000B\\u000C', '    '), ' '), ''), w -> xxhash64(w)))"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -84,10 +84,11 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = slim.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1")).alias("s"), F.count("*").alias("c")).filter("c > 1").select("kin", "s.*")
     likely = keep(slim.alias("y").join(heads.alias("x"), F.expr(f"x.kin = y.kin and {_EARLIER} and {_FITS}")).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")))
 
-    def partners(asking: DataFrame) -> DataFrame:
+    def partners(asking: DataFrame, few: bool = False) -> DataFrame:
         rows = asking.select("cls", "id", "pos", "n", "m0", "m1", "ask", F.posexplode("prefix").alias("i", "tok"))
         near = f"x.tok = y.tok and y.ask > least(x.i, 0) and {_EARLIER} and {_FITS} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)")  # ask: tested in the join, so that both sides are one exchange
-        return keep(rows.alias("y").join(rows.alias("x"), F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")).distinct())
+        askers = rows.filter("ask = 1") if few else rows
+        return keep(askers.alias("y").join(rows.alias("x"), F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")).distinct())
 
     def asking(who: DataFrame, wanted: bool) -> DataFrame:
         flag = who.select(F.col("later").alias("f")).distinct().withColumn("has", F.lit(1))
@@ -97,7 +98,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = keep(_verified(base, classes, tried))
     failed = keep(likely.join(found, "later", "left_anti").select("later").distinct())
     if failed.limit(1).count():
-        again = partners(asking(failed, True))
+        again = partners(asking(failed, True), few=True)
         found = found.unionByName(_verified(base, classes, again)).distinct()
     matched = classes.join(found, F.col("cls") == F.col("later"), "left_semi").select("_id", "_copy", "pos")
     return copies.unionByName(matched)
