@@ -18,6 +18,34 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold_of
+    from .langid import identify
+
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold_of
+    from .quality import score_quality
+
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources, word_count
 
@@ -38,6 +66,18 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixtree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -45,9 +85,15 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hash_prefix_forest": op1_hash_prefix_forest,
+    "op2_language_id": op2_language_id,
+    "op3_quality_pu": op3_quality_pu,
+    "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_suffix_tree_scores": op9_suffix_tree_scores,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
