@@ -11,7 +11,7 @@ from .anonymize import splice, with_disjoint
 MAPPING = "map<string,string>"
 _MARK = "\x01"
 #: What a placeholder looks like.
-SHAPE = r"<[A-Z_]+_\d+>"
+SHAPE = r"<[A-Z_]+(?:_\d+)+>"
 
 
 def placeholder(span: Column, part: Column | None = None) -> Column:
@@ -34,8 +34,10 @@ def redact_with_mapping(df: DataFrame, text_col: str = "text", part_col: str | N
 
 def restore(text: Column, mapping: Column) -> Column:
     """All placeholders that the mapping has become their originals, in one pass: what comes back is never replaced again."""
-    pieces = F.split(F.regexp_replace(text, F.lit(SHAPE), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
-    return F.when(F.coalesce(F.size(mapping), F.lit(0)) <= 0, text).otherwise(F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(mapping, p), p)), ""))
+    plain = F.replace(F.replace(text, F.lit("\x02"), F.lit("\x02b")), F.lit(_MARK), F.lit("\x02a"))  # the mark may be in the text
+    clear = lambda p: F.replace(F.replace(p, F.lit("\x02a"), F.lit(_MARK)), F.lit("\x02b"), F.lit("\x02"))
+    pieces = F.split(F.regexp_replace(plain, F.lit(SHAPE), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    return F.when(F.coalesce(F.size(mapping), F.lit(0)) <= 0, text).otherwise(F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(mapping, p), clear(p))), ""))
 
 
 def restore_in_order(text: Column, mapping: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,18 +20,15 @@ def windowed_counts(events: DataFrame, text_col: str = "text", time_col: str = "
     return found.groupBy(F.window(time_col, window).alias("window"), "entity_type").agg(F.count("*").alias("n"))
 
 
-def restore_chunks(chunks: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+def restore_chunks(chunks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """``conv_id, seq, restored`` of streamed response chunks (conv_id, seq, chunk, mapping).
 
     A placeholder may be cut by the end of a chunk: what may be its beginning waits in the state of its conversation for the
-    next chunk, or for ``timeout_ms``. Chunks of one conversation are taken by seq within each micro-batch.
+    next chunk, or (where given, for streams that run on) for ``timeout_ms``. Chunks of one conversation are taken by seq within each micro-batch.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, known, last = state.get if state.exists else ("", "{}", -1)
-        import json
-        import re
-
         mapping = json.loads(known)
         shape = re.compile(r"<[A-Z_]+(?:_\d+)+>")
         back = lambda text: shape.sub(lambda m: mapping.get(m[0], m[0]), text)
@@ -47,8 +46,9 @@ def restore_chunks(chunks: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
             last = int(seq)
             out.append((key[0], last, back(text)))
         state.update((held, json.dumps(mapping, ensure_ascii=False), last))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["conv_id", "seq", "restored"])
 
     rows = chunks.select("conv_id", "seq", "chunk", F.to_json("mapping").alias("mapping"))
-    return rows.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, seq long, restored string", "held string, mapping string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, seq long, restored string", "held string, mapping string, last long", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
