@@ -265,7 +265,8 @@ def _count_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(chunks) > _FLUSH:
                 yield out(chunks)
                 chunks = Counter()
-    yield out(chunks)
+    if chunks:
+        yield out(chunks)
 
 
 def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = LEXICON_SIZE) -> bytes:

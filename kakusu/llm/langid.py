@@ -134,8 +134,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bags = [bag(t) for t in batch["text"]]
-            yield pd.DataFrame({"lang": batch["lang"], "x": [None if b is None else b.astype(np.float16).tobytes() for b in bags]}).dropna()
+            rows = [(lang, b.astype(np.float16).tobytes()) for lang, b in zip(batch["lang"], map(bag, batch["text"])) if b is not None]
+            yield pd.DataFrame(rows, columns=["lang", "x"])
 
     sample = texts.mapInPandas(run, "lang string, x binary").orderBy("lang", "x").toPandas()
     if sample.empty:

@@ -86,8 +86,8 @@ def _signatures(k: int, m: int, r: int):
                     sig = bands(signature(s, hashers), r)
                     rows.append((doc_id, len(s), *digest(s), sig[:m], sig[m:], bitmap(s)))
                 else:
-                    rows.append((doc_id, 0, None, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "low", "a", "b", "bits"])
+                    rows.append((doc_id, 0, 0, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "low", "a", "b", "bits"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -193,7 +193,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = cut(base.mapInPandas(_signatures(shingle, m, r), "doc_id long, n_shingles long, node long, low long, a array<int>, b array<int>, bits array<long>"))
     full = sigs.filter("n_shingles > 0")
-    nodes = cut(full.groupBy("node", "low").agg(F.min(F.struct("doc_id", "n_shingles", "a", "b", "bits")).alias("s")).select("node", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.a", "s.b", "s.bits"))
+    nodes = cut(full.groupBy("node", "low").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n_shingles", "a", "b", "bits")).alias("s")).select("node", "rep", F.col("s.n_shingles").alias("n"), "s.a", "s.b", "s.bits"))
     keys = nodes.select("node", F.posexplode("a").alias("i", "key"))
     shared = keys.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
     keys = cut(keys.join(shared, ["i", "key"]))
