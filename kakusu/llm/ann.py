@@ -23,11 +23,11 @@ TREES, BITS = 16, 48
 #: Rows that medians and the number of candidates are fitted on, and the queries among them.
 SAMPLE, PROBES = 4096, 256
 #: Entries of a block, and what part of the neighbours the sample must find.
-BLOCK, AIM = 4096, 0.97
+BLOCK, AIM = 4096, 0.95
 
 
 class Forest:
-    """Projections, medians, and the share of all entries that a query has to see."""
+    """Projections, medians, and how many candidates a query has to see, in shares of all entries, summed over the trees."""
 
     def __init__(self, sample: np.ndarray, near: int, seed: int = 5):
         dim = sample.shape[1]
@@ -45,7 +45,7 @@ class Forest:
     def _calibrate(self, unit: np.ndarray, near: int) -> float:
         n = len(unit)
         if n <= near + 1:
-            return 1.0
+            return float(TREES)
         probes = np.linspace(0, n - 1, min(PROBES, n)).astype(int)
         codes = self.strings(unit)
         cosine = unit[probes] @ unit.T
@@ -54,12 +54,12 @@ class Forest:
         depth = np.zeros((len(probes), n), dtype=np.int8)
         for t in range(TREES):
             np.maximum(depth, _common(codes[probes, t][:, None], codes[None, :, t]), out=depth)
-        for share in np.linspace(0.02, 1.0, 50):
+        for share in np.geomspace(0.02, TREES, 60):
             hit = 0
             for k in range(len(probes)):
                 # deepest level whose prefixes cover the share, counted over all trees as a search counts them
                 counts = _level_counts(codes[probes[k]], codes)
-                level = int(np.flatnonzero(counts >= share * n * 1.0)[-1])
+                level = int(np.flatnonzero(counts >= share * n - 1e-9)[-1])
                 hit += (depth[k, best[k]] >= level).sum()
             if hit >= AIM * near * len(probes):
                 return float(share)
@@ -108,7 +108,7 @@ def search(vectors: DataFrame, is_query, near: int = 5, id_col: str = "vec_id",
     sample = np.array([r.v for r in entries.orderBy("entry").limit(SAMPLE).select("v").collect()])
     forest = Forest(sample, near)
     shared = spark.sparkContext.broadcast(forest)
-    enough = forest.share * n
+    enough = forest.share * n - 1e-6
     depth = int(max(0, min(20, np.floor(np.log2(max(1, n / block))))))  # leading bits of a block
 
     @F.pandas_udf("array<long>")
