@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from kakusu.llm import bpe, linededup, mixing, neardup, quality
-from kakusu.llm.common import checkpoint_folder
+from kakusu.llm.common import keep
 from kakusu.llm.queries import table, vocabulary_path
 
 
@@ -49,13 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; between them the rows are Parquet in the checkpoint folder."""
-    checkpoint_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(path := f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(path)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
