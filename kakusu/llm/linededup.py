@@ -3,7 +3,7 @@
 A line is the set of its words, lower-cased. Sets are put in a global order, rare words first (corpus counts in a fixed
 number of buckets, then the word's hash), so that two sets of Jaccard >= 0.8 must share a word within their first
 n - ceil(0.8 n) + 1 ones. Only these prefix words are dealt out. In the join, pairs are tested by length, by position (what
-can still overlap behind the shared word) and by a 128-bit map of each set: a bit that one map has alone is a word that the
+can still overlap behind the shared word) and by maps of 64 to 256 bits of each set: a bit that one map has alone is a word that the
 other set lacks. What remains is verified on the whole sets. A line goes if any earlier line matches it.
 
 Equal sets are one class from the start, so copies never pair. Ahead of the join each class is compared with the earliest
@@ -45,14 +45,20 @@ def _enough(nx: str, ny: str, both: str) -> str:
     return f"9 * ({both}) >= 4 * ({nx} + {ny})"
 
 
-#: Up to so many words one 64-bit map holds a set; larger sets spread over two, by one bit of the hash.
-_ONE_MAP = 48
+#: Up to so many words one 64-bit map holds a set, up to so many two do, by one bit of the hash, and beyond four.
+_ONE, _TWO = 48, 128
 _BIT = "shiftleft(1L, cast(shiftright(h, 20) & 63 as int))"
-_MAP0 = f"if(n <= {_ONE_MAP}, aggregate(hs, 0L, (m, h) -> m | {_BIT}), aggregate(hs, 0L, (m, h) -> m | if(h & 1 = 0, {_BIT}, 0L)))"
-_MAP1 = f"if(n <= {_ONE_MAP}, 0L, aggregate(hs, 0L, (m, h) -> m | if(h & 1 = 1, {_BIT}, 0L)))"
+_PICK = "aggregate(hs, 0L, (m, h) -> m | if({test}, " + _BIT + ", 0L))"
+_MAPS = (
+    f"case when n <= {_ONE} then aggregate(hs, 0L, (m, h) -> m | {_BIT}) when n <= {_TWO} then {_PICK.format(test='h & 1 = 0')} else {_PICK.format(test='h & 3 = 0')} end",
+    f"case when n <= {_ONE} then 0L when n <= {_TWO} then {_PICK.format(test='h & 1 = 1')} else {_PICK.format(test='h & 3 = 1')} end",
+    f"case when n <= {_TWO} then 0L else {_PICK.format(test='h & 3 = 2')} end",
+    f"case when n <= {_TWO} then 0L else {_PICK.format(test='h & 3 = 3')} end",
+)
+_ALONE = lambda x, y: " + ".join(f"bit_count({x}.m{k} & ~{y}.m{k})" for k in range(4))
 _FITS = (
-    f"5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and ((x.n <= {_ONE_MAP}) <> (y.n <= {_ONE_MAP}) or "
-    + _enough("x.n", "y.n", "least(x.n - bit_count(x.m0 & ~y.m0) - bit_count(x.m1 & ~y.m1), y.n - bit_count(y.m0 & ~x.m0) - bit_count(y.m1 & ~x.m1))")
+    f"5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and ((x.n <= {_ONE}) <> (y.n <= {_ONE}) or (x.n <= {_TWO}) <> (y.n <= {_TWO}) or "
+    + _enough("x.n", "y.n", f"least(x.n - ({_ALONE('x', 'y')}), y.n - ({_ALONE('y', 'x')}))")
     + ")"
 )
 _EARLIER = "(x.id < y.id or (x.id = y.id and (x.pos < y.pos or (x.pos = y.pos and x.cls < y.cls))))"
@@ -69,25 +75,25 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rarity = _rarity(base)
     hashed = _hashed(_lines(base)).withColumn("n", F.size("hs")).filter("n > 0")
     coded = f"sort_array(transform(hs, h -> shiftleft(get({rarity}, cast(pmod(h, {BUCKETS}) as int)), 56) | (h & {_LOW56}L)))"
-    shown = hashed.select("_id", "_copy", "pos", "n", F.expr(coded).alias("toks"), F.expr(_MAP0).alias("m0"), F.expr(_MAP1).alias("m1"), F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
+    shown = hashed.select("_id", "_copy", "pos", "n", F.expr(coded).alias("toks"), *(F.expr(m).alias(f"m{k}") for k, m in enumerate(_MAPS)), F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
     prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
-    lines = keep(shown.select("_id", "_copy", "pos", "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kin", prefix.alias("prefix")))
+    lines = keep(shown.select("_id", "_copy", "pos", "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "m2", "m3", "kin", prefix.alias("prefix")))
 
-    first = F.min(F.struct("_id", "pos", "_copy", "n", "m0", "m1", "kin", "prefix"))
+    first = F.min(F.struct("_id", "pos", "_copy", "n", "m0", "m1", "m2", "m3", "kin", "prefix"))
     classes = keep(lines.groupBy("cls", "low").agg(first.alias("s")).select("cls", "low", "s.*"))
     own = classes.select(F.col("cls").alias("c"), F.col("low").alias("l"), F.col("_id").alias("first_id"), F.col("_copy").alias("first_copy"), F.col("pos").alias("first_pos"))
     same = F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("pos") == F.col("first_pos"))
     copies = lines.select("_id", "_copy", "pos", "cls", "low").join(own, (F.col("cls") == F.col("c")) & (F.col("low") == F.col("l"))).filter(~same).select("_id", "_copy", "pos")
 
     ranked = classes.withColumn("id", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))) if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    slim = ranked.select("cls", "id", "pos", "n", "m0", "m1", "kin")
-    heads = slim.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1")).alias("s"), F.count("*").alias("c")).filter("c > 1").select("kin", "s.*")
+    slim = ranked.select("cls", "id", "pos", "n", "m0", "m1", "m2", "m3", "kin")
+    heads = slim.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1", "m2", "m3")).alias("s"), F.count("*").alias("c")).filter("c > 1").select("kin", "s.*")
     likely = keep(slim.alias("y").join(heads.alias("x"), F.expr(f"x.kin = y.kin and {_EARLIER} and {_FITS}")).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")))
 
     def partners(asking: DataFrame, few: bool = False) -> DataFrame:
-        rows = asking.select("cls", "id", "pos", "n", "m0", "m1", "ask", F.posexplode("prefix").alias("i", "tok"))
+        rows = asking.select("cls", "id", "pos", "n", "m0", "m1", "m2", "m3", "ask", F.posexplode("prefix").alias("i", "tok"))
         near = f"x.tok = y.tok and y.ask > least(x.i, 0) and {_EARLIER} and {_FITS} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)")  # ask: tested in the join, so that both sides are one exchange
-        askers = rows.filter("ask = 1") if few else rows
+        askers = keep(rows.filter("ask = 1")) if few else rows
         return keep(askers.alias("y").join(rows.alias("x"), F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")).distinct())
 
     def asking(who: DataFrame, wanted: bool) -> DataFrame:
