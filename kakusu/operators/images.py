@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 
 def data_url_mime(url: Column, default: str = "image/png") -> Column:
@@ -31,7 +32,7 @@ def real_mime(content: Column) -> Column:
 
 def redact_images(df: DataFrame, redactor: Callable[[bytes, tuple[int, int, int]], bytes], content_col: str = "content", fill: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     """Adds ``redacted`` and ``status``. ``redactor`` (OCR and boxes) runs in Arrow batches; where it fails, no image comes out."""
-    schema = df.schema.add("redacted", "binary").add("status", "string")
+    schema = StructType([*df.schema.fields, StructField("redacted", BinaryType()), StructField("status", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

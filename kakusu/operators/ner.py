@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.catalog import Catalog, Pattern, Recognizer
 from ..functions.spans import SPANS, distinct_spans, no_spans, spans_of
@@ -38,7 +39,7 @@ def rule_entities(df: DataFrame, text_col: str = "text", out: str = "ner_spans")
 
 def model_entities(df: DataFrame, load: Callable[[], Backend], text_col: str = "text", out: str = "ner_spans") -> DataFrame:
     """Spans of a model: ``load`` is called once for each task; texts go through it in Arrow batches. Null texts: no spans."""
-    schema = df.schema.add(out, SPANS)
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {SPANS}").fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = load()
