@@ -4,7 +4,8 @@ A line is the set of its words, lower-cased. Sets are put in a global order, rar
 number of buckets, then the word's hash), so that two sets of Jaccard >= 0.8 must share a word within their first
 n - ceil(0.8 n) + 1 ones. Only these prefix words are dealt out. In the join, pairs are tested by length, by position (what
 can still overlap behind the shared word) and by maps of 64 to 256 bits of each set: a bit that one map has alone is a word that the
-other set lacks. What remains is verified on the whole sets. A line goes if any earlier line matches it.
+other set lacks. What remains is verified on the whole sets: the earliest
+partner of each line, and all others where that one fails. A line goes if any earlier line matches it.
 
 Equal sets are one class from the start, so copies never pair. Ahead of the join each class is compared with the earliest
 class that has the same least and greatest word hash; only classes without such a likely match, or whose likely match fails
@@ -31,9 +32,9 @@ def _rarity(docs: DataFrame) -> str:
     return "cast(split('" + ",".join(map(str, ranks)) + "', ',') as array<bigint>)"  # folded to a literal
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """Adds ``hs``: hashes of the distinct words of ``line``."""
-    return lines.withColumn("hs", F.expr(f"array_distinct(transform(array_remove(split(translate(lower(line), '\\t\\r\\u000B\\u000C', '    '), ' '), ''), w -> xxhash64(w)))"))
+def _words(line: str) -> str:
+    """Hashes of the distinct words of a line."""
+    return f"array_distinct(transform(array_remove(split(translate(lower({line}), '\\t\\r\\u000B\\u000C', '    '), ' '), ''), w -> xxhash64(w)))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     need(docs, id_col, text_col)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_copy"))
     rarity = _rarity(base)
-    hashed = _hashed(_lines(base)).withColumn("n", F.size("hs")).filter("n > 0")
+    hashed = _lines(base).withColumn("hs", F.expr(_words("line"))).withColumn("n", F.size("hs")).filter("n > 0")
     coded = f"sort_array(transform(hs, h -> shiftleft(get({rarity}, cast(pmod(h, {BUCKETS}) as int)), 56) | (h & {_LOW56}L)))"
     shown = hashed.select("_id", "_copy", "pos", "n", F.expr(coded).alias("toks"), *(F.expr(m).alias(f"m{k}") for k, m in enumerate(_MAPS)), F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
     prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
@@ -94,33 +95,35 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = asking.select("cls", "id", "pos", "n", "m0", "m1", "m2", "m3", "ask", F.posexplode("prefix").alias("i", "tok"))
         near = f"x.tok = y.tok and y.ask > least(x.i, 0) and {_EARLIER} and {_FITS} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)")  # ask: tested in the join, so that both sides are one exchange
         askers = keep(rows.filter("ask = 1")) if few else rows
-        return keep(askers.alias("y").join(rows.alias("x"), F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")).distinct())
+        return keep(askers.alias("y").join(rows.alias("x"), F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier"), "x.id", "x.pos").distinct())
 
     def asking(who: DataFrame, wanted: bool) -> DataFrame:
         flag = who.select(F.col("later").alias("f")).distinct().withColumn("has", F.lit(1))
         return ranked.join(flag, F.col("cls") == F.col("f"), "left").withColumn("ask", F.coalesce("has", F.lit(0)) if wanted else 1 - F.coalesce("has", F.lit(0)))
 
-    tried = likely.unionByName(partners(asking(likely, False)))
+    near = partners(asking(likely, False))
+    best = near.groupBy("later").agg(F.min(F.struct("id", "pos", "earlier"))["earlier"].alias("earlier"))
+    tried = likely.unionByName(best)
     found = keep(_verified(base, classes, tried))
-    failed = keep(likely.join(found, "later", "left_anti").select("later").distinct())
+    failed = keep(tried.join(found, "later", "left_anti").select("later"))
     if failed.limit(1).count():
-        again = partners(asking(failed, True), few=True)
-        found = found.unionByName(_verified(base, classes, again)).distinct()
+        again = partners(asking(likely.join(failed, "later", "left_semi"), True), few=True)
+        rest = near.join(failed, "later", "left_semi").unionByName(again).select("later", "earlier")
+        found = found.unionByName(_verified(base, classes, rest)).distinct()
     matched = classes.join(found, F.col("cls") == F.col("later"), "left_semi").select("_id", "_copy", "pos")
     return copies.unionByName(matched)
 
 
 def _verified(base: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``later`` of the pairs whose whole sets have Jaccard >= 0.8; sets are made again from the few lines in question."""
+    """``later`` of the pairs whose whole sets have Jaccard >= 0.8; sets are made from the lines, which are smaller on the way."""
     asked = pairs.select(F.col("later").alias("cls")).unionByName(pairs.select(F.col("earlier").alias("cls"))).distinct()
-    where = keep(classes.join(asked, "cls").select("cls", "_id", "_copy", "pos"))
-    docs = base.join(where.select(F.col("_id").alias("i"), F.col("_copy").alias("c")).distinct(), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_copy") == F.col("c")), "left_semi")
-    lines = _lines(docs).dropDuplicates(["_id", "_copy", "pos"]).alias("l")
-    wanted = lines.join(where.alias("w"), F.expr("l._id <=> w._id and l._copy = w._copy and l.pos = w.pos")).select("w.cls", "l.line")
-    sets = _hashed(wanted).select("cls", "hs")
-    a, b = sets.select(F.col("cls").alias("later"), F.col("hs").alias("hy")), sets.select(F.col("cls").alias("earlier"), F.col("hs").alias("hx"))
+    where = classes.join(asked, "cls").groupBy(F.col("_id").alias("i"), F.col("_copy").alias("c")).agg(F.collect_list(F.struct("cls", "n", "pos")).alias("wanted"))
+    docs = base.join(where, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_copy") == F.col("c")))
+    picked = "transform(array(split(_text, '\\n', -1)), a -> transform(wanted, w -> named_struct('cls', w.cls, 'n', w.n, 'line', a[w.pos])))"
+    lines = docs.select(F.expr(f"inline({picked}[0])")).dropDuplicates(["cls"])
+    a, b = (lines.select(F.col("cls").alias(end), F.col("n").alias(f"n{k}"), F.col("line").alias(f"line{k}")) for end, k in (("later", "y"), ("earlier", "x")))
     both = pairs.join(a, "later").join(b, "earlier")
-    return both.filter(_enough("size(hx)", "size(hy)", "size(array_intersect(hx, hy))")).select("later").distinct()
+    return both.filter(_enough("nx", "ny", f"size(array_intersect({_words('linex')}, {_words('liney')}))")).select("later").distinct()
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
