@@ -25,7 +25,7 @@ RULES = Catalog(
         Recognizer("ADDRESS", (Pattern("prefecture", f"{_PREFECTURE}[^\\s、。,，()（）]{{2,40}}", 0.6, (), False),)),
         Recognizer("ORGANIZATION", (Pattern("legal_form", "(?:(?:株式|有限|合同|合資)会社|(?:一般|公益)(?:社団|財団)法人|(?:医療|学校|宗教)法人|独立行政法人)[\\p{L}\\p{N}ー・&]{1,20}?(?=[のはがをにでと、。\\s)）]|$)", 0.6, (), False), Pattern("legal_suffix", "[\\p{IsHan}\\p{IsKatakana}ー・A-Za-z0-9]{1,20}(?:株式会社|有限会社|合同会社|大学|省|庁)", 0.6, (), False))),
         Recognizer("DATE_OF_BIRTH", (Pattern("born_before", f"(?<=(?:生年月日|誕生日|生まれ)[:：はが]?[ 　]?){_YMD}", 0.8), Pattern("born_after", f"{_YMD}(?=[ 　]?(?:生まれ|生(?!産|活)|誕生))", 0.8))),
-        Recognizer("BANK_ACCOUNT", (Pattern("bank_branch", "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ーA-Za-zＡ-Ｚ]{1,12}(?:銀行|信用金庫|信金)[ 　]?[\\p{IsHan}\\p{IsKatakana}ー]{1,10}(?:支店|本店|営業部)?[ 　]?(?:普通|当座|貯蓄)(?:預金)?[ 　]?(?:口座)?(?:番号)?[:： 　]?\\d{6,8}", 0.8, ("銀行",)),)),
+        Recognizer("BANK_ACCOUNT", (Pattern("bank_branch", "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ーA-Za-zＡ-Ｚ]{1,12}(?:銀行|信用金庫|信金)[ 　]?[\\p{IsHan}\\p{IsKatakana}ー]{1,10}(?:支店|本店|営業部)?[ 　]?(?:普通|当座|貯蓄)(?:預金)?[ 　]?(?:口座)?(?:番号)?[:： 　]?\\d{6,8}", 0.8),)),
     )
 )
 #: A backend: texts in, for each a list of (entity_type, start, end, score).

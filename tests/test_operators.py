@@ -128,3 +128,15 @@ def test_placeholders_cut_by_chunks_are_restored(spark, tmp_path):
     q.awaitTermination()
     got = spark.sql("SELECT * FROM chunks").toPandas().sort_values(["conv_id", "seq"])
     assert "".join(got[got.conv_id == 1].restored) == "hello me and"
+
+
+def test_credit_unions_are_banks(spark, sf):
+    rows = ["城南信用金庫 渋谷支店 普通 1234567", "城南信金 渋谷支店 普通 1234567", "みずほ銀行 渋谷支店 普通 1234567", "城南信用金庫 渋谷支店 普通 口座"]
+    got = ner.rule_entities(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string")).collect()
+    assert {r.id for r in got if any(s.entity_type == "BANK_ACCOUNT" for s in r.ner_spans)} == {0, 1, 2}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    more = docs.unionByName(docs.select("doc_id", F.concat("text", F.lit("。城南信用金庫 渋谷支店 普通 1234567")).alias("text")))
+    pattern = next(r for r in ner.RULES.recognizers if r.entity == "BANK_ACCOUNT").patterns[0]
+    banks = F.size(F.filter("ner_spans", lambda s: s["entity_type"] == "BANK_ACCOUNT"))
+    bad = ner.rule_entities(more).filter(banks != F.coalesce(F.regexp_count("text", F.lit(pattern.regex)), F.lit(0)))
+    assert bad.count() == 0 and ner.rule_entities(more).filter(banks > 0).count() >= docs.filter("text is not null").count()
