@@ -1,20 +1,23 @@
 """Language-model scores from a probabilistic suffix tree.
 
 A text is the stream of its words' bytes, lower-cased, a space between words and one end symbol (byte 10, which no word
-holds). The tree's states are variable-length contexts of preceding symbols, up to ``DEPTH``. A context is considered if it
-makes up ``LEAST`` of all training symbols - so each length has at most 1 / LEAST of them, which bounds the model - and it is
+holds). The tree's states are variable-length contexts of preceding symbols, up to ``DEPTH``, which with the next symbol fill a
+64-bit number. A context is considered if it occurs ``LEAST`` times - a constant, so that the tree grows with the input - and it is
 retained if its next symbols diverge from those of its parent (the context without its oldest symbol): count times relative
 entropy in nats must exceed the number of its kinds of next symbols by two. Ancestors of retained contexts stay. Distributions are
 smoothed towards the parent's by the number of kinds seen (Witten-Bell). A text is scored along its longest suffix states.
 
-Training counts all symbols of all training rows: tasks count runs of DEPTH + 1 symbols in sorted arrays, Spark adds them up.
-Word counts (for the base score) are never held whole anywhere: documents are dealt into blocks of bounded size, each block
-asks for the counts of its distinct words, and the answers come back to the block.
+Training counts all symbols of all training rows: tasks count runs of DEPTH + 1 symbols in sorted arrays and deal them into buckets
+by the last CLOSE + 1 symbols of the context. All longer states of a bucket's runs are in that bucket, so each grows its part of the
+tree alone; only the levels up to CLOSE, whose number of contexts is bounded by 256 ** CLOSE, are handed to every task. The tree
+stays a table of buckets. For scores, documents are dealt into blocks; a block asks each bucket for its distinct runs.
+Word counts (for the base score) are never held whole anywhere either: each block asks for the counts of its distinct words, and
+the answers come back to the block.
 """
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, need, word_hashes, words_of
+from .common import cut, fold_of, keep, need, word_hashes, words_of
 
-DEPTH = 5
-LEAST = 1e-6
+DEPTH = 7
+LEAST = 2
+CLOSE = 2
 BLOCK_ROWS = 600
+RUN_ROWS = 3000
+BUCKET_ROWS = 1000
 _CHUNK = 3_000_000
-_TOGETHER = 250_000
 _END = b"\n"
 _U8 = np.uint64(8)
 
@@ -58,7 +63,42 @@ def _tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], counts.astype(np.int64)
 
 
-def _count_runs(depth: int):
+def _squeeze(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers byte plane by byte plane; ascending ones as their differences."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if ascending else np.ascontiguousarray(values)
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def _loosen(raw: bytes, kind, ascending: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if ascending else values
+
+
+def _low(k: int) -> np.uint64:
+    """A mask of ``k`` symbols."""
+    return np.uint64((1 << (8 * k)) - 1)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has some of the runs ``keys``, and where these are, in their order."""
+    spread = ((keys >> _U8) & _low(CLOSE + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(ends)):
+        yield int(k), order[ends[k] : ends[k + 1]]
+
+
+def _count_runs(depth: int, buckets: int):
+    close = min(CLOSE, depth)
+
+    def out(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        k, c = _tally(keys & _low(close + 1), counts)
+        rows = [(-1, _squeeze(k, True), _squeeze(c))]
+        rows += [(b, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt(keys, buckets)] if depth > close else []
+        return pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         parts: list[np.ndarray] = []
@@ -72,57 +112,89 @@ def _count_runs(depth: int):
                     keys, counts = _tally(np.concatenate([keys, k]), np.concatenate([counts, c]))
                     parts, held = [], 0
                     if len(keys) > 4_000_000:
-                        yield pd.DataFrame({"run": keys.view(np.int64), "n": counts})
+                        yield out(keys, counts)
                         keys, counts = keys[:0], counts[:0]
         if parts:
             k, c = _tally(np.concatenate(parts))
             keys, counts = _tally(np.concatenate([keys, k]), np.concatenate([counts, c]))
-        yield pd.DataFrame({"run": keys.view(np.int64), "n": counts})
+        if len(keys):
+            yield out(keys, counts)
 
     return run
 
 
-def grow(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> DataFrame:
-    """The tree as rows: ``level, context, symbol, logp``; symbol null: what the state leaves to its parent (log10).
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, counts = _tally(np.concatenate([_loosen(k, np.uint64, True) for k in pdf["keys"]]), np.concatenate([_loosen(c, np.int64) for c in pdf["counts"]]))
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "keys": [_squeeze(keys, True)], "counts": [_squeeze(counts)]})
+
+
+class Levels:
+    """Counts, smoothed probabilities and divergence of the contexts of ``low`` to ``high`` symbols of some runs."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, least: float, above: Levels | None = None):
+        self.low, self.high, self.at = low, high, {}
+        for k in range(high, low - 1, -1):
+            run, n = _tally(keys & _low(k + 1), counts)
+            context, first, kinds = np.unique(run >> _U8, return_index=True, return_counts=True)
+            c = np.add.reduceat(n, first)
+            good = (c >= least) | (k == 0)
+            rows = np.repeat(good, kinds)
+            self.at[k] = {"run": run[rows], "n": n[rows], "context": context[good], "c": c[good], "kinds": kinds[good]}
+        for k in range(low, high + 1):
+            x, up = self.at[k], self.at.get(k - 1) or (above.at[k - 1] if above else None)
+            pp = up["p"][np.searchsorted(up["run"], x["run"] & _low(k))] if k else 1 / 256
+            c, kinds = np.repeat(x["c"], x["kinds"]), np.repeat(x["kinds"], x["kinds"])
+            x["p"] = (x["n"] + kinds * pp) / (c + kinds)
+            first = np.cumsum(x["kinds"]) - x["kinds"]
+            gain = np.add.reduceat(x["n"] * np.log(x["n"] / c / pp), first) if len(first) else np.empty(0)
+            x["good"] = (gain > x["kinds"] + 2) | (k == 0)
+
+    def tree(self, kept: np.ndarray) -> tuple[list[tuple[int, bool, bytes, bytes]], np.ndarray]:
+        """Retained states as packed arrays (edge: what follows; else what is left to the parent), and the parents of the shortest.
 
-    Contexts and symbols are packed as in :func:`runs`. Level 0 has the one empty context. Level -1 lists the common runs,
-    whose scores each worker works out once.
+        ``kept``: contexts of ``high`` symbols that longer ones retain.
+        """
+        out = []
+        for k in range(self.high, self.low - 1, -1):
+            x = self.at[k]
+            good = x["good"] | np.isin(x["context"], kept)
+            rows = np.repeat(good, x["kinds"])
+            out.append((k, True, _squeeze(x["run"][rows], True), _squeeze(np.log10(x["p"][rows]).astype(np.float32))))
+            out.append((k, False, _squeeze(x["context"][good], True), _squeeze(np.log10((x["kinds"] / (x["c"] + x["kinds"]))[good]).astype(np.float32))))
+            kept = np.unique(x["context"][good] & _low(max(0, k - 1)))
+        return out, kept
+
+
+_PACKED = "bucket long, level int, edge boolean, keys binary, logp binary"
+
+
+def grow(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST, buckets: int = 16) -> DataFrame:
+    """The tree as packed rows: ``bucket, level, edge, keys, logp`` (log10); bucket -1 has the levels up to CLOSE.
+
+    Keys of edges are runs as in :func:`runs` (context and next symbol), of the others contexts: what they leave to the parent.
     """
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_count_runs(depth), "run long, n long")
-    runs_ = cut(counted.groupBy("run").agg(F.sum("n").alias("n")))
-    total = runs_.agg(F.sum("n")).first()[0] or 0
-    edges, states = {}, {}
-    for k in range(depth, -1, -1):
-        mask = F.lit((1 << (8 * (k + 1))) - 1)
-        rows = runs_.groupBy(F.col("run").bitwiseAND(mask).alias("run")).agg(F.sum("n").alias("n"))
-        rows = rows.withColumn("context", F.shiftrightunsigned("run", 8))
-        size = rows.groupBy("context").agg(F.sum("n").alias("c"), F.count("*").alias("kinds")).filter(F.col("c") >= least * total)
-        edges[k] = cut(rows.join(size, "context"))
-    p = edges[0].select("context", "run", "n", "c", "kinds", F.expr("(n + kinds / 256D) / (c + kinds)").alias("p"))
-    smooth = {0: cut(p)}
-    for k in range(1, depth + 1):
-        parent = smooth[k - 1].select(F.col("run").alias("up"), F.col("p").alias("pp"))
-        rows = edges[k].withColumn("up", F.col("run").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(parent, "up")
-        smooth[k] = cut(rows.select("context", "run", "n", "c", "kinds", F.expr("(n + kinds * pp) / (c + kinds)").alias("p"), "pp"))
-    kept: DataFrame | None = None
-    out: DataFrame | None = None
-    for k in range(depth, -1, -1):
-        if k:
-            gain = smooth[k].groupBy("context").agg(F.sum(F.expr("n * ln((n / c) / pp)")).alias("gain"), F.first("c").alias("c"), F.first("kinds").alias("kinds"))
-            good = gain.filter("gain > kinds + 2").select("context")
-        else:
-            good = smooth[0].select("context").distinct()
-        if kept is not None:
-            mask = F.lit((1 << (8 * k)) - 1)
-            good = good.unionByName(kept.select(F.col("context").bitwiseAND(mask).alias("context"))).distinct()
-        kept = cut(good)
-        rows = smooth[k].join(kept, "context")
-        tree = rows.select(F.lit(k).alias("level"), "context", F.col("run").bitwiseAND(F.lit(255)).alias("symbol"), F.log10("p").alias("logp"))
-        rest = rows.groupBy("context").agg(F.first("kinds").alias("kinds"), F.first("c").alias("c")).select(F.lit(k).alias("level"), "context", F.lit(None).cast("long").alias("symbol"), F.expr("log10(kinds / (c + kinds))").alias("logp"))
-        part = tree.unionByName(rest)
-        out = part if out is None else out.unionByName(part)
-    common = runs_.filter(F.col("n") >= least * total)  # at most 1 / least
-    return out.unionByName(common.select(F.lit(-1).alias("level"), F.shiftrightunsigned("run", 8).alias("context"), F.col("run").bitwiseAND(F.lit(255)).alias("symbol"), F.lit(0.0).alias("logp")))
+    close = min(CLOSE, depth)
+    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_count_runs(depth, buckets), "bucket long, keys binary, counts binary")
+    counted = keep(counted.groupBy("bucket").applyInPandas(_add_up, "bucket long, keys binary, counts binary"))
+    top = counted.filter("bucket = -1").first()  # at most 256 ** (CLOSE + 1) runs
+    if top is None:
+        return docs.sparkSession.createDataFrame([], _PACKED)
+    short = Levels(_loosen(top["keys"], np.uint64, True), _loosen(top["counts"], np.int64), 0, close, least)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(short)
+
+    def longer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bucket, keys, counts in zip(batch["bucket"], batch["keys"], batch["counts"]):
+                part = Levels(_loosen(keys, np.uint64, True), _loosen(counts, np.int64), close + 1, depth, least, shared.value)
+                rows, kept = part.tree(np.empty(0, dtype=np.uint64))
+                rows.append((-1, False, _squeeze(kept, True), b""))
+                yield pd.DataFrame([(bucket, *r) for r in rows], columns=["bucket", "level", "edge", "keys", "logp"])
+
+    dealt = keep(counted.filter("bucket >= 0").mapInPandas(longer, _PACKED))
+    kept = [_loosen(r["keys"], np.uint64, True) for r in dealt.filter("level = -1").select("keys").toLocalIterator()]  # each one of at most 256 ** CLOSE
+    rows, _ = short.tree(np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *kept])))
+    return dealt.filter("level >= 0").unionByName(spark.createDataFrame([(-1, *r) for r in rows], _PACKED))
 
 
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -171,14 +243,15 @@ class Table:
         return found, value
 
 
+def _plain(level: int, edge: bool, keys: bytes, logp: bytes) -> tuple[int, bool, bytes, bytes]:
+    return level, edge, _loosen(keys, np.uint64, True).tobytes(), _loosen(logp, np.float32).tobytes()
+
+
 def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of :func:`grow` as few rows of arrays, so that the driver hands on bytes and never holds rows."""
+    """Rows of :func:`grow` as the plain arrays that :class:`Tree` takes."""
+    columns = ["level", "edge", "keys", "logp"]
     for batch in batches:
-        for (level, edge), rows in batch.assign(edge=batch["symbol"].notna()).groupby(["level", "edge"]):
-            keys = rows["context"].to_numpy().astype(np.uint64)
-            if edge:
-                keys = (keys << _U8) | rows["symbol"].to_numpy().astype(np.uint64)
-            yield pd.DataFrame({"level": [level], "edge": [edge], "keys": [keys.tobytes()], "logp": [rows["logp"].to_numpy(dtype=np.float32).tobytes()]})
+        yield pd.DataFrame([_plain(*r) for r in batch[columns].itertuples(index=False)], columns=columns)
 
 
 class Tree:
@@ -186,32 +259,10 @@ class Tree:
         self.depth = depth
         join = lambda k, edge, at, kind: np.frombuffer(b"".join(p[at] for p in parts if p[0] == k and p[1] == edge), dtype=kind)
         self.edges, self.rest = ([Table(join(k, edge, 2, np.uint64), join(k, edge, 3, np.float32)) for k in range(depth + 1)] for edge in (True, False))
-        common = join(-1, True, 2, np.uint64)
-        self.common = Table(common, self.walk(common).astype(np.float32))
 
     def score(self, runs_: np.ndarray) -> np.ndarray:
-        """log10 probability of the low symbol of each run after the others; common runs are looked up, others walked."""
-        found, value = self.common.get(runs_)
-        out = value.astype(np.float64)
-        rest = np.flatnonzero(~found)
-        out[rest] = self.walk(runs_[rest])
-        return out
-
-    def score_texts(self, texts: list[bytes]) -> np.ndarray:
-        """Sums over whole streams, several together."""
-        out, k = np.zeros(len(texts)), 0
-        while k < len(texts):
-            end, size = k, 0
-            while end < len(texts) and (end == k or size + len(texts[end]) <= _TOGETHER):
-                size += len(texts[end]) + self.depth
-                end += 1
-            logp = self.score(runs(b"".join(_END * self.depth + t for t in texts[k:end]), self.depth))
-            lengths = np.array([len(t) for t in texts[k:end]])
-            starts = np.concatenate([[0], np.cumsum(lengths + self.depth)[:-1]])
-            sums = np.concatenate([[0.0], np.cumsum(logp)])
-            out[k:end] = sums[starts + lengths] - sums[starts]  # what the padding between two texts scores is passed over
-            k = end
-        return out
+        """log10 probability of the low symbol of each run after the others."""
+        return self.walk(runs_)
 
     def walk(self, runs_: np.ndarray) -> np.ndarray:
         out = np.zeros(len(runs_))
@@ -228,15 +279,48 @@ class Tree:
         return out
 
 
-_WORKER: dict[int, Tree] = {}
-
-
-def _tree(shared, name: int, depth: int) -> Tree:
-    """One for each Python worker and model."""
-    if name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name] = Tree(shared.value, depth)
-    return _WORKER[name]
+def _distinct(texts: list[bytes], depth: int) -> np.ndarray:
+    """The distinct runs of whole streams, ascending."""
+    out, parts, held = np.empty(0, dtype=np.uint64), [], 0
+    for text in texts:
+        parts.append(runs(_END * depth + text, depth))
+        held += len(parts[-1])
+        if held >= _CHUNK:
+            out, parts, held = np.unique(np.concatenate([out, *parts])), [], 0
+    return np.unique(np.concatenate([out, *parts]))
+
+
+def _tree_scores(rows: DataFrame, model: DataFrame, depth: int, buckets: int, n_blocks: int) -> DataFrame:
+    """``a, b, score`` of the distinct ``a, b`` (hashes of id and text, of text) among ``rows`` (a, b, text)."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast([_plain(*r) for r in model.filter("bucket = -1").drop("bucket").collect()])  # levels up to CLOSE
+    blocked = rows.select("a", "b", "text", F.pmod("a", F.lit(n_blocks)).alias("block"))
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = _distinct([stream(words_of(t)) for t in pdf["text"]], depth)
+        return pd.DataFrame([(pdf["block"].iloc[0], b, _squeeze(keys[at], True)) for b, at in _dealt(keys, buckets)], columns=["block", "bucket", "keys"])
+
+    def look_up(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"at": [], "bucket": [], "logp": []})
+        tree = Tree(shared.value + [_plain(*r) for r in states[["level", "edge", "keys", "logp"]].itertuples(index=False)], depth)
+        logp = [_squeeze(tree.score(_loosen(k, np.uint64, True)).astype(np.float32)) for k in pdf["keys"]]
+        return pd.DataFrame({"at": pdf["block"], "bucket": pdf["bucket"], "logp": logp})
+
+    def add_up(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["a", "b"])
+        streams = [stream(words_of(t)) for t in pdf["text"]]
+        keys = _distinct(streams, depth)
+        logp, given = np.empty(len(keys)), dict(zip(answers["bucket"], answers["logp"]))
+        for bucket, at in _dealt(keys, buckets):
+            logp[at] = _loosen(given[bucket], np.float32)
+        sums = [float(logp[np.searchsorted(keys, runs(_END * depth + s, depth))].sum()) for s in streams]
+        return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": sums})
+
+    asked = blocked.groupBy("block").applyInPandas(ask, "block long, bucket long, keys binary")
+    states = model.filter("bucket >= 0")
+    answers = asked.groupBy("bucket").cogroup(states.groupBy("bucket")).applyInPandas(look_up, "at long, bucket long, logp binary")
+    return keep(blocked.groupBy("block").cogroup(answers.groupBy("at")).applyInPandas(add_up, "a long, b long, score double"))
 
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,12 +342,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     need(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold_of(F.col(id_col), folds) == 0).alias("held_out"))
-    model = grow(rows.filter(~F.col("held_out")), "text", depth, least)  # at most 1 / least contexts a level
-    parts = [tuple(r) for r in model.coalesce(16).mapInPandas(pack, "level int, edge boolean, keys binary, logp binary").collect()]
-    shared, name = docs.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().int
-    del parts
-    n_blocks = max(1, -(-docs.count() // block_rows))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    rows = rows.withColumns({"a": F.xxhash64("doc_id", "text"), "b": F.xxhash64("text")})
+    n_rows = docs.count()
+    n_blocks, buckets = max(1, -(-n_rows // block_rows)), max(1, -(-n_rows // BUCKET_ROWS))
+    model = grow(rows.filter(~F.col("held_out")), "text", depth, least, buckets)
+    tree_scores = _tree_scores(rows, model, depth, buckets, max(1, -(-n_rows // RUN_ROWS)))
+    blocked = rows.withColumn("block", F.pmod("a", F.lit(n_blocks)))
 
     asked = blocked.groupBy("block").applyInPandas(_ask, "block long, word long, n long")
     train_rows = rows.filter(~F.col("held_out")).agg(F.count("*").alias("ends"))
@@ -271,24 +355,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = answers.select(F.col("block").alias("at"), "word", "n", "c", ((F.col("k") == 1) & (F.col("c") > 0)).cast("long").alias("kind"))
 
     def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        tree = _tree(shared, name, depth)
         order = np.argsort(known["word"].to_numpy().view(np.uint64))
         words_, counts_ = known["word"].to_numpy().view(np.uint64)[order], known["c"].to_numpy()[order]
-        streams, sums = [], []
+        sums = []
         for words in map(words_of, pdf["text"]):
             c = counts_[np.searchsorted(words_, word_hashes(words))] if words else np.empty(0)
             sums.append((len(words) + 1, int((c > 0).sum()), float(np.log10(c + 0.1).sum())))
-            streams.append(stream(words))
-        out = [(d, h, *some, float(p), 0, 0) for d, h, some, p in zip(pdf["doc_id"], pdf["held_out"], sums, tree.score_texts(streams))]
+        out = [(d, h, *some, a, b, 0, 0) for d, h, some, a, b in zip(pdf["doc_id"], pdf["held_out"], sums, pdf["a"], pdf["b"])]
         if out:  # what the block's words add to the totals, with its first row
-            out[0] = (*out[0][:6], int(known["n"].sum()), int(known["kind"].sum()))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "words", "kinds"])
+            out[0] = (*out[0][:7], int(known["n"].sum()), int(known["kind"].sum()))
+        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "logs", "a", "b", "words", "kinds"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    scored = cut(blocked.groupBy("block").cogroup(answers.groupBy("at")).applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, words long, kinds long"))
+    scored = cut(blocked.groupBy("block").cogroup(answers.groupBy("at")).applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, a long, b long, words long, kinds long"))
     totals = scored.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
     one = totals.withColumn("k", F.lit(1)).join(train_rows.withColumn("k", F.lit(1)), "k")  # a single row
-    both = scored.drop("words", "kinds").withColumn("k", F.lit(1)).join(F.broadcast(one), "k")
+    both = scored.drop("words", "kinds").join(tree_scores, ["a", "b"]).withColumn("k", F.lit(1)).join(F.broadcast(one), "k")
     end_known = F.when(F.col("ends") > 0, 1).otherwise(0)
     tokens, kinds = F.col("words") + F.col("ends"), F.col("kinds") + end_known
     base = F.col("logs") + F.log10(F.col("ends") + 0.1) - F.col("n_tokens") * F.log10(tokens + 0.1 * (kinds + 1))

@@ -106,6 +106,26 @@ def test_tree_is_a_distribution(spark):
     assert 10 ** tree.score(np.array([int.from_bytes(b"abra"[:3] + b"a", "big")], dtype=np.uint64))[0] > 0.5
 
 
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    words = "concat_ws(' ', transform(sequence(1, 4000), i -> substr(md5(concat(id, '-', i)), 1, 4)))"
+    filler = spark.range(320).selectExpr(words + " as text")  # over 6 million symbols
+    docs = filler.union(spark.createDataFrame([("quixotry",)] * 4, "text string")).repartition(4)
+    parts = [tuple(r) for r in suffixtree.grow(docs).coalesce(1).mapInPandas(suffixtree.pack, "level int, edge boolean, keys binary, logp binary").collect()]
+    run = np.array([int.from_bytes(b"quixotry", "big")], dtype=np.uint64)
+    assert 10 ** suffixtree.Tree(parts, suffixtree.DEPTH).score(run)[0] > 0.7
+
+
+def test_buckets_and_blocks_do_not_change_scores(spark, docs, monkeypatch):
+    train = docs.filter("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 <> 0")
+    parts = [tuple(r) for r in suffixtree.grow(train, buckets=1).coalesce(1).mapInPandas(suffixtree.pack, "level int, edge boolean, keys binary, logp binary").collect()]
+    tree, depth = suffixtree.Tree(parts, suffixtree.DEPTH), suffixtree.DEPTH
+    monkeypatch.setattr(suffixtree, "RUN_ROWS", 40)
+    monkeypatch.setattr(suffixtree, "BUCKET_ROWS", 20)
+    got = sorted(r.score for r in suffixtree.score_documents(docs).collect())
+    want = sorted(tree.score(suffixtree.runs(b"\n" * depth + suffixtree.stream(words_of(r.text)), depth)).sum() for r in docs.select("text").collect())
+    assert np.allclose(got, want, rtol=1e-4)
+
+
 def test_scores_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixtree.score_documents(df).count() == 0
