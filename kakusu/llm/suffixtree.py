@@ -135,8 +135,8 @@ class Levels:
         self.low, self.high, self.at = low, high, {}
         for k in range(high, low - 1, -1):
             run, n = _tally(keys & _low(k + 1), counts)
-            context, first, kinds = np.unique(run >> _U8, return_index=True, return_counts=True)
-            c = np.add.reduceat(n, first)
+            context, kinds = _tally(run >> _U8)
+            c = _tally(run >> _U8, n)[1]
             good = (c >= least) | (k == 0)
             rows = np.repeat(good, kinds)
             self.at[k] = {"run": run[rows], "n": n[rows], "context": context[good], "c": c[good], "kinds": kinds[good]}
@@ -161,7 +161,7 @@ class Levels:
             rows = np.repeat(good, x["kinds"])
             out.append((k, True, _squeeze(x["run"][rows], True), _squeeze(np.log10(x["p"][rows]).astype(np.float32))))
             out.append((k, False, _squeeze(x["context"][good], True), _squeeze(np.log10((x["kinds"] / (x["c"] + x["kinds"]))[good]).astype(np.float32))))
-            kept = np.unique(x["context"][good] & _low(max(0, k - 1)))
+            kept = _tally(x["context"][good] & _low(max(0, k - 1)))[0]
         return out, kept
 
 
@@ -286,8 +286,8 @@ def _distinct(texts: list[bytes], depth: int) -> np.ndarray:
         parts.append(runs(_END * depth + text, depth))
         held += len(parts[-1])
         if held >= _CHUNK:
-            out, parts, held = np.unique(np.concatenate([out, *parts])), [], 0
-    return np.unique(np.concatenate([out, *parts]))
+            out, parts, held = _tally(np.concatenate([out, *parts]))[0], [], 0
+    return _tally(np.concatenate([out, *parts]))[0]
 
 
 def _tree_scores(rows: DataFrame, model: DataFrame, depth: int, buckets: int, n_blocks: int) -> DataFrame:
