@@ -4,11 +4,15 @@ Four shapes: ``chat`` (messages of text or text parts), ``messages`` (the same w
 instructions) and ``generate`` (contents of parts). A body is opened into its texts, the texts are redacted as array elements
 by the same column expressions as any text, and the body is closed around them again; keys that are not known stay as they
 are. Opening and closing are the only Python steps, one Arrow batch at a time; nothing is shuffled.
+
+Images in a request go through an optional redactor; without one, or where it fails, the image's part is taken out.
 """
 
 from __future__ import annotations
 
+import base64
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,6 +27,11 @@ from .reversible import MAPPING, mapping_of, placeholder, restore
 
 KINDS = ("chat", "messages", "responses", "generate")
 Visit = Callable[[str], str]
+#: What an image is given by (base64, url or name of a file elsewhere) and which of these it is: what replaces it, or None.
+See = Callable[[str, str], str | None]
+Redactor = Callable[[bytes, tuple[int, int, int]], bytes]
+_SCHEME = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:|//)")
+_SHORT = 16  # no image has so few characters
 
 
 def _parts(parts, kinds: tuple[str, ...], visit: Visit):
@@ -89,6 +98,71 @@ def walk_response(kind: str, body: dict, visit: Visit) -> dict:
     return _each(body, "candidates", lambda c: inner(c, "content", lambda h: _untyped(h, visit)))
 
 
+def _filled(value) -> bool:
+    return isinstance(value, str) and bool(value)
+
+
+def _image(part: dict, see: See) -> dict | None:
+    """``part`` with its image, if it is one, seen; None if the image is withheld."""
+    new = lambda holder, key, form: None if (v := see(holder[key], form)) is None else holder | {key: v}
+    put = lambda key, held: None if held is None else part | {key: held}
+    for keys, at, form in ((("inline_data", "inlineData"), ("data",), "base64"), (("file_data", "fileData"), ("file_uri", "fileUri"), "name")):
+        for key in keys:
+            held = part.get(key)
+            field = next((f for f in at if _filled(held.get(f))), None) if isinstance(held, dict) else None
+            if field and str(held.get("mime_type", held.get("mimeType", "image/png"))).lower().startswith("image/"):
+                return put(key, new(held, field, form))
+    if part.get("type") == "image" and isinstance(source := part.get("source"), dict):
+        field, form = next(((f, k) for f, k in (("data", "base64"), ("url", "url"), ("file_id", "name")) if _filled(source.get(f))), (None, None))
+        return put("source", new(source, field, form)) if field else part
+    if part.get("type") in ("image_url", "input_image"):
+        url = part.get("image_url")
+        if isinstance(url, dict) and _filled(url.get("url")):
+            return put("image_url", new(url, "url", "url"))
+        if _filled(url):
+            return new(part, "image_url", "url")
+        return new(part, "file_id", "name") if _filled(part.get("file_id")) else part
+    return part
+
+
+def walk_images(node, see: See):
+    """``node`` with all image parts seen, at any depth; what is withheld is taken out of its list or object."""
+    if isinstance(node, list):
+        return [x for x in (walk_images(x, see) for x in node) if x is not _GONE]
+    if isinstance(node, dict):
+        found = _image(node, see)
+        return _GONE if found is None else node | found if found is not node else {k: x for k, x in ((k, walk_images(v, see)) for k, v in node.items()) if x is not _GONE}
+    return node
+
+
+_GONE = object()
+
+
+def _see(redactor: Redactor | None, fill: tuple[int, int, int], said: list[str]) -> See:
+    def see(value: str, form: str) -> str | None:
+        head = ""
+        if form == "url":
+            if len(value) < _SHORT and not _SCHEME.match(value):
+                return value
+            if value.lstrip()[:5].lower() == "data:":
+                head, comma, value = value.partition(",")
+                head += comma
+            elif _SCHEME.match(value):
+                form = "name"
+        try:
+            if form == "name" or redactor is None:
+                said.append("withheld: not in the body" if form == "name" else "withheld: no redactor")
+                return None
+            new = head + base64.b64encode(redactor(base64.b64decode(value, validate=True), fill)).decode()
+        except Exception as e:  # fail closed: the row says so, the image is withheld
+            said.append(f"withheld: {type(e).__name__}")
+            return None
+        said.append("ok")
+        return new
+
+    return see
+
+
 def _load(body: str | None) -> dict | None:
     try:
         found = json.loads(body) if body else None
@@ -111,20 +185,27 @@ def _opener(walk):
     return open_
 
 
-def _close(df: DataFrame, walk, kind_col: str, body_col: str, texts_col: str, out: str) -> DataFrame:
-    """Adds ``out``: each body around its new texts; as it is if it has no known shape or is no JSON object."""
+def _close(df: DataFrame, walk, kind_col: str, body_col: str, texts_col: str, out: str, image_col: str | None = None, redactor: Redactor | None = None, fill: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """Adds ``out``: each body around its new texts; as it is if it has no known shape or is no JSON object.
+
+    With ``image_col``, images are seen too, and what became of them is in that column.
+    """
 
     def body(kind, raw, new):
         if kind not in KINDS or (loaded := _load(raw)) is None:
-            return raw
-        left = iter([] if new is None else list(new))
-        return json.dumps(walk(kind, loaded, lambda t: next(left, t)), ensure_ascii=False)
+            return raw, None
+        left, said = iter([] if new is None else list(new)), []
+        walked = walk(kind, loaded, lambda t: next(left, t))
+        whole = walk_images([walked], _see(redactor, fill, said)) if image_col else [walked]
+        return json.dumps(whole[0], ensure_ascii=False) if whole else None, next((s for s in said if s != "ok"), "ok") if said else "no image"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(**{out: [body(k, b, t) for k, b, t in zip(batch[kind_col], batch[body_col], batch[texts_col])]})
+            done = [body(k, b, t) for k, b, t in zip(batch[kind_col], batch[body_col], batch[texts_col])]
+            new = {out: [d[0] for d in done]} | ({image_col: [d[1] for d in done]} if image_col else {})
+            yield batch.assign(**new)
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+    return df.mapInPandas(run, StructType([*df.schema.fields, *(StructField(c, StringType()) for c in (out, image_col) if c)]))
 
 
 def envelope_kind(body: Column) -> Column:
@@ -133,11 +214,13 @@ def envelope_kind(body: Column) -> Column:
     return F.when(has("$.messages"), F.when(has("$.system"), "messages").otherwise("chat")).when(has("$.input"), "responses").when(has("$.contents"), "generate")
 
 
-def redact_requests(df: DataFrame, body_col: str = "body", kind_col: str | None = None, lang: str | None = "ja", entities: list[str] | None = None, catalog: Catalog = DEFAULT) -> DataFrame:
-    """Adds ``kind``, ``redacted_body``, ``mapping`` and ``quarantined``.
+def redact_requests(df: DataFrame, body_col: str = "body", kind_col: str | None = None, lang: str | None = "ja", entities: list[str] | None = None, catalog: Catalog = DEFAULT, redactor: Redactor | None = None, fill: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """Adds ``kind``, ``redacted_body``, ``mapping``, ``quarantined`` and ``image_status``.
 
     Placeholders are <TYPE_part_start>, so parts never collide. A body that is no JSON object is quarantined: its redacted
-    body is null. A body of no known shape stays as it is, with an empty mapping.
+    body is null. A body of no known shape stays as it is, with an empty mapping. Images in the body go through ``redactor``
+    (as in :func:`.images.redact_images`). Without it, where it fails, and where the image lies elsewhere (a web address, a
+    file's name; nothing is fetched) its part is taken out. ``image_status``: ``no image``, ``ok`` or ``withheld: `` and why.
     """
     one = lambda t: disjoint_spans(spans_of(t, entities, lang, catalog))
     out = df.withColumn("kind", F.col(kind_col) if kind_col else envelope_kind(F.col(body_col))).withColumn("_texts", _opener(walk_request)("kind", body_col))
@@ -148,7 +231,7 @@ def redact_requests(df: DataFrame, body_col: str = "body", kind_col: str | None
     out = out.withColumn("mapping", F.map_from_entries(entries).cast(MAPPING))
     bad = F.try_parse_json(body_col).isNull() | ~F.schema_of_variant(F.try_parse_json(body_col)).startswith("OBJECT")
     out = out.withColumn("quarantined", F.coalesce(bad, F.lit(True))).drop("_texts", "_rows")
-    out = _close(out, walk_request, "kind", body_col, "_new", "redacted_body").withColumn("redacted_body", F.when(~F.col("quarantined"), F.col("redacted_body")))
+    out = _close(out, walk_request, "kind", body_col, "_new", "redacted_body", "image_status", redactor, fill).withColumn("redacted_body", F.when(~F.col("quarantined"), F.col("redacted_body")))
     return out.drop("_new")
 
 

@@ -140,3 +140,31 @@ def test_credit_unions_are_banks(spark, sf):
     banks = F.size(F.filter("ner_spans", lambda s: s["entity_type"] == "BANK_ACCOUNT"))
     bad = ner.rule_entities(more).filter(banks != F.coalesce(F.regexp_count("text", F.lit(pattern.regex)), F.lit(0)))
     assert bad.count() == 0 and ner.rule_entities(more).filter(banks > 0).count() >= docs.filter("text is not null").count()
+
+
+IMAGES = {
+    "chat": lambda d: {"messages": [{"role": "u", "content": [{"type": "text", "text": MAIL}, {"type": "image_url", "image_url": {"url": f"data:image/png;base64,{d}", "detail": "low"}}]}]},
+    "messages": lambda d: {"system": "s", "messages": [{"role": "u", "content": [{"type": "tool_result", "content": [{"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": d}}]}, {"type": "text", "text": MAIL}]}]},
+    "responses": lambda d: {"input": [{"role": "u", "content": [{"type": "input_image", "image_url": f"data:image/png;base64,{d}"}, {"type": "input_text", "text": MAIL}]}]},
+    "generate": lambda d: {"contents": [{"parts": [{"text": MAIL}, {"inline_data": {"mime_type": "image/png", "data": d}}]}]},
+}
+
+
+@pytest.mark.parametrize("kind", list(IMAGES))
+def test_images_in_bodies_fail_closed(spark, kind):
+    def bad(content, fill):
+        raise ValueError
+
+    body = IMAGES[kind]("c2VjcmV0IGltYWdl")  # secret image
+    for redactor, status in ((None, "withheld: no redactor"), (bad, "withheld: ValueError")):
+        got = one(spark, body, redactor=redactor)
+        assert (got.kind, got.image_status, got.quarantined) == (kind, status, False)
+        assert "c2VjcmV0IGltYWdl" not in got.redacted_body and "<EMAIL_ADDRESS_0_5>" in got.redacted_body
+    got = one(spark, body, redactor=lambda content, fill: content[:6] + bytes(fill))
+    assert got.image_status == "ok" and json.loads(got.redacted_body.replace("<EMAIL_ADDRESS_0_5>", "a@b.jp")) == IMAGES[kind]("c2VjcmV0AAAA")
+
+
+def test_images_elsewhere_are_withheld(spark):
+    got = one(spark, {"messages": [{"role": "u", "content": [{"type": "image_url", "image_url": {"url": "https://a.jp/b.png"}}]}]}, redactor=lambda c, f: c)
+    assert got.image_status == "withheld: not in the body" and "a.jp" not in got.redacted_body
+    assert one(spark, {"input": "x"}).image_status == "no image"
