@@ -314,7 +314,7 @@ def _tree_scores(rows: DataFrame, model: DataFrame, depth: int, buckets: int, n_
         logp, given = np.empty(len(keys)), dict(zip(answers["bucket"], answers["logp"]))
         for bucket, at in _dealt(keys, buckets):
             logp[at] = _loosen(given[bucket], np.float32)
-        sums = [float(logp[np.searchsorted(keys, runs(_END * depth + s, depth))].sum()) for s in streams]
+        sums = [float(logp[np.searchsorted(keys, np.sort(runs(_END * depth + s, depth)))].sum()) for s in streams]  # sorted: near one another in memory
         return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": sums})
 
     asked = blocked.groupBy("block").applyInPandas(ask, "block long, bucket long, keys binary")
