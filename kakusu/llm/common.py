@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -18,30 +19,50 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``; only where none is set (local tests) makes a folder of its own."""
+    """Uses the cluster's ``spark.checkpoint.dir``; only a local session without one (tests) gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kakusu-checkpoint-")
         atexit.register(shutil.rmtree, folder, True)
     spark.sparkContext.setCheckpointDir(folder)
 
 
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Shuffle files of what runs inside go when it has run: what follows reads files in the checkpoint folder."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder now and goes on from the files: a lost executor re-reads them."""
+    """Writes ``df`` to the checkpoint folder now and goes on from the files: a lost executor re-reads them. For small data."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-_WRITTEN: list[tuple] = []
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _forget() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone already; the folder is the cluster's to clean
             return
 
@@ -53,9 +74,30 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_forget)
-    _WRITTEN.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop(kept: DataFrame) -> None:
+    """Deletes a table of :func:`keep` that nothing reads any more."""
+    path = kept._kept_path
+    _delete(_WRITTEN.pop(path), path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin with ``names`` and that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def need(df: DataFrame, *names: str) -> DataFrame:

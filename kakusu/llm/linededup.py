@@ -3,9 +3,9 @@
 A line is the set of its words, lower-cased. Sets are put in a global order, rare words first (corpus counts in a fixed
 number of buckets, then the word's hash), so that two sets of Jaccard >= 0.8 must share a word within their first
 n - ceil(0.8 n) + 1 ones. Only these prefix words are dealt out. In the join, pairs are tested by length, by position (what
-can still overlap behind the shared word) and by maps of 64 to 256 bits of each set: a bit that one map has alone is a word that the
-other set lacks. What remains is verified on the whole sets: the earliest
-partner of each line, and all others where that one fails. A line goes if any earlier line matches it.
+can still overlap behind the shared word) and by maps of 128 bits of each set: a bit that one map has alone is a word that
+the other set lacks. What remains is verified on the whole sets: the earliest partner of each line, and all others where
+that one fails. A line goes if any earlier line matches it.
 
 Equal sets are one class from the start, so copies never pair. Ahead of the join each class is compared with the earliest
 class that has the same least and greatest word hash; only classes without such a likely match, or whose likely match fails
@@ -17,52 +17,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, need
+from .common import drop, fresh, keep, need
 
-#: Buckets of the word counts that order words by rarity: a fixed size, whatever the corpus.
-BUCKETS = 16_384
-_LOW56 = (1 << 56) - 1
+#: Buckets of the word counts that order words by rarity: a fixed size, whatever the corpus. Words that share a bucket rank
+#: by their sum, so a vocabulary far larger than this blurs the order: more pairs are tested, the result is the same.
+BUCKETS = 1 << 18
+#: Up to so many rows a side of a join is broadcast; beyond, both sides are shuffled.
+SMALL = 200_000
+_BLANKS = "\\t\\r\\u000B\\u000C"
 
 
-def _rarity(docs: DataFrame) -> str:
-    """Class of each bucket of word hashes, 0 to 127 by the logarithm of its count over all lines, as a SQL array."""
-    words = docs.select(F.explode(F.split(F.translate(F.lower("_text"), "\t\r\n\v\f", "     "), " ")).alias("w")).select(F.expr(f"pmod(xxhash64(w), {BUCKETS})").alias("b"))
-    counts = {r.b: r.n for r in words.groupBy("b").agg(F.count("*").alias("n")).collect()}  # at most BUCKETS rows
-    ranks = (min(127, 4 * counts.get(b, 0).bit_length() + (counts.get(b, 0) >> max(0, counts.get(b, 0).bit_length() - 3) & 3)) for b in range(BUCKETS))
-    return "cast(split('" + ",".join(map(str, ranks)) + "', ',') as array<bigint>)"  # folded to a literal
+def _split(line: str) -> str:
+    """The words of a line, lower-cased, with empty ones between blanks in a row."""
+    odd = " or ".join(f"contains({line}, '{c}')" for c in ("\\t", "\\r", "\\u000B", "\\u000C"))
+    return f"split(if({odd}, translate(lower({line}), '{_BLANKS}', '    '), lower({line})), ' ')"
 
 
-def _words(line: str) -> str:
+def _hashes(line: str) -> str:
     """Hashes of the distinct words of a line."""
-    return f"array_distinct(transform(array_remove(split(translate(lower({line}), '\\t\\r\\u000B\\u000C', '    '), ' '), ''), w -> xxhash64(w)))"
+    return f"array_remove(array_distinct(transform({_split(line)}, w -> xxhash64(w))), xxhash64(''))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("_id", "_copy", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
 
 
+def _rarity(docs: DataFrame) -> Column:
+    """Class of each bucket of word hashes, 0 to 127 by the logarithm of its count over all lines: an array that folds to a literal."""
+    words = _lines(docs).select(F.explode(F.expr(_split("line"))).alias("w")).select(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("b"))
+    counts = words.groupBy("b").agg(F.count("*").alias("n"))
+    rank = F.least(F.lit(127), (F.log2("n") * 4).cast("int") + 1)
+    found = counts.agg(F.map_from_entries(F.collect_list(F.struct("b", rank.alias("r")))).alias("ranks")).first()["ranks"] or {}  # at most BUCKETS entries
+    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
+
+
 def _enough(nx: str, ny: str, both: str) -> str:
     """Jaccard >= 0.8, for an overlap ``both`` of sets of these sizes."""
     return f"9 * ({both}) >= 4 * ({nx} + {ny})"
 
 
-#: Up to so many words one 64-bit map holds a set, up to so many two do, by one bit of the hash, and beyond four.
-_ONE, _TWO = 48, 128
-_BIT = "shiftleft(1L, cast(shiftright(h, 20) & 63 as int))"
-_PICK = "aggregate(hs, 0L, (m, h) -> m | if({test}, " + _BIT + ", 0L))"
-_MAPS = (
-    f"case when n <= {_ONE} then aggregate(hs, 0L, (m, h) -> m | {_BIT}) when n <= {_TWO} then {_PICK.format(test='h & 1 = 0')} else {_PICK.format(test='h & 3 = 0')} end",
-    f"case when n <= {_ONE} then 0L when n <= {_TWO} then {_PICK.format(test='h & 1 = 1')} else {_PICK.format(test='h & 3 = 1')} end",
-    f"case when n <= {_TWO} then 0L else {_PICK.format(test='h & 3 = 2')} end",
-    f"case when n <= {_TWO} then 0L else {_PICK.format(test='h & 3 = 3')} end",
-)
-_ALONE = lambda x, y: " + ".join(f"bit_count({x}.m{k} & ~{y}.m{k})" for k in range(4))
-_FITS = (
-    f"5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and ((x.n <= {_ONE}) <> (y.n <= {_ONE}) or (x.n <= {_TWO}) <> (y.n <= {_TWO}) or "
-    + _enough("x.n", "y.n", f"least(x.n - ({_ALONE('x', 'y')}), y.n - ({_ALONE('y', 'x')}))")
-    + ")"
-)
+_MAP = "aggregate(hs, 0L, (m, h) -> m | if((h & 64) = {half}, shiftleft(1L, cast(h & 63 as int)), 0L))"
+_ALONE = lambda x, y: f"(bit_count({x}.m0 & ~{y}.m0) + bit_count({x}.m1 & ~{y}.m1))"
+_NEAR = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+_FITS = _enough("x.n", "y.n", f"least(x.n - {_ALONE('x', 'y')}, y.n - {_ALONE('y', 'x')})")
 _EARLIER = "(x.id < y.id or (x.id = y.id and (x.pos < y.pos or (x.pos = y.pos and x.cls < y.cls))))"
+_PLACE = ["_id", "_copy", "pos"]
+
+
+def _encoded(base: DataFrame) -> DataFrame:
+    """Each line with words: its place, class (two hashes of its set), size, maps, kin and prefix."""
+    ranks = _rarity(base)
+    hashed = _lines(base).withColumn("hs", F.expr(_hashes("line"))).withColumn("n", F.size("hs")).filter("n > 0")
+    code = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    shown = hashed.select(*_PLACE, "n", F.sort_array(F.transform("hs", code)).alias("toks"), F.expr(_MAP.format(half=0)).alias("m0"), F.expr(_MAP.format(half=64)).alias("m1"), F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
+    prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
+    return shown.select(*_PLACE, "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kin", prefix.alias("prefix"))
+
+
+def _classes(lines: DataFrame, order: Column) -> DataFrame:
+    """One row for each set of words: its first line, how many lines it has, and the place of a likely match if it has one."""
+    first = F.min(F.struct("_id", "pos", "_copy", "n", "m0", "m1", "kin", "prefix"))
+    classes = lines.groupBy("cls", "low").agg(first.alias("s"), F.count("*").alias("copies")).select("cls", "low", "copies", "s.*").withColumn("id", order)
+    heads = classes.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1", "_id", "_copy")).alias("s")).select("kin", "s.*")
+    fits = F.expr(f"{_EARLIER} and {_NEAR} and {_FITS}")
+    guess = F.when(fits, F.struct(F.col("x._id").alias("_id"), F.col("x._copy").alias("_copy"), F.col("x.pos").alias("pos")))
+    return classes.alias("y").join(heads.alias("x"), F.expr("x.kin = y.kin")).select("y.cls", "y.low", "y.copies", *(f"y.{c}" for c in _PLACE), "y.id", "y.n", "y.m0", "y.m1", "y.prefix", guess.alias("guess"))
+
+
+def _partners(asking: DataFrame, among: DataFrame, few: bool) -> DataFrame:
+    """``later, earlier, id, pos``: pairs of classes that may match, of which the later one is ``asking`` (column ask)."""
+    dealt = lambda df: df.select("cls", "id", "pos", "n", "m0", "m1", "ask", F.posexplode("prefix").alias("i", "tok"))
+    y, x = dealt(asking), dealt(among)
+    near = f"x.tok = y.tok and y.ask and {_EARLIER} and {_NEAR} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)") + f" and {_FITS}"
+    y = F.broadcast(y.filter("ask").alias("y")) if few else y.alias("y")
+    return x.alias("x").join(y, F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier"), "x.id", "x.pos").distinct()
+
+
+def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes as pairs of places: ``cls, low, y, x``."""
+    place = F.struct(*_PLACE)
+    y = classes.select(F.col("cls").alias("later"), "cls", "low", place.alias("y"))
+    x = classes.select(F.col("cls").alias("earlier"), place.alias("x"))
+    return pairs.select("later", "earlier").join(y, "later").join(x, "earlier").select("cls", "low", "y", "x")
+
+
+def _verified(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``cls, low`` of the pairs (cls, low, y, x: places) whose whole lines have Jaccard >= 0.8."""
+    wanted = pairs.select("y.*").unionByName(pairs.select("x.*")).distinct().groupBy(F.col("_id").alias("i"), F.col("_copy").alias("c")).agg(F.collect_set("pos").alias("wanted"))
+    wanted = keep(wanted)
+    if wanted.limit(SMALL + 1).count() <= SMALL:
+        wanted = F.broadcast(wanted)
+    docs = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_copy") == F.col("c")))
+    picked = "inline(transform(array(split(_text, '\\n', -1)), a -> transform(wanted, p -> named_struct('pos', p, 'line', a[p])))[0])"
+    lines = docs.select("_id", "_copy", F.expr(picked)).dropDuplicates(_PLACE)
+    sets = keep(lines.select(F.xxhash64("_id", "_copy", "pos").alias("at"), F.struct(*_PLACE).alias("place"), F.expr(_hashes("line")).alias("hs")))
+    end = lambda k: sets.select(F.col("at").alias(f"at_{k}"), F.col("place").alias(f"place_{k}"), F.col("hs").alias(f"hs_{k}"))
+    at = lambda k: F.xxhash64(f"{k}._id", f"{k}._copy", f"{k}.pos").alias(f"at_{k}")
+    both = pairs.select("cls", "low", "y", "x", at("y"), at("x"))
+    for k in ("y", "x"):
+        both = both.join(end(k), f"at_{k}").filter(F.col(k).eqNullSafe(F.col(f"place_{k}")))
+    return both.filter(_enough("size(hs_x)", "size(hs_y)", "size(array_intersect(hs_x, hs_y))")).select("cls", "low").distinct()
 
 
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,57 +127,34 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     need(docs, id_col, text_col)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_copy"))
-    rarity = _rarity(base)
-    hashed = _lines(base).withColumn("hs", F.expr(_words("line"))).withColumn("n", F.size("hs")).filter("n > 0")
-    coded = f"sort_array(transform(hs, h -> shiftleft(get({rarity}, cast(pmod(h, {BUCKETS}) as int)), 56) | (h & {_LOW56}L)))"
-    shown = hashed.select("_id", "_copy", "pos", "n", F.expr(coded).alias("toks"), *(F.expr(m).alias(f"m{k}") for k, m in enumerate(_MAPS)), F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
-    prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
-    lines = keep(shown.select("_id", "_copy", "pos", "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "m2", "m3", "kin", prefix.alias("prefix")))
-
-    first = F.min(F.struct("_id", "pos", "_copy", "n", "m0", "m1", "m2", "m3", "kin", "prefix"))
-    classes = keep(lines.groupBy("cls", "low").agg(first.alias("s")).select("cls", "low", "s.*"))
-    own = classes.select(F.col("cls").alias("c"), F.col("low").alias("l"), F.col("_id").alias("first_id"), F.col("_copy").alias("first_copy"), F.col("pos").alias("first_pos"))
-    same = F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("pos") == F.col("first_pos"))
-    copies = lines.select("_id", "_copy", "pos", "cls", "low").join(own, (F.col("cls") == F.col("c")) & (F.col("low") == F.col("l"))).filter(~same).select("_id", "_copy", "pos")
-
-    ranked = classes.withColumn("id", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))) if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    slim = ranked.select("cls", "id", "pos", "n", "m0", "m1", "m2", "m3", "kin")
-    heads = slim.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1", "m2", "m3")).alias("s"), F.count("*").alias("c")).filter("c > 1").select("kin", "s.*")
-    likely = keep(slim.alias("y").join(heads.alias("x"), F.expr(f"x.kin = y.kin and {_EARLIER} and {_FITS}")).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier")))
-
-    def partners(asking: DataFrame, few: bool = False) -> DataFrame:
-        rows = asking.select("cls", "id", "pos", "n", "m0", "m1", "m2", "m3", "ask", F.posexplode("prefix").alias("i", "tok"))
-        near = f"x.tok = y.tok and y.ask > least(x.i, 0) and {_EARLIER} and {_FITS} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)")  # ask: tested in the join, so that both sides are one exchange
-        askers = keep(rows.filter("ask = 1")) if few else rows
-        return keep(askers.alias("y").join(rows.alias("x"), F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier"), "x.id", "x.pos").distinct())
-
-    def asking(who: DataFrame, wanted: bool) -> DataFrame:
-        flag = who.select(F.col("later").alias("f")).distinct().withColumn("has", F.lit(1))
-        return ranked.join(flag, F.col("cls") == F.col("f"), "left").withColumn("ask", F.coalesce("has", F.lit(0)) if wanted else 1 - F.coalesce("has", F.lit(0)))
-
-    near = partners(asking(likely, False))
+    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    order = F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col("_id").cast("string"), F.lit(""))
+    lines = keep(_encoded(base))
+    classes = keep(_classes(lines, order))
+
+    asked = classes.withColumn("ask", F.col("guess").isNull())
+    near = keep(_partners(asked, asked, few=False))
     best = near.groupBy("later").agg(F.min(F.struct("id", "pos", "earlier"))["earlier"].alias("earlier"))
-    tried = likely.unionByName(best)
-    found = keep(_verified(base, classes, tried))
-    failed = keep(tried.join(found, "later", "left_anti").select("later"))
+    likely = classes.filter("guess is not null").select("cls", "low", F.struct(*_PLACE).alias("y"), F.col("guess").alias("x"))
+    tried = keep(likely.unionByName(_placed(best, classes)))
+    found = keep(_verified(base, tried))
+    failed = keep(tried.select("cls", "low").join(found, ["cls", "low"], "left_anti").distinct())
     if failed.limit(1).count():
-        again = partners(asking(likely.join(failed, "later", "left_semi"), True), few=True)
-        rest = near.join(failed, "later", "left_semi").unionByName(again).select("later", "earlier")
-        found = found.unionByName(_verified(base, classes, rest)).distinct()
-    matched = classes.join(found, F.col("cls") == F.col("later"), "left_semi").select("_id", "_copy", "pos")
-    return copies.unionByName(matched)
-
-
-def _verified(base: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``later`` of the pairs whose whole sets have Jaccard >= 0.8; sets are made from the lines, which are smaller on the way."""
-    asked = pairs.select(F.col("later").alias("cls")).unionByName(pairs.select(F.col("earlier").alias("cls"))).distinct()
-    where = classes.join(asked, "cls").groupBy(F.col("_id").alias("i"), F.col("_copy").alias("c")).agg(F.collect_list(F.struct("cls", "n", "pos")).alias("wanted"))
-    docs = base.join(where, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_copy") == F.col("c")))
-    picked = "transform(array(split(_text, '\\n', -1)), a -> transform(wanted, w -> named_struct('cls', w.cls, 'n', w.n, 'line', a[w.pos])))"
-    lines = docs.select(F.expr(f"inline({picked}[0])")).dropDuplicates(["cls"])
-    a, b = (lines.select(F.col("cls").alias(end), F.col("n").alias(f"n{k}"), F.col("line").alias(f"line{k}")) for end, k in (("later", "y"), ("earlier", "x")))
-    both = pairs.join(a, "later").join(b, "earlier")
-    return both.filter(_enough("nx", "ny", f"size(array_intersect({_words('linex')}, {_words('liney')}))")).select("later").distinct()
+        rest = _placed(near.join(failed.select(F.col("cls").alias("later")).distinct(), "later", "left_semi"), classes)
+        again = classes.filter("guess is not null").join(failed, ["cls", "low"], "left_semi").withColumn("ask", F.lit(True))
+        few = again.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+        if few:
+            rest = rest.unionByName(_placed(_partners(again, classes.withColumn("ask", F.lit(False)), few=few <= SMALL), classes))
+        more = keep(rest)
+        found = found.unionByName(keep(_verified(base, more))).distinct()
+        drop(more)
+
+    reps = classes.join(found.withColumn("matched", F.lit(True)), ["cls", "low"], "left").filter("matched or copies > 1").select("cls", "low", *(F.col(c).alias(f"first{c}") for c in _PLACE), "matched")
+    own = F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("pos") == F.col("firstpos"))
+    out = keep(lines.select(*_PLACE, "cls", "low").join(reps, ["cls", "low"]).filter(F.coalesce("matched", F.lit(False)) | ~own).select(*_PLACE))
+    for table in (lines, classes, near, tried):
+        drop(table)
+    return out
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,7 +163,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, ``n_lines``, ``n_removed`` and ``removed`` (positions from 0). Moves no text but that of candidates."""
+    """For each row its id, ``n_lines``, ``n_removed`` and ``removed`` (positions from 0).
+
+    Null texts have no lines; an empty text has one, which matches nothing. Repeated rows report alike. Empty tables: no rows.
+    """
     removed = _removed(docs, id_col, text_col)
     rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_copy"), F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).alias("n_lines"))
     rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
@@ -140,16 +174,16 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select(F.col(id_col), F.col("n_lines").cast("long"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def _without(lines: str) -> Column:
-    return F.expr(f"array_join(filter({lines}, (line, i) -> not array_contains(_removed_lines, i)), '\\n')")
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later matches removed from ``text_col``; every row stays (with an empty text if no line is left).
 
-    All columns are kept; ``n_chars``, if there is one, is left as it was. Rows without a removed line are unchanged.
+    All columns are kept, whatever their names; ``n_chars``, if there is one, is the new text's where lines went. Rows without
+    a removed line are unchanged, also those of null or empty texts. Repeated rows lose the same lines. Empty tables: no rows.
     """
-    removed = _removed(docs, id_col, text_col).select(F.col("_id").alias("_removed_id"), F.col("_copy").alias("_removed_copy"), F.col("removed").alias("_removed_lines"))
-    joined = docs.join(removed, docs[id_col].eqNullSafe(removed["_removed_id"]) & (F.xxhash64(docs[text_col]) == removed["_removed_copy"]), "left")
-    cleaned = F.when(F.col("_removed_lines").isNull(), docs[text_col]).otherwise(_without(f"split(`{text_col}`, '\\n', -1)"))
-    return joined.select(*(cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    an_id, copy, gone = fresh(docs, "_removed_id", "_removed_copy", "_removed_lines")
+    removed = _removed(docs, id_col, text_col).toDF(an_id, copy, gone)
+    joined = docs.join(removed, docs[id_col].eqNullSafe(removed[an_id]) & (F.xxhash64(docs[text_col]) == removed[copy]), "left")
+    left = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    new = F.when(F.col(gone).isNull(), docs[text_col]).otherwise(left)
+    size = lambda c: F.when(F.col(gone).isNull(), docs[c]).otherwise(F.char_length(left)).cast(docs.schema[c].dataType).alias(c)
+    return joined.select(*(new.alias(c) if c == text_col else size(c) if c == "n_chars" else docs[c] for c in docs.columns))
