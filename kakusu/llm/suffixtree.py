@@ -1,41 +1,43 @@
 """Language-model scores from a probabilistic suffix tree.
 
 A text is the stream of its words' bytes, lower-cased, a space between words and one end symbol (byte 10, which no word
-holds). The tree's states are variable-length contexts of preceding symbols, up to ``DEPTH``, which with the next symbol fill a
-64-bit number. A context is considered if it occurs ``LEAST`` times - a constant, so that the tree grows with the input - and it is
-retained if its next symbols diverge from those of its parent (the context without its oldest symbol): count times relative
-entropy in nats must exceed the number of its kinds of next symbols by two. Ancestors of retained contexts stay. Distributions are
-smoothed towards the parent's by the number of kinds seen (Witten-Bell). A text is scored along its longest suffix states.
-
-Training counts all symbols of all training rows: tasks count runs of DEPTH + 1 symbols in sorted arrays and deal them into buckets
-by the last CLOSE + 1 symbols of the context. All longer states of a bucket's runs are in that bucket, so each grows its part of the
-tree alone; only the levels up to CLOSE, whose number of contexts is bounded by 256 ** CLOSE, are handed to every task. The tree
-stays a table of buckets. For scores, documents are dealt into blocks; a block asks each bucket for its distinct runs.
-Word counts (for the base score) are never held whole anywhere either: each block asks for the counts of its distinct words, and
-the answers come back to the block.
+holds). The tree's states are variable-length contexts of preceding symbols, up to ``DEPTH``, which with the next symbol fit a
+64-bit number. A context is considered if it occurs ``LEAST`` times - a constant, so that the tree grows with the input. Contexts
+of up to ``CLOSE`` symbols are states; a longer one is retained if its next symbols diverge from those of its parent (the context
+without its oldest symbol): count times relative entropy in nats must exceed the number of its kinds of next symbols by two.
+Ancestors of retained contexts stay. Distributions are smoothed towards the parent's by the number of kinds seen (Witten-Bell).
+A text is scored along its longest suffix states.
+
+Texts are dealt into blocks of about ``BLOCK_BYTES``. A block sends its distinct runs of DEPTH + 1 symbols, with their counts in
+training rows, to buckets by the last CLOSE + 1 symbols of the context, and its distinct words to buckets by hash. All longer states
+of a bucket's runs are in that bucket, so each bucket grows its part of the tree alone and answers the blocks; only the levels up
+to CLOSE, at most 256 ** (CLOSE + 1) runs, are handed to every task. Nothing is held whole anywhere: not the tree, not the words.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, keep, need, word_hashes, words_of
+from .common import drop, fold_of, keep, need, word_hashes, words_of
 
-DEPTH = 7
+DEPTH = 6
 LEAST = 2
 CLOSE = 2
-BLOCK_ROWS = 600
-RUN_ROWS = 3000
-BUCKET_ROWS = 1000
+BLOCK_BYTES = 8 << 20
+#: The levels up to CLOSE are summed up in so many parts first.
+PARTS = 64
 _CHUNK = 3_000_000
 _END = b"\n"
 _U8 = np.uint64(8)
+_NO_KEYS, _NO_COUNTS = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
 
 
 def stream(words: list[bytes]) -> bytes:
@@ -53,12 +55,13 @@ def runs(symbols: bytes, depth: int) -> np.ndarray:
 
 
 def _tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often they come or the sums of their weights."""
     if weights is None:
         keys = np.sort(keys)
     else:
         order = np.argsort(keys, kind="stable")
         keys, weights = keys[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else _NO_COUNTS
     counts = np.diff(np.append(first, len(keys))) if weights is None else (np.add.reduceat(weights, first) if len(first) else weights)
     return keys[first], counts.astype(np.int64)
 
@@ -80,59 +83,22 @@ def _low(k: int) -> np.uint64:
     return np.uint64((1 << (8 * k)) - 1)
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket that has some of the runs ``keys``, and where these are, in their order."""
-    spread = ((keys >> _U8) & _low(CLOSE + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+def _dealt(spread: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that gets some of the numbers, and where these are, in their order."""
+    bucket = (((spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(ends)):
-        yield int(k), order[ends[k] : ends[k + 1]]
-
-
-def _count_runs(depth: int, buckets: int):
-    close = min(CLOSE, depth)
-
-    def out(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        k, c = _tally(keys & _low(close + 1), counts)
-        rows = [(-1, _squeeze(k, True), _squeeze(c))]
-        rows += [(b, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt(keys, buckets)] if depth > close else []
-        return pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        parts: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for text in batch["text"]:
-                parts.append(runs(_END * depth + stream(words_of(text)), depth))
-                held += len(parts[-1])
-                if held >= _CHUNK:
-                    k, c = _tally(np.concatenate(parts))
-                    keys, counts = _tally(np.concatenate([keys, k]), np.concatenate([counts, c]))
-                    parts, held = [], 0
-                    if len(keys) > 4_000_000:
-                        yield out(keys, counts)
-                        keys, counts = keys[:0], counts[:0]
-        if parts:
-            k, c = _tally(np.concatenate(parts))
-            keys, counts = _tally(np.concatenate([keys, k]), np.concatenate([counts, c]))
-        if len(keys):
-            yield out(keys, counts)
-
-    return run
-
-
-def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = _tally(np.concatenate([_loosen(k, np.uint64, True) for k in pdf["keys"]]), np.concatenate([_loosen(c, np.int64) for c in pdf["counts"]]))
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "keys": [_squeeze(keys, True)], "counts": [_squeeze(counts)]})
+    ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+    start = 0
+    for end in ends:
+        yield int(bucket[order[start]]), order[start:end]
+        start = end
 
 
 class Levels:
-    """Counts, smoothed probabilities and divergence of the contexts of ``low`` to ``high`` symbols of some runs."""
+    """States of ``low`` to ``high`` symbols among the runs ``keys``; the shorter ones are in ``above``."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, least: float, above: Levels | None = None):
-        self.low, self.high, self.at = low, high, {}
+        self.low, self.high, self.above, self.at = low, high, above, {}
         for k in range(high, low - 1, -1):
             run, n = _tally(keys & _low(k + 1), counts)
             context, kinds = _tally(run >> _U8)
@@ -147,231 +113,197 @@ class Levels:
             x["p"] = (x["n"] + kinds * pp) / (c + kinds)
             first = np.cumsum(x["kinds"]) - x["kinds"]
             gain = np.add.reduceat(x["n"] * np.log(x["n"] / c / pp), first) if len(first) else np.empty(0)
-            x["good"] = (gain > x["kinds"] + 2) | (k == 0)
-
-    def tree(self, kept: np.ndarray) -> tuple[list[tuple[int, bool, bytes, bytes]], np.ndarray]:
-        """Retained states as packed arrays (edge: what follows; else what is left to the parent), and the parents of the shortest.
-
-        ``kept``: contexts of ``high`` symbols that longer ones retain.
-        """
-        out = []
-        for k in range(self.high, self.low - 1, -1):
+            x["good"] = (gain > x["kinds"] + 2) if above else np.ones(len(x["c"]), dtype=bool)
+        kept = _NO_KEYS
+        for k in range(high, low - 1, -1):
             x = self.at[k]
             good = x["good"] | np.isin(x["context"], kept)
             rows = np.repeat(good, x["kinds"])
-            out.append((k, True, _squeeze(x["run"][rows], True), _squeeze(np.log10(x["p"][rows]).astype(np.float32))))
-            out.append((k, False, _squeeze(x["context"][good], True), _squeeze(np.log10((x["kinds"] / (x["c"] + x["kinds"]))[good]).astype(np.float32))))
-            kept = _tally(x["context"][good] & _low(max(0, k - 1)))[0]
-        return out, kept
-
+            x["edge"], x["log"] = x["run"][rows], np.log10(x["p"][rows])
+            x["state"], x["rest"] = x["context"][good], np.log10((x["kinds"] / (x["c"] + x["kinds"]))[good])
+            kept = _tally(x["state"] & _low(max(0, k - 1)))[0]
+
+    def walk(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the low symbol of each run after the others, by its longest suffix state."""
+        out, left = np.zeros(len(keys)), np.arange(len(keys))
+        level: Levels | None = self
+        for k in range(self.high, -1, -1):
+            level = level.above if level is not None and k < level.low else level
+            if level is None or not len(left):
+                break
+            x, some = level.at[k], keys[left] & _low(k + 1)
+            found, at = _find(x["edge"], some)
+            out[left[found]] += x["log"][at[found]]
+            left, some = left[~found], some[~found]
+            known, at = _find(x["state"], some >> _U8)
+            out[left[known]] += x["rest"][at[known]]  # no state: its suffix decides alone
+        out[left] += np.log10(1 / 256)
+        return out
 
-_PACKED = "bucket long, level int, edge boolean, keys binary, logp binary"
 
+def _find(where: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the ascending array, and at which place."""
+    at = np.searchsorted(where, keys)
+    found = at < len(where)
+    found[found] = where[at[found]] == keys[found]
+    return found, at
 
-def grow(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST, buckets: int = 16) -> DataFrame:
-    """The tree as packed rows: ``bucket, level, edge, keys, logp`` (log10); bucket -1 has the levels up to CLOSE.
 
-    Keys of edges are runs as in :func:`runs` (context and next symbol), of the others contexts: what they leave to the parent.
-    """
-    close = min(CLOSE, depth)
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(_count_runs(depth, buckets), "bucket long, keys binary, counts binary")
-    counted = keep(counted.groupBy("bucket").applyInPandas(_add_up, "bucket long, keys binary, counts binary"))
-    top = counted.filter("bucket = -1").first()  # at most 256 ** (CLOSE + 1) runs
-    if top is None:
-        return docs.sparkSession.createDataFrame([], _PACKED)
-    short = Levels(_loosen(top["keys"], np.uint64, True), _loosen(top["counts"], np.int64), 0, close, least)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(short)
-
-    def longer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(n_blocks: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for equal rows of a batch: how often it is there, its block, its packed stream of words."""
         for batch in batches:
-            for bucket, keys, counts in zip(batch["bucket"], batch["keys"], batch["counts"]):
-                part = Levels(_loosen(keys, np.uint64, True), _loosen(counts, np.int64), close + 1, depth, least, shared.value)
-                rows, kept = part.tree(np.empty(0, dtype=np.uint64))
-                rows.append((-1, False, _squeeze(kept, True), b""))
-                yield pd.DataFrame([(bucket, *r) for r in rows], columns=["bucket", "level", "edge", "keys", "logp"])
-
-    dealt = keep(counted.filter("bucket >= 0").mapInPandas(longer, _PACKED))
-    kept = [_loosen(r["keys"], np.uint64, True) for r in dealt.filter("level = -1").select("keys").toLocalIterator()]  # each one of at most 256 ** CLOSE
-    rows, _ = short.tree(np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *kept])))
-    return dealt.filter("level >= 0").unionByName(spark.createDataFrame([(-1, *r) for r in rows], _PACKED))
-
-
-_FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-class Table:
-    """Numbers to values: open addressing in arrays, so that many are looked up at once. No key has all bits set."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
-        self.keys, self.values = np.full(1 << bits, _FREE, dtype=np.uint64), np.zeros(1 << bits, dtype=np.float32)
-        left, at = np.arange(len(keys)), self._slot(keys)
-        self.probes = 0
-        while len(left):
-            self.probes += 1
-            free = np.flatnonzero(self.keys[at[left]] == _FREE)
-            _, first = np.unique(at[left[free]], return_index=True)
-            put = left[free[first]]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            done = np.zeros(len(keys), dtype=bool)
-            done[put] = True
-            left = left[~done[left]]
-            at[left] = (at[left] + np.uint64(1)) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Found or not, and the values (0 if not)."""
-        at = self._slot(keys)
-        held = self.keys[at]
-        found = held == keys
-        value = np.where(found, self.values[at], np.float32(0))
-        left = np.flatnonzero(~found & (held != _FREE))
-        at = at[left]
-        for _ in range(self.probes - 1):
-            if not len(left):
-                break
-            at = (at + np.uint64(1)) & self.mask
-            held = self.keys[at]
-            hit = held == keys[left]
-            found[left[hit]], value[left[hit]] = True, self.values[at[hit]]
-            more = ~hit & (held != _FREE)
-            left, at = left[more], at[more]
-        return found, value
-
-
-def _plain(level: int, edge: bool, keys: bytes, logp: bytes) -> tuple[int, bool, bytes, bytes]:
-    return level, edge, _loosen(keys, np.uint64, True).tobytes(), _loosen(logp, np.float32).tobytes()
-
-
-def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of :func:`grow` as the plain arrays that :class:`Tree` takes."""
-    columns = ["level", "edge", "keys", "logp"]
-    for batch in batches:
-        yield pd.DataFrame([_plain(*r) for r in batch[columns].itertuples(index=False)], columns=columns)
-
-
-class Tree:
-    def __init__(self, parts: list[tuple[int, bool, bytes, bytes]], depth: int):
-        self.depth = depth
-        join = lambda k, edge, at, kind: np.frombuffer(b"".join(p[at] for p in parts if p[0] == k and p[1] == edge), dtype=kind)
-        self.edges, self.rest = ([Table(join(k, edge, 2, np.uint64), join(k, edge, 3, np.float32)) for k in range(depth + 1)] for edge in (True, False))
-
-    def score(self, runs_: np.ndarray) -> np.ndarray:
-        """log10 probability of the low symbol of each run after the others."""
-        return self.walk(runs_)
-
-    def walk(self, runs_: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(runs_))
-        left = np.arange(len(runs_))
-        for k in range(self.depth, -1, -1):
-            if not len(left):
-                return out
-            some = runs_[left] & np.uint64((1 << (8 * (k + 1))) - 1)
-            found, value = self.edges[k].get(some)
-            out[left[found]] += value[found]
-            left, some = left[~found], some[~found]
-            out[left] += self.rest[k].get(some >> _U8)[1]  # 0 where the context is no state: its suffix decides alone
-        out[left] += np.log10(1 / 256)
-        return out
+            rows = Counter(zip(batch["doc_id"], batch["held_out"], batch["text"]))
+            out = []
+            for (doc_id, held_out, text), times in rows.items():
+                raw = text.encode("utf-8", "surrogatepass")
+                block = xxhash.xxh3_64_intdigest(f"{doc_id} ".encode() + raw) % n_blocks
+                out.append((doc_id, held_out, times, block, zlib.compress(b" ".join(words_of(text)), 1)))
+            yield pd.DataFrame(out, columns=["doc_id", "held_out", "times", "block", "words"])
 
+    return run
+
+
+def _words(packed: bytes) -> list[bytes]:
+    raw = zlib.decompress(packed)
+    return raw.split(b" ") if raw else []
+
+
+def _counted(parts: Iterator[tuple[bool, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts (held out or not, times, keys), and their counts in training parts."""
+    keys, counts = _NO_KEYS, _NO_COUNTS
+    held: list[tuple[np.ndarray, int]] = []
+
+    def add() -> tuple[np.ndarray, np.ndarray]:
+        all_, n = [keys], [counts]
+        for times in {t for _, t in held}:
+            k, c = _tally(np.concatenate([x for x, t in held if t == times]))
+            all_.append(k)
+            n.append(c * times)
+        return _tally(np.concatenate(all_), np.concatenate(n))
+
+    size = 0
+    for held_out, times, some in parts:
+        held.append((some, 0 if held_out else times))
+        size += len(some)
+        if size >= _CHUNK:
+            keys, counts = add()
+            held, size = [], 0
+    return add() if held else (keys, counts)
+
+
+_ASKED = "kind int, bucket long, block long, keys binary, counts binary"
+_WORD, _RUN, _TOP, _TOTAL = range(4)
+
+
+def _ask(depth: int, close: int, buckets: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What a block asks: its distinct words and runs, with counts in training rows; and its counts of short runs."""
+        words = [_words(p) for p in pdf["words"]]
+        block = pdf["block"].iloc[0]
+        deal = list(zip(pdf["held_out"], pdf["times"], words))
+        out = []
+        keys, counts = _counted((h, t, word_hashes(w)) for h, t, w in deal)
+        out += [(_WORD, b, block, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt(keys, buckets)]
+        keys, counts = _counted((h, t, runs(_END * depth + stream(w), depth)) for h, t, w in deal)
+        out += [(_RUN, b, block, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt((keys >> _U8) & _low(close + 1), buckets)]
+        known = counts > 0
+        k, c = _tally(keys[known] & _low(close + 1), counts[known])
+        out.append((_TOP, block % PARTS, block, _squeeze(k, True), _squeeze(c)))
+        return pd.DataFrame(out, columns=["kind", "bucket", "block", "keys", "counts"])
+
+    return run
 
-def _distinct(texts: list[bytes], depth: int) -> np.ndarray:
-    """The distinct runs of whole streams, ascending."""
-    out, parts, held = np.empty(0, dtype=np.uint64), [], 0
-    for text in texts:
-        parts.append(runs(_END * depth + text, depth))
-        held += len(parts[-1])
-        if held >= _CHUNK:
-            out, parts, held = _tally(np.concatenate([out, *parts]))[0], [], 0
-    return _tally(np.concatenate([out, *parts]))[0]
-
-
-def _tree_scores(rows: DataFrame, model: DataFrame, depth: int, buckets: int, n_blocks: int) -> DataFrame:
-    """``a, b, score`` of the distinct ``a, b`` (hashes of id and text, of text) among ``rows`` (a, b, text)."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast([_plain(*r) for r in model.filter("bucket = -1").drop("bucket").collect()])  # levels up to CLOSE
-    blocked = rows.select("a", "b", "text", F.pmod("a", F.lit(n_blocks)).alias("block"))
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = _distinct([stream(words_of(t)) for t in pdf["text"]], depth)
-        return pd.DataFrame([(pdf["block"].iloc[0], b, _squeeze(keys[at], True)) for b, at in _dealt(keys, buckets)], columns=["block", "bucket", "keys"])
-
-    def look_up(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"at": [], "bucket": [], "logp": []})
-        tree = Tree(shared.value + [_plain(*r) for r in states[["level", "edge", "keys", "logp"]].itertuples(index=False)], depth)
-        logp = [_squeeze(tree.score(_loosen(k, np.uint64, True)).astype(np.float32)) for k in pdf["keys"]]
-        return pd.DataFrame({"at": pdf["block"], "bucket": pdf["bucket"], "logp": logp})
-
-    def add_up(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["a", "b"])
-        streams = [stream(words_of(t)) for t in pdf["text"]]
-        keys = _distinct(streams, depth)
-        logp, given = np.empty(len(keys)), dict(zip(answers["bucket"], answers["logp"]))
-        for bucket, at in _dealt(keys, buckets):
-            logp[at] = _loosen(given[bucket], np.float32)
-        sums = [float(logp[np.searchsorted(keys, np.sort(runs(_END * depth + s, depth)))].sum()) for s in streams]  # sorted: near one another in memory
-        return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": sums})
-
-    asked = blocked.groupBy("block").applyInPandas(ask, "block long, bucket long, keys binary")
-    states = model.filter("bucket >= 0")
-    answers = asked.groupBy("bucket").cogroup(states.groupBy("bucket")).applyInPandas(look_up, "at long, bucket long, logp binary")
-    return keep(blocked.groupBy("block").cogroup(answers.groupBy("at")).applyInPandas(add_up, "a long, b long, score double"))
-
-
-def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct words of one block and how often its training rows have them."""
-    train, other = [], []
-    for text, held in zip(pdf["text"], pdf["held_out"]):
-        (other if held else train).append(word_hashes(words_of(text)))
-    keys, counts = _tally(np.concatenate([np.empty(0, dtype=np.uint64), *train]))
-    rest = np.setdiff1d(np.concatenate([np.empty(0, dtype=np.uint64), *other]), keys)
-    return pd.DataFrame({"block": pdf["block"].iloc[0], "word": np.concatenate([keys, rest]).view(np.int64), "n": np.concatenate([counts, np.zeros(len(rest), dtype=np.int64)])})
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = DEPTH, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+
+def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    each = [_loosen(k, np.uint64, True) for k in pdf["keys"]]
+    return *_tally(np.concatenate([_NO_KEYS, *each]), np.concatenate([_NO_COUNTS, *(_loosen(c, np.int64) for c in pdf["counts"])])), each
+
+
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, counts, _ = _summed(pdf)
+    return pd.DataFrame({"bucket": [0], "keys": [_squeeze(keys, True)], "counts": [_squeeze(counts)]})
+
+
+def short_levels(asked: DataFrame, close: int, least: float) -> Levels:
+    """The levels up to ``close``: at most 256 ** (close + 1) runs come to the driver."""
+    added = asked.filter(F.col("kind") == _TOP).select("bucket", "keys", "counts").groupBy("bucket").applyInPandas(_add_up, "bucket long, keys binary, counts binary")
+    row = added.groupBy("bucket").applyInPandas(_add_up, "bucket long, keys binary, counts binary").first()
+    if row is None:
+        return Levels(_NO_KEYS, _NO_COUNTS, 0, close, least)
+    return Levels(_loosen(row["keys"], np.uint64, True), _loosen(row["counts"], np.int64), 0, close, least)
+
+
+def _answer(depth: int, close: int, least: float, short):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's answers to the blocks: counts of words, or log10 probabilities of runs by its part of the tree."""
+        keys, counts, each = _summed(pdf)
+        known = counts > 0
+        if key[0] == _WORD:
+            values, total = counts, [(_TOTAL, key[1], -1, _squeeze(np.array([counts.sum(), known.sum()])))]
+        else:
+            tree = Levels(keys[known], counts[known], close + 1, depth, least, short.value)
+            values, total = tree.walk(keys).astype(np.float32), []
+        out = [(key[0], key[1], block, _squeeze(values[np.searchsorted(keys, some)])) for block, some in zip(pdf["block"], each)]
+        return pd.DataFrame(out + total, columns=["kind", "bucket", "block", "found"])
+
+    return run
+
+
+def _score(depth: int, close: int, buckets: int):
+    def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """Sums over each text of a block; the answers are in the order in which the block asked."""
+        if pdf.empty:
+            return pd.DataFrame([], columns=["doc_id", "held_out", "times", "n_tokens", "n_known", "logs", "score"])
+        words = [_words(p) for p in pdf["words"]]
+        given = {(k, b): f for k, b, f in zip(answers["kind"], answers["bucket"], answers["found"])}
+
+        def asked(kind: int, parts, spread, type_) -> tuple[np.ndarray, np.ndarray]:
+            keys = _counted((True, 1, p) for p in parts)[0]
+            values = np.empty(len(keys), dtype=type_)
+            for bucket, at in _dealt(spread(keys), buckets):
+                values[at] = _loosen(given[kind, bucket], type_)
+            return keys, values
+
+        known, counts = asked(_WORD, map(word_hashes, words), lambda k: k, np.int64)
+        base = []
+        for w in words:
+            c = counts[np.searchsorted(known, word_hashes(w))] if w else _NO_COUNTS
+            base.append((len(w) + 1, int((c > 0).sum()), float(np.log10(c + 0.1).sum())))
+        edges, logp = asked(_RUN, (runs(_END * depth + stream(w), depth) for w in words), lambda k: (k >> _U8) & _low(close + 1), np.float32)
+        sums = [float(logp[np.searchsorted(edges, np.sort(runs(_END * depth + stream(w), depth)))].sum(dtype=np.float64)) for w in words]  # sorted: near one another in memory
+        out = [(d, h, t, *b, s) for d, h, t, b, s in zip(pdf["doc_id"], pdf["held_out"], pdf["times"], base, sums)]
+        return pd.DataFrame(out, columns=["doc_id", "held_out", "times", "n_tokens", "n_known", "logs", "score"])
+
+    return run
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = DEPTH, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     Tokens are words and one end. ``base_score`` is the add-0.1 unigram score with counts over the rows outside fold 0.
     A null text is empty: one end token. Repeated rows count each and score alike. Without training rows the tree knows
-    nothing and every symbol has probability 1/256. Empty tables: no rows.
+    nothing and every symbol has probability 1/256. Texts of any length are scored as a whole. Empty tables: no rows.
     """
     need(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold_of(F.col(id_col), folds) == 0).alias("held_out"))
-    rows = rows.withColumns({"a": F.xxhash64("doc_id", "text"), "b": F.xxhash64("text")})
-    n_rows = docs.count()
-    n_blocks, buckets = max(1, -(-n_rows // block_rows)), max(1, -(-n_rows // BUCKET_ROWS))
-    model = grow(rows.filter(~F.col("held_out")), "text", depth, least, buckets)
-    tree_scores = _tree_scores(rows, model, depth, buckets, max(1, -(-n_rows // RUN_ROWS)))
-    blocked = rows.withColumn("block", F.pmod("a", F.lit(n_blocks)))
-
-    asked = blocked.groupBy("block").applyInPandas(_ask, "block long, word long, n long")
-    train_rows = rows.filter(~F.col("held_out")).agg(F.count("*").alias("ends"))
-    answers = asked.select("block", "word", "n", F.expr("sum(n) over (partition by word)").alias("c"), F.expr("row_number() over (partition by word order by block)").alias("k"))
-    answers = answers.select(F.col("block").alias("at"), "word", "n", "c", ((F.col("k") == 1) & (F.col("c") > 0)).cast("long").alias("kind"))
-
-    def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["word"].to_numpy().view(np.uint64))
-        words_, counts_ = known["word"].to_numpy().view(np.uint64)[order], known["c"].to_numpy()[order]
-        sums = []
-        for words in map(words_of, pdf["text"]):
-            c = counts_[np.searchsorted(words_, word_hashes(words))] if words else np.empty(0)
-            sums.append((len(words) + 1, int((c > 0).sum()), float(np.log10(c + 0.1).sum())))
-        out = [(d, h, *some, a, b, 0, 0) for d, h, some, a, b in zip(pdf["doc_id"], pdf["held_out"], sums, pdf["a"], pdf["b"])]
-        if out:  # what the block's words add to the totals, with its first row
-            out[0] = (*out[0][:7], int(known["n"].sum()), int(known["kind"].sum()))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "logs", "a", "b", "words", "kinds"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    scored = cut(blocked.groupBy("block").cogroup(answers.groupBy("at")).applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, a long, b long, words long, kinds long"))
-    totals = scored.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
-    one = totals.withColumn("k", F.lit(1)).join(train_rows.withColumn("k", F.lit(1)), "k")  # a single row
-    both = scored.drop("words", "kinds").join(tree_scores, ["a", "b"]).withColumn("k", F.lit(1)).join(F.broadcast(one), "k")
-    end_known = F.when(F.col("ends") > 0, 1).otherwise(0)
-    tokens, kinds = F.col("words") + F.col("ends"), F.col("kinds") + end_known
-    base = F.col("logs") + F.log10(F.col("ends") + 0.1) - F.col("n_tokens") * F.log10(tokens + 0.1 * (kinds + 1))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + end_known).cast("long").alias("n_known"), tokens.cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    close = min(CLOSE, depth)
+    held_out = fold_of(F.col(id_col), folds) == 0
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
+    n = max(1, -(-whole["bytes"] // block_bytes))
+    packed = keep(rows.mapInPandas(_pack(n), "doc_id string, held_out boolean, times long, block long, words binary"))
+    asked = keep(packed.groupBy("block").applyInPandas(_ask(depth, close, n), _ASKED))
+    short = docs.sparkSession.sparkContext.broadcast(short_levels(asked, close, least))
+    answers = keep(asked.filter(F.col("kind") < _TOP).groupBy("kind", "bucket").applyInPandas(_answer(depth, close, least, short), "kind int, bucket long, block long, found binary"))
+    drop(asked)
+    totals = [_loosen(r["found"], np.int64) for r in answers.filter(F.col("kind") == _TOTAL).select("found").toLocalIterator()]  # two numbers for each bucket
+    tokens, kinds = (int(sum(int(t[i]) for t in totals)) for i in (0, 1))
+    tokens, kinds = tokens + whole["ends"], kinds + int(whole["ends"] > 0)
+    found = answers.filter(F.col("kind") < _TOP).withColumnRenamed("block", "at")
+    scored = keep(packed.groupBy("block").cogroup(found.groupBy("at")).applyInPandas(_score(depth, close, n), "doc_id string, held_out boolean, times long, n_tokens long, n_known long, logs double, score double"))
+    drop(answers)
+    drop(packed)
+    base = F.col("logs") + F.log10(F.lit(whole["ends"] + 0.1)) - F.col("n_tokens") * F.log10(F.lit(tokens + 0.1 * (kinds + 1)))
+    every = scored.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    n_known = (F.col("n_known") + int(whole["ends"] > 0)).cast("long")
+    return every.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "n_tokens", n_known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -96,34 +96,71 @@ def test_scores(spark, docs):
     assert held.score.sum() > held.base_score.sum() and (got.score < 0).all()
 
 
-def test_tree_is_a_distribution(spark):
-    docs = spark.createDataFrame([(i, "abra cadabra abracadabra " * 20) for i in range(3)], "doc_id long, text string")
-    parts = [tuple(r) for r in suffixtree.grow(docs, depth=3, least=0.0).coalesce(1).mapInPandas(suffixtree.pack, "level int, edge boolean, keys binary, logp binary").collect()]
-    tree = suffixtree.Tree(parts, 3)
-    for context in (b"abr", b"a c", b"zzz", b"\n\n\n"):
+def brute_tree(train, depth, least, close):
+    """Score of a text by dictionaries of contexts, straight from the definition."""
+    after = {}
+    for t in train:
+        symbols = b"\n" * depth + suffixtree.stream(words_of(t))
+        for i in range(depth, len(symbols)):
+            for k in range(depth + 1):
+                after.setdefault(symbols[i - k : i], Counter())[symbols[i]] += 1
+    after = {c: n for c, n in after.items() if not c or sum(n.values()) >= least}
+
+    def p(context, symbol):
+        n, up = after[context], p(context[1:], symbol) if context else 1 / 256
+        return (n[symbol] + len(n) * up) / (sum(n.values()) + len(n))
+
+    states = set()
+    for c, n in after.items():
+        total = sum(n.values())
+        if len(c) <= close or sum(k * math.log(k / total / p(c[1:], s)) for s, k in n.items()) > len(n) + 2:
+            states |= {c[i:] for i in range(len(c) + 1)}
+
+    def log(context, symbol):
+        if context not in states:
+            return log(context[1:], symbol) if context else math.log10(1 / 256)
+        n = after[context]
+        if n[symbol]:
+            return math.log10(p(context, symbol))
+        rest = math.log10(len(n) / (sum(n.values()) + len(n)))
+        return rest + (log(context[1:], symbol) if context else math.log10(1 / 256))
+
+    def score(text):
+        symbols = b"\n" * depth + suffixtree.stream(words_of(text))
+        return sum(log(symbols[i - depth : i], symbols[i]) for i in range(depth, len(symbols)))
+
+    return score
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 700])
+def test_scores_as_by_definition(spark, block_bytes):
+    rng = np.random.default_rng(4)
+    words = ["abra", "cadabra", "été", "the", "thesis", "\u65e5\u672c", "x"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 40)))) for _ in range(60)] + ["", None, "only here quixotry", "the " * 3000]
+    rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 5 + [(3, "another text")]
+    got = suffixtree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes).collect()
+    assert len(got) == len(rows)
+    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10
+    score = brute_tree([t or "" for d, t in rows if fold(d)], suffixtree.DEPTH, suffixtree.LEAST, suffixtree.CLOSE)
+    key = lambda r: (str(r[0]), round(r[1], 2))
+    assert np.allclose(*([x[1] for x in sorted(v, key=key)] for v in ([(r.doc_id, r.score) for r in got], [(d, score(t or "")) for d, t in rows])), rtol=1e-5)
+
+
+def test_tree_is_a_distribution():
+    keys, counts = suffixtree._tally(suffixtree.runs(b"\n" * 4 + b"abra cadabra abracadabra " * 20, 4))
+    short = suffixtree.Levels(*suffixtree._tally(keys & suffixtree._low(3), counts), 0, 2, 2)
+    tree = suffixtree.Levels(keys, counts, 3, 4, 2, short)
+    for context in (b"abra", b"ra c", b"zzzz", b"\n\n\n\n"):
         runs = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], dtype=np.uint64)
-        assert math.isclose((10 ** tree.score(runs)).sum(), 1, rel_tol=1e-4)
-    assert 10 ** tree.score(np.array([int.from_bytes(b"abra"[:3] + b"a", "big")], dtype=np.uint64))[0] > 0.5
+        assert math.isclose((10 ** tree.walk(runs)).sum(), 1, rel_tol=1e-4)
 
 
 def test_rare_contexts_stay_in_a_large_corpus(spark):
     words = "concat_ws(' ', transform(sequence(1, 4000), i -> substr(md5(concat(id, '-', i)), 1, 4)))"
-    filler = spark.range(320).selectExpr(words + " as text")  # over 6 million symbols
-    docs = filler.union(spark.createDataFrame([("quixotry",)] * 4, "text string")).repartition(4)
-    parts = [tuple(r) for r in suffixtree.grow(docs).coalesce(1).mapInPandas(suffixtree.pack, "level int, edge boolean, keys binary, logp binary").collect()]
-    run = np.array([int.from_bytes(b"quixotry", "big")], dtype=np.uint64)
-    assert 10 ** suffixtree.Tree(parts, suffixtree.DEPTH).score(run)[0] > 0.7
-
-
-def test_buckets_and_blocks_do_not_change_scores(spark, docs, monkeypatch):
-    train = docs.filter("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 <> 0")
-    parts = [tuple(r) for r in suffixtree.grow(train, buckets=1).coalesce(1).mapInPandas(suffixtree.pack, "level int, edge boolean, keys binary, logp binary").collect()]
-    tree, depth = suffixtree.Tree(parts, suffixtree.DEPTH), suffixtree.DEPTH
-    monkeypatch.setattr(suffixtree, "RUN_ROWS", 40)
-    monkeypatch.setattr(suffixtree, "BUCKET_ROWS", 20)
-    got = sorted(r.score for r in suffixtree.score_documents(docs).collect())
-    want = sorted(tree.score(suffixtree.runs(b"\n" * depth + suffixtree.stream(words_of(r.text)), depth)).sum() for r in docs.select("text").collect())
-    assert np.allclose(got, want, rtol=1e-4)
+    filler = spark.range(320).selectExpr("id as doc_id", words + " as text")  # over 6 million symbols
+    few = spark.createDataFrame([(1000 + i, "quixotry") for i in range(8)], "doc_id long, text string")
+    got = suffixtree.score_documents(filler.union(few)).filter("doc_id >= 1000").collect()
+    assert len(got) == 8 and all(r.score > -7 for r in got)
 
 
 def test_scores_of_nothing(spark):
