@@ -48,7 +48,8 @@ _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder now and goes on from the files: a lost executor re-reads them. For small data."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 _WRITTEN: dict[str, SparkSession] = {}

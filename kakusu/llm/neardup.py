@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep, mix, need, shingle_hashes, words_of
+from .common import cut, drop, fresh, keep, mix, need, shingle_hashes, words_of
 from .graph import components
 
 BANDS, ROWS = 10, 3
@@ -65,14 +65,9 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(out).view(np.int64)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def digest(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two longs."""
-    d = xxhash.xxh3_128_intdigest(shingles.tobytes())
-    return _signed(d >> 64), _signed(d & ((1 << 64) - 1))
+def digest(shingles: np.ndarray) -> bytes:
+    """128 bits of a set: what names a node of the graph."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def _signatures(k: int, m: int, r: int):
@@ -80,14 +75,14 @@ def _signatures(k: int, m: int, r: int):
         hashers = _hashers(2 * m * r)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, copy, text in zip(batch["doc_id"], batch["copy"], batch["text"]):
                 s = shingle_hashes(words_of(text), k)
                 if len(s):
                     sig = bands(signature(s, hashers), r)
-                    rows.append((doc_id, len(s), *digest(s), sig[:m], sig[m:], bitmap(s)))
+                    rows.append((doc_id, copy, len(s), digest(s), sig[:m], sig[m:], bitmap(s)))
                 else:
-                    rows.append((doc_id, 0, 0, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "low", "a", "b", "bits"]).astype({"doc_id": "Int64"})
+                    rows.append((doc_id, copy, 0, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "copy", "n_shingles", "node", "a", "b", "bits"])
 
     return run
 
@@ -95,7 +90,7 @@ def _signatures(k: int, m: int, r: int):
 def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(digest(s)[0], s.view(np.int64)) for s in (shingle_hashes(words_of(t), k) for t in batch["text"]) if len(s)]
+            rows = [(digest(s), s.view(np.int64)) for s in (shingle_hashes(words_of(t), k) for t in batch["text"]) if len(s)]
             yield pd.DataFrame(rows, columns=["node", "shingles"])
 
     return run
@@ -105,16 +100,16 @@ def _verify(percent: int):
     def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         """Links of one task, contracted: each node of a local component with its least node."""
         held = dict(zip(sets["node"], sets["shingles"]))
-        made: dict[int, set] = {}
-        up: dict[int, int] = {}
+        made: dict[bytes, set] = {}
+        up: dict[bytes, bytes] = {}
 
-        def top(x: int) -> int:
+        def top(x: bytes) -> bytes:
             while up.setdefault(x, x) != x:
                 up[x] = up[up[x]]
                 x = up[x]
             return x
 
-        def get(x: int) -> set:
+        def get(x: bytes) -> set:
             if x not in made:
                 made[x] = set(held[x].tolist())
             return made[x]
@@ -127,7 +122,7 @@ def _verify(percent: int):
             if 100 * both >= percent * (len(get(a)) + len(get(b)) - both):
                 up[max(x, y)] = min(x, y)
         out = [(x, top(x)) for x in up if top(x) != x]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -178,46 +173,64 @@ def verified_links(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int)
     tasks = cut(tasks.select("l", "r", F.xxhash64(F.least("bl", "br"), F.greatest("bl", "br")).alias("task")))
     members = tasks.select(F.col("task").alias("at"), F.col("l").alias("node")).unionByName(tasks.select(F.col("task").alias("at"), F.col("r").alias("node"))).distinct()
     held = members.join(sets, "node")
-    return cut(tasks.groupBy("task").cogroup(held.groupBy("at")).applyInPandas(_verify(percent), "a long, b long"))
-
+    return cut(tasks.groupBy("task").cogroup(held.groupBy("at")).applyInPandas(_verify(percent), "a binary, b binary"))
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = BANDS, r: int = ROWS, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    Links: 100 * intersection >= ``percent`` * union of the sets of distinct ``shingle``-word runs, verified on full
-    sets. ``component_id`` is the least id reachable over links, ``kept`` marks that row. Rows without words have an
-    empty set and stay alone. Repeated rows share a component (and are all kept if their id is its least). Ids may be
-    null: such rows count as members but never name a component unless all its ids are null. Empty tables: no rows.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, m: int, r: int, chunk: int) -> DataFrame:
+    """``doc_id, copy, n_shingles, node, component, component_id`` for every row; copy: two hashes of the text."""
     need(docs, id_col, text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = cut(base.mapInPandas(_signatures(shingle, m, r), "doc_id long, n_shingles long, node long, low long, a array<int>, b array<int>, bits array<long>"))
+    copy = F.concat_ws("-", F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col))
+    base = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), copy.alias("copy"), F.col(text_col).alias("text"))
+    sigs = base.mapInPandas(_signatures(shingle, m, r), "doc_id string, copy string, n_shingles long, node binary, a array<int>, b array<int>, bits array<long>")
+    sigs = keep(sigs.withColumn("doc_id", F.col("doc_id").cast("long")))
     full = sigs.filter("n_shingles > 0")
-    nodes = cut(full.groupBy("node", "low").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n_shingles", "a", "b", "bits")).alias("s")).select("node", "rep", F.col("s.n_shingles").alias("n"), "s.a", "s.b", "s.bits"))
+    nodes = keep(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n_shingles", "a", "b", "bits")).alias("s")).select("node", "rep", F.col("s.n_shingles").alias("n"), "s.a", "s.b", "s.bits"))
     keys = nodes.select("node", F.posexplode("a").alias("i", "key"))
     shared = keys.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
-    keys = cut(keys.join(shared, ["i", "key"]))
-    some = cut(nodes.join(keys.select("node").distinct(), "node").select("node", "rep", "n", "a", "b", "bits"))
-    ids = some.select(F.col("rep").alias("doc_id")).distinct()
-    texts = base.join(ids, base.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-    sets = keep(texts.mapInPandas(_sets(shingle), "node long, shingles array<long>").join(some.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
+    keys = keep(keys.join(shared, ["i", "key"]))
+    some = keep(nodes.join(keys.select("node").distinct(), "node").select("node", "rep", "n", "a", "b", "bits"))
+    ids = some.select(F.col("rep").alias("wanted_id")).distinct()
+    texts = base.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+    sets = keep(texts.mapInPandas(_sets(shingle), "node binary, shingles array<long>").join(some.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
 
-    links = verified_links(cut(star_pairs(some, keys, percent)), sets, percent, chunk)
+    links = verified_links(keep(star_pairs(some, keys, percent)), sets, percent, chunk)
     joined = components(links)
     rest = some.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    more = verified_links(cut(candidate_pairs(rest, percent)), sets, percent, chunk)
+    more = verified_links(keep(candidate_pairs(rest, percent)), sets, percent, chunk)
     comps = components(links.unionByName(more))
 
     owner = nodes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = owner.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = owner.join(least, "component").select("node", "component_id")
-    linked = full.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    alone = sigs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = keep(owner.join(least, "component").select("node", "component", "component_id"))
+    out = keep(sigs.select("doc_id", "copy", "n_shingles", "node").join(named, "node", "left"))
+    for table in (sigs, nodes, keys, some, sets, named):
+        drop(table)
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = BANDS, r: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Links: 100 * intersection >= ``percent`` * union of the sets of distinct ``shingle``-word runs, verified on full
+    sets. ``component_id`` is the least id reachable over links, ``kept`` marks that row. Rows without words have an
+    empty set and stay alone. Repeated rows share a component (and are all kept if their id is its least). Ids may be
+    null: such rows count as members but never name a component unless all its ids are null. Empty tables: no rows.
+    """
+    linked = _linked(docs, id_col, text_col, shingle, percent, m, r, chunk)
+    return linked.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: of least id; of several rows of that id and text, one stays."""
-    groups = link_components(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(groups, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    """``docs`` with one row of each component: the one of least id (null last) and, of equal ids, of least hash of the text.
+
+    Of several rows of that id and text one stays. Rows without words (null, empty or blank texts) are no copies of anything
+    but of rows of the same id and text. Texts of any length count as a whole; columns may have any names. Empty tables: no rows.
+    """
+    linked = _linked(docs, id_col, text_col, shingle, percent, BANDS, ROWS, CHUNK)
+    group = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.concat_ws(" ", "doc_id", "copy").cast("binary"))
+    an_id, copy, own = fresh(docs, "_kept_id", "_kept_copy", "_own_copy")
+    first = linked.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")).alias("s"))
+    first = keep(first.select(F.col("s.doc_id").alias(an_id), F.col("s.copy").alias(copy)).distinct())
+    same = F.concat_ws("-", F.xxhash64(docs[text_col]), F.xxhash64(F.lit(1), docs[text_col]))
+    kept = docs.withColumn(own, same).join(first, docs[id_col].cast("long").eqNullSafe(F.col(an_id)) & (F.col(own) == F.col(copy)))
+    return kept.dropDuplicates([an_id, copy]).select(*docs.columns)

@@ -74,6 +74,15 @@ def test_keep_one_and_empty(spark):
     assert neardup.link_components(df.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_rows_not_ids(spark):
+    rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "q r s t u v w"), (None, "a b c d e f g"), (None, "m n o p q r s"), (7, ""), (8, None), (8, None), (9, " "), (10, "x " * 500_000), (11, "X " * 500_000)]
+    df = spark.createDataFrame([(d, t, "k", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _kept_id string, component int")
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), (r.text or "-")[:3]) for r in got.collect()) == [("10", "x x"), ("3", "a b"), ("5", "q r"), ("7", "-"), ("8", "-"), ("9", " "), ("None", "m n")]
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(edges).collect()} == {1}
