@@ -42,10 +42,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("_id", "_copy", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
 
 
-def _rarity(docs: DataFrame) -> Column:
+def _rarity(hashed: DataFrame) -> Column:
     """Class of each bucket of word hashes, 0 to 127 by the logarithm of its count over all lines: an array that folds to a literal."""
-    words = _lines(docs).select(F.explode(F.expr(_split("line"))).alias("w")).select(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("b"))
-    counts = words.groupBy("b").agg(F.count("*").alias("n"))
+    buckets = hashed.select(F.explode("hs").alias("h")).select(F.expr(f"h & {BUCKETS - 1}L").alias("b"))
+    counts = buckets.groupBy("b").agg(F.count("*").alias("n"))
     rank = F.least(F.lit(127), (F.log2("n") * 4).cast("int") + 1)
     found = counts.agg(F.map_from_entries(F.collect_list(F.struct("b", rank.alias("r")))).alias("ranks")).first()["ranks"] or {}  # at most BUCKETS entries
     return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
@@ -56,7 +56,8 @@ def _enough(nx: str, ny: str, both: str) -> str:
     return f"9 * ({both}) >= 4 * ({nx} + {ny})"
 
 
-_MAP = "aggregate(hs, 0L, (m, h) -> m | if((h & 64) = {half}, shiftleft(1L, cast(h & 63 as int)), 0L))"
+#: Bits of the words whose hash has this bit clear (~) or set, without a branch.
+_MAP = "aggregate(hs, 0L, (m, h) -> m | shiftleft({side}shiftright(h, 12) & 1L, cast(h & 63L as int)))"
 _ALONE = lambda x, y: f"(bit_count({x}.m0 & ~{y}.m0) + bit_count({x}.m1 & ~{y}.m1))"
 _NEAR = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
 _FITS = _enough("x.n", "y.n", f"least(x.n - {_ALONE('x', 'y')}, y.n - {_ALONE('y', 'x')})")
@@ -66,12 +67,15 @@ _PLACE = ["_id", "_copy", "pos"]
 
 def _encoded(base: DataFrame) -> DataFrame:
     """Each line with words: its place, class (two hashes of its set), size, maps, kin and prefix."""
-    ranks = _rarity(base)
-    hashed = _lines(base).withColumn("hs", F.expr(_hashes("line"))).withColumn("n", F.size("hs")).filter("n > 0")
-    code = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    shown = hashed.select(*_PLACE, "n", F.sort_array(F.transform("hs", code)).alias("toks"), F.expr(_MAP.format(half=0)).alias("m0"), F.expr(_MAP.format(half=64)).alias("m1"), F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
+    hashed = keep(_lines(base).select(*_PLACE, F.expr(_hashes("line")).alias("hs")).filter("size(hs) > 0"))
+    ranks = _rarity(hashed)
+    code = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1))), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    maps = (F.expr(_MAP.format(side=side)).alias(m) for side, m in (("~", "m0"), ("", "m1")))
+    shown = hashed.select(*_PLACE, F.size("hs").alias("n"), F.sort_array(F.transform("hs", code)).alias("toks"), *maps, F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
     prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
-    return shown.select(*_PLACE, "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kin", prefix.alias("prefix"))
+    lines = keep(shown.select(*_PLACE, "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kin", prefix.alias("prefix")))
+    drop(hashed)
+    return lines
 
 
 def _classes(lines: DataFrame, order: Column) -> DataFrame:
@@ -85,10 +89,13 @@ def _classes(lines: DataFrame, order: Column) -> DataFrame:
 
 
 def _partners(asking: DataFrame, among: DataFrame, few: bool) -> DataFrame:
-    """``later, earlier, id, pos``: pairs of classes that may match, of which the later one is ``asking`` (column ask)."""
+    """``later, earlier, id, pos``: pairs of classes that may match, of which the later one is ``asking`` (column ask).
+
+    The test of ``ask`` names both sides so that it stays in the join, and equal sides are one exchange.
+    """
     dealt = lambda df: df.select("cls", "id", "pos", "n", "m0", "m1", "ask", F.posexplode("prefix").alias("i", "tok"))
     y, x = dealt(asking), dealt(among)
-    near = f"x.tok = y.tok and y.ask and {_EARLIER} and {_NEAR} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)") + f" and {_FITS}"
+    near = f"x.tok = y.tok and (y.ask or (x.ask and x.n < 0)) and {_EARLIER} and {_NEAR} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)") + f" and {_FITS}"
     y = F.broadcast(y.filter("ask").alias("y")) if few else y.alias("y")
     return x.alias("x").join(y, F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier"), "x.id", "x.pos").distinct()
 
@@ -129,7 +136,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_copy"))
     whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
     order = F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    lines = keep(_encoded(base))
+    lines = _encoded(base)
     classes = keep(_classes(lines, order))
 
     asked = classes.withColumn("ask", F.col("guess").isNull())
