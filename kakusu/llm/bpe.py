@@ -28,7 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import drop, need
+from .common import keep as kept
 
 #: How a text is cut before merging: the rule of byte-level vocabularies. A fixed value.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -36,6 +37,8 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 NEWER = re.compile("[^\u0000-ԯḀ-ỿ‐-⁤₠-€]")
 LEXICON_SIZE = 131_072
 _FLUSH = 600_000
+#: The driver's folder of the files that it serves to executors.
+_SERVED: list[tempfile.TemporaryDirectory] = []
 
 
 def byte_letters() -> dict[str, int]:
@@ -270,9 +273,21 @@ def _count_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = LEXICON_SIZE) -> bytes:
-    """Counts the pieces of all texts and compiles the ``size`` most frequent ones (ties: smaller piece)."""
+    """Counts the pieces of all texts and compiles the most frequent ones: all that occur often enough for ``size`` at most.
+
+    The least count comes from a histogram of counts, so the driver gets no more than ``size`` pieces, however many tasks there are.
+    """
     counts = docs.select(F.col(text_col).alias("text")).mapInPandas(_count_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(size).collect()  # bounded by size
+    counts = kept(counts.filter(F.length("piece") <= 64))
+    step = F.when(F.col("n") < 512, F.col("n")).otherwise(512 + F.floor(16 * F.log2(F.col("n") / 512)))
+    room, least = size, 1 << 62
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("pieces"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():  # below 1400 steps
+        room -= r["pieces"]
+        if room < 0:
+            break
+        least = r["least"]
+    top = counts.filter(F.col("n") >= least).select("piece").collect()  # at most size
+    drop(counts)
     return compile_lexicon({r.piece.encode(): ",".join(map(str, vocabulary.merge(r.piece.encode()))) for r in top})
 
 
@@ -289,10 +304,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "tex
         vocabulary = Vocabulary(f.read())
     lexicon = fit_lexicon(docs, vocabulary, text_col, lexicon_size)
     name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:24]}.bin"
-    if not os.path.exists(path := os.path.join(tempfile.gettempdir(), name)):
-        with open(f"{path}.{os.getpid()}", "wb") as f:
+    if not _SERVED:
+        _SERVED.append(tempfile.TemporaryDirectory(prefix="kakusu-lexicon-"))  # goes when the program ends
+    if not os.path.exists(path := os.path.join(_SERVED[0].name, name)):
+        with open(path, "wb") as f:
             f.write(lexicon)
-        os.replace(f"{path}.{os.getpid()}", path)
     spark.sparkContext.addFile(path)  # Spark serves it to every executor, also to those that come later
     spark.sparkContext.addFile(vocabulary_path)
     file = os.path.basename(vocabulary_path)
@@ -320,8 +336,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "tex
                 batch["ids"], batch["decoded"] = ids_out, text_out
             yield batch
 
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(*keep, F.col(text_col).alias("_text_in")).mapInPandas(run, schema + (", ids array<int>, decoded string" if with_text else ""))
 
 

@@ -12,13 +12,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, need
+from .common import fold_of, fresh, need
 
-#: Bound of the training rows for each language, and of the features.
+#: About so many training rows for each language, drawn by hash; and the number of features.
 PER_LANGUAGE = 600
+_DRAWS = 1 << 30
 WIDTH = 4096
 #: Families of languages by their codes, fixed values; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -127,17 +128,19 @@ class Identifier:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, per_language: int = PER_LANGUAGE) -> Identifier | None:
     """Learns from rows with a language and letters outside fold 0; None if there are none."""
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit("lang"), "_id"), "_id")
-    rows = docs.filter(F.col(lang_col).isNotNull() & (fold_of(F.col(id_col), folds) != 0)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    drawn = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("_id").distinct()
-    texts = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    train = docs.filter(F.col(lang_col).isNotNull() & (fold_of(F.col(id_col), folds) != 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lang"), id_col, text_col).alias("h"))
+    rows = train.select("lang", "h").distinct()
+    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))  # one row for each language
+    drawn = rows.join(share, "lang").filter(F.pmod("h", F.lit(_DRAWS)) < F.col("share") * _DRAWS).select("h").distinct()
+    texts = train.join(F.broadcast(drawn), "h")  # about per_language numbers for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(lang, b.astype(np.float16).tobytes()) for lang, b in zip(batch["lang"], map(bag, batch["text"])) if b is not None]
-            yield pd.DataFrame(rows, columns=["lang", "x"])
+            once = batch.drop_duplicates(["lang", "h"])
+            rows = [(lang, h, b.astype(np.float16).tobytes()) for lang, h, b in zip(once["lang"], once["h"], map(bag, once["text"])) if b is not None]
+            yield pd.DataFrame(rows, columns=["lang", "h", "x"])
 
-    sample = texts.mapInPandas(run, "lang string, x binary").orderBy("lang", "x").toPandas()
+    sample = texts.mapInPandas(run, "lang string, h long, x binary").dropDuplicates(["lang", "h"]).orderBy("lang", "x").select("lang", "x").toPandas()
     if sample.empty:
         return None
     x = np.stack([np.frombuffer(b, dtype=np.float16) for b in sample["x"]]).astype(np.float64)
@@ -148,7 +151,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1).
 
     ``und`` with score 0 for texts that are null or have no letter, and for all texts if nothing can be learned. Only the
-    text is used for prediction. Equal scores: the family, then the language of smaller name. Repeated rows agree.
+    text is used for prediction. Equal scores: the family, then the language of smaller name. Repeated rows agree and are
+    learned from once. Columns of ``docs`` with the names of the two new ones are replaced. Empty tables: no rows.
     """
     need(docs, id_col, text_col, lang_col)
     model = fit(docs, id_col, text_col, lang_col, folds, per_language)
@@ -164,4 +168,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     langs[i], scores[i] = lang, s
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("_p", predict(F.col(text_col))).select(*docs.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("lang_score"))
+    (p,) = fresh(docs, "_p")
+    return docs.withColumn(p, predict(F.col(text_col))).select(*(docs[c] for c in docs.columns if c not in ("lang_pred", "lang_score")), F.col(f"{p}.lang_pred").alias("lang_pred"), F.col(f"{p}.score").alias("lang_score"))

@@ -5,7 +5,8 @@ joined with those of the templates; one-row bands make a match of containment 0.
 (see :func:`collision`). What meets is verified by exact containment of the template's shingles in the window.
 
 Texts without any gate word are passed over. That loses nothing: gate words are chosen so that more than a fifth of every
-template's shingles hold one, hence a text with four fifths of the shingles has one.
+template's shingles hold one, hence a text with four fifths of the shingles has one; they are sought in the stripped text that
+shingles are made of, so words broken by hyphens, soft hyphens or markup count there too.
 """
 
 from __future__ import annotations
@@ -30,18 +31,24 @@ TEMPLATES = {
     "BSD-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "MIT-license-notice": "Licensed under the MIT License.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
 
 def plain(text: str) -> list[str]:
-    """Words of a template, as :func:`_words` cuts texts: lower case, letters and digits only."""
+    """Words of a template, as texts are cut: lower case, letters and digits only."""
     return [w for w in re.split(GAP, re.sub(r"[^a-z0-9\x20\x09-\x0D]+", "", text.lower())) if w]
 
 
-def _words(text: str) -> str:
-    return rf"array_remove(split(regexp_replace(lower({text}), '[^a-z0-9\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+'), '')"
+#: A text as shingles see it, and its words.
+_PLAIN = r"regexp_replace(lower({text}), '[^a-z0-9\\x20\\x09-\\x0D]+', '')"
+_WORDS = r"array_remove(split({plain}, '[\\x20\\x09-\\x0D]+'), '')"
 
 
 def gate_words(templates: dict[str, str], shingle: int, containment: float) -> list[str]:
@@ -99,9 +106,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     table = spark.createDataFrame(rows, "license string, words array<string>, span int, step int").withColumn("wanted", F.expr(f"array_distinct({shingles})"))
     table = table.select("license", "span", "wanted", F.posexplode(F.expr(marks.format(n=bands, set="wanted"))).alias("band", "mark"))
 
-    gates = " or ".join(f"contains(lower(_text), '{g}')" for g in gate_words(templates, shingle, containment))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_copy")).filter(F.expr(gates))
-    held = texts.select("_id", "_copy", F.expr(_words("_text")).alias("words")).filter("size(words) > 0").select("_id", "_copy", F.expr(shingles).alias("all"))
+    gates = " or ".join(f"contains(_plain, '{g}')" for g in gate_words(templates, shingle, containment))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_copy"))
+    texts = texts.withColumn("_plain", F.expr(_PLAIN.format(text="_text"))).filter(F.expr(gates))
+    held = texts.select("_id", "_copy", F.expr(_WORDS.format(plain="_plain")).alias("words")).filter("size(words) > 0").select("_id", "_copy", F.expr(shingles).alias("all"))
     spans = F.array(*(F.struct(F.lit(a).alias("span"), F.lit(b).alias("step")) for a, b in sorted(set(classes.values()))))
     windows = held.withColumn("s", F.explode(spans)).select("_id", "_copy", "s.span", F.explode(F.expr("sequence(0, size(all) - 1, s.step)")).alias("at"), "all")
     windows = windows.select("_id", "_copy", "span", "at", F.expr("slice(all, at + 1, span)").alias("window"))
