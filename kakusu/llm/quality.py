@@ -1,12 +1,13 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled good documents; the other side is web text whatever its label. The class prior among that
-text is estimated from both, and a small network minimises the non-negative unbiased risk
+Trusted positives are documents labelled good; the other side is all web text, whatever its label. The class prior among that
+text is estimated from both, and a linear function g of a fixed non-linear basis minimises the non-negative unbiased risk
 
-    prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
+    prior * E_pos[loss(g)] + max(0, E_unl[loss(-g)] - prior * E_pos[loss(-g)])
 
-with logistic loss, so its output estimates the probability of being good. Negatives are never used as such. Both samples
-are bounded and drawn by the hash of the id from all training rows; scoring reads every text as a whole.
+with squared loss, so (1 + g) / 2 estimates the probability of being good. Negatives are never used as such. With this loss the
+risk depends on both sides' first and second moments of the basis only: Spark sums them over all training rows, without any
+sample, and the driver solves for the few weights. Scoring reads every text as a whole.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, need
+from .common import drop, fold_of, fresh, keep, need
 
-#: Bounds of the samples that training uses.
-POSITIVES, UNLABELLED = 6000, 12000
+#: Units of the basis, and where tails are read to estimate the prior.
+UNITS = 64
+_CUTS = np.linspace(-2, 2, 401)
 _RUN = re.compile(rb"([^\w\s])\1")
 _LONE = re.compile(rb"(?:^|\s)[^\w\s\x80-\xff]+(?=\s|$)")
 _BYTES = np.arange(256)
@@ -60,106 +62,135 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-class Network:
-    """One hidden layer over standardised features; ``score`` is a probability."""
+class Basis:
+    """Standardised features, and tanh units of fixed random directions of them."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, layers: list[np.ndarray], prior: float):
-        self.mean, self.scale, self.layers, self.prior = mean, scale, layers, prior
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.mean, self.scale = mean, scale
+        self.axes, self.shift = rng.normal(0, 0.5, (len(mean), UNITS)), rng.normal(0, 1, UNITS)
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        w1, b1, w2, b2 = self.layers
-        return np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ w1 + b1) @ w2 + b2
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        return np.hstack([np.ones((len(z), 1)), z / 4, np.tanh(z @ self.axes + self.shift)])
+
+
+class Scorer:
+    """g and with it a score from 0 to 1."""
+
+    def __init__(self, basis: Basis, weights: np.ndarray, prior: float):
+        self.basis, self.weights, self.prior = basis, weights, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
-
-
-def _adam(parts: list[np.ndarray], gradient, steps: int, rate: float) -> None:
-    first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    for t in range(1, steps + 1):
-        for p, g, m, v in zip(parts, gradient(t), first, second):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= rate * min(1.0, 2 * (1 - t / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-
-
-def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = 1500, hidden: int = 24, seed: int = 7) -> Network:
-    """Without a prior: plain logistic separation of the two samples, for estimating it."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
-    layers = [rng.normal(0, 0.3, (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    def gradient(_):
-        a, b = p[rng.integers(0, len(p), 384)], u[rng.integers(0, len(u), 768)]
-        x = np.concatenate([a, b])
-        h = np.tanh(x @ layers[0] + layers[1])
-        z = h @ layers[2] + layers[3]
-        s = sigmoid(z)
-        k, n = len(a), len(b)
-        if prior is None:
-            dz = np.concatenate([(s[:k] - 1) / k, s[k:] / n])
-        else:
-            soft = np.logaddexp(0, z)
-            rest = soft[k:].mean() - prior * soft[:k].mean()
-            if rest >= 0:
-                dz = np.concatenate([prior * (s[:k] - 1) / k - prior * s[:k] / k, s[k:] / n])
-            else:  # the risk of the negative part can't be below 0: step back from it
-                dz = np.concatenate([prior * s[:k] / k, -s[k:] / n])
-        dh = np.outer(dz, layers[2]) * (1 - h * h)
-        decay = 1e-4
-        return [x.T @ dh + decay * layers[0], dh.sum(axis=0), h.T @ dz + decay * layers[2], np.array([dz.sum()])]
-
-    _adam(layers, gradient, steps, 0.01)
-    return Network(mean, scale, layers, prior or 0.5)
-
-
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives in ``unl``: the least ratio of both samples' tails above a threshold, with its sampling error.
-
-    The separator is trained on one half of each sample and the tails are read from the other.
+        return np.clip((1 + self.basis(x) @ self.weights) / 2, 0, 1)
+
+
+class Moments:
+    """Mean of the basis and of its products over some rows."""
+
+    def __init__(self, sums: np.ndarray):
+        d = int(np.sqrt(len(sums)))
+        self.n, self.second = sums[0], sums.reshape(d, d) / max(1.0, sums[0])  # the basis begins with 1
+        self.first = self.second[0]
+
+
+def _ridge(pos: Moments) -> np.ndarray:
+    return max(0.01, 10 / max(1.0, pos.n)) * np.eye(len(pos.first))
+
+
+def separate(pos: Moments, unl: Moments) -> np.ndarray:
+    """Weights that tell the two samples apart by least squares, each with half the weight."""
+    return np.linalg.solve((pos.second + unl.second) / 2 + _ridge(pos), (pos.first - unl.first) / 2)
+
+
+def prior_of_tails(above_pos: np.ndarray, above_unl: np.ndarray, n_pos: float, n_unl: float) -> float:
+    """Share of positives among the unlabelled: the least ratio of both tails, with its sampling error."""
+    ok = above_pos >= 0.1
+    p, u = above_pos[ok], above_unl[ok]
+    slack = np.sqrt(u * (1 - u) / n_unl) + np.sqrt(p * (1 - p) / n_pos)
+    best = np.argmin((u + slack) / p)
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+
+
+def minimise(pos: Moments, unl: Moments, prior: float, rounds: int = 60) -> np.ndarray:
+    """Weights of least non-negative risk.
+
+    That risk is the greater of the unbiased risk and of its positive part alone, both quadratic and convex. Its minimum is the
+    unbiased risk's if the negative part is not below 0 there; else both are equal there, and it minimises a mean of the two,
+    whose weight is found by bisection.
     """
-    net = _train(pos[::2], unl[::2], None, steps=600)
-    a, b = np.sort(net.logit(pos[1::2])), np.sort(net.logit(unl[1::2]))
-    at = np.quantile(a, np.linspace(0, 0.9, 91))
-    above = lambda s: 1 - np.searchsorted(s, at, side="left") / len(s)
-    qp, qu = above(a), above(b)
-    slack = np.sqrt(qu * (1 - qu) / len(b)) + np.sqrt(qp * (1 - qp) / len(a))
-    best = np.argmin((qu + slack) / np.maximum(qp, 1e-9))
-    return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.02, 0.98))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | None:
-    """Learns from rows outside fold 0; None if either sample is empty."""
-    train = fold_of(F.col(id_col), folds) != 0
-    draw = F.xxhash64(F.lit("quality"), id_col)
-    good = labels.filter(F.col(label_col) == 1).filter(train).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64(F.lit("quality"), "_id"), "_id").limit(positives)
-    some = docs.filter(train).select(F.col(id_col).alias("_id")).orderBy(draw, "_id").limit(unlabelled)
-    ids = good.select("_id", F.lit(1).alias("role")).unionByName(some.select("_id", F.lit(0).alias("role")))
-    drawn = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select("role", F.col(text_col).alias("text"))  # ids: at most both bounds
+    negative = lambda w: (1 + 2 * unl.first @ w + w @ unl.second @ w - prior * (1 + 2 * pos.first @ w + w @ pos.second @ w)) / 4
+    ridge = _ridge(pos)
+
+    def least(share: float) -> np.ndarray:
+        products = share * unl.second + (1 - share) * prior * pos.second
+        return np.linalg.solve(products + ridge, (1 + share) * prior * pos.first - share * unl.first)
+
+    low, high = 0.0, 1.0
+    if negative(least(1.0)) < 0:
+        for _ in range(rounds):
+            low, high = (low, mid) if negative(least(mid := (low + high) / 2)) < 0 else (mid, high)
+    return np.round(least(high), 9)
+
+
+def _summed(rows: DataFrame, vector) -> np.ndarray:
+    """Sum of ``vector`` (of a batch's features) over all rows: every task adds up its own first, Spark adds the tasks'."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for batch in batches:
-            yield pd.DataFrame({"role": batch["role"], "x": [features(t) for t in batch["text"]]})
+            if len(batch):
+                some = vector(np.frombuffer(b"".join(batch["x"]), dtype=np.float64).reshape(len(batch), -1))
+                total = some if total is None else total + some
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    found = rows.select("x").mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # as long as the vector
+    return np.array([r["v"] for r in found])
 
-    sample = drawn.mapInPandas(run, "role int, x array<double>").orderBy("role", "x").toPandas()
-    if sample.empty or sample["role"].nunique() < 2:
-        return None
-    pos, unl = (np.array(sample.loc[sample["role"] == r, "x"].tolist()) for r in (1, 0))
-    rng = np.random.default_rng(11)
-    pos, unl = rng.permutation(pos), rng.permutation(unl)
-    if min(len(pos), len(unl)) < 4:
-        return None
-    return _train(pos, unl, estimate_prior(pos, unl))
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> Scorer | None:
+    """Learns from all rows outside fold 0; None if there are fewer than four on either side."""
+    train = fold_of(F.col(id_col), folds) != 0
+    good = labels.filter((F.col(label_col) == 1) & train).select(F.col(id_col).alias("good_id")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "half": batch["half"], "x": [np.array(features(t)).tobytes() for t in batch["text"]]})
+
+    some = docs.filter(train).select(F.col(id_col).cast("string").alias("doc_id"), F.pmod(F.xxhash64(id_col, text_col), F.lit(2)).alias("half"), F.col(text_col).alias("text"))
+    unl = keep(some.mapInPandas(run, "doc_id string, half long, x binary"))
+    pos = keep(unl.join(good, F.col("doc_id") == F.col("good_id").cast("string"), "left_semi"))
+    try:
+        plain = _summed(unl, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+        if not len(plain) or plain[0] < 4 or pos.limit(4).count() < 4:
+            return None
+        mean, square = plain[1:].reshape(2, -1) / plain[0]
+        basis = Basis(mean, np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-6)
+        products = lambda x: (lambda b: (b.T @ b).ravel())(basis(x))
+        u = Moments(_summed(unl, products))
+        halves = [_summed(pos.filter(F.col("half") == k), products) for k in (0, 1)]
+        if min(map(len, halves)) == 0:
+            halves = [h if len(h) else np.zeros(len(basis(mean[None, :])[0]) ** 2) for h in halves]
+        p = Moments(halves[0] + halves[1])
+        split = halves[0][0] > 1 and halves[1][0] > 1  # the separator learns from one half, tails are read from the other
+        w = separate(Moments(halves[0]) if split else p, u)
+        above = lambda x: (basis(x) @ w > _CUTS[:, None]).sum(axis=1)
+        tail = lambda rows, n: _summed(rows, above) / n
+        n_pos = halves[1][0] if split else p.n
+        prior = prior_of_tails(tail(pos.filter("half = 1") if split else pos, n_pos), tail(unl, u.n), n_pos, u.n)
+        return Scorer(basis, minimise(p, u, prior), prior)
+    finally:
+        drop(unl)
+        drop(pos)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``quality_score`` (0 to 1) and ``quality_predicted`` (1 if the score reaches ``threshold``).
 
-    Only the text is scored; a null text counts as empty. Without any trusted positive every score is 0.5. Repeated rows
-    get equal scores; rows keep their columns.
+    Only the text is scored, as a whole; a null text counts as empty. Without trusted positives every score is 0.5. Repeated rows
+    get equal scores, and each counts in training; rows keep their columns (those of the two new names are replaced). Empty
+    tables: no rows.
     """
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
@@ -174,6 +205,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return docs.withColumn("quality_score", score(F.col(text_col))).withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
-    return score_quality(docs, labels, **options).filter("quality_predicted = 1").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; all its columns, whatever their names, and repeated rows stay as they are.
+
+    Null and empty texts are scored like any other; without trusted positives nothing is rejected. Empty tables: no rows.
+    """
+    taken = {c: f"{c}_" for c in ("quality_score", "quality_predicted") if c in docs.columns}
+    if taken:  # set the document's own columns aside
+        names = dict(zip(taken, fresh(docs, *taken.values())))
+        held = docs.withColumnsRenamed(names)
+        return keep_good(held, labels, id_col, text_col, **options).withColumnsRenamed({v: k for k, v in names.items()})
+    return score_quality(docs, labels, id_col, text_col, **options).filter("quality_predicted = 1").select(*docs.columns)

@@ -64,36 +64,45 @@ def test_quality_without_labels(spark):
     assert quality.score_quality(df.limit(0), labels).count() == 0
 
 
+def moments(x):
+    b = np.hstack([np.ones((len(x), 1)), x])
+    return quality.Moments((b.T @ b).ravel())
+
+
 def test_prior_is_found():
     rng = np.random.default_rng(0)
     pos = rng.normal(2, 1, (3000, 3))
     unl = np.concatenate([rng.normal(2, 1, (2100, 3)), rng.normal(-2, 1, (900, 3))])
-    assert abs(quality.estimate_prior(pos, unl) - 0.7) < 0.06
+    w = quality.separate(moments(pos), moments(unl))
+    above = lambda x: ((np.hstack([np.ones((len(x), 1)), x]) @ w)[None, :] > quality._CUTS[:, None]).mean(axis=1)
+    assert abs(quality.prior_of_tails(above(pos), above(unl), 3000, 3000) - 0.7) < 0.06
 
 
-def test_risk_never_rewards_negative_estimates():
+@pytest.mark.parametrize("prior", [0.5, 0.95])
+def test_risk_is_non_negative_and_least(prior):
+    """The minimum is no worse than the unbiased one and than many others, by the risk computed row by row."""
     rng = np.random.default_rng(1)
     pos, neg = rng.normal(1.5, 1, (800, 2)), rng.normal(-1.5, 1, (800, 2))
-    net = quality._train(pos[:400], np.concatenate([pos[400:], neg[:400]]), 0.5)
-    assert net.score(pos).mean() > 0.8 and net.score(neg).mean() < 0.2
-
-
-def test_scores(spark, docs):
-    got = suffixtree.score_documents(docs).toPandas()
-    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
-    assert len(got) == len(rows)
-    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10
-    c = Counter(w for d, t in rows if fold(d) for w in [*words_of(t), b"\n"])
-    n, v = sum(c.values()), len(c)
-    for r in got.itertuples():
-        if r.doc_id != r.doc_id:
-            continue
-        tokens = [*words_of(dict(rows)[int(r.doc_id)]), b"\n"]
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
-        assert math.isclose(base, r.base_score, rel_tol=1e-9, abs_tol=1e-6)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(c[w] > 0 for w in tokens), n, fold(int(r.doc_id)) == 0)
-    held = got[got.held_out]
-    assert held.score.sum() > held.base_score.sum() and (got.score < 0).all()
+    p, u = (np.hstack([np.ones((len(x), 1)), x]) for x in (pos[:400], np.concatenate([pos[400:], neg[:400]])))
+
+    def risk(w):
+        part = lambda b, sign: ((1 - sign * (b @ w)) ** 2 / 4).mean()
+        return prior * part(p, 1) + max(0, part(u, -1) - prior * part(p, -1))
+
+    w = quality.minimise(moments(pos[:400]), moments(np.concatenate([pos[400:], neg[:400]])), prior)
+    assert all(risk(w) <= risk(w + d) + 5e-3 for d in rng.normal(0, 0.1, (500, 3)))
+    if prior == 0.5:
+        assert (1 + p @ w).mean() / 2 > 0.8 and (1 + np.hstack([np.ones((800, 1)), neg]) @ w).mean() / 2 < 0.2
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(i, "good words in a sentence. " * (i % 7 + 1)) for i in range(60)] + [(i, "$$ !! 99 " * (i % 5 + 1)) for i in range(60, 120)] + [(None, None), (None, ""), (5, "dup"), (5, "dup"), (200, "long text " * 120_000)]
+    df = spark.createDataFrame([(d, t, 0.5, "n", 3) for d, t in rows], "doc_id long, text string, quality_score double, quality_predicted string, x int")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(100)] * 2, "doc_id long, quality int")
+    got = quality.keep_good(df, labels)
+    assert got.columns == df.columns and {r.quality_predicted for r in got.collect()} == {"n"}
+    scored = quality.score_quality(df.drop("quality_score"), labels).collect()
+    assert len(scored) == len(rows) and all(0 <= r.quality_score <= 1 for r in scored)
 
 
 def brute_tree(train, depth, least, close):
