@@ -8,12 +8,13 @@ the other set lacks. What remains is verified on the whole sets: the earliest pa
 that one fails. A line goes if any earlier line matches it.
 
 Equal sets are one class from the start, so copies never pair. Ahead of the join each class is compared with the earliest
-class that has the same least and greatest word hash; only classes without such a likely match, or whose likely match fails
+classes that have the same least and greatest word hash, for two orders of the hashes; only classes without such a likely match, or whose likely match fails
 the verification, look for partners in the join. That keeps large groups of near-copies linear and the result exact.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,26 +67,40 @@ _PLACE = ["_id", "_copy", "pos"]
 
 
 def _encoded(base: DataFrame) -> DataFrame:
-    """Each line with words: its place, class (two hashes of its set), size, maps, kin and prefix."""
-    hashed = keep(_lines(base).select(*_PLACE, F.expr(_hashes("line")).alias("hs")).filter("size(hs) > 0"))
+    """Each line with words: its place, class (two hashes of its set), size, maps, two kins and prefix."""
+    hashed = _lines(base).select(*_PLACE, F.expr(_hashes("line")).alias("hs")).filter("size(hs) > 0").persist(StorageLevel.DISK_ONLY)  # a lost part is made anew
     ranks = _rarity(hashed)
     code = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1))), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     maps = (F.expr(_MAP.format(side=side)).alias(m) for side, m in (("~", "m0"), ("", "m1")))
-    shown = hashed.select(*_PLACE, F.size("hs").alias("n"), F.sort_array(F.transform("hs", code)).alias("toks"), *maps, F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kin"))
+    kins = F.array(F.xxhash64(F.array_min("hs"), F.array_max("hs")), F.xxhash64(F.array_min("turned"), F.array_max("turned"), F.lit(1)))
+    turned = hashed.withColumn("turned", F.transform("hs", lambda h: F.shiftleft(h, 21)))
+    shown = turned.select(*_PLACE, F.size("hs").alias("n"), F.sort_array(F.transform("hs", code)).alias("toks"), *maps, kins.alias("kins"))
     prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
-    lines = keep(shown.select(*_PLACE, "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kin", prefix.alias("prefix")))
-    drop(hashed)
+    lines = keep(shown.select(*_PLACE, "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kins", prefix.alias("prefix")))
+    hashed.unpersist()
     return lines
 
 
 def _classes(lines: DataFrame, order: Column) -> DataFrame:
-    """One row for each set of words: its first line, how many lines it has, and the place of a likely match if it has one."""
-    first = F.min(F.struct("_id", "pos", "_copy", "n", "m0", "m1", "kin", "prefix"))
-    classes = lines.groupBy("cls", "low").agg(first.alias("s"), F.count("*").alias("copies")).select("cls", "low", "copies", "s.*").withColumn("id", order)
-    heads = classes.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1", "_id", "_copy")).alias("s")).select("kin", "s.*")
-    fits = F.expr(f"{_EARLIER} and {_NEAR} and {_FITS}")
-    guess = F.when(fits, F.struct(F.col("x._id").alias("_id"), F.col("x._copy").alias("_copy"), F.col("x.pos").alias("pos")))
-    return classes.alias("y").join(heads.alias("x"), F.expr("x.kin = y.kin")).select("y.cls", "y.low", "y.copies", *(f"y.{c}" for c in _PLACE), "y.id", "y.n", "y.m0", "y.m1", "y.prefix", guess.alias("guess"))
+    """One row for each set of words: its first line and how many lines it has."""
+    first = F.min(F.struct("_id", "pos", "_copy", "n", "m0", "m1", "kins", "prefix"))
+    return lines.groupBy("cls", "low").agg(first.alias("s"), F.count("*").alias("copies")).select("cls", "low", "copies", "s.*").withColumn("id", order)
+
+
+def _guesses(classes: DataFrame) -> DataFrame:
+    """``cls, low, y, x``: for classes of which a kin's earliest class is a likely match, the places of both."""
+    rows = classes.select("cls", "low", *_PLACE, "id", "n", "m0", "m1", F.explode("kins").alias("kin"))
+    heads = rows.groupBy("kin").agg(F.min(F.struct("id", "pos", "cls", "n", "m0", "m1", "_id", "_copy")).alias("s"), F.count("*").alias("c")).filter("c > 1").select("kin", "s.*")
+    fits = F.expr(f"x.kin = y.kin and {_NEAR} and {_EARLIER} and {_FITS}")
+    met = rows.alias("y").join(heads.alias("x"), fits)
+    place = lambda k: F.struct(*(F.col(f"{k}.{c}").alias(c) for c in _PLACE)).alias(k)
+    first = F.min(F.struct("x.id", "x.pos", place("x")))["x"]
+    return met.groupBy("y.cls", "y.low", place("y")).agg(first.alias("x"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, a kept table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def _partners(asking: DataFrame, among: DataFrame, few: bool) -> DataFrame:
@@ -95,7 +110,7 @@ def _partners(asking: DataFrame, among: DataFrame, few: bool) -> DataFrame:
     """
     dealt = lambda df: df.select("cls", "id", "pos", "n", "m0", "m1", "ask", F.posexplode("prefix").alias("i", "tok"))
     y, x = dealt(asking), dealt(among)
-    near = f"x.tok = y.tok and (y.ask or (x.ask and x.n < 0)) and {_EARLIER} and {_NEAR} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)") + f" and {_FITS}"
+    near = f"x.tok = y.tok and {_NEAR} and " + _enough("x.n", "y.n", "least(x.n - x.i, y.n - y.i)") + f" and (y.ask or (x.ask and x.n < 0)) and {_EARLIER} and {_FITS}"
     y = F.broadcast(y.filter("ask").alias("y")) if few else y.alias("y")
     return x.alias("x").join(y, F.expr(near)).select(F.col("y.cls").alias("later"), F.col("x.cls").alias("earlier"), "x.id", "x.pos").distinct()
 
@@ -111,9 +126,7 @@ def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """``cls, low`` of the pairs (cls, low, y, x: places) whose whole lines have Jaccard >= 0.8."""
     wanted = pairs.select("y.*").unionByName(pairs.select("x.*")).distinct().groupBy(F.col("_id").alias("i"), F.col("_copy").alias("c")).agg(F.collect_set("pos").alias("wanted"))
-    wanted = keep(wanted)
-    if wanted.limit(SMALL + 1).count() <= SMALL:
-        wanted = F.broadcast(wanted)
+    wanted = _few(keep(wanted))
     docs = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_copy") == F.col("c")))
     picked = "inline(transform(array(split(_text, '\\n', -1)), a -> transform(wanted, p -> named_struct('pos', p, 'line', a[p])))[0])"
     lines = docs.select("_id", "_copy", F.expr(picked)).dropDuplicates(_PLACE)
@@ -139,16 +152,17 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = _encoded(base)
     classes = keep(_classes(lines, order))
 
-    asked = classes.withColumn("ask", F.col("guess").isNull())
+    likely = keep(_guesses(classes))
+    guessed = _few(likely.select("cls", "low", F.lit(False).alias("asks")))
+    asked = classes.join(guessed, ["cls", "low"], "left").select("cls", "id", "pos", "n", "m0", "m1", "prefix", F.coalesce("asks", F.lit(True)).alias("ask"))
     near = keep(_partners(asked, asked, few=False))
     best = near.groupBy("later").agg(F.min(F.struct("id", "pos", "earlier"))["earlier"].alias("earlier"))
-    likely = classes.filter("guess is not null").select("cls", "low", F.struct(*_PLACE).alias("y"), F.col("guess").alias("x"))
     tried = keep(likely.unionByName(_placed(best, classes)))
     found = keep(_verified(base, tried))
     failed = keep(tried.select("cls", "low").join(found, ["cls", "low"], "left_anti").distinct())
     if failed.limit(1).count():
         rest = _placed(near.join(failed.select(F.col("cls").alias("later")).distinct(), "later", "left_semi"), classes)
-        again = classes.filter("guess is not null").join(failed, ["cls", "low"], "left_semi").withColumn("ask", F.lit(True))
+        again = classes.join(_few(keep(likely.join(failed, ["cls", "low"], "left_semi").select("cls", "low"))), ["cls", "low"], "left_semi").withColumn("ask", F.lit(True))
         few = again.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
         if few:
             rest = rest.unionByName(_placed(_partners(again, classes.withColumn("ask", F.lit(False)), few=few <= SMALL), classes))
@@ -159,7 +173,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = classes.join(found.withColumn("matched", F.lit(True)), ["cls", "low"], "left").filter("matched or copies > 1").select("cls", "low", *(F.col(c).alias(f"first{c}") for c in _PLACE), "matched")
     own = F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("pos") == F.col("firstpos"))
     out = keep(lines.select(*_PLACE, "cls", "low").join(reps, ["cls", "low"]).filter(F.coalesce("matched", F.lit(False)) | ~own).select(*_PLACE))
-    for table in (lines, classes, near, tried):
+    for table in (lines, classes, likely, near, tried):
         drop(table)
     return out
 
