@@ -1,42 +1,69 @@
 """Spans: where patterns match, in code points, with built-in expressions only.
 
 A pattern's matches are wrapped in a sentinel and the text is split at it: every second piece is a match, and running lengths
-give its place. One fold over the pieces does that, so the work is linear in the text.
+give its place. Running lengths are sums of chunks and within chunks, and no fold carries an array along (each step would copy
+it), so many matches cost about linear time. Overlaps are resolved within clusters of spans that touch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import DEFAULT, Catalog, Pattern, Recognizer
+from .catalog import DEFAULT, Catalog, Pattern
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,text:string>"
 SPANS = f"array<{SPAN}>"
 #: Case-insensitive, multi-line, dot matches all; Unicode classes and boundaries.
 FLAGS = "(?imsU)"
 _MARK = "\x01"
+_CHUNK = 64
 
 
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def find(text: Column, pattern: Pattern, entity: str) -> Column:
-    """Array of spans of all non-overlapping matches, left to right; empty if there are none."""
-    safe = F.translate(text, _MARK, "\x02")
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """For each element the total of those before it: of whole chunks before its own, joined with its chunk's so far."""
+    chunks = lambda v: F.sequence(F.lit(0), F.floor(F.size(v) / _CHUNK).cast("int"))
+    at = lambda i: F.floor(i / _CHUNK).cast("int")
+    each = lambda v, heads: F.transform(v, lambda _, i: join(F.get(heads, at(i)), total(F.slice(v, at(i) * _CHUNK + 1, i % _CHUNK))))
+    heads = lambda v, sums: F.transform(chunks(v), lambda c: total(F.slice(sums, F.lit(1), c)))
+    return _bind(values, lambda v: _bind(F.transform(chunks(v), lambda c: total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)))), lambda sums: _bind(heads(v, sums), lambda h: each(v, h))))
+
+
+def find(text: Column, pattern: Pattern, entity: str, context: tuple[str, ...] = (), window: int = 16) -> Column:
+    """Array of spans of all non-overlapping matches, left to right; empty if there are none.
+
+    Scores are raised by 0.35 (to 0.4 at least, 1 at most) where a context term stands in the ``window`` characters before.
+    """
+    marked = F.contains(text, F.lit(_MARK))
+    safe = F.when(marked, F.translate(text, _MARK, "\x02")).otherwise(text)
     pieces = F.split(F.regexp_replace(safe, F.lit(FLAGS + pattern.regex), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    starts = lambda p: _running(F.transform(p, F.char_length), lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y), lambda x, y: x + y)
 
-    def step(acc: Column, piece: Column) -> Column:
+    def span(p: Column, at: Column, i: Column) -> Column:
+        piece, start = F.get(p, i), F.get(at, i)
         size = F.char_length(piece)
-        span = F.struct(
-            F.lit(entity).alias("entity_type"), acc["at"].alias("start"), (acc["at"] + size).alias("end"), F.lit(float(pattern.score)).alias("score"), F.substring(text, acc["at"] + 1, size).alias("text")
-        )
-        found = F.when(acc["inside"] & (size > 0), F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct((acc["at"] + size).alias("at"), (~acc["inside"]).alias("inside"), found.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), no_spans().alias("out"))
-    spans = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+        score = F.lit(float(pattern.score))
+        if context:
+            gap = F.get(p, i - 1)
+            few = F.array_join(F.slice(p, F.greatest(F.lit(1), i - 2 * window + 1), F.least(i, F.lit(2 * window))), "")  # a match has a character at least
+            before = F.right(F.when(F.char_length(gap) >= window, gap).otherwise(few), F.lit(window))
+            score = F.when(_near(before, context), F.round(F.least(F.lit(1.0), F.greatest(score + 0.35, F.lit(0.4))), 4)).otherwise(score)
+        own = F.when(marked, F.substring(text, start + 1, size)).otherwise(piece)
+        return F.struct(F.lit(entity).alias("entity_type"), start.alias("start"), (start + size).alias("end"), score.alias("score"), own.alias("text"))
+
+    odd = lambda p: F.when(F.size(p) > 2, F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    spans = _bind(pieces, lambda p: _bind(starts(p), lambda at: F.filter(F.transform(odd(p), lambda i: span(p, at, i)), lambda s: s["end"] > s["start"])))
     likely = text.isNotNull()
     for piece in pattern.needs:
         likely &= F.contains(text, F.lit(piece))
@@ -45,25 +72,16 @@ def find(text: Column, pattern: Pattern, entity: str) -> Column:
     return F.when(likely & text.rlike(FLAGS + pattern.regex), spans).otherwise(no_spans())
 
 
-def boosted(spans: Column, text: Column, recognizer: Recognizer, window: int = 16) -> Column:
-    """Raises scores by 0.35 (to 0.4 at least, 1 at most) where a context term stands in the ``window`` characters before."""
-    if not recognizer.context:
-        return spans
-    words = sorted({t.lower() for t in recognizer.context})
+def _near(before: Column, context: tuple[str, ...]) -> Column:
+    """Whether a context term stands in ``before``: other than ASCII anywhere, ASCII as a whole word."""
+    words = sorted({t.lower() for t in context})
     ascii_, other = [t for t in words if t.isascii()], [t for t in words if not t.isascii()]
-
-    def raise_(span: Column) -> Column:
-        first = F.greatest(span["start"] - window, F.lit(0))
-        before = F.lower(F.substring(text, first + 1, span["start"] - first))
-        near = F.lit(False)
-        if ascii_:
-            near |= before.rlike(r"(?<![a-z0-9])(?:" + "|".join(ascii_) + r")(?![a-z0-9])")
-        for term in other:
-            near |= F.contains(before, F.lit(term))
-        score = F.when(near, F.round(F.least(F.lit(1.0), F.greatest(span["score"] + 0.35, F.lit(0.4))), 4)).otherwise(span["score"])
-        return F.struct(span["entity_type"].alias("entity_type"), span["start"].alias("start"), span["end"].alias("end"), score.alias("score"), span["text"].alias("text"))
-
-    return F.transform(spans, raise_)
+    low, near = F.lower(before), F.lit(False)
+    if ascii_:
+        near |= low.rlike(r"(?<![a-z0-9])(?:" + "|".join(ascii_) + r")(?![a-z0-9])")
+    for term in other:
+        near |= F.contains(low, F.lit(term))
+    return near
 
 
 def spans_of(text: Column, entities: list[str] | None = None, lang: str | None = "ja", catalog: Catalog = DEFAULT, context: bool = True, threshold: float = 0.0) -> Column:
@@ -71,8 +89,7 @@ def spans_of(text: Column, entities: list[str] | None = None, lang: str | None =
     parts = []
     for r in catalog.prune(entities, lang).recognizers:
         for p in r.patterns:
-            spans = find(text, p, r.entity)
-            parts.append(boosted(spans, text, r) if context else spans)
+            parts.append(find(text, p, r.entity, r.context if context else ()))
     out = F.flatten(F.array(*parts)) if parts else no_spans()
     return F.filter(out, lambda s: s["score"] >= threshold) if threshold > 0 else out
 
@@ -93,16 +110,25 @@ def _fold(ranked: Column, clash) -> Column:
     return F.aggregate(ranked, no_spans(), lambda kept, s: F.when(F.exists(kept, lambda k: clash(k, s)), kept).otherwise(F.array_append(kept, s)))
 
 
+def _resolved(spans: Column, clash) -> Column:
+    """By start: the spans that stay when ``clash`` decides in the order of :func:`rank`, one cluster of touching spans at a time."""
+    settle = lambda cluster: F.when(F.size(cluster) > 1, _fold(rank(cluster), clash)).otherwise(cluster)
+    reach = lambda v: _running(F.transform(v, lambda s: s["end"]), lambda a: F.coalesce(F.array_max(a), F.lit(0)), F.greatest)
+    firsts = lambda v, r: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.get(v, i)["start"] >= F.get(r, i))
+    ends = lambda v, f, i: F.coalesce(F.get(f, i + 1), F.size(v))
+    clusters = lambda v, f: F.transform(f, lambda k, i: settle(F.slice(v, k + 1, ends(v, f, i) - k)))
+    kept = _bind(by_start(spans), lambda v: _bind(reach(v), lambda r: _bind(firsts(v, r), lambda f: F.flatten(clusters(v, f)))))
+    return F.when(F.size(spans) > 1, by_start(kept)).otherwise(spans)
+
+
 def distinct_spans(spans: Column) -> Column:
     """Without spans that lie inside a span of the same type and no lower score; by start."""
-    inside = lambda k, s: (k["entity_type"] == s["entity_type"]) & (k["start"] <= s["start"]) & (k["end"] >= s["end"])
-    return by_start(F.when(F.size(spans) > 1, _fold(rank(spans), inside)).otherwise(spans))
+    return _resolved(spans, lambda k, s: (k["entity_type"] == s["entity_type"]) & (k["start"] <= s["start"]) & (k["end"] >= s["end"]))
 
 
 def disjoint_spans(spans: Column) -> Column:
     """The spans that stay when overlaps go to the higher score, earlier start, greater length, smaller type; by start."""
-    overlap = lambda k, s: (k["start"] < s["end"]) & (s["start"] < k["end"])
-    return by_start(F.when(F.size(spans) > 1, _fold(rank(spans), overlap)).otherwise(spans))
+    return _resolved(spans, lambda k, s: (k["start"] < s["end"]) & (s["start"] < k["end"]))
 
 
 def first_wins(spans: Column) -> Column:
@@ -116,16 +142,15 @@ def segments(text: Column, spans: Column) -> Column:
     piece = lambda t, e, s: F.struct(t.alias("text"), e.alias("entity_type"), s.alias("score"))
     none, zero = F.lit(None).cast("string"), F.lit(None).cast("double")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        some = F.when(F.char_length(gap) > 0, F.array_append(acc["out"], piece(gap, none, zero))).otherwise(acc["out"])
-        return F.struct(s["end"].alias("at"), F.array_append(some, piece(s["text"], s["entity_type"], s["score"])).alias("out"))
+    filled = lambda gap: F.when(F.char_length(gap) > 0, F.array(piece(gap, none, zero))).otherwise(F.array().cast(kind))
 
-    def tail(acc: Column) -> Column:
-        rest = F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"])
-        return F.when(F.char_length(rest) > 0, F.array_append(acc["out"], piece(rest, none, zero))).otherwise(acc["out"])
+    def part(s: Column, i: Column) -> Column:
+        at = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        return F.concat(filled(F.substring(text, at + 1, s["start"] - at)), F.array(piece(s["text"], s["entity_type"], s["score"])))
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, tail)
+    last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
+    rest = F.substring(text, last + 1, F.char_length(text) - last)
+    return F.concat(F.flatten(F.transform(spans, part)), filled(rest))
 
 
 def detect(df: DataFrame, text_col: str = "text", entities: list[str] | None = None, lang: str | None = "ja", catalog: Catalog = DEFAULT, context: bool = True, threshold: float = 0.0, out: str = "spans") -> DataFrame:

@@ -56,14 +56,12 @@ def operator_name(span: Column, operators: Operators | None) -> Column:
 
 
 def splice(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
-    """The text with disjoint, sorted spans replaced; one forward fold."""
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s)).alias("out"), s["end"].alias("at"))
-
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"]))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+    """The text with disjoint, sorted spans replaced: what stands before each span and its replacement, joined once."""
+    before = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+    pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), by(s)))
+    last = F.get(spans, F.size(spans) - 1)["end"]
+    rest = F.substring(text, last + 1, F.char_length(text) - last)
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
 
 
 def with_disjoint(df: DataFrame, text_col: str, entities, lang, catalog: Catalog, context: bool, threshold: float) -> DataFrame:

@@ -85,7 +85,7 @@ def split(df: DataFrame, id_col: str = "doc_id", train: float = 0.8, dev: float
     ends = counts.select(F.col("_range").alias("_r"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_key", id_col))
     out = keyed.join(F.broadcast(ends), F.col("_range") == F.col("_r")).withColumn("_rank", rank)
-    first, second = F.floor(F.col("_all") * F.lit(train)), F.floor(F.col("_all") * F.lit(train)) + F.floor(F.col("_all") * F.lit(dev))
+    first, second = F.floor(F.col("_all") * F.lit(train)), F.floor(F.col("_all") * F.lit(train + dev))
     return out.withColumn("split", F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= second, "dev").otherwise("test")).select(*df.columns, "split")
 
 

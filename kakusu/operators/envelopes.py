@@ -83,7 +83,20 @@ def walk_request(kind: str, body: dict, visit: Visit) -> dict:
     return body | {"system_instruction": _untyped(body["system_instruction"], visit)} if "system_instruction" in body else body
 
 
+def response_kind(kind: str, body: dict) -> str:
+    """A response's shape by its own keys: a request of messages without a system prompt looks like a chat, its response does not."""
+    if "choices" in body:
+        return "chat"
+    if isinstance(body.get("content"), list) or isinstance(body.get("delta"), dict):
+        return "messages"
+    if "output" in body or "output_text" in body:
+        return "responses"
+    return "generate" if "candidates" in body else kind
+
+
 def walk_response(kind: str, body: dict, visit: Visit) -> dict:
+    """Texts of a response visited; ``kind`` counts only where the body doesn't show its shape."""
+    kind = response_kind(kind, body)
     only = lambda holder, key: _content(holder, key, (), visit) if isinstance(holder, dict) and isinstance(holder.get(key), str) else holder
     inner = lambda holder, key, change: holder | {key: change(holder[key])} if isinstance(holder, dict) and isinstance(holder.get(key), dict) else holder
     if kind == "chat":
@@ -209,7 +222,11 @@ def _close(df: DataFrame, walk, kind_col: str, body_col: str, texts_col: str, ou
 
 
 def envelope_kind(body: Column) -> Column:
-    """Which shape a request has by its keys: messages, input or contents; null for anything else, also for bad JSON."""
+    """Which shape a request has by its keys: messages, input or contents; null for anything else, also for bad JSON.
+
+    Keys can't tell ``messages`` without a system prompt from ``chat``: where the endpoint is known, hand its kind to
+    :func:`redact_requests`.
+    """
     has = lambda path: F.try_variant_get(F.try_parse_json(body), path, "string").isNotNull()
     return F.when(has("$.messages"), F.when(has("$.system"), "messages").otherwise("chat")).when(has("$.input"), "responses").when(has("$.contents"), "generate")
 
@@ -236,7 +253,10 @@ def redact_requests(df: DataFrame, body_col: str = "body", kind_col: str | None
 
 
 def restore_responses(df: DataFrame, body_col: str = "response", kind_col: str = "kind", mapping_col: str = "mapping", status_col: str | None = None) -> DataFrame:
-    """Adds ``restored``: the response with originals, where there is a mapping, the status is 200 and the body is JSON."""
+    """Adds ``restored``: the response with originals, where there is a mapping, the status is 200 and the body is JSON.
+
+    The response's own keys say its shape, so a request whose kind could only be guessed is no matter.
+    """
     out = df.withColumn("_texts", _opener(walk_response)(kind_col, body_col)).withColumn("_new", F.transform("_texts", lambda t: restore(t, F.col(mapping_col))))
     go = F.coalesce(F.size(mapping_col), F.lit(0)) > 0
     go = go & (F.col(status_col) == 200) if status_col else go

@@ -68,7 +68,8 @@ def free_of_mail(sql: str, keys: tuple[str, ...]) -> str:
 
 
 _PAIRS = free_of_mail(every(PAIR), ("doc_id",))
-_TURNS = free_of_mail(every(PAIR, source="conversations", key="conv_id, turn"), ("conv_id", "turn"))
+_TURNS = free_of_mail(every(PAIR, source="(SELECT doc_id // 5 AS conv_id, doc_id % 5 AS turn, text FROM documents)", key="conv_id, turn"), ("conv_id", "turn"))
+_BODIES = "(SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1 - doc_id, doc_id % 5, text FROM documents)"
 _CLEAN = replaced({"EMAIL_ADDRESS": "<EMAIL_ADDRESS>", "IP_ADDRESS": "<IP_ADDRESS>"})
 _F = "coalesce(2 * p * r / nullif(p + r, 0), 0)"
 _COUNTS = f"SELECT label, tp * 1.0::DOUBLE / pred AS p, tp * 1.0::DOUBLE / gold AS r FROM {values(fixtures.COUNTS, 'label, tp, pred, gold')}"
@@ -106,12 +107,12 @@ ORACLES: dict[str, str] = {
     "entity_counts": f"SELECT lang, entity_type, count(*) AS n FROM ({every(more='lang')}) GROUP BY 1, 2",
     "entity_counts_per_doc": f"SELECT doc_id, entity_type, count(*) AS n FROM ({every()}) GROUP BY 1, 2",
     "entity_texts_by_type": f"SELECT doc_id, entity_type, string_agg(text, '|' ORDER BY text) AS texts FROM ({every(PAIR)}) GROUP BY 1, 2",
-    "residue_check": "SELECT CAST(0 AS BIGINT) AS n",
-    "entity_taxonomy": "SELECT label, family, CAST(examples AS BIGINT) AS examples FROM " + values([(e.label, e.family, len(e.examples)) for e in ENTITY_TYPES], "label, family, examples"),
+    "residue_check": f"SELECT entity_type, count(*) AS n FROM ({every(threshold=0.5)}) WHERE entity_type NOT IN ('EMAIL_ADDRESS', 'IP_ADDRESS') GROUP BY 1",
+    "entity_taxonomy": "SELECT * FROM " + values([(e.label, e.family) for e in ENTITY_TYPES], "label, family"),
     "parse_annotations": "SELECT * FROM " + values([(r, t, e) for r, t, e, _ in fixtures.TAG_CASES], "raw, text, entities"),
     "validate_annotations": "SELECT CAST(id AS BIGINT) AS id, valid FROM (VALUES (0, TRUE), (1, FALSE), (2, FALSE), (3, FALSE), (4, TRUE)) AS v(id, valid)",
     "align_expand": "SELECT CAST(id AS BIGINT) AS id, CAST(total AS BIGINT) AS total, CAST(failed AS BIGINT) AS failed, aligned FROM (VALUES (1, 3, 0, 'PERSON:0-6,PERSON:7-9'), (2, 1, 1, '')) AS v(id, total, failed, aligned)",
-    "split_exact": "SELECT doc_id, CASE WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * 0.8) + floor(n * 0.1) THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents)",
+    "split_exact": "SELECT doc_id, CASE WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents)",
     "prf_per_type": f"""WITH g AS (SELECT * FROM {values(fixtures.GOLD, 'd, s, e, label')}), p AS (SELECT * FROM {values(fixtures.PRED, 'd, s, e, label')}),
       c AS (SELECT coalesce(g.label, p.label) AS label, count(g.d) AS gold, count(p.d) AS pred, count(CASE WHEN g.d IS NOT NULL AND p.d IS NOT NULL THEN 1 END) AS tp
         FROM g FULL JOIN p ON g.d = p.d AND g.s = p.s AND g.e = p.e AND g.label = p.label GROUP BY 1),
@@ -125,11 +126,12 @@ ORACLES: dict[str, str] = {
     "model_comparison": f"SELECT v.label, CAST(bert AS DOUBLE) AS bert, CAST(lg AS DOUBLE) AS lg, CAST(md AS DOUBLE) AS md, CAST(sm AS DOUBLE) AS sm, round(coalesce(s.f, 0), 9) AS own FROM {values(fixtures.EXTERNAL, 'label, bert, lg, md, sm')} LEFT JOIN (SELECT * FROM {_SCORES} WHERE label <> 'ADDRESS') s ON s.label = v.label",
     "max_normalised": "SELECT model, round(CAST(mb / max(mb) OVER () AS DOUBLE), 9) AS height FROM (SELECT model, CAST(mb AS DOUBLE) AS mb FROM (VALUES ('own', 6.3), ('bert', 440.0), ('lg', 583.8), ('md', 56.0), ('sm', 13.8)) AS v(model, mb))",
     "rule_entities": "SELECT CAST(id AS BIGINT) AS id, entity_type FROM (VALUES (1, 'PERSON'), (1, 'ADDRESS'), (2, 'DATE_OF_BIRTH'), (4, 'BANK_ACCOUNT')) AS v(id, entity_type)",
-    "stream_detect_available_now": f"SELECT conv_id, turn, entity_type, start, text FROM ({every(PAIR, source='conversations', key='conv_id, turn')})",
+    "stream_detect_available_now": f"SELECT doc_id, entity_type, start, text FROM ({every(PAIR)})",
 }
 for _kind in ("chat", "messages", "responses", "generate"):
-    ORACLES[f"{_kind}_request_redact"] = f"SELECT conv_id, turn, {q(_kind)} AS kind, {_CLEAN} AS redacted FROM conversations WHERE text IS NOT NULL AND text <> ''"
-    ORACLES[f"{_kind}_response_restore"] = "SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL AND text <> ''"
+    _shape = "CASE WHEN turn % 2 = 0 AND text IS NOT NULL THEN 'messages' ELSE 'chat' END" if _kind == "messages" else "CASE WHEN text IS NULL THEN NULL ELSE 'responses' END" if _kind == "responses" else q(_kind)
+    ORACLES[f"{_kind}_request_redact"] = f"SELECT conv_id, turn, {_shape} AS kind, {_CLEAN} AS redacted FROM {_BODIES}"
+    ORACLES[f"{_kind}_response_restore"] = f"SELECT conv_id, turn, text FROM {_BODIES}"
 ORACLES["detect_cases"] = "SELECT case_id, entity_type, CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", CAST(score AS DOUBLE) AS score FROM " + values([(c, e, a, b, s) for c, _, e, found in fixtures.DETECT_CASES for a, b, s in found], "case_id, entity_type, start, \"end\", score")
 ORACLES["segments"] = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS k, entity_type, n_chars FROM (
   WITH s AS ({_PAIRS}), e AS (SELECT doc_id, entity_type, start, "end", lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM s)

@@ -151,7 +151,8 @@ def redact_mask(spark, folder):
 def redact_hash(spark, folder):
     ops = {e: {"type": "hash"} for e in PAIR}
     out = anonymize.redact(docs(spark, folder), operators=ops, entities=PAIR)
-    return S.explode_spans(out, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.sha2("text", 256).alias("digest"))
+    digest = anonymize.replacement(F.struct("entity_type", "start", "end", "score", "text"), ops)
+    return S.explode_spans(out, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), digest.alias("digest"))
 
 
 @query
@@ -183,7 +184,8 @@ def restore_roundtrip(spark, folder):
 
 
 def _turns(spark, folder, part=None):
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    """Documents as turns of conversations, five each: the conversations of the tables hold nothing to redact."""
+    turns = docs(spark, folder).select(F.expr("doc_id div 5").alias("conv_id"), F.expr("doc_id % 5").alias("turn"), "text")
     return reversible.redact_with_mapping(turns, part_col=part, entities=PAIR)
 
 
@@ -200,16 +202,18 @@ def mapping_namespaced(spark, folder):
 
 
 def _bodies(spark, folder, kind):
-    """A request and an answer that repeats its text, for each turn."""
+    """A request and an answer that repeats its text, for each turn and each document; every second has no system prompt."""
     text = F.col("text")
     part = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
     request = {
         "chat": F.struct(F.lit("m").alias("model"), F.array(F.struct(F.col("role"), text.alias("content"))).alias("messages")),
-        "messages": F.struct(text.alias("system"), F.array(F.struct(F.col("role"), part.alias("content"))).alias("messages")),
+        "messages": F.struct(F.when(F.col("turn") % 2 == 0, text).alias("system"), F.array(F.struct(F.col("role"), part.alias("content"))).alias("messages")),
         "responses": F.struct(text.alias("input"), F.lit("be brief").alias("instructions")),
         "generate": F.struct(F.array(F.struct(F.array(F.struct(text.alias("text"))).alias("parts"))).alias("contents")),
     }[kind]
-    turns = table(spark, folder, "conversations").filter("text is not null and text <> ''")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = docs(spark, folder).select(F.expr("-1 - doc_id").alias("conv_id"), F.expr("doc_id % 5").alias("turn"), F.lit("user").alias("role"), "text")
+    turns = turns.unionByName(more)  # the conversations hold nothing to redact, documents do
     return envelopes.redact_requests(turns.select("conv_id", "turn", "text", F.to_json(request).alias("body")), entities=PAIR)
 
 
@@ -302,15 +306,15 @@ def entity_texts_by_type(spark, folder):
 
 @query
 def residue_check(spark, folder):
-    """Spans of score 0.5 or more that redacted texts still have."""
-    clean = anonymize.redact(docs(spark, folder), context=False).select("doc_id", F.regexp_replace("redacted", "<[A-Z_]+>", " ").alias("text"))
+    """Spans of score 0.5 or more that texts still have when two types are redacted, by type."""
+    clean = anonymize.redact(docs(spark, folder), entities=PAIR, context=False).select("doc_id", F.regexp_replace("redacted", "<[A-Z_]+>", " ").alias("text"))
     left = S.explode_spans(S.detect(clean, threshold=0.5, context=False), "doc_id")
-    return left.agg(F.count("*").alias("n"))
+    return left.groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @query
 def entity_taxonomy(spark, folder):
-    return spark.createDataFrame([(e.label, e.family, len(e.examples)) for e in ENTITY_TYPES], "label string, family string, examples long")
+    return spark.createDataFrame([(e.label, e.family) for e in ENTITY_TYPES], "label string, family string")
 
 
 @query
@@ -395,7 +399,7 @@ def rule_entities(spark, folder):
 
 @query
 def stream_detect_available_now(spark, folder):
-    """The stream of conversation files, detected as they come; the rows of the batch."""
+    """The stream of document files, detected as they come; all rows of the sink."""
     from ..streaming.runner import collect_stream
 
-    return collect_stream(spark, folder)
+    return collect_stream(spark, f"{folder}/documents.parquet", "doc_id")

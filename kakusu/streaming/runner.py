@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from ..functions.spans import detect, explode_spans
 
 
-def collect_stream(spark: SparkSession, folder: str, entities: tuple[str, ...] = ("EMAIL_ADDRESS", "IP_ADDRESS")) -> DataFrame:
-    """Spans of ``conversations`` through Structured Streaming; sink and checkpoint are in the cluster's shared folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kakusu-stream-")
+def collect_stream(spark: SparkSession, path: str, *keys: str, entities: tuple[str, ...] = ("EMAIL_ADDRESS", "IP_ADDRESS")) -> DataFrame:
+    """Spans of the Parquet files at ``path`` through Structured Streaming; sink and checkpoint are in the cluster's shared folder."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="kakusu-stream-")
     place = f"{shared}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{folder}/conversations.parquet").schema
-    turns = spark.readStream.schema(schema).parquet(f"{folder}/conversations.parquet*")
-    spans = explode_spans(detect(turns, entities=list(entities), context=False), "conv_id", "turn").select("conv_id", "turn", "entity_type", F.col("start").cast("long").alias("start"), "text")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    spans = explode_spans(detect(rows, entities=list(entities), context=False), *keys).select(*keys, "entity_type", F.col("start").cast("long").alias("start"), "text")
     run = spans.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out")
     run.awaitTermination()
     return spark.read.schema(spans.schema).parquet(f"{place}/out")

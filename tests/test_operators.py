@@ -64,6 +64,19 @@ def test_restore(spark, kind, body):
     assert sorted("<A_0_1>" in r.restored for r in got) == [False, True, True]
 
 
+def test_messages_without_system_are_restored(spark):
+    asked = envelopes.redact_requests(spark.createDataFrame([(json.dumps({"messages": [{"role": "user", "content": MAIL}]}),)], "body string"))
+    answer = F.lit(json.dumps({"type": "message", "content": [{"type": "text", "text": "to <EMAIL_ADDRESS_0_5>"}]}))
+    got = envelopes.restore_responses(asked.withColumn("response", answer)).first()
+    assert got.kind == "chat" and json.loads(got.restored)["content"][0]["text"] == "to a@b.jp"
+
+
+def test_split_cuts(spark):
+    for n, want in ((1009, [101, 101, 807]), (1015, [101, 102, 812])):
+        got = corpus.split(spark.range(n).withColumnRenamed("id", "doc_id")).groupBy("split").count().orderBy("split").collect()
+        assert [r["count"] for r in got] == want
+
+
 def test_split_is_exact_and_repeatable(spark):
     df = spark.range(1003).withColumnRenamed("id", "doc_id")
     a = {r.doc_id: r.split for r in corpus.split(df).collect()}
