@@ -88,16 +88,13 @@ def _correct(cells: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
     return rest.select("source_rank", F.explode(F.expr(step)["out"]).alias("c")).select("source_rank", "c.*")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: int = 2, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
-    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies`` (0 to ``cap`` copies of each row).
-
-    ``size_col`` may name a column of sizes; else words of ``text_col`` are counted. A source may be null (it is one
-    source, last in order). Documents of size 0 get no copy: they add nothing to any target. Repeated rows count each.
-    Among documents of one source and size the hash of the id decides, so reruns agree. Empty tables: no rows.
-    """
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, size_col: str | None, share: float, weights: tuple[int, ...], cap: int, tolerance: float, rounds: int) -> DataFrame:
+    """``docs`` with its columns named c0, c1 and so on, so that no name of theirs is in the way, and the four new columns."""
     need(docs, id_col, source_col)
-    sized = docs.withColumn("mix_size", F.col(size_col).cast("long") if size_col else word_count(text_col))
-    rows = sized.withColumn("_source", F.col(source_col)).withColumn("_order", F.xxhash64(F.col(id_col))).withColumn("_salt", F.pmod(F.xxhash64("_order"), F.lit(SALTS)))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.toDF(*at.values())
+    sized = docs.withColumn("mix_size", F.col(at[size_col]).cast("long") if size_col else word_count(at[text_col]))
+    rows = sized.withColumn("_source", F.col(at[source_col])).withColumn("_order", F.xxhash64(F.col(at[id_col]))).withColumn("_salt", F.pmod(F.xxhash64("_order"), F.lit(SALTS)))
     buckets = cut(rows.groupBy("_source", F.col("mix_size").alias("_size"), "_salt").agg(F.count("*").alias("n")))
     plan = cut(targets(buckets, share, weights, float(cap)))
     source = plan.select(F.col("_source").alias("_named"), "source_rank")
@@ -124,7 +121,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     return out.select(*docs.columns, "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("base") + F.when(F.col("_place") <= F.col("more"), 1).otherwise(0)).cast("long").alias("mix_copies"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it has copies, with the columns of ``docs``."""
-    mixed = mix_sources(docs, **options)
-    return mixed.withColumn("_copy_no", F.explode(F.expr("if(mix_copies > 0, sequence(1L, mix_copies), cast(array() as array<bigint>))"))).select(*docs.columns)
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: int = 2, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
+    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies`` (0 to ``cap`` copies of each row).
+
+    ``size_col`` may name a column of sizes; else words of ``text_col`` are counted. A source may be null (it is one
+    source, last in order). Documents of size 0 get no copy: they add nothing to any target. Repeated rows count each.
+    Among documents of one source and size the hash of the id decides, so reruns agree. Other columns may have any names; those
+    of the four new names are replaced. Null and empty texts have size 0. Empty tables: no rows.
+    """
+    mixed = _mixed(docs, id_col, source_col, text_col, size_col, share, weights, cap, tolerance, rounds)
+    new = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return mixed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new), *new)
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: int = 2, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it has copies (0 to ``cap``), with the columns of ``docs``.
+
+    Cases as in :func:`mix_sources`: rows of null or empty texts have no copies, a null source is a source, repeated rows count each.
+    """
+    mixed = _mixed(docs, id_col, source_col, text_col, size_col, share, weights, cap, tolerance, rounds)
+    copies = mixed.withColumn("_copy", F.explode(F.expr("if(mix_copies > 0, sequence(1L, mix_copies), cast(array() as array<bigint>))")))
+    return copies.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -132,3 +132,13 @@ def test_mixing_of_odd_tables(spark):
     assert [(r.mix_copies, r.mix_target) for r in got] == [(0, 0.0), (0, 0.0)]
     one = mixing.mix_sources(spark.createDataFrame([(i, "w w", "a") for i in range(4)], kind)).collect()
     assert sorted(r.mix_copies for r in one) == [1, 1, 2, 2]
+
+
+def test_mixing_leaves_other_columns_alone(spark):
+    rows = [(i, "w " * (i % 9), ["a", "b", None][i % 3], f"s{i}", i, "x", i) for i in range(60)] + [(7, "w w", "a", "t", 1, "y", 2)] * 3 + [(None, None, "b", "n", 0, "z", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _source string, mix_size long, _order string, c0 int")
+    got = mixing.mix_sources(df)
+    assert {r._source for r in got.collect()} == {r[3] for r in rows} and got.columns.count("mix_size") == 1 and got.count() == len(rows)
+    taken = mixing.apply_mix(df)
+    assert taken.columns == df.columns
+    assert all((r._source, r._order, r.c0, r.mix_size) in {(x[3], x[5], x[6], x[4]) for x in rows} for r in taken.collect())
