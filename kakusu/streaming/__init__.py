@@ -24,7 +24,9 @@ def restore_chunks(chunks: DataFrame, timeout_ms: int | None = None) -> DataFram
     """``conv_id, seq, restored`` of streamed response chunks (conv_id, seq, chunk, mapping).
 
     A placeholder may be cut by the end of a chunk: what may be its beginning waits in the state of its conversation for the
-    next chunk, or (where given, for streams that run on) for ``timeout_ms``. Chunks of one conversation are taken by seq within each micro-batch.
+    next chunk, or (where given, for streams that run on) for ``timeout_ms``. Where ``chunks`` has a boolean column ``done``, a true one
+    marks the end of its conversation: nothing is held back then. Without either, the tail of a conversation that ends in what
+    may begin a placeholder stays in the state. Chunks of one conversation are taken by seq within each micro-batch.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,11 +40,11 @@ def restore_chunks(chunks: DataFrame, timeout_ms: int | None = None) -> DataFram
             return
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
-        for seq, chunk, more in zip(rows["seq"], rows["chunk"], rows["mapping"]):
+        for seq, chunk, more, done in zip(rows["seq"], rows["chunk"], rows["mapping"], rows["done"]):
             mapping |= json.loads(more) if more else {}
             text = held + (chunk or "")
             open_ = re.search(r"<[A-Z_]*[0-9_]*$", text)
-            text, held = (text[: open_.start()], open_[0]) if open_ and len(open_[0]) < 64 else (text, "")
+            text, held = (text[: open_.start()], open_[0]) if open_ and len(open_[0]) < 64 and not done else (text, "")
             last = int(seq)
             out.append((key[0], last, back(text)))
         state.update((held, json.dumps(mapping, ensure_ascii=False), last))
@@ -50,5 +52,6 @@ def restore_chunks(chunks: DataFrame, timeout_ms: int | None = None) -> DataFram
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["conv_id", "seq", "restored"])
 
-    rows = chunks.select("conv_id", "seq", "chunk", F.to_json("mapping").alias("mapping"))
+    done = F.coalesce(F.col("done"), F.lit(False)) if "done" in chunks.columns else F.lit(False)
+    rows = chunks.select("conv_id", "seq", "chunk", F.to_json("mapping").alias("mapping"), done.alias("done"))
     return rows.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, seq long, restored string", "held string, mapping string, last long", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

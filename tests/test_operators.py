@@ -143,6 +143,14 @@ def test_placeholders_cut_by_chunks_are_restored(spark, tmp_path):
     assert "".join(got[got.conv_id == 1].restored) == "hello me and"
 
 
+def test_a_conversation_that_is_done_holds_nothing_back(spark, tmp_path):
+    schema = "conv_id long, seq long, chunk string, mapping map<string,string>, done boolean"
+    spark.createDataFrame([(1, 1, "by <PER", {"<PERSON_0_1>": "me"}, False), (1, 2, "SON_0_1> <A", None, True)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = restore_chunks(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("done").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert "".join(r.restored for r in spark.sql("SELECT * FROM done ORDER BY seq").collect()) == "by me <A"
+
+
 def test_credit_unions_are_banks(spark, sf):
     rows = ["城南信用金庫 渋谷支店 普通 1234567", "城南信金 渋谷支店 普通 1234567", "みずほ銀行 渋谷支店 普通 1234567", "城南信用金庫 渋谷支店 普通 口座"]
     got = ner.rule_entities(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string")).collect()
