@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import tempfile
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 NEWER = re.compile("[^\u0000-ԯḀ-ỿ‐-⁤₠-€]")
 LEXICON_SIZE = 131_072
 _FLUSH = 600_000
+_EDGE = struct.Struct("<BI")
 #: The driver's folder of the files that it serves to executors.
 _SERVED: list[tempfile.TemporaryDirectory] = []
 
@@ -114,15 +116,10 @@ def compile_lexicon(entries: dict[bytes, str]) -> bytes:
     made before. Layout: five counts, then the arrays first, final, label, target, skip, offsets, and the joined ids.
     """
     words = sorted(entries)
-    made: dict[tuple, int] = {}
-    states: list[tuple] = []
+    made: dict[bytes, int] = {}  # a state as bytes: is it final, its edges; in the order in which they are made
 
     def freeze(final: bool, edges: list[tuple[int, int]]) -> int:
-        key = (final, tuple(edges))
-        if key not in made:
-            made[key] = len(states)
-            states.append(key)
-        return made[key]
+        return made.setdefault(bytes([final]) + b"".join(_EDGE.pack(*e) for e in edges), len(made))
 
     path: list[list] = [[False, []]]  # of the last word: is the state final, edges so far
     last = b""
@@ -143,24 +140,24 @@ def compile_lexicon(entries: dict[bytes, str]) -> bytes:
     close(0)
     root = freeze(*path[0])
 
-    count = [0] * len(states)  # entries that can be reached; children come before parents
-    first, final, label, target, skip = [0], [], [], [], []
-    for k, (is_final, edges) in enumerate(states):
-        n = int(is_final)
-        for byte, child in edges:
+    count = array("I", bytes(4 * len(made)))  # entries that can be reached; children come before parents
+    first, final, label, target, skip = array("I", [0]), array("I"), array("I"), array("I"), array("I")
+    for k, state in enumerate(made):
+        n = state[0]
+        for byte, child in _EDGE.iter_unpack(state[1:]):
             label.append(byte)
             target.append(child)
             skip.append(n)
             n += count[child]
         count[k] = n
-        final.append(int(is_final))
+        final.append(state[0])
         first.append(len(label))
     ids = [entries[w].encode() for w in words]
-    offsets = [0]
+    offsets = array("I", [0])
     for x in ids:
         offsets.append(offsets[-1] + len(x))
     pack = lambda v: struct.pack(f"<{len(v)}I", *v)
-    return struct.pack("<3I", len(states), len(label), len(words)) + pack([root]) + pack(first) + pack(final) + pack(label) + pack(target) + pack(skip) + pack(offsets) + b"".join(ids)
+    return struct.pack("<3I", len(made), len(label), len(words)) + pack([root]) + pack(first) + pack(final) + pack(label) + pack(target) + pack(skip) + pack(offsets) + b"".join(ids)
 
 
 class Lexicon:
