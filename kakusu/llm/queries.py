@@ -18,6 +18,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -84,6 +90,24 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectorcodes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gracededup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenalign import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), vocabulary_path(), pieces_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_language_id": op2_language_id,
@@ -95,6 +119,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_tree_scores": op9_suffix_tree_scores,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_delta_lloyd_codes": op11_delta_lloyd_codes,
+    "op12_grace_dedup": op12_grace_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Rounds of assignment and means, spelled out one after the other."""
+    steps = [
+        f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS q FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, q[part * (len(q) // {parts}) + 1 : (part + 1) * (len(q) // {parts})] AS c FROM v, range({parts}) AS r(part))",
+        f"b0 AS MATERIALIZED (SELECT part, entry, c FROM (SELECT part, c, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < {entries})",
+    ]
+    for k in range(rounds + 1):
+        away = "list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT p.vec_id, p.label, p.part, p.c, min(CAST({away} AS BIGINT) * {entries} + b.entry) AS m FROM p JOIN b{k} AS b ON b.part = p.part GROUP BY ALL)")
+        if k < rounds:
+            mean = f"""SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT part, entry, i, CAST(sum(x) AS DOUBLE) AS s, count(*) AS n
+              FROM (SELECT part, m % {entries} AS entry, unnest(c) AS x, unnest(range(len(c))) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL"""
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{k} AS b LEFT JOIN ({mean}) AS n ON n.part = b.part AND n.entry = b.entry)")
+    steps.append(f"e AS (SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)")
+    books = f"(SELECT sha256(string_agg(x, ',' ORDER BY part, entry, i)) FROM (SELECT part, entry, CAST(unnest(c) AS VARCHAR) AS x, unnest(range(len(c))) AS i FROM b{rounds}))"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {books} AS codebooks_sha256 FROM e"
+
+
+ORACLES: dict[str, str] = {
+    "op11_delta_lloyd_codes": _codes_sql(),
+    "op12_grace_dedup": f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+      FROM (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+}
