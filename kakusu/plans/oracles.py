@@ -138,3 +138,14 @@ ORACLES["segments"] = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id
   SELECT doc_id, entity_type, start, "end" - start AS n_chars FROM e
   UNION ALL SELECT doc_id, NULL, before, start - before FROM e WHERE start > before
   UNION ALL SELECT d.doc_id, NULL, coalesce(m.last, 0), length(d.text) - coalesce(m.last, 0) FROM documents d LEFT JOIN (SELECT doc_id, max("end") AS last FROM s GROUP BY 1) m ON m.doc_id = d.doc_id WHERE length(d.text) > coalesce(m.last, 0))"""
+
+_ANSWERS = free_of_mail(every(PAIR, source=_BODIES, key="conv_id, turn"), ("conv_id", "turn"))
+ORACLES["delta_restore_stream"] = f"SELECT b.conv_id, b.turn, 1 + coalesce(s.n, 0) AS chunks, coalesce(b.text, '') AS text FROM {_BODIES} b LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM ({_ANSWERS}) GROUP BY 1, 2) s ON s.conv_id = b.conv_id AND s.turn = b.turn"
+_CARRIED = f"""s AS ({_TURNS}), f AS (SELECT conv_id, entity_type, text, min(turn * 1000000000 + start) AS first FROM s GROUP BY ALL),
+  k AS (SELECT conv_id, entity_type, text, '<' || entity_type || '_' || dense_rank() OVER (PARTITION BY conv_id ORDER BY first) || '>' AS name FROM f),
+  p AS (SELECT s.*, k.name FROM s JOIN k ON k.conv_id = s.conv_id AND k.entity_type = s.entity_type AND k.text = s.text)"""
+ORACLES["carried_mapping_stream"] = f"WITH {_CARRIED} SELECT DISTINCT conv_id, turn, name AS placeholder, text AS original FROM p"
+ORACLES["carried_redaction"] = f"""WITH {_CARRIED}, t AS (SELECT doc_id // 5 AS conv_id, doc_id % 5 AS turn, text FROM documents),
+  e AS (SELECT p.*, t.text AS whole, lag("end", 1, 0) OVER (PARTITION BY p.conv_id, p.turn ORDER BY start) AS before FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn),
+  g AS (SELECT conv_id, turn, string_agg(substr(whole, CAST(before AS BIGINT) + 1, CAST(start - before AS BIGINT)) || name, '' ORDER BY start) || substr(any_value(whole), CAST(max("end") AS BIGINT) + 1) AS redacted FROM e GROUP BY 1, 2)
+  SELECT t.conv_id, t.turn, coalesce(g.redacted, t.text) AS redacted FROM t LEFT JOIN g ON g.conv_id = t.conv_id AND g.turn = t.turn"""

@@ -403,3 +403,49 @@ def stream_detect_available_now(spark, folder):
     from ..streaming.runner import collect_stream
 
     return collect_stream(spark, f"{folder}/documents.parquet", "doc_id")
+
+
+def _answers(spark, folder):
+    """A redacted text and its mapping for each turn and each document (a conversation of its own)."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    more = docs(spark, folder).select(F.expr("-1 - doc_id").alias("conv_id"), F.expr("doc_id % 5").alias("turn"), "text")
+    return reversible.redact_with_mapping(turns.unionByName(more), part_col="turn", entities=PAIR)
+
+
+@query
+def delta_restore_stream(spark, folder):
+    """Answers that come as deltas, every placeholder cut in two, over several micro-batches in any order: put together again."""
+    from ..streaming.conversations import restore_deltas
+    from ..streaming.runner import replay
+
+    cut = F.split(F.regexp_replace(F.coalesce("redacted", F.lit("")), r"(<[A-Z_]+_\d)(\d*_\d+>)", "$1\x01$2"), "\x01", -1)
+    pieces = _answers(spark, folder).select("conv_id", "turn", "mapping", F.size(cut).alias("n"), F.posexplode(cut).alias("seq", "chunk"))
+    first = F.when(F.col("seq") == 0, F.col("mapping"))
+    chunks = pieces.select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), "chunk", first.alias("mapping"), (F.col("seq") == F.col("n") - 1).alias("done"))
+    restored = replay(chunks.repartition("conv_id", "turn", "seq"), lambda s: restore_deltas(s, "conv_id", "turn"))
+    whole = restored.groupBy("conv_id", "turn").agg(F.count("*").alias("chunks"), F.sort_array(F.collect_list(F.struct("seq", "restored"))).alias("parts"))
+    return whole.select("conv_id", "turn", "chunks", F.array_join("parts.restored", "").alias("text"))
+
+
+def _five_turns(spark, folder):
+    """Documents as turns of conversations, five each."""
+    return docs(spark, folder).select(F.expr("doc_id div 5").alias("conv_id"), F.expr("doc_id % 5").alias("turn"), "text")
+
+
+@query
+def carried_redaction(spark, folder):
+    """One placeholder for one original in all turns of a conversation."""
+    from ..streaming.conversations import carry_mapping
+
+    return carry_mapping(_five_turns(spark, folder), entities=PAIR).select("conv_id", "turn", "redacted")
+
+
+@query
+def carried_mapping_stream(spark, folder):
+    """The same from a stream whose turns come in any order over several micro-batches."""
+    from ..streaming.conversations import carry_mapping_stream
+    from ..streaming.runner import replay
+
+    turns = _five_turns(spark, folder).repartition("conv_id", "turn")
+    out = replay(turns, lambda s: carry_mapping_stream(s, entities=PAIR))
+    return out.select("conv_id", "turn", F.explode("mapping").alias("placeholder", "original"))

@@ -26,7 +26,8 @@ def restore_chunks(chunks: DataFrame, timeout_ms: int | None = None) -> DataFram
     A placeholder may be cut by the end of a chunk: what may be its beginning waits in the state of its conversation for the
     next chunk, or (where given, for streams that run on) for ``timeout_ms``. Where ``chunks`` has a boolean column ``done``, a true one
     marks the end of its conversation: nothing is held back then. Without either, the tail of a conversation that ends in what
-    may begin a placeholder stays in the state. Chunks of one conversation are taken by seq within each micro-batch.
+    may begin a placeholder stays in the state. Chunks of one conversation are taken by seq within each micro-batch; where they may
+    come late over several, and for state that is typed and freed by timers, see :func:`.conversations.restore_deltas`.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,17 +40,21 @@ def restore_chunks(chunks: DataFrame, timeout_ms: int | None = None) -> DataFram
             yield pd.DataFrame({"conv_id": [key[0]], "seq": [last], "restored": [back(held)]})
             return
         rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
+        out, over = [], False
         for seq, chunk, more, done in zip(rows["seq"], rows["chunk"], rows["mapping"], rows["done"]):
             mapping |= json.loads(more) if more else {}
             text = held + (chunk or "")
-            open_ = re.search(r"<[A-Z_]*[0-9_]*$", text)
-            text, held = (text[: open_.start()], open_[0]) if open_ and len(open_[0]) < 64 and not done else (text, "")
+            open_ = text[at:] if (at := text.rfind("<")) >= 0 and not done else ""
+            text, held = (text[:at], open_) if open_ and any(len(p) > len(open_) and p.startswith(open_) for p in mapping) else (text, "")
+            over = bool(done)
             last = int(seq)
             out.append((key[0], last, back(text)))
-        state.update((held, json.dumps(mapping, ensure_ascii=False), last))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+        if over:
+            state.remove()
+        else:
+            state.update((held, json.dumps(mapping, ensure_ascii=False), last))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["conv_id", "seq", "restored"])
 
     done = F.coalesce(F.col("done"), F.lit(False)) if "done" in chunks.columns else F.lit(False)
