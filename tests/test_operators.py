@@ -14,6 +14,7 @@ MAIL = "mail a@b.jp now"
 
 
 def one(spark, body, **k):
+    k = {"entities": ["EMAIL_ADDRESS"]} | k
     return envelopes.redact_requests(spark.createDataFrame([(body if isinstance(body, str) else json.dumps(body),)], "body string"), **k).first()
 
 
@@ -40,7 +41,7 @@ def test_system_prompts(spark):
 
 @pytest.mark.parametrize("body", ["", "{", "[1]", "3", None])
 def test_what_is_no_object_is_quarantined(spark, body):
-    got = envelopes.redact_requests(spark.createDataFrame([(body,)], "body string")).first()
+    got = envelopes.redact_requests(spark.createDataFrame([(body,)], "body string"), entities=["URL"]).first()
     assert got.quarantined and got.redacted_body is None
 
 
@@ -65,7 +66,7 @@ def test_restore(spark, kind, body):
 
 
 def test_messages_without_system_are_restored(spark):
-    asked = envelopes.redact_requests(spark.createDataFrame([(json.dumps({"messages": [{"role": "user", "content": MAIL}]}),)], "body string"))
+    asked = envelopes.redact_requests(spark.createDataFrame([(json.dumps({"messages": [{"role": "user", "content": MAIL}]}),)], "body string"), entities=["EMAIL_ADDRESS"])
     answer = F.lit(json.dumps({"type": "message", "content": [{"type": "text", "text": "to <EMAIL_ADDRESS_0_5>"}]}))
     got = envelopes.restore_responses(asked.withColumn("response", answer)).first()
     assert got.kind == "chat" and json.loads(got.restored)["content"][0]["text"] == "to a@b.jp"
@@ -189,3 +190,47 @@ def test_images_elsewhere_are_withheld(spark):
     got = one(spark, {"messages": [{"role": "u", "content": [{"type": "image_url", "image_url": {"url": "https://a.jp/b.png"}}]}]}, redactor=lambda c, f: c)
     assert got.image_status == "withheld: not in the body" and "a.jp" not in got.redacted_body
     assert one(spark, {"input": "x"}).image_status == "no image"
+
+
+def test_texts_of_tools(spark):
+    """Results of tools, calls and their arguments, in all shapes; keys stay; nothing but texts changes."""
+    deep = {"a": [MAIL, 7, {"b@c.jp": 'say "hi" to\n a@b.jp \\ '}], "n": None}
+    bodies = [
+        {"messages": [{"role": "a", "content": None, "tool_calls": [{"id": "a@b.jp", "function": {"name": "f", "arguments": json.dumps({"to": MAIL})}}]}, {"role": "tool", "content": MAIL}]},
+        {"system": MAIL, "messages": [{"content": [{"type": "tool_result", "content": MAIL}, {"type": "tool_result", "content": [{"type": "text", "text": MAIL}, {"type": "x", "text": MAIL}]}, {"type": "tool_use", "input": deep}]}]},
+        {"input": [{"type": "function_call", "arguments": MAIL}, {"type": "function_call_output", "output": MAIL}, {"content": [{"type": "input_text", "text": MAIL}]}, "x", None]},
+        {"contents": [{"parts": [{"text": MAIL, "functionCall": {"args": deep}}, {"functionResponse": {"response": {"x": [MAIL]}}}]}], "systemInstruction": {"parts": [{"text": MAIL}]}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b), "kept", "kept") for i, b in enumerate(bodies)], "id long, body string, _done string, _left string")
+    out = envelopes.redact_requests(df, entities=["EMAIL_ADDRESS"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "Python" not in plan and "InPandas" not in plan
+    for r in out.collect():
+        assert (r["_done"], r["_left"], r["quarantined"], r["image_status"]) == ("kept", "kept", False, "no image")
+        back = r["redacted_body"]
+        for name, original in r["mapping"].items():
+            assert back.count(name) == 1
+            back = back.replace(name, original)
+        assert json.loads(back) == bodies[r["id"]]
+        assert r["redacted_body"].count("a@b.jp") == {0: 1, 1: 1}.get(r["id"], 0)  # an id, and a part of no known type
+    answers = out.withColumn("response", F.to_json(F.struct(F.array(F.struct(F.col("redacted_body").alias("text"))).alias("content"))))
+    restored = envelopes.restore_responses(answers).collect()
+    assert all(json.loads(json.loads(r["restored"])["content"][0]["text"]) == bodies[r["id"]] for r in restored)
+
+
+def test_restored_originals_are_json(spark):
+    """Originals with quotes and line ends, angle brackets that a server escaped, what is no placeholder."""
+    rows = [("chat", '{"choices": [{"message": {"content": "\\u003cA_0_1\\u003E <A_0_2> <B_1> 1.0"}}], "n": 1.0}', {"<A_0_1>": 'x"\n\\', "<A_0_2>": "<A_0_1>"}), (None, '{"other": "<A_0_1>"}', {"<A_0_1>": "x"}), ("chat", None, {"<A_0_1>": "x"})]
+    got = [r["restored"] for r in envelopes.restore_responses(spark.createDataFrame(rows, "kind string, response string, mapping map<string,string>")).collect()]
+    assert json.loads(got[0])["choices"][0]["message"]["content"] == 'x"\n\\ <A_0_1> <B_1> 1.0' and got[0].endswith('"n": 1.0}')
+    assert got[1:] == ['{"other": "<A_0_1>"}', None]
+
+
+def test_images_at_odd_places_withhold_the_body(spark):
+    image = {"type": "image", "source": {"type": "base64", "data": "c2VjcmV0IGltYWdl"}}
+    got = one(spark, {"messages": [{"role": "u", "content": "x", "more": {"deep": [image]}}]})
+    assert got.quarantined and got.redacted_body is None and got.image_status == "withheld: the body"
+    got = one(spark, {"system": "s", "messages": [{"role": "u", "content": [{"type": "tool_result", "content": [image, {"type": "text", "text": MAIL}]}]}]})
+    assert json.loads(got.redacted_body)["messages"][0]["content"][0]["content"] == [{"type": "text", "text": "mail <EMAIL_ADDRESS_0_5> now"}]
+    assert got.image_status == "withheld: no redactor"
+    assert one(spark, {"prompt": "x"}).image_status == "not known"
