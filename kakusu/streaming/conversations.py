@@ -39,8 +39,8 @@ class InOrder(StatefulProcessor):
     def begin(self, handle: StatefulProcessorHandle) -> None:
         """Makes the state that ``take`` needs."""
 
-    def load(self) -> None:
-        """Reads that state for a key."""
+    def load(self, known: bool) -> None:
+        """Reads that state for a key; one that is not known has none, and is asked nothing (each question is a round trip)."""
 
     def save(self) -> None:
         """Writes it back."""
@@ -70,8 +70,9 @@ class InOrder(StatefulProcessor):
         return pd.DataFrame([(*key, *r) for r in rows], columns=self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, last, waiting = self.place.get() if self.place.exists() else (0, -1, 0)
-        self.load()
+        known = kept = self.place.exists()
+        at, last, waiting = self.place.get() if known else (0, -1, 0)
+        self.load(known)
         out: list[tuple] = []
         for frame in rows:
             for seq, value, done in zip(frame["seq"].tolist(), frame["value"], frame["done"]):
@@ -79,8 +80,9 @@ class InOrder(StatefulProcessor):
                 if seq < at:
                     continue
                 if seq > at:
-                    waiting += not self.early.containsKey((seq,))
+                    waiting += not (kept and self.early.containsKey((seq,)))
                     self.early.updateValue((seq,), (value,))
+                    kept = True
                     continue
                 while value is not None:
                     out += self.take(at, json.loads(value), at == last)
@@ -92,7 +94,8 @@ class InOrder(StatefulProcessor):
                 yield self._frame(key, out)
                 out = []
         if 0 <= last < at:
-            self._forget()
+            if kept:
+                self._forget()
         else:
             self.place.update((at, last, waiting))
             self.save()
@@ -105,7 +108,7 @@ class InOrder(StatefulProcessor):
         out: list[tuple] = []
         if self.place.exists():
             at, last, _ = self.place.get()
-            self.load()
+            self.load(True)
             for seq, value in sorted((k[0], v[0]) for k, v in self.early.iterator()):  # those before it never came
                 out += self.take(seq, json.loads(value), seq == last)
                 at = seq + 1
@@ -119,9 +122,9 @@ class _Restore(InOrder):
         self.held_state = handle.getValueState("held", "text string")
         self.originals = handle.getMapState("originals", "placeholder string", "original string")
 
-    def load(self):
-        self.held = self.held_state.get()[0] if self.held_state.exists() else ""
-        self.known = {k[0]: v[0] for k, v in self.originals.iterator()}
+    def load(self, known):
+        self.held = self.held_state.get()[0] if known and self.held_state.exists() else ""
+        self.known = {k[0]: v[0] for k, v in self.originals.iterator()} if known else {}
         self.new: dict[str, str] = {}
 
     def save(self):
@@ -177,12 +180,15 @@ class _Carry(InOrder):
         self.numbers = handle.getMapState("numbers", "entity_type string, original string", "number long")
         self.count = handle.getValueState("count", "n long")
 
-    def load(self):
-        self.n = self.count.get()[0] if self.count.exists() else 0
+    def load(self, known):
+        self.known, self.n = known, self.count.get()[0] if known and self.count.exists() else 0
         self.cache: dict[tuple[str, str], int] = {}
+        self.new: list[tuple[str, str]] = []
 
     def save(self):
         self.count.update((self.n,))
+        for key in self.new:
+            self.numbers.updateValue(key, (self.cache[key],))
 
     def clear(self):
         self.numbers.clear()
@@ -193,12 +199,12 @@ class _Carry(InOrder):
         for s in value.get("spans") or []:
             key = (s["entity_type"], s["text"])
             if key not in self.cache:
-                if self.numbers.containsKey(key):
+                if self.known and self.numbers.containsKey(key):
                     self.cache[key] = self.numbers.getValue(key)[0]
                 else:
                     self.n += 1
                     self.cache[key] = self.n
-                    self.numbers.updateValue(key, (self.n,))
+                    self.new.append(key)
             name = f"<{key[0]}_{self.cache[key]}>"
             pieces += [text[at : s["start"]], name]
             at = s["end"]

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import detect, explode_spans
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: Typed state with timers needs this store.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A micro-batch writes down what changed in the state, not all of it.
+_STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def shared_place(spark: SparkSession) -> str:
@@ -32,13 +33,15 @@ def shared_place(spark: SparkSession) -> str:
 def drain(stream: DataFrame, place: str, mode: str = "append") -> DataFrame:
     """All rows that ``stream`` gives for what its sources hold now, through a Parquet sink at ``place``."""
     spark = stream.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         run = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out")
         run.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
