@@ -149,3 +149,5 @@ ORACLES["carried_redaction"] = f"""WITH {_CARRIED}, t AS (SELECT doc_id // 5 AS
   e AS (SELECT p.*, t.text AS whole, lag("end", 1, 0) OVER (PARTITION BY p.conv_id, p.turn ORDER BY start) AS before FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn),
   g AS (SELECT conv_id, turn, string_agg(substr(whole, CAST(before AS BIGINT) + 1, CAST(start - before AS BIGINT)) || name, '' ORDER BY start) || substr(any_value(whole), CAST(max("end") AS BIGINT) + 1) AS redacted FROM e GROUP BY 1, 2)
   SELECT t.conv_id, t.turn, coalesce(g.redacted, t.text) AS redacted FROM t LEFT JOIN g ON g.conv_id = t.conv_id AND g.turn = t.turn"""
+ORACLES["overlapping_types"] = f"""WITH s AS ({every()}) SELECT a.doc_id, a.entity_type AS entity_type_a, a.start AS start_a, a."end" AS end_a, b.entity_type AS entity_type_b, b.start AS start_b, b."end" AS end_b
+  FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end" AND (a.start, a."end", a.entity_type) < (b.start, b."end", b.entity_type)"""

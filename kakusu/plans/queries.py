@@ -449,3 +449,11 @@ def carried_mapping_stream(spark, folder):
     turns = _five_turns(spark, folder).repartition("conv_id", "turn")
     out = replay(turns, lambda s: carry_mapping_stream(s, entities=PAIR))
     return out.select("conv_id", "turn", F.explode("mapping").alias("placeholder", "original"))
+
+
+@query
+def overlapping_types(spark, folder):
+    """Pairs of spans of any types that overlap in a document."""
+    from ..operators.overlaps import overlapping_pairs
+
+    return overlapping_pairs(found(spark, folder, None), "doc_id")
