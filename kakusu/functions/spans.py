@@ -26,29 +26,30 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _running(values: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+def running(values: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
     """For each element the total of those before it: of whole chunks before its own, joined with its chunk's so far."""
     chunks = lambda v: F.sequence(F.lit(0), F.floor(F.size(v) / _CHUNK).cast("int"))
     at = lambda i: F.floor(i / _CHUNK).cast("int")
     each = lambda v, heads: F.transform(v, lambda _, i: join(F.get(heads, at(i)), total(F.slice(v, at(i) * _CHUNK + 1, i % _CHUNK))))
     heads = lambda v, sums: F.transform(chunks(v), lambda c: total(F.slice(sums, F.lit(1), c)))
-    return _bind(values, lambda v: _bind(F.transform(chunks(v), lambda c: total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)))), lambda sums: _bind(heads(v, sums), lambda h: each(v, h))))
+    return bind(values, lambda v: bind(F.transform(chunks(v), lambda c: total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)))), lambda sums: bind(heads(v, sums), lambda h: each(v, h))))
 
 
-def find(text: Column, pattern: Pattern, entity: str, context: tuple[str, ...] = (), window: int = 16) -> Column:
+def find(text: Column, pattern: Pattern, entity: str, context: tuple[str, ...] = (), window: int = 16, longest: Column | None = None) -> Column:
     """Array of spans of all non-overlapping matches, left to right; empty if there are none.
 
     Scores are raised by 0.35 (to 0.4 at least, 1 at most) where a context term stands in the ``window`` characters before.
+    ``longest`` is :func:`longest_run` of the text, for callers that have it: texts whose digits can't match aren't scanned.
     """
     marked = F.contains(text, F.lit(_MARK))
     safe = F.when(marked, F.translate(text, _MARK, "\x02")).otherwise(text)
     pieces = F.split(F.regexp_replace(safe, F.lit(FLAGS + pattern.regex), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
-    starts = lambda p: _running(F.transform(p, F.char_length), lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y), lambda x, y: x + y)
+    starts = lambda p: running(F.transform(p, F.char_length), lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y), lambda x, y: x + y)
 
     def span(p: Column, at: Column, i: Column) -> Column:
         piece, start = F.get(p, i), F.get(at, i)
@@ -63,15 +64,23 @@ def find(text: Column, pattern: Pattern, entity: str, context: tuple[str, ...] =
         return F.struct(F.lit(entity).alias("entity_type"), start.alias("start"), (start + size).alias("end"), score.alias("score"), own.alias("text"))
 
     odd = lambda p: F.when(F.size(p) > 2, F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    spans = _bind(pieces, lambda p: _bind(starts(p), lambda at: F.filter(F.transform(odd(p), lambda i: span(p, at, i)), lambda s: s["end"] > s["start"])))
+    spans = bind(pieces, lambda p: bind(starts(p), lambda at: F.filter(F.transform(odd(p), lambda i: span(p, at, i)), lambda s: s["end"] > s["start"])))
     likely = text.isNotNull()
     for piece in pattern.needs:
         likely &= F.contains(text, F.lit(piece))
-    if pattern.digits and not pattern.needs:
+    if pattern.digits and longest is not None:
+        likely &= longest >= pattern.run
+    elif pattern.digits and not pattern.needs:
         likely &= text.rlike(r"(?U)\d")
     return F.when(likely & text.rlike(FLAGS + pattern.regex), spans).otherwise(no_spans())
 
 
+def longest_run(text: Column) -> Column:
+    """How many decimal digits stand in a row at most; one pass over the text, for all patterns."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?U)\d+"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, F.char_length)), F.lit(0))
+
+
 def _near(before: Column, context: tuple[str, ...]) -> Column:
     """Whether a context term stands in ``before``: other than ASCII anywhere, ASCII as a whole word."""
     words = sorted({t.lower() for t in context})
@@ -86,11 +95,10 @@ def _near(before: Column, context: tuple[str, ...]) -> Column:
 
 def spans_of(text: Column, entities: list[str] | None = None, lang: str | None = "ja", catalog: Catalog = DEFAULT, context: bool = True, threshold: float = 0.0) -> Column:
     """All spans of all recognizers in catalogue order; nested and overlapping ones included."""
-    parts = []
-    for r in catalog.prune(entities, lang).recognizers:
-        for p in r.patterns:
-            parts.append(find(text, p, r.entity, r.context if context else ()))
-    out = F.flatten(F.array(*parts)) if parts else no_spans()
+    wanted = [(p, r) for r in catalog.prune(entities, lang).recognizers for p in r.patterns]
+    every = lambda n: F.flatten(F.array(*(find(text, p, r.entity, r.context if context else (), longest=n) for p, r in wanted)))
+    shared = sum(p.digits for p, _ in wanted) > 1  # what is asked once only needs no answer ahead
+    out = (bind(longest_run(text), every) if shared else every(None)) if wanted else no_spans()
     return F.filter(out, lambda s: s["score"] >= threshold) if threshold > 0 else out
 
 
@@ -113,11 +121,11 @@ def _fold(ranked: Column, clash) -> Column:
 def _resolved(spans: Column, clash) -> Column:
     """By start: the spans that stay when ``clash`` decides in the order of :func:`rank`, one cluster of touching spans at a time."""
     settle = lambda cluster: F.when(F.size(cluster) > 1, _fold(rank(cluster), clash)).otherwise(cluster)
-    reach = lambda v: _running(F.transform(v, lambda s: s["end"]), lambda a: F.coalesce(F.array_max(a), F.lit(0)), F.greatest)
+    reach = lambda v: running(F.transform(v, lambda s: s["end"]), lambda a: F.coalesce(F.array_max(a), F.lit(0)), F.greatest)
     firsts = lambda v, r: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.get(v, i)["start"] >= F.get(r, i))
     ends = lambda v, f, i: F.coalesce(F.get(f, i + 1), F.size(v))
     clusters = lambda v, f: F.transform(f, lambda k, i: settle(F.slice(v, k + 1, ends(v, f, i) - k)))
-    kept = _bind(by_start(spans), lambda v: _bind(reach(v), lambda r: _bind(firsts(v, r), lambda f: F.flatten(clusters(v, f)))))
+    kept = bind(by_start(spans), lambda v: bind(reach(v), lambda r: bind(firsts(v, r), lambda f: F.flatten(clusters(v, f)))))
     return F.when(F.size(spans) > 1, by_start(kept)).otherwise(spans)
 
 
@@ -132,8 +140,9 @@ def disjoint_spans(spans: Column) -> Column:
 
 
 def first_wins(spans: Column) -> Column:
-    """The spans that stay when each overlap goes to the span that comes first in the array."""
-    return _fold(spans, lambda k, s: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+    """The spans that stay when each overlap goes to the span that comes first in the array, in their order; by clusters, too."""
+    numbered = F.transform(spans, lambda s, i: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), (-i).cast("double").alias("score"), F.lit("").alias("text")))
+    return F.transform(F.array_sort(F.transform(disjoint_spans(numbered), lambda s: (-s["score"]).cast("int"))), lambda i: F.get(spans, i))
 
 
 def segments(text: Column, spans: Column) -> Column:

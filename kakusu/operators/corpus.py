@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import NER_LABELS, Pattern
-from ..functions.spans import find
+from ..functions.spans import bind, find, first_wins, running
 
 ENTITY = "struct<start:int,end:int,label:string,text:string>"
 ENTITIES = f"array<{ENTITY}>"
@@ -17,23 +17,26 @@ def parse_tags(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Adds ``text`` without tags and ``entities`` at its code points. Unknown and unclosed tags are ordinary text."""
     raw = F.translate(F.col(raw_col), "\x01\x02", "  ")
     pieces = F.split(F.regexp_replace(raw, F.lit(_TAG), F.lit("\x01$1\x02$2\x01")), "\x01", -1)
+    body = lambda piece: F.substring_index(piece, "\x02", -1)
+    starts = lambda p: running(F.transform(p, lambda x: F.char_length(body(x))), _added, lambda x, y: x + y)
 
-    def step(acc: Column, piece: Column) -> Column:
-        label, body = F.substring_index(piece, "\x02", 1), F.substring_index(piece, "\x02", -1)
-        size = F.when(acc["inside"], F.char_length(body)).otherwise(F.char_length(piece))
-        entity = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("end"), label.alias("label"), body.alias("text"))
-        out = F.when(acc["inside"], F.array_append(acc["out"], entity)).otherwise(acc["out"])
-        return F.struct((acc["at"] + size).alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
+    def entity(piece: Column, at: Column) -> Column:
+        return F.struct(at.alias("start"), (at + F.char_length(body(piece))).alias("end"), F.substring_index(piece, "\x02", 1).alias("label"), body(piece).alias("text"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(ENTITIES).alias("out"))
-    return df.withColumn("text", F.regexp_replace(raw, F.lit(_TAG), F.lit("$2"))).withColumn("entities", F.aggregate(pieces, start, step, lambda a: a["out"]))
+    inside = lambda p: F.when(F.size(p) > 2, F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    found = bind(pieces, lambda p: bind(starts(p), lambda at: F.transform(inside(p), lambda i: entity(F.get(p, i), F.get(at, i)))))
+    return df.withColumn("text", F.regexp_replace(raw, F.lit(_TAG), F.lit("$2"))).withColumn("entities", found.cast(ENTITIES))
+
+
+def _added(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda x, y: x + y)
 
 
 def valid_annotations(text: Column, entities: Column, labels: tuple[str, ...] = NER_LABELS) -> Column:
-    """Every entity is the text at its place and has a known label, and no two overlap."""
+    """Every entity is the text at its place and has a known label, and no two overlap: none begins before the one ahead of it ends."""
     right = F.forall(entities, lambda e: (F.substring(text, e["start"] + 1, e["end"] - e["start"]) == e["text"]) & e["label"].isin(*labels))
-    numbered = F.transform(entities, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
-    clash = F.exists(numbered, lambda a: F.exists(numbered, lambda b: (a["i"] < b["i"]) & (a["e"]["start"] < b["e"]["end"]) & (b["e"]["start"] < a["e"]["end"])))
+    places = F.array_sort(F.transform(entities, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))))
+    clash = bind(places, lambda v: F.exists(F.transform(v, lambda e, i: (i > 0) & (e["start"] < F.get(v, i - 1)["end"])), lambda x: x))
     return right & ~clash
 
 
@@ -42,25 +45,46 @@ def usable(df: DataFrame) -> DataFrame:
     return df.filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.size("entities") > 0) & valid_annotations(F.col("text"), F.col("entities")))
 
 
-def tokens(text: Column) -> Column:
-    """Runs of non-blank characters with their places (a stand-in for a tokenizer)."""
-    return F.transform(find(text, Pattern("token", r"\S+", 1.0, (), False), "TOKEN"), lambda s: F.struct(s["text"].alias("tok"), s["start"].alias("start"), s["end"].alias("end")))
+def tokens(text: Column, regex: str = r"\S+") -> Column:
+    """Runs of non-blank characters (or what ``regex`` matches) with their places: a stand-in for a tokenizer."""
+    return F.transform(find(text, Pattern("token", regex, 1.0, (), False), "TOKEN"), lambda s: F.struct(s["text"].alias("tok"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _ahead(these: Column, those: Column, edge: str, ties: bool) -> Column:
+    """For each of ``those`` how many of ``these`` have a lower (with ``ties``: or equal) edge: one merge of both, in order."""
+    mark = lambda items, kind: F.transform(items, lambda x, i: F.struct(x[edge].alias("at"), F.lit(kind).alias("kind"), i.alias("no")))
+    merged = F.array_sort(F.concat(mark(these, 0 if ties else 2), mark(those, 1)))
+    ahead = lambda m: running(F.transform(m, lambda x: F.when(x["kind"] == 1, 0).otherwise(1)), _added, lambda x, y: x + y)
+    own = lambda m, a: F.filter(F.transform(m, lambda x, i: F.struct(x["no"].alias("no"), F.get(a, i).alias("n"), x["kind"].alias("kind"))), lambda x: x["kind"] == 1)
+    return bind(merged, lambda m: bind(ahead(m), lambda a: F.transform(F.array_sort(own(m, a)), lambda x: x["n"])))
+
+
+def token_ranges(entities: Column, tokens: Column) -> Column:
+    """For each entity ``first`` and ``last``, the tokens it is widened to (from 0): the last that begins at or before its start, the
+    first that ends at or after its end; null where there is none. Tokens are disjoint and in order. Both arrays are merged, so
+    the work is that of sorting them, whatever their lengths.
+    """
+    last = lambda n, size: F.when(n < size, n)
+    return bind(tokens, lambda t: F.transform(F.arrays_zip(_ahead(t, entities, "start", True).alias("a"), _ahead(t, entities, "end", False).alias("b")), lambda x: F.struct(F.when(x["a"] > 0, x["a"] - 1).alias("first"), last(x["b"], F.size(t)).alias("last"))))
 
 
 def align(df: DataFrame, entities_col: str = "entities", tokens_col: str = "tokens") -> DataFrame:
-    """Adds ``aligned`` (entities widened to token edges; of overlapping ones the first stays), ``failed`` and ``total`` counts."""
-
-    def widen(e: Column) -> Column:
-        first = F.array_max(F.transform(F.filter(tokens_col, lambda t: t["start"] <= e["start"]), lambda t: t["start"]))
-        last = F.array_min(F.transform(F.filter(tokens_col, lambda t: t["end"] >= e["end"]), lambda t: t["end"]))
-        return F.struct(first.alias("start"), last.alias("end"), e["label"].alias("label"), e["text"].alias("text"))
-
-    wide = F.transform(F.col(entities_col), widen)
-    fine = F.filter(wide, lambda e: e["start"].isNotNull() & e["end"].isNotNull() & (e["start"] < e["end"]))
-    free = lambda kept, e: ~F.exists(kept, lambda k: (k["start"] < e["end"]) & (e["start"] < k["end"]))
-    kept = F.aggregate("_fine", F.array().cast(ENTITIES), lambda acc, e: F.when(free(acc, e), F.array_append(acc, e)).otherwise(acc))
-    out = df.withColumn("_fine", fine).withColumn("aligned", kept).withColumn("total", F.size(entities_col).cast("long"))
-    return out.withColumn("failed", (F.size(entities_col) - F.size("_fine")).cast("long")).drop("_fine")
+    """Adds ``aligned`` (entities widened to token edges; of those with a token in common the first stays), ``failed`` and ``total``.
+
+    An entity that no tokens reach fails. Null entities or tokens: null.
+    """
+
+    def widen(e: Column, i: Column) -> Column:
+        r = F.get(F.col("_ranges"), i)
+        start, end = F.get(F.col(tokens_col), r["first"])["start"], F.get(F.col(tokens_col), r["last"])["end"]
+        return F.struct(r.alias("r"), start.alias("start"), end.alias("end"), e["label"].alias("label"), e["text"].alias("text"))
+
+    fine = F.filter(F.transform(F.col(entities_col), widen), lambda e: e["start"].isNotNull() & e["end"].isNotNull() & (e["start"] < e["end"]))
+    spans = F.transform("_fine", lambda e, i: F.struct(i.cast("string").alias("entity_type"), e["r"]["first"].alias("start"), (e["r"]["last"] + 1).alias("end"), F.lit(0.0).alias("score"), F.lit("").alias("text")))
+    kept = F.transform(first_wins(spans), lambda s: F.get(F.col("_fine"), s["entity_type"].cast("int")))
+    aligned = F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), e["text"].alias("text"))).cast(ENTITIES)
+    out = df.withColumn("_ranges", token_ranges(F.col(entities_col), F.col(tokens_col))).withColumn("_fine", fine).withColumn("aligned", aligned).withColumn("total", F.size(entities_col).cast("long"))
+    return out.withColumn("failed", (F.size(entities_col) - F.size("_fine")).cast("long")).drop("_fine", "_ranges")
 
 
 def aligned_documents(df: DataFrame) -> DataFrame:

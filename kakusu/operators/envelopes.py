@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.catalog import DEFAULT, Catalog
-from ..functions.spans import _bind, _running, disjoint_spans, no_spans, spans_of
+from ..functions.spans import bind, disjoint_spans, no_spans, running, spans_of
 from .anonymize import splice
 from .reversible import MAPPING, mapping_of, placeholder
 
@@ -68,7 +68,7 @@ def _with(v: Column, **changes: Column) -> Column:
     """An object with other values at keys that it has; a null change leaves the value. Other values come back as they are."""
     new = F.create_map(*(x for key, value in changes.items() for x in (F.lit(key), value)))
     built = lambda m: F.to_variant_object(F.transform_values(_object(v), lambda k, x: F.coalesce(F.try_element_at(m, k), x)))
-    return F.coalesce(_bind(new, built), v)
+    return F.coalesce(bind(new, built), v)
 
 
 def _none() -> Column:
@@ -85,7 +85,7 @@ def _texts(*texts: Column) -> Column:
 def _literals(v: Column, body: Callable[[Column, Column], Column]) -> Column:
     """``body`` of the pieces between string literals of ``v`` as JSON and of the literals; escaped quotes and backslashes are marks."""
     plain = F.replace(F.replace(F.to_json(v), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
-    return _bind(plain, lambda j: body(F.split(j, '"[^"]*"', -1), F.regexp_extract_all(j, F.lit('"[^"]*"'), F.lit(0))))
+    return bind(plain, lambda j: body(F.split(j, '"[^"]*"', -1), F.regexp_extract_all(j, F.lit('"[^"]*"'), F.lit(0))))
 
 
 def _unmark(literal: Column) -> Column:
@@ -190,7 +190,7 @@ def _sum(a: Column) -> Column:
 
 
 def _offsets(sizes: Column) -> Column:
-    return _running(sizes, _sum, lambda x, y: x + y)
+    return running(sizes, _sum, lambda x, y: x + y)
 
 
 def _holder_with(holder: Column, kind: Column, new: Column, parts: Column, after: Column) -> Column:
@@ -249,7 +249,7 @@ def _body_with(v: Column, kind: Column, new: Column) -> Column:
 
     listed = F.to_variant_object(F.slice(new, F.lit(1), F.size(_list(main))))
     one = F.when(_string(main).isNotNull(), _at(F.get(new, 0), "content"))
-    return F.when(F.size(new) > 0, _bind(F.coalesce(listed, one), around)).otherwise(v)
+    return F.when(F.size(new) > 0, bind(F.coalesce(listed, one), around)).otherwise(v)
 
 
 # --- images
@@ -435,7 +435,7 @@ def redact_requests(df: DataFrame, body_col: str = "body", kind_col: str | None
 
     def redacted(t: Column, part: Column) -> Column:
         done_ = lambda s: F.struct(F.when(F.size(s) > 0, splice(t, s, lambda x: placeholder(x, part))).alias("text"), F.map_entries(mapping_of(s, part)).alias("entries"))
-        return _bind(F.coalesce(spans_of(t, entities, lang, catalog), no_spans()), lambda s: _bind(disjoint_spans(s), done_))
+        return bind(F.coalesce(spans_of(t, entities, lang, catalog), no_spans()), lambda s: bind(disjoint_spans(s), done_))
 
     out = out.withColumn(done, F.transform(flat, lambda t, i: redacted(t, F.get(number, i))))
 
@@ -481,7 +481,7 @@ def restore_responses(df: DataFrame, body_col: str = "response", kind_col: str =
     pieces = F.split(F.regexp_replace(body_col, _SAID, "\x01$0\x01"), "\x01", -1)  # JSON text has no such character
     name = lambda p: F.when(p.rlike(f"^{_SAID}$"), F.regexp_replace(p, f"^{_SAID}$", "<$1>"))
     back = lambda m: F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(m, name(p)), p)).otherwise(p)), "")
-    return out.withColumn("restored", F.when(go, _bind(inner, back)).otherwise(F.col(body_col))).drop(v)
+    return out.withColumn("restored", F.when(go, bind(inner, back)).otherwise(F.col(body_col))).drop(v)
 
 
 def forwarded_headers(headers: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.catalog import DEFAULT, ENTITY_TYPES, Pattern
+from ..functions.extension import CORPORATE_WEIGHTS, MY_NUMBER_WEIGHTS
 from ..operators.evaluate import CRITERIA
 from . import fixtures
 from .queries import PAIR
@@ -151,3 +152,54 @@ ORACLES["carried_redaction"] = f"""WITH {_CARRIED}, t AS (SELECT doc_id // 5 AS
   SELECT t.conv_id, t.turn, coalesce(g.redacted, t.text) AS redacted FROM t LEFT JOIN g ON g.conv_id = t.conv_id AND g.turn = t.turn"""
 ORACLES["overlapping_types"] = f"""WITH s AS ({every()}) SELECT a.doc_id, a.entity_type AS entity_type_a, a.start AS start_a, a."end" AS end_a, b.entity_type AS entity_type_b, b.start AS start_b, b."end" AS end_b
   FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end" AND (a.start, a."end", a.entity_type) < (b.start, b."end", b.entity_type)"""
+
+_LATE = 7200
+ORACLES["late_window_counts"] = f"""WITH m AS (SELECT max(doc_id * 600) FILTER (WHERE doc_id % 10 <> 7) - {_LATE} AS first, max(doc_id * 600) - {_LATE} AS last FROM documents),
+  s AS (SELECT doc_id, doc_id * 600 // 3600 * 3600 AS window_start, entity_type FROM ({every()}))
+  SELECT window_start, entity_type, count(*) AS n FROM s, m WHERE window_start + 3600 <= m.last AND (doc_id % 10 <> 7 OR window_start + 3600 > m.first) GROUP BY 1, 2"""
+ORACLES["append_exactly_once"] = f"SELECT doc_id, CAST(1 AS BIGINT) AS copies, count(*) AS entities FROM ({every(PAIR)}) GROUP BY 1"
+ORACLES["append_counters"] = f"WITH n AS (SELECT count(*) AS total, (SELECT count(DISTINCT doc_id) FROM ({every(PAIR)})) AS new FROM documents) SELECT total, new, total - new AS failed FROM n"
+
+
+def _digit(i: int | str) -> str:
+    return f"CAST(substr(d, {i}, 1) AS BIGINT)"
+
+
+_WEIGHED = lambda weights, at: " + ".join(f"{w} * {_digit(i + at)}" for i, w in enumerate(weights))
+_REST = f"(({_WEIGHED(MY_NUMBER_WEIGHTS, 1)}) % 11)"
+_LUHN = " + ".join(f"(CASE WHEN {_digit(i)} > 4 THEN 2 * {_digit(i)} - 9 ELSE 2 * {_digit(i)} END)" if i % 2 else _digit(i) for i in range(1, 17))
+_RIGHT = f"""CASE WHEN entity_type = 'CREDIT_CARD' AND length(d) = 16 THEN ({_LUHN}) % 10 = 0
+  WHEN entity_type = 'MY_NUMBER' AND length(d) = 12 THEN {_digit(12)} = (CASE WHEN {_REST} <= 1 THEN 0 ELSE 11 - {_REST} END)
+  WHEN entity_type = 'MY_NUMBER_CORPORATE' AND length(d) = 13 THEN {_digit(1)} = 9 - ({_WEIGHED(CORPORATE_WEIGHTS, 2)}) % 9 END"""
+_CHECKED = f"""SELECT *, {_RIGHT} AS "right" FROM (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM ({every(["MY_NUMBER", "CREDIT_CARD", "MY_NUMBER_CORPORATE"])}))"""
+ORACLES["checked_number_spans"] = f'SELECT doc_id, entity_type, start, "end", "right" FROM ({_CHECKED})'
+#: Any number of 12, 13 or 16 digits, whatever it begins with.
+_LONG = Pattern("long", r"\b(?:\d{1,4}(?:[ \-]?\d{4}){2,3}|\d{12,16})\b", 1.0)
+_LONG_RIGHT = _RIGHT.replace("entity_type = 'CREDIT_CARD' AND ", "").replace("entity_type = 'MY_NUMBER' AND ", "").replace("entity_type = 'MY_NUMBER_CORPORATE' AND ", "")
+ORACLES["lateral_checked_numbers"] = f"""SELECT doc_id, CASE length(d) WHEN 16 THEN 'CREDIT_CARD' WHEN 12 THEN 'MY_NUMBER' ELSE 'MY_NUMBER_CORPORATE' END AS entity_type, start, "end", text
+  FROM (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM ({spans("NUMBER", _LONG)})) WHERE {_LONG_RIGHT}"""
+_TAGGED = f"SELECT doc_id, start, \"end\", CASE entity_type WHEN 'IP_ADDRESS' THEN 'ADDRESS' ELSE 'PERSON' END AS label, text FROM ({_PAIRS})"
+ORACLES["tagged_documents"] = _TAGGED
+ORACLES["validated_documents"] = f"SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS valid FROM ({_TAGGED}) GROUP BY 1"
+_TOKENS = spans("TOKEN", Pattern("token", r"[^\x20\x09-\x0D]+", 1.0))
+_WIDE = f"""k AS (SELECT doc_id, start, "end", row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS no FROM ({_TOKENS})),
+  w AS (SELECT e.doc_id, e.label, e.start, e."end", max(k.no) FILTER (WHERE k.start <= e.start) AS "first", min(k.no) FILTER (WHERE k."end" >= e."end") AS "last",
+    max(k.start) FILTER (WHERE k.start <= e.start) AS wide_start, min(k."end") FILTER (WHERE k."end" >= e."end") AS wide_end FROM e LEFT JOIN k ON k.doc_id = e.doc_id GROUP BY ALL)"""
+ORACLES["token_alignment"] = f"WITH e AS (SELECT doc_id, entity_type AS label, start, \"end\" FROM ({every()})), {_WIDE} SELECT doc_id, label, start, \"end\", \"first\", \"last\" FROM w"
+ORACLES["aligned_corpus"] = f"""WITH RECURSIVE e AS (SELECT doc_id, label, start, "end" FROM ({_TAGGED})), {_WIDE},
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM w WHERE "first" IS NOT NULL AND "last" IS NOT NULL),
+  r AS (SELECT doc_id, i, "last" AS reach, label || ':' || wide_start || '-' || wide_end AS kept FROM o WHERE i = 1
+    UNION ALL SELECT o.doc_id, o.i, CASE WHEN o."first" > r.reach THEN o."last" ELSE r.reach END, r.kept || CASE WHEN o."first" > r.reach THEN ',' || o.label || ':' || o.wide_start || '-' || o.wide_end ELSE '' END
+      FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1)
+  SELECT d.doc_id, CAST(coalesce(c.total, 0) AS BIGINT) AS total, CAST(coalesce(c.failed, 0) AS BIGINT) AS failed, coalesce(x.kept, '') AS aligned FROM documents d
+  LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE "first" IS NULL OR "last" IS NULL) AS failed FROM w GROUP BY 1) c ON c.doc_id = d.doc_id
+  LEFT JOIN (SELECT doc_id, max_by(kept, i) AS kept FROM r GROUP BY 1) x ON x.doc_id = d.doc_id"""
+_MATCHED = f"""g AS (SELECT DISTINCT doc_id, start, "end", entity_type AS label FROM ({every()})),
+  p AS (SELECT DISTINCT doc_id, start + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS start, "end", entity_type AS label FROM ({every(threshold=0.3)})),
+  c AS (SELECT coalesce(g.label, p.label) AS label, count(g.doc_id) AS gold, count(p.doc_id) AS pred, count(CASE WHEN g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL THEN 1 END) AS tp
+    FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.start = p.start AND g."end" = p."end" AND g.label = p.label GROUP BY 1)"""
+_MATCH_SCORES = f"x AS (SELECT label, coalesce(tp * 1.0::DOUBLE / nullif(pred, 0), 0) AS p, coalesce(tp * 1.0::DOUBLE / nullif(gold, 0), 0) AS r FROM c), y AS (SELECT label, p, r, {_F} AS f FROM x)"
+ORACLES["prf_documents"] = f"WITH {_MATCHED}, {_MATCH_SCORES} SELECT label, p, r, f FROM y"
+ORACLES["prf_documents_overall"] = f"WITH {_MATCHED}, z AS (SELECT coalesce(sum(tp) * 1.0::DOUBLE / nullif(sum(pred), 0), 0) AS p, coalesce(sum(tp) * 1.0::DOUBLE / nullif(sum(gold), 0), 0) AS r FROM c) SELECT p, r, {_F} AS f FROM z"
+ORACLES["acceptance_documents"] = f"""WITH {_MATCHED}, {_MATCH_SCORES} SELECT label, f >= 0.6 AND r >= 0.7 AS accepted, CASE WHEN r < 0.7 THEN 'R_LOW' WHEN f < 0.6 THEN 'FAIL' ELSE 'OK' END AS status,
+  CASE WHEN p > 0 THEN 1 - p ELSE 1 END AS fp_rate, CASE WHEN r < 0.7 THEN CAST(0.7 AS DOUBLE) - r END AS shortfall FROM y"""

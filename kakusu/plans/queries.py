@@ -457,3 +457,148 @@ def overlapping_types(spark, folder):
     from ..operators.overlaps import overlapping_pairs
 
     return overlapping_pairs(found(spark, folder, None), "doc_id")
+
+
+def _shown(spark, folder):
+    """Documents at one each ten minutes; those whose id ends in 7 come late."""
+    rows = docs(spark, folder).select("doc_id", F.timestamp_seconds(F.col("doc_id") * 600).alias("ts"), "text")
+    late = F.col("doc_id") % 10 == 7
+    return [rows.filter(~late), rows.filter(late)]
+
+
+@query
+def late_window_counts(spark, folder):
+    """Spans by window and type on a stream whose second batch is late: what comes after the watermark has passed its window is left out."""
+    from ..streaming import windowed_counts
+    from ..streaming.runner import replay_in_order
+
+    out = replay_in_order(_shown(spark, folder), lambda s: windowed_counts(s, context=False))
+    return out.select(F.unix_timestamp("window.start").alias("window_start"), "entity_type", "n")
+
+
+def _appended(spark, folder):
+    """Annotated documents appended by a stream; those without annotations fail. The stream is then lost and every batch comes again."""
+    from ..streaming import appends
+    from ..streaming.runner import shared_place
+
+    place = shared_place(spark)
+    found_ = S.detect(docs(spark, folder), entities=PAIR, context=False).select("doc_id", "text", F.col("spans").alias("entities"))
+    found_.repartition(8, "doc_id").write.parquet(f"{place}/in")
+    for run in range(2):
+        stream = spark.readStream.schema(found_.schema).option("maxFilesPerTrigger", 3).parquet(f"{place}/in")
+        appends.append_stream(stream, f"{place}/out", f"{place}/checkpoint-{run}", F.size("entities") > 0).awaitTermination()
+    return f"{place}/out", found_.schema
+
+
+@query
+def append_exactly_once(spark, folder):
+    from ..streaming.appends import read_appended
+
+    rows = read_appended(spark, *_appended(spark, folder))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("copies"), F.sum(F.size("entities")).cast("long").alias("entities"))
+
+
+@query
+def append_counters(spark, folder):
+    """Rows that came, were taken and failed, counted in the pass that wrote them."""
+    from ..streaming.appends import records
+
+    path, _ = _appended(spark, folder)
+    return records(spark, path).agg(*(F.sum(c).cast("long").alias(c) for c in ("total", "new", "failed")))
+
+
+_NUMBERS = ["MY_NUMBER", "CREDIT_CARD", "MY_NUMBER_CORPORATE"]
+
+
+@query
+def lateral_checked_numbers(spark, folder):
+    """Numbers whose check digits are right, by a table function in SQL."""
+    from ..functions import extension
+
+    extension.register_finder(spark, "checked_numbers", extension.checked_numbers)
+    rows = spark.sql("SELECT d.doc_id, s.entity_type, s.start, s.end, s.text FROM {d} AS d, LATERAL checked_numbers(d.text) AS s", d=docs(spark, folder))
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+@query
+def checked_number_spans(spark, folder):
+    """The same spans by patterns and built-in expressions, with what their check digits say."""
+    from ..functions.extension import checked
+
+    spans = found(spark, folder, _NUMBERS)
+    right = F.coalesce(*(F.when(F.col("entity_type") == e, checked(e, F.col("text"))) for e in _NUMBERS))
+    return spans.select("doc_id", "entity_type", "start", "end", right.alias("right"))
+
+
+_TAGS = {"EMAIL_ADDRESS": "PERSON", "IP_ADDRESS": "ADDRESS"}
+
+
+def _tagged(spark, folder):
+    """Documents whose mail and IP addresses are marked by tags, as a generator of corpora would write them."""
+    out = anonymize.with_disjoint(docs(spark, folder), "text", PAIR, "ja", S.DEFAULT, True, 0.0)
+    label = lambda s: F.when(s["entity_type"] == "IP_ADDRESS", _TAGS["IP_ADDRESS"]).otherwise(_TAGS["EMAIL_ADDRESS"])
+    mark = lambda s: F.when(s["entity_type"].isNull(), s["text"]).otherwise(F.concat(F.lit("<"), label(s), F.lit(">"), s["text"], F.lit("</"), label(s), F.lit(">")))
+    raw = F.array_join(F.transform(S.segments(F.col("text"), F.col("spans")), mark), "")
+    return corpus.parse_tags(out.select("doc_id", raw.alias("raw")))
+
+
+@query
+def tagged_documents(spark, folder):
+    """Annotations parsed from tagged documents."""
+    return _tagged(spark, folder).select("doc_id", F.inline("entities")).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start", "end")), "label", "text")
+
+
+@query
+def validated_documents(spark, folder):
+    """Which annotations are valid, where every third document has its entities moved by one and every fifth has each twice."""
+    moved = F.transform("entities", lambda e: F.struct((e["start"] + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("start"), e["end"].alias("end"), e["label"].alias("label"), e["text"].alias("text")))
+    twice = F.when(F.col("doc_id") % 5 == 0, F.concat("moved", "moved")).otherwise(F.col("moved"))
+    rows = _tagged(spark, folder).filter(F.size("entities") > 0).withColumn("moved", moved).withColumn("moved", twice)
+    return rows.select("doc_id", corpus.valid_annotations(F.col("text"), F.col("moved")).alias("valid"))
+
+
+@query
+def token_alignment(spark, folder):
+    """Each span of any type with the tokens that it is widened to."""
+    spans = S.detect(docs(spark, folder), context=False)
+    entities = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("label"), s["text"].alias("text")))
+    rows = spans.select("doc_id", entities.alias("entities"), corpus.tokens(F.col("text"), r"[^\x20\x09-\x0D]+").alias("tokens"))
+    both = rows.withColumn("ranges", corpus.token_ranges(F.col("entities"), F.col("tokens"))).select("doc_id", F.explode(F.arrays_zip("entities", "ranges")).alias("z"))
+    return both.select("doc_id", "z.entities.label", *(F.col(f"z.{c}").cast("long").alias(c.split(".")[1]) for c in ("entities.start", "entities.end", "ranges.first", "ranges.last")))
+
+
+@query
+def aligned_corpus(spark, folder):
+    """Entities, failures and aligned entities of each tagged document; of entities that share a token the first stays."""
+    rows = corpus.align(_tagged(spark, folder).withColumn("tokens", corpus.tokens(F.col("text"), r"[^\x20\x09-\x0D]+")))
+    kept = F.array_join(F.transform("aligned", lambda e: F.concat_ws("", e["label"], F.lit(":"), e["start"], F.lit("-"), e["end"])), ",")
+    return rows.select("doc_id", "total", "failed", kept.alias("aligned"))
+
+
+def _gold_and_pred(spark, folder):
+    """All spans; and those of score 0.3 or more as a weaker finder would give them: one place off in every third document."""
+    gold = found(spark, folder, None).select("doc_id", "start", "end", F.col("entity_type").alias("label"))
+    off = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
+    pred = found(spark, folder, None, threshold=0.3).select("doc_id", (F.col("start") + off).alias("start"), "end", F.col("entity_type").alias("label"))
+    return gold, pred
+
+
+@query
+def prf_documents(spark, folder):
+    """Exact-match scores by type over the documents."""
+    return evaluate.per_type(evaluate.match_counts(*_gold_and_pred(spark, folder)))
+
+
+@query
+def prf_documents_overall(spark, folder):
+    return evaluate.overall(evaluate.match_counts(*_gold_and_pred(spark, folder)))
+
+
+@query
+def acceptance_documents(spark, folder):
+    """Types that reach an F1 of 0.6 and a recall of 0.7 over the documents; with the rate of false positives and what recall lacks."""
+    scores = evaluate.per_type(evaluate.match_counts(*_gold_and_pred(spark, folder)))
+    wanted = scores.select("label", F.lit(0.6).alias("f1_min"), F.lit(0.7).alias("recall_min"))
+    low = evaluate.leakage(scores, wanted).select("label", "shortfall")
+    rows = evaluate.acceptance(scores, wanted).select("label", "accepted", "status").join(scores.select("label", evaluate.false_positive_rate(F.col("p")).alias("fp_rate")), "label")
+    return rows.join(low, "label", "left")

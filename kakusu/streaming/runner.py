@@ -55,6 +55,15 @@ def replay(rows: DataFrame, through: Callable[[DataFrame], DataFrame], steps: in
     return drain(through(stream), place)
 
 
+def replay_in_order(parts: list[DataFrame], through: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`replay`, a run of the stream for each of ``parts``: the next one comes when the one before is done, watermark and all."""
+    spark, place = parts[0].sparkSession, shared_place(parts[0].sparkSession)
+    for part in parts:
+        part.write.mode("append").parquet(f"{place}/in")
+        out = drain(through(spark.readStream.schema(parts[0].schema).parquet(f"{place}/in")), place)
+    return out
+
+
 def collect_stream(spark: SparkSession, path: str, *keys: str, entities: tuple[str, ...] = ("EMAIL_ADDRESS", "IP_ADDRESS")) -> DataFrame:
     """Spans of the Parquet files at ``path`` through Structured Streaming."""
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
