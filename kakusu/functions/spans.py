@@ -20,6 +20,7 @@ SPANS = f"array<{SPAN}>"
 FLAGS = "(?imsU)"
 _MARK = "\x01"
 _CHUNK = 64
+_DIGITS = r"\d+"
 
 
 def no_spans() -> Column:
@@ -40,65 +41,83 @@ def running(values: Column, total: Callable[[Column], Column], join: Callable[[C
     return bind(values, lambda v: bind(F.transform(chunks(v), lambda c: total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)))), lambda sums: bind(heads(v, sums), lambda h: each(v, h))))
 
 
-def find(text: Column, pattern: Pattern, entity: str, context: tuple[str, ...] = (), window: int = 16, longest: Column | None = None) -> Column:
+def find(text: Column, pattern: Pattern, entity: str, context: tuple[str, ...] = (), window: int = 16) -> Column:
     """Array of spans of all non-overlapping matches, left to right; empty if there are none.
 
     Scores are raised by 0.35 (to 0.4 at least, 1 at most) where a context term stands in the ``window`` characters before.
-    ``longest`` is :func:`longest_run` of the text, for callers that have it: texts whose digits can't match aren't scanned.
     """
-    marked = F.contains(text, F.lit(_MARK))
-    safe = F.when(marked, F.translate(text, _MARK, "\x02")).otherwise(text)
-    pieces = F.split(F.regexp_replace(safe, F.lit(FLAGS + pattern.regex), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
-    starts = lambda p: running(F.transform(p, F.char_length), lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y), lambda x, y: x + y)
-
-    def span(p: Column, at: Column, i: Column) -> Column:
-        piece, start = F.get(p, i), F.get(at, i)
-        size = F.char_length(piece)
-        score = F.lit(float(pattern.score))
-        if context:
-            gap = F.get(p, i - 1)
-            few = F.array_join(F.slice(p, F.greatest(F.lit(1), i - 2 * window + 1), F.least(i, F.lit(2 * window))), "")  # a match has a character at least
-            before = F.right(F.when(F.char_length(gap) >= window, gap).otherwise(few), F.lit(window))
-            score = F.when(_near(before, context), F.round(F.least(F.lit(1.0), F.greatest(score + 0.35, F.lit(0.4))), 4)).otherwise(score)
-        own = F.when(marked, F.substring(text, start + 1, size)).otherwise(piece)
-        return F.struct(F.lit(entity).alias("entity_type"), start.alias("start"), (start + size).alias("end"), score.alias("score"), own.alias("text"))
-
-    odd = lambda p: F.when(F.size(p) > 2, F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    spans = bind(pieces, lambda p: bind(starts(p), lambda at: F.filter(F.transform(odd(p), lambda i: span(p, at, i)), lambda s: s["end"] > s["start"])))
-    likely = text.isNotNull()
-    for piece in pattern.needs:
-        likely &= F.contains(text, F.lit(piece))
-    if pattern.digits and longest is not None:
-        likely &= longest >= pattern.run
-    elif pattern.digits and not pattern.needs:
-        likely &= text.rlike(r"(?U)\d")
-    return F.when(likely & text.rlike(FLAGS + pattern.regex), spans).otherwise(no_spans())
-
-
-def longest_run(text: Column) -> Column:
-    """How many decimal digits stand in a row at most; one pass over the text, for all patterns."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?U)\d+"), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(runs, F.char_length)), F.lit(0))
-
-
-def _near(before: Column, context: tuple[str, ...]) -> Column:
-    """Whether a context term stands in ``before``: other than ASCII anywhere, ASCII as a whole word."""
+    return _of(text, _found(pattern, entity, context, window, "t rlike '(?U)\\\\d'"))
+
+
+def _of(text: Column, body: str) -> Column:
+    """``body``, SQL over ``t``, of a text. Patterns are put together as SQL text: so many calls for each would cost seconds."""
+    return F.get(F.call_function("transform", F.array(text), F.expr(f"t -> {body}")), 0)
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
+def _bound(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _sums(v: str) -> str:
+    """For each number of the array ``v`` the sum of those before it; as in :func:`running`."""
+    added = lambda a: f"aggregate({a}, 0, (x, y) -> x + y)"
+    chunks = f"sequence(0, CAST(size({v}) div {_CHUNK} AS INT))"
+    sums = f"transform({chunks}, c -> {added(f'slice({v}, c * {_CHUNK} + 1, {_CHUNK})')})"
+    heads = f"transform({chunks}, c -> {added('slice(sums, 1, c)')})"
+    at = f"CAST(i div {_CHUNK} AS INT)"
+    each = f"transform({v}, (z, i) -> get(heads, {at}) + {added(f'slice({v}, {at} * {_CHUNK} + 1, i % {_CHUNK})')})"
+    return _bound("sums", sums, _bound("heads", heads, each))
+
+
+def _found(pattern: Pattern, entity: str, context: tuple[str, ...], window: int, digits: str) -> str:
+    """SQL of the spans of a pattern in ``t``; ``digits`` says whether the text's digits may match."""
+    regex, mark, other = _quoted(FLAGS + pattern.regex), _quoted(_MARK), _quoted("\x02")
+    safe = f"CASE WHEN contains(t, {mark}) THEN translate(t, {mark}, {other}) ELSE t END"
+    pieces = f"split(regexp_replace({safe}, {regex}, {_quoted(f'{_MARK}$0{_MARK}')}), {mark}, -1)"
+    score = f"{float(pattern.score)!r}D"
+    if context:
+        few = f"array_join(slice(p, greatest(1, i - {2 * window - 1}), least(i, {2 * window})), '')"  # a match has a character at least
+        before = f"lower(right(CASE WHEN char_length(get(p, i - 1)) >= {window} THEN get(p, i - 1) ELSE {few} END, {window}))"
+        raised = repr(round(min(1.0, max(pattern.score + 0.35, 0.4)), 4))
+        score = f"CASE WHEN {_bound('b', before, _near(context))} THEN {raised}D ELSE {score} END"
+    own = f"CASE WHEN contains(t, {mark}) THEN substring(t, get(at, i) + 1, char_length(get(p, i))) ELSE get(p, i) END"
+    span = f"named_struct('entity_type', {_quoted(entity)}, 'start', get(at, i), 'end', get(at, i) + char_length(get(p, i)), 'score', {score}, 'text', {own})"
+    odd = "CASE WHEN size(p) > 2 THEN sequence(1, size(p) - 2, 2) ELSE CAST(array() AS array<int>) END"
+    spans = _bound("p", pieces, _bound("v", "transform(p, x -> char_length(x))", _bound("at", _sums("v"), f"filter(transform({odd}, i -> {span}), s -> s.`end` > s.start)")))
+    likely = ["t IS NOT NULL", *(f"contains(t, {_quoted(piece)})" for piece in pattern.needs)]
+    if pattern.digits and (digits == "n" or not pattern.needs):
+        likely.append(f"n >= {pattern.run}" if digits == "n" else digits)
+    return f"CASE WHEN {' AND '.join(likely)} AND t rlike {regex} THEN {spans} ELSE CAST(array() AS {SPANS}) END"
+
+
+def _near(context: tuple[str, ...]) -> str:
+    """SQL: whether a context term stands in ``b``, lower-cased text: other than ASCII anywhere, ASCII as a whole word."""
     words = sorted({t.lower() for t in context})
-    ascii_, other = [t for t in words if t.isascii()], [t for t in words if not t.isascii()]
-    low, near = F.lower(before), F.lit(False)
+    ascii_ = "|".join(f"\\Q{t}\\E" for t in words if t.isascii())
+    any_ = [f"contains(b, {_quoted(t)})" for t in words if not t.isascii()]
     if ascii_:
-        near |= low.rlike(r"(?<![a-z0-9])(?:" + "|".join(ascii_) + r")(?![a-z0-9])")
-    for term in other:
-        near |= F.contains(low, F.lit(term))
-    return near
+        any_.append(f"b rlike {_quoted(f'(?<![a-z0-9])(?:{ascii_})(?![a-z0-9])')}")
+    return f"({' OR '.join(any_)})"
+
+
+#: SQL: how many decimal digits stand in a row at most in ``t``; one pass over the text, for all patterns.
+_LONGEST = f"coalesce(array_max(transform(regexp_extract_all(t, {_quoted('(?U)' + _DIGITS)}, 0), x -> char_length(x))), 0)"
 
 
 def spans_of(text: Column, entities: list[str] | None = None, lang: str | None = "ja", catalog: Catalog = DEFAULT, context: bool = True, threshold: float = 0.0) -> Column:
     """All spans of all recognizers in catalogue order; nested and overlapping ones included."""
     wanted = [(p, r) for r in catalog.prune(entities, lang).recognizers for p in r.patterns]
-    every = lambda n: F.flatten(F.array(*(find(text, p, r.entity, r.context if context else (), longest=n) for p, r in wanted)))
+    if not wanted:
+        return no_spans()
     shared = sum(p.digits for p, _ in wanted) > 1  # what is asked once only needs no answer ahead
-    out = (bind(longest_run(text), every) if shared else every(None)) if wanted else no_spans()
+    digits = "n" if shared else "t rlike '(?U)\\\\d'"
+    every = f"flatten(array({', '.join(_found(p, r.entity, r.context if context else (), 16, digits) for p, r in wanted)}))"
+    out = _of(text, _bound("n", _LONGEST, every) if shared else every)
     return F.filter(out, lambda s: s["score"] >= threshold) if threshold > 0 else out
 
 
