@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, fold_of, keep, need, word_hashes, words_of
 
-DEPTH = 6
+DEPTH = 7
 LEAST = 2
 CLOSE = 2
 BLOCK_BYTES = 8 << 20
