@@ -483,9 +483,10 @@ def _appended(spark, folder):
 
     place = shared_place(spark)
     found_ = S.detect(docs(spark, folder), entities=PAIR, context=False).select("doc_id", "text", F.col("spans").alias("entities"))
-    found_.repartition(8, "doc_id").write.parquet(f"{place}/in")
+    found_.write.parquet(f"{place}/in")
+    each = max(1, len(spark.read.schema(found_.schema).parquet(f"{place}/in").inputFiles()) // 3)
     for run in range(2):
-        stream = spark.readStream.schema(found_.schema).option("maxFilesPerTrigger", 3).parquet(f"{place}/in")
+        stream = spark.readStream.schema(found_.schema).option("maxFilesPerTrigger", each).parquet(f"{place}/in")
         appends.append_stream(stream, f"{place}/out", f"{place}/checkpoint-{run}", F.size("entities") > 0).awaitTermination()
     return f"{place}/out", found_.schema
 
