@@ -6,6 +6,7 @@ model: their quality is what the tests show, not a trained model's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,24 +38,47 @@ def rule_entities(df: DataFrame, text_col: str = "text", out: str = "ner_spans")
     return df.withColumn("_found", found).withColumn(out, distinct_spans(F.col("_found"))).drop("_found")
 
 
+#: Models that this worker has loaded, by the call that asked for them; the oldest ones go.
+_LOADED: dict[str, Backend] = {}
+_MOST_LOADED = 4
+
+
+def _once(key: str, load: Callable[[], Backend]) -> Backend:
+    """The model of a call: loaded by the first task that a worker runs for it, and kept for the next ones."""
+    if key not in _LOADED:
+        while len(_LOADED) >= _MOST_LOADED:
+            _LOADED.pop(next(iter(_LOADED)))
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
+def _spans(texts: list[str], backend: Backend) -> list[list[dict]]:
+    return [[{"entity_type": e, "start": a, "end": b, "score": s, "text": t[a:b]} for e, a, b, s in found] for t, found in zip(texts, backend(texts))]
+
+
 def model_entities(df: DataFrame, load: Callable[[], Backend], text_col: str = "text", out: str = "ner_spans") -> DataFrame:
-    """Spans of a model: ``load`` is called once for each task; texts go through it in Arrow batches. Null texts: no spans."""
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {SPANS}").fields])
+    """Spans of a model: ``load`` is called once in each worker; texts go through it in Arrow batches. Null texts: no spans."""
+    schema, key = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {SPANS}").fields]), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = load()
         for batch in batches:
-            texts = [t or "" for t in batch[text_col]]
-            rows = [[{"entity_type": e, "start": a, "end": b, "score": s, "text": t[a:b]} for e, a, b, s in found] for t, found in zip(texts, backend(texts))]
-            yield batch.assign(**{out: rows})
+            yield batch.assign(**{out: _spans([t or "" for t in batch[text_col]], _once(key, load))})
 
     return df.mapInPandas(run, schema)
 
 
-def by_language(df: DataFrame, loaders: dict[str, Callable[[], Backend]], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Each language by its own model; rows of other languages get no spans."""
-    parts = [model_entities(df.filter(F.col(lang_col) == lang), load, text_col) for lang, load in loaders.items()]
-    rest = df.filter(F.col(lang_col).isNull() | ~F.col(lang_col).isin(list(loaders))).withColumn("ner_spans", no_spans())
-    for part in parts:
-        rest = rest.unionByName(part)
-    return rest
+def by_language(df: DataFrame, loaders: dict[str, Callable[[], Backend]], lang_col: str = "lang", text_col: str = "text", out: str = "ner_spans") -> DataFrame:
+    """Each language by its own model, in one pass over the rows; rows of other languages get no spans."""
+    schema, key = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {SPANS}").fields]), uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: list[list[dict]] = [[] for _ in range(len(batch))]
+            langs = list(batch[lang_col])
+            for lang in {x for x in langs if x in loaders}:
+                at = [i for i, x in enumerate(langs) if x == lang]
+                for i, spans in zip(at, _spans([batch[text_col].iloc[i] or "" for i in at], _once(f"{key} {lang}", loaders[lang]))):
+                    found[i] = spans
+            yield batch.assign(**{out: found})
+
+    return df.mapInPandas(run, schema)

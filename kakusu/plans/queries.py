@@ -603,3 +603,38 @@ def acceptance_documents(spark, folder):
     low = evaluate.leakage(scores, wanted).select("label", "shortfall")
     rows = evaluate.acceptance(scores, wanted).select("label", "accepted", "status").join(scores.select("label", evaluate.false_positive_rate(F.col("p")).alias("fp_rate")), "label")
     return rows.join(low, "label", "left")
+
+
+def _trained(spark, folder):
+    """A tagger of the four plain types, learned from documents outside of fold 0, with what the patterns find as its entities."""
+    from ..operators import tagger
+
+    rows = anonymize.with_disjoint(docs(spark, folder).select("doc_id", "text"), "text", PLAIN, "ja", S.DEFAULT, False, 0.0)
+    named = F.transform("spans", lambda s: F.struct(s["entity_type"].alias("label"), s["start"].alias("start"), s["end"].alias("end")))
+    rows = rows.select("doc_id", "text", named.alias("entities"))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return tagger.train(rows.filter(~held), tuple(PLAIN)), rows.filter(held)
+
+
+@query
+def tagger_spans(spark, folder):
+    """What the trained tagger finds in all documents."""
+    from ..operators import tagger
+
+    found_ = S.explode_spans(tagger.tag(docs(spark, folder).select("doc_id", "text"), _trained(spark, folder)[0]), "doc_id", spans="ner_spans")
+    return found_.select("doc_id", "entity_type", *(F.col(c).cast("long").alias(c) for c in ("start", "end")), "text")
+
+
+@query
+def tagger_scores(spark, folder):
+    """Exact-match scores of the trained tagger on the documents that it did not learn from."""
+    from ..operators import tagger
+
+    model, held = _trained(spark, folder)
+    gold = tagger.widened(held, "doc_id", "text", "entities", tuple(PLAIN))
+    pred = S.explode_spans(tagger.tag(held.select("doc_id", "text"), model), "doc_id", spans="ner_spans")
+    return tagger.scores(gold, pred.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("entity_type").alias("label")))
+
+
+#: No SQL: models and what they find. Their tests are in tests/test_tagger.py.
+NO_SQL = {"tagger_spans", "tagger_scores"}
