@@ -71,35 +71,48 @@ class Tokens:
     end: np.ndarray
 
 
-def tokens(texts: Iterable[str], seen: dict | None = None) -> Tokens:
-    """``seen`` remembers words between calls; it is emptied when it grows large."""
-    seen = {} if seen is None else seen
-    if len(seen) > 200_000:
+class _Seen(dict):
+    """Pieces of texts -> rows of ``table``: hashes of word, shape and head, length. Emptied when it has grown to ``most`` pieces."""
+
+    most = 500_000
+
+    def __init__(self):
+        self.table = np.empty((1024, 4), dtype=np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        at, core = len(self), piece.rstrip()
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        shape = _shape(core, len(core) < len(piece))
+        self.table[at] = (*(zlib.crc32(x.encode("utf-8", "surrogatepass")) + 1 for x in (core.lower(), shape, core[:1] + shape)), len(core))
+        self[piece] = at
+        return at
+
+
+def tokens(texts: Iterable[str], seen: _Seen | None = None) -> Tokens:
+    """``seen`` remembers words between calls."""
+    seen = _Seen() if seen is None else seen
+    if len(seen) > seen.most:
         seen.clear()
-    blank = [np.zeros(_REACH, dtype=np.int64), *[np.full(_REACH, -1, dtype=np.int64)] * 2]
-    looks, where, starts, lengths = [blank[0][:, None].repeat(4, 1)], [blank[1]], [blank[1]], [blank[0]]
+    none, gap = np.zeros((_REACH, 4), dtype=np.int64), np.full(_REACH, -1, dtype=np.int64)
+    looks, where, starts = [none], [gap], [gap]
     for i, text in enumerate(texts):
         cut = _TOKEN.findall(text)
         if not cut:
             continue
-        for piece in cut:
-            if piece not in seen:
-                core = piece.rstrip()
-                shape = _shape(core, len(core) < len(piece))
-                seen[piece] = (*(zlib.crc32(x.encode("utf-8", "surrogatepass")) + 1 for x in (core.lower(), shape, core[:1] + shape)), len(core))
-        look = np.array([seen[piece] for piece in cut], dtype=np.int64)
         wide = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        looks += [look, looks[0]]
-        where += [np.full(len(cut), i, dtype=np.int64), blank[1]]
-        starts += [len(text) - len(text.lstrip()) + np.cumsum(wide) - wide, blank[1]]
-        lengths += [look[:, 3], blank[0]]
-    look, start = np.concatenate(looks).astype(np.uint64), np.concatenate(starts)
-    return Tokens(look[:, 0], look[:, 1], look[:, 2], np.concatenate(where), start, start + np.concatenate(lengths))
+        rows = np.fromiter(map(seen.__getitem__, cut), dtype=np.int64, count=len(cut))
+        looks += [seen.table[rows], none]
+        where += [np.full(len(cut), i, dtype=np.int64), gap]
+        starts += [len(text) - len(text.lstrip()) + np.cumsum(wide) - wide, gap]
+    look, start = np.concatenate(looks), np.concatenate(starts)
+    word, shape, head = (np.ascontiguousarray(look[:, k]).astype(np.uint64) for k in range(3))
+    return Tokens(word, shape, head, np.concatenate(where), start, start + look[:, 3])
 
 
 def features(t: Tokens, first: int, last: int, bits: int) -> np.ndarray:
     """Hashed features of the tokens from ``first`` to before ``last``, a row each; blanks at both ends are not asked for."""
-    out = np.empty((last - first, len(_FEATURES)), dtype=np.int64)
+    out = np.empty((last - first, len(_FEATURES)), dtype=np.int64, order="F")
     for k, parts in enumerate(_FEATURES):
         h = np.full(last - first, k + 1, dtype=np.uint64)
         for at, kind in parts:
@@ -192,7 +205,7 @@ class Tagger:
 
     def backend(self) -> Backend:
         """For :func:`kakusu.operators.ner.model_entities`: texts are taken together, about a million characters at once."""
-        seen: dict = {}
+        seen = _Seen()
 
         def run(texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
             out, some, size = [], [], 0
@@ -232,7 +245,7 @@ def gold_tags(t: Tokens, entities: list[list[tuple[str, int, int]]], labels: tup
 
 def _learn(model: Tagger, texts: list[str], entities: list[list[tuple[str, int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """One pass over a shard: which weights changed (moves are behind the features), by how much, how much summed over all steps, steps."""
-    n_tags, size, seen, step = len(model.moves), model.weights.size, {}, 0
+    n_tags, size, seen, step = len(model.moves), model.weights.size, _Seen(), 0
     flat = np.concatenate([model.weights.ravel(), model.moves.ravel()])
     change, weighed = np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat), dtype=np.int64)
     weights, moves = flat[:size].reshape(model.weights.shape), flat[size:].reshape(n_tags, n_tags)
