@@ -77,7 +77,7 @@ def _sums(v: str) -> str:
 def _found(pattern: Pattern, entity: str, context: tuple[str, ...], window: int, digits: str) -> str:
     """SQL of the spans of a pattern in ``t``; ``digits`` says whether the text's digits may match."""
     regex, mark, other = _quoted(FLAGS + pattern.regex), _quoted(_MARK), _quoted("\x02")
-    safe = f"CASE WHEN contains(t, {mark}) THEN translate(t, {mark}, {other}) ELSE t END"
+    safe = f"CASE WHEN m THEN translate(t, {mark}, {other}) ELSE t END"
     pieces = f"split(regexp_replace({safe}, {regex}, {_quoted(f'{_MARK}$0{_MARK}')}), {mark}, -1)"
     score = f"{float(pattern.score)!r}D"
     if context:
@@ -85,10 +85,11 @@ def _found(pattern: Pattern, entity: str, context: tuple[str, ...], window: int,
         before = f"lower(right(CASE WHEN char_length(get(p, i - 1)) >= {window} THEN get(p, i - 1) ELSE {few} END, {window}))"
         raised = repr(round(min(1.0, max(pattern.score + 0.35, 0.4)), 4))
         score = f"CASE WHEN {_bound('b', before, _near(context))} THEN {raised}D ELSE {score} END"
-    own = f"CASE WHEN contains(t, {mark}) THEN substring(t, get(at, i) + 1, char_length(get(p, i))) ELSE get(p, i) END"
+    own = "CASE WHEN m THEN substring(t, get(at, i) + 1, char_length(get(p, i))) ELSE get(p, i) END"
     span = f"named_struct('entity_type', {_quoted(entity)}, 'start', get(at, i), 'end', get(at, i) + char_length(get(p, i)), 'score', {score}, 'text', {own})"
     odd = "CASE WHEN size(p) > 2 THEN sequence(1, size(p) - 2, 2) ELSE CAST(array() AS array<int>) END"
     spans = _bound("p", pieces, _bound("v", "transform(p, x -> char_length(x))", _bound("at", _sums("v"), f"filter(transform({odd}, i -> {span}), s -> s.`end` > s.start)")))
+    spans = _bound("m", f"contains(t, {mark})", spans)  # asked once: for each match it would be a walk over the text
     likely = ["t IS NOT NULL", *(f"contains(t, {_quoted(piece)})" for piece in pattern.needs)]
     if pattern.digits and (digits == "n" or not pattern.needs):
         likely.append(f"n >= {pattern.run}" if digits == "n" else digits)

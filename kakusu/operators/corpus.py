@@ -10,22 +10,32 @@ from ..functions.spans import bind, find, first_wins, running
 
 ENTITY = "struct<start:int,end:int,label:string,text:string>"
 ENTITIES = f"array<{ENTITY}>"
+#: White space in ASCII, and runs of anything else.
+BLANKS = " \t\n\x0b\f\r"
+_RUN = r"[^\x20\x09-\x0D]+"
+#: So many characters are walked through for the entities of a text at most.
+WALK = 1 << 24
 _TAG = "(?s)<(" + "|".join(NER_LABELS) + r")>(.*?)</\1>"
 
 
 def parse_tags(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Adds ``text`` without tags and ``entities`` at its code points. Unknown and unclosed tags are ordinary text."""
-    raw = F.translate(F.col(raw_col), "\x01\x02", "  ")
-    pieces = F.split(F.regexp_replace(raw, F.lit(_TAG), F.lit("\x01$1\x02$2\x01")), "\x01", -1)
+    own = F.col(raw_col)
+    raw = F.when(own.contains("\x01") | own.contains("\x02"), F.translate(own, "\x01\x02", "  ")).otherwise(own)
+    cut = F.split(F.regexp_replace("_raw", F.lit(_TAG), F.lit("\x01$1\x02$2\x01")), "\x01", -1)
+    pieces = F.when(F.col("_raw").contains("</"), cut).otherwise(F.array("_raw"))  # without an end of a tag there is none
     body = lambda piece: F.substring_index(piece, "\x02", -1)
     starts = lambda p: running(F.transform(p, lambda x: F.char_length(body(x))), _added, lambda x, y: x + y)
 
     def entity(piece: Column, at: Column) -> Column:
         return F.struct(at.alias("start"), (at + F.char_length(body(piece))).alias("end"), F.substring_index(piece, "\x02", 1).alias("label"), body(piece).alias("text"))
 
-    inside = lambda p: F.when(F.size(p) > 2, F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    found = bind(pieces, lambda p: bind(starts(p), lambda at: F.transform(inside(p), lambda i: entity(F.get(p, i), F.get(at, i)))))
-    return df.withColumn("text", F.regexp_replace(raw, F.lit(_TAG), F.lit("$2"))).withColumn("entities", found.cast(ENTITIES))
+    inside = lambda p: F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
+    found = bind(starts(F.col("_pieces")), lambda at: F.transform(inside("_pieces"), lambda i: entity(F.get("_pieces", i), F.get(at, i)))).cast(ENTITIES)
+    some = F.size("_pieces") > 2
+    out = df.withColumn("_raw", raw).withColumn("_pieces", F.when(F.col("_raw").isNotNull(), pieces))
+    text = F.when(some, F.array_join(F.transform("_pieces", body), "")).otherwise(F.col("_raw"))
+    return out.withColumn("text", text).withColumn("entities", F.when(some, found).when(F.col("_raw").isNotNull(), F.array().cast(ENTITIES))).drop("_raw", "_pieces")
 
 
 def _added(values: Column) -> Column:
@@ -68,23 +78,57 @@ def token_ranges(entities: Column, tokens: Column) -> Column:
     return bind(tokens, lambda t: F.transform(F.arrays_zip(_ahead(t, entities, "start", True).alias("a"), _ahead(t, entities, "end", False).alias("b")), lambda x: F.struct(F.when(x["a"] > 0, x["a"] - 1).alias("first"), last(x["b"], F.size(t)).alias("last"))))
 
 
+def _plain(text: Column) -> Column:
+    return F.translate(text, BLANKS, " " * len(BLANKS))
+
+
+def run_ranges(text: Column, entities: Column) -> Column:
+    """:func:`token_ranges` where tokens are runs of other characters than BLANKS, with ``start`` of the first and ``end`` of the last.
+
+    Taken from what stands before and behind each entity, without the tokens of the text; texts with so many entities that this would be
+    more work than their tokens are (WALK characters in all) are merged with them.
+    """
+
+    def near(t: Column, e: Column) -> Column:
+        till, to = F.rtrim(F.substring(t, F.lit(1), e["start"] + 1)), F.greatest(e["end"], F.lit(1))
+        head = bind(till, lambda u: F.when(u != "", F.struct((F.regexp_count(u, F.lit("[^ ]+")) - 1).alias("no"), (F.char_length(u) - F.char_length(F.substring_index(u, " ", -1))).alias("at"))))
+        inside = (e["end"] > 0) & (F.substring(t, to, F.lit(1)) != " ")
+        before = F.regexp_count(F.substring(t, F.lit(1), e["end"]), F.lit("[^ ]+")) - F.when(inside, 1).otherwise(0)
+        ahead = lambda rest, r: F.when(r != "", F.struct(before.alias("no"), (to - 1 + F.char_length(rest) - F.char_length(r) + F.char_length(F.substring_index(r, " ", 1))).alias("at")))
+        tail = bind(F.substring(t, to, F.char_length(t)), lambda rest: bind(F.ltrim(rest), lambda r: ahead(rest, r)))
+        return bind(head, lambda h: bind(tail, lambda z: F.struct(h["no"].alias("first"), z["no"].alias("last"), h["at"].alias("start"), z["at"].alias("end"))))
+
+    edges = lambda t, r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.get(t, r["first"])["start"].alias("start"), F.get(t, r["last"])["end"].alias("end"))
+    merged = bind(tokens(text, _RUN), lambda t: F.transform(token_ranges(entities, t), lambda r: edges(t, r)))
+    few = F.size(entities).cast("long") * F.char_length(text) <= WALK
+    kind = "array<struct<first:int,last:int,start:int,end:int>>"
+    return F.when(F.size(entities) == 0, F.array().cast(kind)).when(few, bind(_plain(text), lambda t: F.transform(entities, lambda e: near(t, e))).cast(kind)).otherwise(merged.cast(kind))
+
+
+def _aligned(df: DataFrame, entities_col: str) -> DataFrame:
+    """Entities by ``_ranges``: widened, and of those with a token in common the first."""
+    widen = lambda e, i: F.struct(F.get("_ranges", i).alias("r"), e["label"].alias("label"), e["text"].alias("text"))
+    fine = F.filter(F.transform(F.col(entities_col), widen), lambda e: e["r"]["start"].isNotNull() & e["r"]["end"].isNotNull() & (e["r"]["start"] < e["r"]["end"]))
+    spans = F.transform("_fine", lambda e, i: F.struct(i.cast("string").alias("entity_type"), e["r"]["first"].alias("start"), (e["r"]["last"] + 1).alias("end"), F.lit(0.0).alias("score"), F.lit("").alias("text")))
+    kept = F.transform(first_wins(spans), lambda s: F.get(F.col("_fine"), s["entity_type"].cast("int")))
+    aligned = F.transform(kept, lambda e: F.struct(e["r"]["start"].alias("start"), e["r"]["end"].alias("end"), e["label"].alias("label"), e["text"].alias("text"))).cast(ENTITIES)
+    out = df.withColumn("_fine", fine).withColumn("aligned", aligned).withColumn("total", F.size(entities_col).cast("long"))
+    return out.withColumn("failed", (F.size(entities_col) - F.size("_fine")).cast("long")).drop("_fine", "_ranges")
+
+
 def align(df: DataFrame, entities_col: str = "entities", tokens_col: str = "tokens") -> DataFrame:
     """Adds ``aligned`` (entities widened to token edges; of those with a token in common the first stays), ``failed`` and ``total``.
 
     An entity that no tokens reach fails. Null entities or tokens: null.
     """
+    t = F.col(tokens_col)
+    edges = lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.get(t, r["first"])["start"].alias("start"), F.get(t, r["last"])["end"].alias("end"))
+    return _aligned(df.withColumn("_ranges", F.transform(token_ranges(F.col(entities_col), t), edges)), entities_col)
 
-    def widen(e: Column, i: Column) -> Column:
-        r = F.get(F.col("_ranges"), i)
-        start, end = F.get(F.col(tokens_col), r["first"])["start"], F.get(F.col(tokens_col), r["last"])["end"]
-        return F.struct(r.alias("r"), start.alias("start"), end.alias("end"), e["label"].alias("label"), e["text"].alias("text"))
 
-    fine = F.filter(F.transform(F.col(entities_col), widen), lambda e: e["start"].isNotNull() & e["end"].isNotNull() & (e["start"] < e["end"]))
-    spans = F.transform("_fine", lambda e, i: F.struct(i.cast("string").alias("entity_type"), e["r"]["first"].alias("start"), (e["r"]["last"] + 1).alias("end"), F.lit(0.0).alias("score"), F.lit("").alias("text")))
-    kept = F.transform(first_wins(spans), lambda s: F.get(F.col("_fine"), s["entity_type"].cast("int")))
-    aligned = F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), e["text"].alias("text"))).cast(ENTITIES)
-    out = df.withColumn("_ranges", token_ranges(F.col(entities_col), F.col(tokens_col))).withColumn("_fine", fine).withColumn("aligned", aligned).withColumn("total", F.size(entities_col).cast("long"))
-    return out.withColumn("failed", (F.size(entities_col) - F.size("_fine")).cast("long")).drop("_fine", "_ranges")
+def align_runs(df: DataFrame, entities_col: str = "entities", text_col: str = "text") -> DataFrame:
+    """:func:`align` to runs of other characters than BLANKS, see :func:`run_ranges`."""
+    return _aligned(df.withColumn("_ranges", run_ranges(F.col(text_col), F.col(entities_col))), entities_col)
 
 
 def aligned_documents(df: DataFrame) -> DataFrame:
