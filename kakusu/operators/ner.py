@@ -56,13 +56,29 @@ def _spans(texts: list[str], backend: Backend) -> list[list[dict]]:
     return [[{"entity_type": e, "start": a, "end": b, "score": s, "text": t[a:b]} for e, a, b, s in found] for t, found in zip(texts, backend(texts))]
 
 
+#: A batch goes through a model in parts of about so many characters, so what a worker holds depends on no batch's size.
+PART = 1 << 20
+
+
+def _parts(batch: pd.DataFrame, text_col: str) -> Iterator[pd.DataFrame]:
+    first = size = 0
+    for i, text in enumerate(batch[text_col]):
+        size += len(text or "")
+        if size >= PART:
+            yield batch.iloc[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(batch):
+        yield batch.iloc[first:]
+
+
 def model_entities(df: DataFrame, load: Callable[[], Backend], text_col: str = "text", out: str = "ner_spans") -> DataFrame:
     """Spans of a model: ``load`` is called once in each worker; texts go through it in Arrow batches. Null texts: no spans."""
     schema, key = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {SPANS}").fields]), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(**{out: _spans([t or "" for t in batch[text_col]], _once(key, load))})
+            for part in _parts(batch, text_col):
+                yield part.assign(**{out: _spans([t or "" for t in part[text_col]], _once(key, load))})
 
     return df.mapInPandas(run, schema)
 
