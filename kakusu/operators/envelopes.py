@@ -18,6 +18,7 @@ import base64
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -140,13 +141,13 @@ def _part_texts(part: Column, kind: Column) -> Column:
     return F.when(kind == "generate", given).otherwise(F.coalesce(tool, F.when(_is_text(part, kind), own), _none()))
 
 
-def _part_with(part: Column, kind: Column, new: Column, keep_images: bool) -> Column:
-    """The part around its new texts; null if it is an image that is withheld."""
+def _part_with(part: Column, kind: Column, new: Column, keep: Column) -> Column:
+    """The part around its new texts; null if it is an image that is withheld. ``keep``: images stay, or the body has none."""
     own = _variant(F.get(new, 0))
 
     def result() -> Column:
         held = _list(_at(part, "content"))
-        subs = F.transform(held, lambda s, k: F.when(F.lit(keep_images) | _image_reason(s).isNull(), _with(s, text=_variant(F.get(new, k)))))
+        subs = F.transform(held, lambda s, k: F.when(keep | _image_reason(s).isNull(), _with(s, text=_variant(F.get(new, k)))))
         return _with(part, content=F.coalesce(F.to_variant_object(F.filter(subs, lambda s: s.isNotNull())), own))
 
     def called() -> Column:
@@ -159,7 +160,7 @@ def _part_with(part: Column, kind: Column, new: Column, keep_images: bool) -> Co
 
     whole = F.when(kind == "generate", called()).when(_is(part, "tool_result"), result()).when(_is(part, "tool_use"), _with(part, input=_any_with(_at(part, "input"), new)))
     whole = whole.when(_is_text(part, kind), _with(part, text=own)).otherwise(part)
-    return whole if keep_images else F.when(_image_reason(part).isNull(), whole)
+    return F.when(keep | _image_reason(part).isNull(), whole)
 
 
 def _content(holder: Column, kind: Column) -> Column:
@@ -292,6 +293,16 @@ def _left(holder: Column, kind: Column) -> Column:
     return _sum(F.flatten(F.transform(_parts(holder, kind), lambda p: F.concat(F.array(mark(p)), inside(p)))))
 
 
+#: A JSON text without any of these has no image, wherever it might stand (of an escaped letter it is not known).
+_HINTS = ('"image', '"input_image', "inline_data", "inlineData", "file_data", "fileData", "\\u00")
+
+
+def _may_have_image(body: Column) -> Column:
+    """Whether images need be looked for: that takes many questions and patterns for each part, and most bodies have none."""
+    hits = [F.contains(body, F.lit(h)) for h in _HINTS]
+    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(True))
+
+
 #: An image that stands elsewhere than in a list of parts: the whole body is withheld.
 _ANY_IMAGE = r'"type":"(?:image|input_image|image_url)"|"(?:inline_data|inlineData|file_data|fileData)":\{[^{}]*"(?:mime_type|mimeType)":"image/'
 
@@ -419,12 +430,13 @@ def redact_requests(df: DataFrame, body_col: str = "body", kind_col: str | None
     where the image lies elsewhere (a web address, a file's name; nothing is fetched) its part is taken out; a body with an image
     outside of lists of parts is quarantined. ``image_status``: ``no image``, ``ok``, ``not known`` or ``withheld: `` and why.
     """
-    v, holders, parts, places, texts, flat, number, done, at, new, built, json_, why, left = names = _own(df, *(f"_{k}" for k in ("v", "holders", "parts", "places", "texts", "flat", "number", "done", "at", "new", "built", "json", "why", "left")))
+    v, holders, parts, places, texts, flat, number, done, at, new, built, json_, why, left, maybe = names = _own(df, *(f"_{k}" for k in ("v", "holders", "parts", "places", "texts", "flat", "number", "done", "at", "new", "built", "json", "why", "left", "maybe")))
     kind = F.col("kind")
-    out = df.withColumn(v, F.try_parse_json(body_col))
+    out = df.withColumn(v, F.try_parse_json(body_col)).withColumn(maybe, _may_have_image(F.col(body_col)))
     out = out.withColumn("kind", F.col(kind_col) if kind_col else _kind_of(F.col(v)))
     out = out.withColumn(v, F.when(_object(F.col(v)).isNotNull(), F.col(v))).withColumn(holders, F.when(kind.isin(*KINDS), _holders(F.col(v), kind)))
-    out = out.withColumn(why, F.get(F.filter(F.flatten(F.transform(holders, lambda h: _reasons(h, kind))), lambda r: r.isNotNull()), 0)).withColumn(left, _sum(F.transform(holders, lambda h: _left(h, kind))))
+    reasons = F.filter(F.flatten(F.transform(holders, lambda h: _reasons(h, kind))), lambda r: r.isNotNull())
+    out = out.withColumn(why, F.when(F.col(maybe), F.get(reasons, 0))).withColumn(left, F.when(F.col(maybe), _sum(F.transform(holders, lambda h: _left(h, kind)))))
 
     # all texts of a body, in one array; where those of each holder and part begin
     out = out.withColumn(parts, F.transform(holders, lambda h: F.transform(_parts(h, kind), lambda p: _part_texts(p, kind))))
@@ -442,23 +454,23 @@ def redact_requests(df: DataFrame, body_col: str = "body", kind_col: str | None
     # the body around its new texts, from the inside out
     out = out.withColumn(new, F.transform(texts, lambda t, i: F.slice(F.col(f"{done}.text"), F.get(at, i) + 1, F.size(t))))
     own = lambda i, j: F.slice(F.get(new, i), F.get(F.get(places, i), j) + 2, F.get(F.get(parts, i), j))
-    out = out.withColumn(built, F.transform(holders, lambda h, i: F.transform(_parts(h, kind), lambda p, j: _part_with(p, kind, own(i, j), redactor is not None))))
+    out = out.withColumn(built, F.transform(holders, lambda h, i: F.transform(_parts(h, kind), lambda p, j: _part_with(p, kind, own(i, j), F.lit(True) if redactor is not None else ~F.col(maybe)))))
     there = lambda i: F.filter(F.get(built, i), lambda p: p.isNotNull())
     out = out.withColumn(built, F.transform(holders, lambda h, i: _holder_with(h, kind, F.get(new, i), there(i), 1 + _sum(F.get(parts, i)))))
     whole = F.coalesce(_body_with(F.col(v), kind, F.col(built)), F.col(v))
     out = out.withColumn(json_, F.when(kind.isin(*KINDS), F.to_json(whole)).otherwise(F.when(F.col(v).isNotNull(), F.col(body_col))))
     out = out.withColumn("mapping", F.coalesce(F.map_from_entries(F.flatten(f"{done}.entries")).cast(MAPPING), F.map_from_arrays(F.array(), F.array()).cast(MAPPING)))
-    out = out.withColumn("quarantined", F.col(v).isNull()).drop(*names[:-3])
+    out = out.withColumn("quarantined", F.col(v).isNull()).drop(*names[:-4])
     known = F.coalesce(kind.isin(*KINDS), F.lit(False))
     if redactor is not None:
-        out = _seen(out.drop(why, left), json_, why, redactor, fill)
+        out = _seen(out.drop(why, left, maybe), json_, why, redactor, fill)
         status = F.col(why)
     else:
-        hidden = known & (F.regexp_count(F.col(json_), F.lit(_ANY_IMAGE)) > F.col(left))
+        hidden = known & F.col(maybe) & (F.regexp_count(F.col(json_), F.lit(_ANY_IMAGE)) > F.col(left))
         out = out.withColumn("quarantined", F.col("quarantined") | F.coalesce(hidden, F.lit(False)))
         status = F.when(hidden, "withheld: the body").otherwise(F.coalesce(F.col(why), F.lit("no image")))
     out = out.withColumn("image_status", F.when(known & F.col(json_).isNotNull(), status).when(F.col(json_).isNotNull(), "not known"))
-    return out.withColumn("redacted_body", F.when(~F.col("quarantined"), F.col(json_))).drop(json_, why, left)
+    return out.withColumn("redacted_body", F.when(~F.col("quarantined"), F.col(json_))).drop(json_, why, left, maybe)
 
 
 #: A placeholder in JSON text; its angle brackets may be escaped.
