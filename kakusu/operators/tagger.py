@@ -363,5 +363,4 @@ def widened(df: DataFrame, id_col: str, text_col: str, entities_col: str, labels
 
 def scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """``label, tp, pred, gold, p, r, f`` of exact matches, by label."""
-    counts = evaluate.match_counts(gold, pred)
-    return counts.join(evaluate.per_type(counts), "label")
+    return evaluate.ratios(evaluate.match_counts(gold, pred)).select("label", "tp", "pred", "gold", "p", "r", "f")
