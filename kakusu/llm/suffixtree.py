@@ -8,10 +8,12 @@ without its oldest symbol): count times relative entropy in nats must exceed the
 Ancestors of retained contexts stay. Distributions are smoothed towards the parent's by the number of kinds seen (Witten-Bell).
 A text is scored along its longest suffix states.
 
-Texts are dealt into blocks of about ``BLOCK_BYTES``. A block sends its distinct runs of DEPTH + 1 symbols, with their counts in
-training rows, to buckets by the last CLOSE + 1 symbols of the context, and its distinct words to buckets by hash. All longer states
-of a bucket's runs are in that bucket, so each bucket grows its part of the tree alone and answers the blocks; only the levels up
-to CLOSE, at most 256 ** (CLOSE + 1) runs, are handed to every task. Nothing is held whole anywhere: not the tree, not the words.
+Rows are taken into blocks of about ``BLOCK_BYTES`` as the scan brings them, one packed row for each block. A block sends its distinct
+runs of DEPTH + 1 symbols, with their counts in training rows, to buckets by the last CLOSE + 1 symbols of the context, and its distinct
+words to buckets by hash. All longer states of a bucket's runs are in that bucket, so each bucket grows its part of the tree alone and
+answers the blocks; only the levels up to CLOSE, at most 256 ** (CLOSE + 1) runs, are handed to every task. Nothing is held whole
+anywhere: not the tree, not the words. Runs are several times as large as the texts, so the buckets take turns: in each of ``TURNS``
+rounds the blocks ask a share of them, and only sums by text stay of the answers.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,11 @@ DEPTH = 7
 LEAST = 2
 CLOSE = 2
 BLOCK_BYTES = 8 << 20
+#: Rounds of questions and answers: what is on disk at once is about 1 / TURNS of all runs.
+TURNS = 2
 #: The levels up to CLOSE are summed up in so many parts first.
 PARTS = 64
-_CHUNK = 3_000_000
+_CHUNK = 1 << 20
 _END = b"\n"
 _U8 = np.uint64(8)
 _NO_KEYS, _NO_COUNTS = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
@@ -83,9 +88,13 @@ def _low(k: int) -> np.uint64:
     return np.uint64((1 << (8 * k)) - 1)
 
 
+def _bucket(spread: np.ndarray, buckets: int) -> np.ndarray:
+    return (((spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _dealt(spread: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that gets some of the numbers, and where these are, in their order."""
-    bucket = (((spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    bucket = _bucket(spread, buckets)
     order = np.argsort(bucket, kind="stable")
     ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
     start = 0
@@ -149,68 +158,100 @@ def _find(where: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, at
 
 
-def _pack(n_blocks: int):
+_TEXTS = "doc_id array<string>, held_out array<boolean>, times array<long>, sizes array<long>, n_words array<long>"
+_PACKED = f"block long, {_TEXTS}, symbols binary, keys binary, counts binary"
+
+
+def _pack(block_bytes: int, depth: int, close: int):
+    """Rows as blocks: how often each is there, its symbols, and counts of the short runs in training rows."""
+
+    def block(number: int, rows: Counter) -> tuple:
+        words = [words_of(text) for _, _, text in rows]
+        symbols = [stream(w) for w in words]
+        sizes = np.array([len(x) for x in symbols])
+        whole = _END * depth + b"".join(x + _END * max(0, depth - 1) for x in symbols)
+        doc_id, held_out = [list(x) for x in zip(*((d, h) for d, h, _ in rows))]
+        times = np.fromiter(rows.values(), dtype=np.int64, count=len(rows))
+        found = [(k & _low(close + 1), owner) for k, owner in _runs_of(whole, sizes, depth)]
+        weights = np.where(held_out, 0, times)
+        top, counts = _counted(*(np.concatenate(x) for x in zip(*found)), weights)
+        top, counts = top[counts > 0], counts[counts > 0]
+        return number, doc_id, held_out, times, sizes, [len(w) for w in words], zlib.compress(whole, 1), _squeeze(top, True), _squeeze(counts)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row for equal rows of a batch: how often it is there, its block, its packed stream of words."""
+        number, size, rows = TaskContext.get().partitionId() << 32, 0, Counter()
+        columns = [c.split()[0] for c in _PACKED.split(", ")]
         for batch in batches:
-            rows = Counter(zip(batch["doc_id"], batch["held_out"], batch["text"]))
-            out = []
-            for (doc_id, held_out, text), times in rows.items():
-                raw = text.encode("utf-8", "surrogatepass")
-                block = xxhash.xxh3_64_intdigest(f"{doc_id} ".encode() + raw) % n_blocks
-                out.append((doc_id, held_out, times, block, zlib.compress(b" ".join(words_of(text)), 1)))
-            yield pd.DataFrame(out, columns=["doc_id", "held_out", "times", "block", "words"])
+            for row in zip(batch["doc_id"], batch["held_out"], batch["text"]):
+                rows[row] += 1
+                size += len(row[2].encode("utf-8", "surrogatepass")) if rows[row] == 1 else 0
+                if size >= block_bytes:
+                    yield pd.DataFrame([block(number, rows)], columns=columns)
+                    number, size, rows = number + 1, 0, Counter()
+        if rows:
+            yield pd.DataFrame([block(number, rows)], columns=columns)
 
     return run
 
 
-def _words(packed: bytes) -> list[bytes]:
-    raw = zlib.decompress(packed)
-    return raw.split(b" ") if raw else []
+def _runs_of(symbols: bytes, sizes: np.ndarray, depth: int, mine=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of the texts of a block in their order, of those that ``mine`` takes, and the numbers of their texts; in chunks."""
+    gap = max(0, depth - 1)
+    ends = np.cumsum(sizes + gap)
+    for at in range(0, len(symbols) - depth, _CHUNK):
+        keys = runs(symbols[at : at + _CHUNK + depth], depth)
+        place = np.arange(at, at + len(keys))
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), np.diff(np.clip(ends, at, at + len(keys)), prepend=at))
+        good = place[: len(owner)] < (ends - gap)[owner]  # between texts are ends only
+        good = good & mine(keys[: len(owner)]) if mine else good
+        yield keys[: len(owner)][good], owner[good]
+
+
+def _counted(keys: np.ndarray, owner: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of the weights of the texts that they are in. Plain sorting, not by index, is what is fast."""
+    each = [(*_tally(keys), 0)] if (weights == 0).all() else []
+    if not each:
+        of = weights[owner]
+        each = [(*_tally(keys[of == t]), t) for t in set(weights.tolist())]
+    return _tally(np.concatenate([k for k, _, _ in each]), np.concatenate([c * t for _, c, t in each])) if len(each) > 1 else (each[0][0], each[0][1] * each[0][2])
+
+
+class _Turn:
+    """What the buckets of one turn are asked: which runs and words of a block, in which order."""
 
+    def __init__(self, depth: int, close: int, buckets: int, turn: int, turns: int):
+        self.depth, self.close, self.buckets, self.turn, self.turns = depth, close, buckets, turn, turns
 
-def _counted(parts: Iterator[tuple[bool, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all parts (held out or not, times, keys), and their counts in training parts."""
-    keys, counts = _NO_KEYS, _NO_COUNTS
-    held: list[tuple[np.ndarray, int]] = []
+    def spread(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> _U8) & _low(self.close + 1)
 
-    def add() -> tuple[np.ndarray, np.ndarray]:
-        all_, n = [keys], [counts]
-        for times in {t for _, t in held}:
-            k, c = _tally(np.concatenate([x for x, t in held if t == times]))
-            all_.append(k)
-            n.append(c * times)
-        return _tally(np.concatenate(all_), np.concatenate(n))
+    def runs(self, symbols: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = (lambda k: _bucket(self.spread(k), self.buckets) % self.turns == self.turn) if self.turns > 1 else None
+        found = list(_runs_of(symbols, sizes, self.depth, mine))
+        return np.concatenate([_NO_KEYS, *(k for k, _ in found)]), np.concatenate([np.empty(0, dtype=np.int32), *(o for _, o in found)])
 
-    size = 0
-    for held_out, times, some in parts:
-        held.append((some, 0 if held_out else times))
-        size += len(some)
-        if size >= _CHUNK:
-            keys, counts = add()
-            held, size = [], 0
-    return add() if held else (keys, counts)
+    def words(self, symbols: bytes, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words of a block are the first turn's."""
+        return word_hashes(symbols.split()), np.repeat(np.arange(len(n_words)), n_words)
 
 
 _ASKED = "kind int, bucket long, block long, keys binary, counts binary"
-_WORD, _RUN, _TOP, _TOTAL = range(4)
+_WORD, _RUN = range(2)
 
 
-def _ask(depth: int, close: int, buckets: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """What a block asks: its distinct words and runs, with counts in training rows; and its counts of short runs."""
-        words = [_words(p) for p in pdf["words"]]
-        block = pdf["block"].iloc[0]
-        deal = list(zip(pdf["held_out"], pdf["times"], words))
-        out = []
-        keys, counts = _counted((h, t, word_hashes(w)) for h, t, w in deal)
-        out += [(_WORD, b, block, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt(keys, buckets)]
-        keys, counts = _counted((h, t, runs(_END * depth + stream(w), depth)) for h, t, w in deal)
-        out += [(_RUN, b, block, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt((keys >> _U8) & _low(close + 1), buckets)]
-        known = counts > 0
-        k, c = _tally(keys[known] & _low(close + 1), counts[known])
-        out.append((_TOP, block % PARTS, block, _squeeze(k, True), _squeeze(c)))
-        return pd.DataFrame(out, columns=["kind", "bucket", "block", "keys", "counts"])
+def _ask(turn: _Turn):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What each block asks: its distinct words and runs, with counts in training rows."""
+        for batch in batches:
+            for r in batch.itertuples():
+                symbols, weights = zlib.decompress(r.symbols), np.where(r.held_out, 0, r.times)
+                out = []
+                if turn.turn == 0:
+                    keys, counts = _counted(*turn.words(symbols, r.n_words), weights)
+                    out += [(_WORD, b, r.block, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt(keys, turn.buckets)]
+                keys, counts = _counted(*turn.runs(symbols, r.sizes), weights)
+                out += [(_RUN, b, r.block, _squeeze(keys[at], True), _squeeze(counts[at])) for b, at in _dealt(turn.spread(keys), turn.buckets)]
+                yield pd.DataFrame(out, columns=["kind", "bucket", "block", "keys", "counts"])
 
     return run
 
@@ -225,60 +266,76 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [0], "keys": [_squeeze(keys, True)], "counts": [_squeeze(counts)]})
 
 
-def short_levels(asked: DataFrame, close: int, least: float) -> Levels:
+def short_levels(packed: DataFrame, close: int, least: float) -> Levels:
     """The levels up to ``close``: at most 256 ** (close + 1) runs come to the driver."""
-    added = asked.filter(F.col("kind") == _TOP).select("bucket", "keys", "counts").groupBy("bucket").applyInPandas(_add_up, "bucket long, keys binary, counts binary")
+    added = packed.select((F.xxhash64("block") % PARTS).alias("bucket"), "keys", "counts").groupBy("bucket").applyInPandas(_add_up, "bucket long, keys binary, counts binary")
     row = added.groupBy("bucket").applyInPandas(_add_up, "bucket long, keys binary, counts binary").first()
     if row is None:
         return Levels(_NO_KEYS, _NO_COUNTS, 0, close, least)
     return Levels(_loosen(row["keys"], np.uint64, True), _loosen(row["counts"], np.int64), 0, close, least)
 
 
+_ANSWERED = "kind int, bucket long, at long, found binary, tokens long, kinds long"
+
+
 def _answer(depth: int, close: int, least: float, short):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """A bucket's answers to the blocks: counts of words, or log10 probabilities of runs by its part of the tree."""
+        """A bucket's answers to the blocks: counts of words, or log10 probabilities of runs by its part of the tree.
+
+        The first answer of a bucket of words has the number of its words in training rows, and of its kinds of them.
+        """
         keys, counts, each = _summed(pdf)
         known = counts > 0
         if key[0] == _WORD:
-            values, total = counts, [(_TOTAL, key[1], -1, _squeeze(np.array([counts.sum(), known.sum()])))]
+            values, total = counts, (int(counts.sum()), int(known.sum()))
         else:
             tree = Levels(keys[known], counts[known], close + 1, depth, least, short.value)
-            values, total = tree.walk(keys).astype(np.float32), []
-        out = [(key[0], key[1], block, _squeeze(values[np.searchsorted(keys, some)])) for block, some in zip(pdf["block"], each)]
-        return pd.DataFrame(out + total, columns=["kind", "bucket", "block", "found"])
+            values, total = tree.walk(keys).astype(np.float32), (0, 0)
+        out = [(key[0], key[1], block, _squeeze(values[np.searchsorted(keys, some)]), *(total if i == 0 else (0, 0))) for i, (block, some) in enumerate(zip(pdf["block"], each))]
+        return pd.DataFrame(out, columns=["kind", "bucket", "at", "found", "tokens", "kinds"])
 
     return run
 
 
-def _score(depth: int, close: int, buckets: int):
+_SCORED = "block long, i long, doc_id string, held_out boolean, times long, n_tokens long, n_known long, logs double, tokens long, kinds long, turn int, score double"
+
+
+def _score(turn: _Turn):
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """Sums over each text of a block; the answers are in the order in which the block asked."""
-        if pdf.empty:
-            return pd.DataFrame([], columns=["doc_id", "held_out", "times", "n_tokens", "n_known", "logs", "score"])
-        words = [_words(p) for p in pdf["words"]]
         given = {(k, b): f for k, b, f in zip(answers["kind"], answers["bucket"], answers["found"])}
 
-        def asked(kind: int, parts, spread, type_) -> tuple[np.ndarray, np.ndarray]:
-            keys = _counted((True, 1, p) for p in parts)[0]
+        def asked(kind: int, found: np.ndarray, spread, type_) -> tuple[np.ndarray, np.ndarray]:
+            keys = _tally(found)[0]
             values = np.empty(len(keys), dtype=type_)
-            for bucket, at in _dealt(spread(keys), buckets):
+            for bucket, at in _dealt(spread(keys), turn.buckets):
                 values[at] = _loosen(given[kind, bucket], type_)
             return keys, values
 
-        known, counts = asked(_WORD, map(word_hashes, words), lambda k: k, np.int64)
-        base = []
-        for w in words:
-            c = counts[np.searchsorted(known, word_hashes(w))] if w else _NO_COUNTS
-            base.append((len(w) + 1, int((c > 0).sum()), float(np.log10(c + 0.1).sum())))
-        edges, logp = asked(_RUN, (runs(_END * depth + stream(w), depth) for w in words), lambda k: (k >> _U8) & _low(close + 1), np.float32)
-        sums = [float(logp[np.searchsorted(edges, np.sort(runs(_END * depth + stream(w), depth)))].sum(dtype=np.float64)) for w in words]  # sorted: near one another in memory
-        out = [(d, h, t, *b, s) for d, h, t, b, s in zip(pdf["doc_id"], pdf["held_out"], pdf["times"], base, sums)]
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "times", "n_tokens", "n_known", "logs", "score"])
+        out = []
+        for r in pdf.itertuples():  # one row
+            symbols, n = zlib.decompress(r.symbols), len(r.sizes)
+            total = lambda owner, values: np.bincount(owner, values, n)
+            known, logs = np.zeros(n, dtype=np.int64), np.zeros(n)
+            if turn.turn == 0:
+                hashes, owner = turn.words(symbols, r.n_words)
+                keys, counts = asked(_WORD, hashes, lambda k: k, np.int64)
+                c = counts[np.searchsorted(keys, hashes)]
+                known, logs = total(owner, c > 0).astype(np.int64), total(owner, np.log10(c + 0.1))
+            found, owner = turn.runs(symbols, r.sizes)
+            keys, values = asked(_RUN, found, turn.spread, np.float32)
+            ends = np.cumsum(np.bincount(owner, minlength=n))
+            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                found[start:end].sort()  # near one another in memory
+            sums = total(owner, values[np.searchsorted(keys, found)])
+            counted = [[int(answers[c].sum()), *[0] * (n - 1)] for c in ("tokens", "kinds")]
+            out.append(pd.DataFrame({"block": r.block, "i": np.arange(n), "doc_id": r.doc_id, "held_out": r.held_out, "times": r.times, "n_tokens": r.n_words + 1, "n_known": known, "logs": logs, "tokens": counted[0], "kinds": counted[1], "turn": turn.turn, "score": sums}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=[c.split()[0] for c in _SCORED.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = DEPTH, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = DEPTH, least: float = LEAST, block_bytes: int = BLOCK_BYTES, turns: int = TURNS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     Tokens are words and one end. ``base_score`` is the add-0.1 unigram score with counts over the rows outside fold 0.
@@ -290,20 +347,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held_out = fold_of(F.col(id_col), folds) == 0
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
-    n = max(1, -(-whole["bytes"] // block_bytes))
-    packed = keep(rows.mapInPandas(_pack(n), "doc_id string, held_out boolean, times long, block long, words binary"))
-    asked = keep(packed.groupBy("block").applyInPandas(_ask(depth, close, n), _ASKED))
-    short = docs.sparkSession.sparkContext.broadcast(short_levels(asked, close, least))
-    answers = keep(asked.filter(F.col("kind") < _TOP).groupBy("kind", "bucket").applyInPandas(_answer(depth, close, least, short), "kind int, bucket long, block long, found binary"))
-    drop(asked)
-    totals = [_loosen(r["found"], np.int64) for r in answers.filter(F.col("kind") == _TOTAL).select("found").toLocalIterator()]  # two numbers for each bucket
-    tokens, kinds = (int(sum(int(t[i]) for t in totals)) for i in (0, 1))
-    tokens, kinds = tokens + whole["ends"], kinds + int(whole["ends"] > 0)
-    found = answers.filter(F.col("kind") < _TOP).withColumnRenamed("block", "at")
-    scored = keep(packed.groupBy("block").cogroup(found.groupBy("at")).applyInPandas(_score(depth, close, n), "doc_id string, held_out boolean, times long, n_tokens long, n_known long, logs double, score double"))
-    drop(answers)
+    buckets = turns * max(1, -(-whole["bytes"] // block_bytes))
+    packed = keep(rows.mapInPandas(_pack(block_bytes, depth, close), _PACKED))
+    short = docs.sparkSession.sparkContext.broadcast(short_levels(packed, close, least))
+    blocks, parts = packed.drop("keys", "counts"), []
+    for k in range(turns):
+        turn = _Turn(depth, close, buckets, k, turns)
+        asked = blocks.select("block", "held_out", "times", "sizes", "n_words", "symbols").mapInPandas(_ask(turn), _ASKED)
+        answers = asked.groupBy("kind", "bucket").applyInPandas(_answer(depth, close, least, short), _ANSWERED)
+        parts.append(keep(blocks.groupBy("block").cogroup(answers.groupBy("at")).applyInPandas(_score(turn), _SCORED)))
     drop(packed)
+    total = parts[0].agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    tokens, kinds = total["tokens"] + whole["ends"], total["kinds"] + int(whole["ends"] > 0)
+    every = parts[0].drop("turn")
+    for k, part in enumerate(parts[1:], 1):  # joined, not added up, so that sums have one order
+        every = every.join(part.select("block", "i", F.col("score").alias(f"score_{k}")), ["block", "i"])
+    score = sum((F.col(f"score_{k}") for k in range(1, turns)), F.col("score"))
     base = F.col("logs") + F.log10(F.lit(whole["ends"] + 0.1)) - F.col("n_tokens") * F.log10(F.lit(tokens + 0.1 * (kinds + 1)))
-    every = scored.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    every = every.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
     n_known = (F.col("n_known") + int(whole["ends"] > 0)).cast("long")
-    return every.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "n_tokens", n_known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return every.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "n_tokens", n_known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

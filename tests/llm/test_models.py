@@ -185,3 +185,15 @@ def test_queries_have_their_columns(spark, sf):
     }
     for name, columns in wanted.items():
         assert columns <= set(queries.QUERIES[name](spark, sf).columns)
+
+
+def test_runs_are_asked_in_turns_and_never_kept(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(suffixtree, "keep", lambda df, keep=suffixtree.keep: kept.append(df.columns) or keep(df))
+    texts = [(i, f"abra cadabra {i % 7} the thesis {i}") for i in range(40)] + [(3, None), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    scores = [sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in suffixtree.score_documents(df, block_bytes=300, turns=n).collect()) for n in (1, 2, 3)]
+    assert scores[0] == scores[1] == scores[2] and not any("bucket" in c for c in kept)  # requests are several times the input
+    symbols, sizes = b"\n" * 7 + b"abra cadabra\n" + b"\n" * 6 + b"\n" + b"\n" * 6 + b"thesis\n" + b"\n" * 6, np.array([13, 1, 7])
+    each = [suffixtree._Turn(7, 2, 4, k, 2).runs(symbols, sizes)[0].tolist() for k in range(2)]
+    assert all(each) and sorted(each[0] + each[1]) == sorted(suffixtree._Turn(7, 2, 4, 0, 1).runs(symbols, sizes)[0].tolist()) and len(each[0] + each[1]) == 21
