@@ -19,6 +19,7 @@ set is sent once for each chunk that it meets instead of once for each pair. Ver
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from .graph import components
 BANDS, ROWS = 10, 3
 CHUNK = 256
 MAP_LONGS = 64
+#: Bits of the filter of ids: most of them, and of a segment that a task makes.
+LARGEST, SEGMENT = 1 << 28, 1 << 20
 
 
 def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +90,40 @@ def _signatures(k: int, m: int, r: int):
     return run
 
 
-def _sets(k: int):
+def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(SEGMENT, dtype=bool)
+    out[pdf["bit"]] = True
+    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [zlib.compress(np.packbits(out, bitorder="little").tobytes(), 1)]})
+
+
+def hash_filter(hashes: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
+    """Bits of the hashes (column h, long) and how many there may be: 32 to 64 for each hash, LARGEST at most (32 MB), in segments.
+
+    A hash that is not there has its bit set in at most 3 of 100 cases, in more where there are more than LARGEST / 32 hashes.
+    """
+    bits = min(LARGEST, max(SEGMENT, 1 << (32 * hashes.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    rows = hashes.select(F.floor(at / SEGMENT).alias("segment"), (at % SEGMENT).alias("bit")).groupBy("segment").applyInPandas(_segment, "segment long, bits binary")
+    return bits, {r["segment"]: np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8) for r in rows.toLocalIterator()}
+
+
+def may_have(found: tuple[int, dict[int, np.ndarray]], hashes: np.ndarray) -> np.ndarray:
+    bits, segments = found
+    at = hashes & (bits - 1)
+    out = np.zeros(len(at), dtype=bool)
+    for segment, held in segments.items():
+        here = np.flatnonzero(at // SEGMENT == segment) if bits > SEGMENT else np.arange(len(at))
+        bit = at[here] % SEGMENT
+        out[here] = (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+    return out
+
+
+def _sets(k: int, wanted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sets of the texts that may be wanted; others stay where they are."""
         for batch in batches:
-            rows = [(digest(s), s.view(np.int64)) for s in (shingle_hashes(words_of(t), k) for t in batch["text"]) if len(s)]
+            texts = batch["text"][may_have(wanted.value, batch["h"].to_numpy())]
+            rows = [(digest(s), s.view(np.int64)) for s in (shingle_hashes(words_of(t), k) for t in texts) if len(s)]
             yield pd.DataFrame(rows, columns=["node", "shingles"])
 
     return run
@@ -189,9 +222,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     shared = keys.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
     keys = keep(keys.join(shared, ["i", "key"]))
     some = keep(nodes.join(keys.select("node").distinct(), "node").select("node", "rep", "n", "a", "b", "bits"))
-    ids = some.select(F.col("rep").alias("wanted_id")).distinct()
-    texts = base.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = keep(texts.mapInPandas(_sets(shingle), "node binary, shingles array<long>").join(some.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
+    of_id = lambda c: F.xxhash64(F.col(c).cast("long")).alias("h")
+    wanted = docs.sparkSession.sparkContext.broadcast(hash_filter(some.select(of_id("rep"))))  # so that texts are not dealt to be met with ids
+    sets = keep(base.select(of_id("doc_id"), "text").mapInPandas(_sets(shingle, wanted), "node binary, shingles array<long>").join(some.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
 
     links = verified_links(keep(star_pairs(some, keys, percent)), sets, percent, chunk)
     joined = components(links)

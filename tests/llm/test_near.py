@@ -120,3 +120,26 @@ def test_lines_of_odd_rows(spark):
     got = sorted((str(r.doc_id), r.n_lines, r.n_removed) for r in linededup.line_report(df).collect())
     assert got == [("1", 1, 1), ("1", 1, 1), ("2", 0, 0), ("None", 1, 0)]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_texts_are_not_dealt_to_find_the_wanted_ones(spark, monkeypatch):
+    words = [" ".join(f"w{i * 7 + k}" for k in range(30)) for i in range(40)]
+    df = spark.createDataFrame([(i if i != 9 else None, words[i // 2] + (" more" if i % 2 else "")) for i in range(60)], "doc_id long, text string")
+    plans = []
+    keep = neardup.keep
+    monkeypatch.setattr(neardup, "keep", lambda d: plans.append((d.columns, d._jdf.queryExecution().executedPlan().toString())) or keep(d))
+    assert neardup.link_components(df).filter("kept").count() == 30
+    plan = next(p for c, p in plans if c == ["node", "shingles"]).split("\n")
+    at = next(i for i, line in enumerate(plan) if "MapInPandas" in line)
+    assert not any("Join" in line for line in plan[at + 1 : at + 4])
+
+
+def test_filter_of_hashes_loses_none(spark, monkeypatch):
+    for bits in (1 << 12, 1 << 28):
+        monkeypatch.setattr(neardup, "LARGEST", bits)
+        monkeypatch.setattr(neardup, "SEGMENT", 1 << 12)
+        held = np.array([r.h for r in spark.range(500).select(F.xxhash64("id").alias("h")).collect()])
+        found = neardup.hash_filter(spark.range(500).select(F.xxhash64("id").alias("h")))
+        other = np.array([r.h for r in spark.range(1000, 11000).select(F.xxhash64("id").alias("h")).collect()])
+        assert neardup.may_have(found, held).all() and neardup.may_have(found, other).mean() < (0.2 if bits == 1 << 12 else 0.04)
+    assert not neardup.may_have(neardup.hash_filter(spark.range(0).select(F.xxhash64("id").alias("h"))), held).any()
