@@ -51,12 +51,9 @@ def stream(words: list[bytes]) -> bytes:
 
 def runs(symbols: bytes, depth: int) -> np.ndarray:
     """For each symbol that follows the first ``depth`` ones: these and itself in one number, itself in the low byte."""
-    raw = np.frombuffer(symbols, dtype=np.uint8)
-    n = len(raw) - depth
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    for j in range(depth + 1):
-        out = (out << _U8) | raw[j : j + n]
-    return out
+    n = max(0, len(symbols) - depth)
+    padded = bytes(8) + symbols  # eight bytes end with each symbol
+    return np.ndarray(n, ">u8", padded, depth + 1 if n else 0, (1,)).astype(np.uint64) & _low(depth + 1)
 
 
 def _tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -197,3 +197,10 @@ def test_runs_are_asked_in_turns_and_never_kept(spark, monkeypatch):
     symbols, sizes = b"\n" * 7 + b"abra cadabra\n" + b"\n" * 6 + b"\n" + b"\n" * 6 + b"thesis\n" + b"\n" * 6, np.array([13, 1, 7])
     each = [suffixtree._Turn(7, 2, 4, k, 2).runs(symbols, sizes)[0].tolist() for k in range(2)]
     assert all(each) and sorted(each[0] + each[1]) == sorted(suffixtree._Turn(7, 2, 4, 0, 1).runs(symbols, sizes)[0].tolist()) and len(each[0] + each[1]) == 21
+
+
+def test_runs_of_any_depth():
+    text = bytes(range(250, 256)) + b"abra cadabra"
+    for depth in (0, 3, 7):
+        want = [int.from_bytes(text[i - depth : i + 1], "big") for i in range(depth, len(text))]
+        assert suffixtree.runs(text, depth).tolist() == want and len(suffixtree.runs(text[:depth], depth)) == 0
