@@ -18,18 +18,20 @@ rounds the blocks ask a share of them, and only sums by text stay of the answers
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fold_of, keep, need, word_hashes, words_of
+from .common import drop, fold_of, keep, mix, need, word_hashes, words_of
 
 DEPTH = 7
 LEAST = 2
@@ -40,7 +42,10 @@ TURNS = 2
 #: The levels up to CLOSE are summed up in so many parts first.
 PARTS = 64
 _CHUNK = 1 << 20
+PLACES = 64
+_TABLE = mix(np.arange(1, 256 * PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _END = b"\n"
+_SIZES = struct.Struct("<QB")
 _U8 = np.uint64(8)
 _NO_KEYS, _NO_COUNTS = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
 
@@ -56,12 +61,41 @@ def runs(symbols: bytes, depth: int) -> np.ndarray:
     return np.ndarray(n, ">u8", padded, depth + 1 if n else 0, (1,)).astype(np.uint64) & _low(depth + 1)
 
 
+def tabulated(symbols: bytes) -> np.ndarray:
+    """A hash of each word: the sum of a random number for each byte and its place. Words of more than ``PLACES`` bytes: xxh3."""
+    raw = np.frombuffer(symbols, dtype=np.uint8)
+    gap = (raw == 0x20) | (raw == _END[0])
+    edges = np.flatnonzero(np.diff(~gap, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):  # about _CHUNK bytes at once
+        till = max(at + 1, int(np.searchsorted(starts, starts[at] + _CHUNK)))
+        a, b = starts[at], ends[till - 1]
+        place = np.arange(a, b) - np.repeat(starts[at:till], np.diff(starts[at:till], append=b))
+        part = np.where(gap[a:b], np.uint64(0), _TABLE[np.minimum(place, PLACES - 1) << 8 | raw[a:b]])
+        out[at:till] = np.add.reduceat(part, starts[at:till] - a)
+        at = till
+    long = np.flatnonzero(ends - starts > PLACES)
+    out[long] = word_hashes([symbols[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())])
+    return out
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """As a stable argsort, by the low and then the high half with places behind it: plain sorting, not by index, is what is fast."""
+    place, low = np.arange(len(keys), dtype=np.uint64), np.uint64(0xFFFFFFFF)
+    first = np.sort(keys << np.uint64(32) | place) & low
+    return first[np.sort(keys[first] & ~low | place) & low]
+
+
 def _tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and how often they come or the sums of their weights."""
-    if weights is None:
+    if (keys[1:] >= keys[:-1]).all():  # there already
+        pass
+    elif weights is None:
         keys = np.sort(keys)
     else:
-        order = np.argsort(keys, kind="stable")
+        order = _order(keys)
         keys, weights = keys[order], weights[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else _NO_COUNTS
     counts = np.diff(np.append(first, len(keys))) if weights is None else (np.add.reduceat(weights, first) if len(first) else weights)
@@ -69,15 +103,26 @@ def _tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def _squeeze(values: np.ndarray, ascending: bool = False) -> bytes:
-    """Numbers byte plane by byte plane; ascending ones as their differences."""
+    """Numbers byte plane by byte plane, without upper planes of zeros; ascending ones as their differences. Before them: how many, planes."""
     values = np.diff(values, prepend=values.dtype.type(0)) if ascending else np.ascontiguousarray(values)
-    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+    bits = values.view(f"<u{values.itemsize}")
+    planes = (int(bits.max(initial=0)).bit_length() + 7) // 8
+    raw = np.empty((planes, len(bits)), dtype=np.uint8)
+    for k in range(planes):
+        raw[k] = bits >> bits.dtype.type(8 * k)
+    return _SIZES.pack(len(bits), planes) + pa.compress(raw.reshape(-1), codec="zstd", asbytes=True)
 
 
 def _loosen(raw: bytes, kind, ascending: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-    return np.cumsum(values, dtype=kind) if ascending else values
+    n, planes = _SIZES.unpack_from(raw)
+    bits = np.zeros(n, dtype=f"<u{np.dtype(kind).itemsize}")
+    if planes and n:
+        rows = np.frombuffer(pa.decompress(memoryview(raw)[_SIZES.size :], n * planes, codec="zstd"), dtype=np.uint8).reshape(planes, n)
+        for k in range(planes - 1, -1, -1):
+            bits <<= bits.dtype.type(8)
+            bits |= rows[k]
+    values = bits.view(kind)
+    return np.cumsum(values, dtype=kind, out=values) if ascending else values
 
 
 def _low(k: int) -> np.uint64:
@@ -92,8 +137,9 @@ def _bucket(spread: np.ndarray, buckets: int) -> np.ndarray:
 def _dealt(spread: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that gets some of the numbers, and where these are, in their order."""
     bucket = _bucket(spread, buckets)
+    bucket = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket  # which sort by digits
     order = np.argsort(bucket, kind="stable")
-    ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+    ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order)) if len(order) else _NO_COUNTS
     start = 0
     for end in ends:
         yield int(bucket[order[start]]), order[start:end]
@@ -105,8 +151,9 @@ class Levels:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, least: float, above: Levels | None = None):
         self.low, self.high, self.above, self.at = low, high, above, {}
+        run, n = keys, counts
         for k in range(high, low - 1, -1):
-            run, n = _tally(keys & _low(k + 1), counts)
+            run, n = _tally(run & _low(k + 1), n)
             context, kinds = _tally(run >> _U8)
             c = _tally(run >> _U8, n)[1]
             good = (c >= least) | (k == 0)
@@ -194,12 +241,12 @@ def _pack(block_bytes: int, depth: int, close: int):
 def _runs_of(symbols: bytes, sizes: np.ndarray, depth: int, mine=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of the texts of a block in their order, of those that ``mine`` takes, and the numbers of their texts; in chunks."""
     gap = max(0, depth - 1)
-    ends = np.cumsum(sizes + gap)
+    edges = np.cumsum(np.stack([sizes, np.full(len(sizes), gap)], axis=1).reshape(-1))  # between texts are ends only
+    texts, inside = np.arange(len(edges), dtype=np.int32) >> 1, np.arange(len(edges)) % 2 == 0
     for at in range(0, len(symbols) - depth, _CHUNK):
         keys = runs(symbols[at : at + _CHUNK + depth], depth)
-        place = np.arange(at, at + len(keys))
-        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), np.diff(np.clip(ends, at, at + len(keys)), prepend=at))
-        good = place[: len(owner)] < (ends - gap)[owner]  # between texts are ends only
+        each = np.diff(np.clip(edges, at, at + len(keys)), prepend=at)
+        owner, good = np.repeat(texts, each), np.repeat(inside, each)
         good = good & mine(keys[: len(owner)]) if mine else good
         yield keys[: len(owner)][good], owner[good]
 
@@ -229,7 +276,7 @@ class _Turn:
 
     def words(self, symbols: bytes, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All words of a block are the first turn's."""
-        return word_hashes(symbols.split()), np.repeat(np.arange(len(n_words)), n_words)
+        return tabulated(symbols), np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
 
 
 _ASKED = "kind int, bucket long, block long, keys binary, counts binary"
@@ -253,13 +300,13 @@ def _ask(turn: _Turn):
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     each = [_loosen(k, np.uint64, True) for k in pdf["keys"]]
-    return *_tally(np.concatenate([_NO_KEYS, *each]), np.concatenate([_NO_COUNTS, *(_loosen(c, np.int64) for c in pdf["counts"])])), each
+    return _tally(np.concatenate([_NO_KEYS, *each]), np.concatenate([_NO_COUNTS, *(_loosen(c, np.int64) for c in pdf["counts"])]))
 
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, counts, _ = _summed(pdf)
+    keys, counts = _summed(pdf)
     return pd.DataFrame({"bucket": [0], "keys": [_squeeze(keys, True)], "counts": [_squeeze(counts)]})
 
 
@@ -281,14 +328,27 @@ def _answer(depth: int, close: int, least: float, short):
 
         The first answer of a bucket of words has the number of its words in training rows, and of its kinds of them.
         """
-        keys, counts, each = _summed(pdf)
+        each = [_loosen(k, np.uint64, True) for k in pdf["keys"]]
+        starts = np.cumsum([0, *map(len, each)])
+        every = np.concatenate([_NO_KEYS, *each])
+        del each
+        order = _order(every)
+        every = every[order]
+        first = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+        keys = every[first]
+        del every
+        place = np.empty(len(order), dtype=np.int32)  # of each asked key among the different ones
+        place[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+        counts = np.concatenate([_NO_COUNTS, *(_loosen(c, np.int64) for c in pdf["counts"])])[order]
+        counts = np.add.reduceat(counts, np.flatnonzero(first)) if len(counts) else counts
+        del order, first
         known = counts > 0
         if key[0] == _WORD:
             values, total = counts, (int(counts.sum()), int(known.sum()))
         else:
             tree = Levels(keys[known], counts[known], close + 1, depth, least, short.value)
             values, total = tree.walk(keys).astype(np.float32), (0, 0)
-        out = [(key[0], key[1], block, _squeeze(values[np.searchsorted(keys, some)]), *(total if i == 0 else (0, 0))) for i, (block, some) in enumerate(zip(pdf["block"], each))]
+        out = [(key[0], key[1], block, _squeeze(values[place[a:b]]), *(total if i == 0 else (0, 0))) for i, (block, a, b) in enumerate(zip(pdf["block"], starts, starts[1:]))]
         return pd.DataFrame(out, columns=["kind", "bucket", "at", "found", "tokens", "kinds"])
 
     return run
@@ -302,12 +362,11 @@ def _score(turn: _Turn):
         """Sums over each text of a block; the answers are in the order in which the block asked."""
         given = {(k, b): f for k, b, f in zip(answers["kind"], answers["bucket"], answers["found"])}
 
-        def asked(kind: int, found: np.ndarray, spread, type_) -> tuple[np.ndarray, np.ndarray]:
-            keys = _tally(found)[0]
+        def asked(kind: int, keys: np.ndarray, spread, type_) -> np.ndarray:
             values = np.empty(len(keys), dtype=type_)
             for bucket, at in _dealt(spread(keys), turn.buckets):
                 values[at] = _loosen(given[kind, bucket], type_)
-            return keys, values
+            return values
 
         out = []
         for r in pdf.itertuples():  # one row
@@ -316,15 +375,18 @@ def _score(turn: _Turn):
             known, logs = np.zeros(n, dtype=np.int64), np.zeros(n)
             if turn.turn == 0:
                 hashes, owner = turn.words(symbols, r.n_words)
-                keys, counts = asked(_WORD, hashes, lambda k: k, np.int64)
-                c = counts[np.searchsorted(keys, hashes)]
-                known, logs = total(owner, c > 0).astype(np.int64), total(owner, np.log10(c + 0.1))
+                keys = _tally(hashes)[0]
+                at = np.searchsorted(keys, hashes)
+                c = asked(_WORD, keys, lambda k: k, np.int64)
+                known, logs = total(owner, (c > 0)[at]).astype(np.int64), total(owner, np.log10(c + 0.1)[at])
+                del hashes, owner, at
             found, owner = turn.runs(symbols, r.sizes)
-            keys, values = asked(_RUN, found, turn.spread, np.float32)
-            ends = np.cumsum(np.bincount(owner, minlength=n))
-            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                found[start:end].sort()  # near one another in memory
-            sums = total(owner, values[np.searchsorted(keys, found)])
+            order = _order(found)  # equal runs have equal values: each text adds its own up from the least run on
+            found, owner = found[order], owner[order]
+            del order
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+            values = asked(_RUN, found[first], turn.spread, np.float32)
+            sums = total(owner, np.repeat(values, np.diff(first, append=len(found))))
             counted = [[int(answers[c].sum()), *[0] * (n - 1)] for c in ("tokens", "kinds")]
             out.append(pd.DataFrame({"block": r.block, "i": np.arange(n), "doc_id": r.doc_id, "held_out": r.held_out, "times": r.times, "n_tokens": r.n_words + 1, "n_known": known, "logs": logs, "tokens": counted[0], "kinds": counted[1], "turn": turn.turn, "score": sums}))
         return pd.concat(out) if out else pd.DataFrame([], columns=[c.split()[0] for c in _SCORED.split(", ")])

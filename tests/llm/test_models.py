@@ -204,3 +204,16 @@ def test_runs_of_any_depth():
     for depth in (0, 3, 7):
         want = [int.from_bytes(text[i - depth : i + 1], "big") for i in range(depth, len(text))]
         assert suffixtree.runs(text, depth).tolist() == want and len(suffixtree.runs(text[:depth], depth)) == 0
+
+
+def test_numbers_are_ordered_hashed_and_packed_as_they_are():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)[rng.integers(0, 5000, 20000)]
+    assert (suffixtree._order(keys) == np.argsort(keys, kind="stable")).all()
+    words = [b"a", b"ab", b"b" * suffixtree.PLACES, b"c" * 65, b"c" * 66, "é".encode(), b"ba", b"a"] * 3
+    hashes = suffixtree.tabulated(b"\n\n" + b" ".join(words[:5]) + b"\n\n\n" + b" ".join(words[5:]) + b"\n")
+    assert len(hashes) == len(words) and [len({hashes[i] for i in range(len(words)) if words[i] == w}) for w in words] == [1] * len(words)
+    assert len(set(hashes.tolist())) == len(set(words)) and len(suffixtree.tabulated(b"\n\n")) == 0
+    for values in (np.unique(keys), np.ones(1000, dtype=np.int64), np.zeros(3, dtype=np.int64), np.array([-1.5, 0], dtype=np.float32), np.empty(0, dtype=np.uint64)):
+        ascending = values.dtype == np.uint64
+        assert (suffixtree._loosen(suffixtree._squeeze(values, ascending), values.dtype, ascending) == values).all()
