@@ -11,8 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -25,25 +24,33 @@ _SHAPE = re.compile(SHAPE)
 
 
 class InOrder(StatefulProcessor):
-    """Hands rows (seq, value, done) of a key to ``take`` by seq, from 0 on; ``value`` is JSON."""
+    """Hands rows (seq, value, done) of a key to ``take`` by seq, from 0 on; ``value`` is JSON.
+
+    Each question to the state is a round trip, so what a key always needs is one value: where it is, which rows wait, and ``OWN``.
+    Rows that are early are written only if they are so at the end of a micro-batch, or where there are more than ``HELD`` of them.
+    """
+
+    #: What a subclass adds to that value, a SQL type, and what a new key has there.
+    OWN, NEW = "string", None
+    HELD = 1000
 
     def __init__(self, timeout_ms: int | None, columns: list[str]):
         self.timeout_ms, self.columns = timeout_ms, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.place = handle.getValueState("place", "next long, last long, waiting long")
+        self.handle, self.row = handle, Row(*self.columns)
+        self.place = handle.getValueState("place", f"next long, last long, waiting array<long>, own {self.OWN}")
         self.early = handle.getMapState("early", "seq long", "value string")
         self.begin(handle)
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
-        """Makes the state that ``take`` needs."""
+        """Makes the further state that ``take`` needs."""
 
     def load(self, known: bool) -> None:
-        """Reads that state for a key; one that is not known has none, and is asked nothing (each question is a round trip)."""
+        """Begins with a key, with its ``own``; one that is not known has no further state, and is asked nothing."""
 
     def save(self) -> None:
-        """Writes it back."""
+        """Writes that state back."""
 
     def take(self, seq: int, value: dict, end: bool) -> Iterator[tuple]:
         """Rows without the key."""
@@ -66,92 +73,99 @@ class InOrder(StatefulProcessor):
         for timer in list(self.handle.listTimers()) if self.timeout_ms is not None else ():
             self.handle.deleteTimer(timer)
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.columns)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = kept = self.place.exists()
-        at, last, waiting = self.place.get() if known else (0, -1, 0)
-        self.load(known)
-        out: list[tuple] = []
-        for frame in rows:
-            for seq, value, done in zip(frame["seq"].tolist(), frame["value"], frame["done"]):
-                last = seq if done else last
-                if seq < at:
-                    continue
-                if seq > at:
-                    waiting += not (kept and self.early.containsKey((seq,)))
-                    self.early.updateValue((seq,), (value,))
+    def _write(self, held: dict[int, str], waiting: set[int]) -> None:
+        for seq, value in held.items():
+            self.early.updateValue((seq,), (value,))
+        waiting.update(held)
+        held.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        place = self.place.get()
+        kept = place is not None
+        at, last, waiting, self.own = place if kept else (0, -1, (), self.NEW)
+        waiting, held = set(waiting), {}
+        self.load(kept)
+        for row in rows:
+            seq, value = row["seq"], row["value"]
+            last = seq if row["done"] else last
+            if seq < at:
+                continue
+            if seq > at:
+                held[seq] = value
+                if len(held) > self.HELD:
+                    self._write(held, waiting)
                     kept = True
-                    continue
-                while value is not None:
-                    out += self.take(at, json.loads(value), at == last)
-                    at, value = at + 1, None
-                    if waiting and self.early.containsKey((at,)):
-                        (value,), waiting = self.early.getValue((at,)), waiting - 1
-                        self.early.removeKey((at,))
-            if len(out) > 10_000:
-                yield self._frame(key, out)
-                out = []
+                continue
+            while value is not None:
+                yield from (self.row(*key, *r) for r in self.take(at, json.loads(value), at == last))
+                at, value = at + 1, None
+                if at in waiting:
+                    (value,) = self.early.getValue((at,))
+                    self.early.removeKey((at,))
+                    waiting.remove(at)
+                value = held.pop(at, value)
         if 0 <= last < at:
             if kept:
                 self._forget()
         else:
-            self.place.update((at, last, waiting))
+            self._write(held, waiting)
             self.save()
+            self.place.update((at, last, sorted(waiting), self.own))
             if self.timeout_ms is not None:
                 self._unwind()
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        yield self._frame(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        if self.place.exists():
-            at, last, _ = self.place.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if (place := self.place.get()) is not None:
+            at, last, _, self.own = place
             self.load(True)
             for seq, value in sorted((k[0], v[0]) for k, v in self.early.iterator()):  # those before it never came
-                out += self.take(seq, json.loads(value), seq == last)
+                yield from (self.row(*key, *r) for r in self.take(seq, json.loads(value), seq == last))
                 at = seq + 1
-            out += self.rest(at - 1)
+            yield from (self.row(*key, *r) for r in self.rest(at - 1))
             self._forget()
-        yield self._frame(key, out)
 
 
 class _Restore(InOrder):
+    """Its own value is the text that is held back."""
+
+    NEW = ""
+
     def begin(self, handle):
-        self.held_state = handle.getValueState("held", "text string")
         self.originals = handle.getMapState("originals", "placeholder string", "original string")
 
     def load(self, known):
-        self.held = self.held_state.get()[0] if known and self.held_state.exists() else ""
-        self.known = {k[0]: v[0] for k, v in self.originals.iterator()} if known else {}
-        self.new: dict[str, str] = {}
+        self.known, self.new, self.more = {}, {}, known
+
+    def _known(self) -> dict[str, str]:
+        if self.more:  # asked for only if a text has what may be a placeholder
+            self.known = {k[0]: v[0] for k, v in self.originals.iterator()} | self.known
+            self.more = False
+        return self.known
 
     def save(self):
-        self.held_state.update((self.held,))
         for placeholder, original in self.new.items():
             self.originals.updateValue((placeholder,), (original,))
 
     def clear(self):
-        self.held_state.clear()
         self.originals.clear()
 
     def _back(self, text: str) -> str:
-        return _SHAPE.sub(lambda m: self.known.get(m[0], m[0]), text)
+        return _SHAPE.sub(lambda m: self._known().get(m[0], m[0]), text) if "<" in text else text
 
     def take(self, seq, value, end):
         more = value.get("mapping") or {}
         self.known |= more
         self.new |= more
-        text, self.held = self.held + (value.get("chunk") or ""), ""
+        text, self.own = self.own + (value.get("chunk") or ""), ""
         tail = text[i:] if (i := text.rfind("<")) >= 0 else ""
-        if tail and not end and any(len(p) > len(tail) and p.startswith(tail) for p in self.known):
-            text, self.held = text[:i], tail
+        if tail and not end and any(len(p) > len(tail) and p.startswith(tail) for p in self._known()):
+            text, self.own = text[:i], tail
         yield seq, self._back(text)
 
     def rest(self, seq):
-        if self.held:
-            yield seq, self.held
+        if self.own:
+            yield seq, self.own
 
 
 def _keyed(rows: DataFrame, keys: tuple[str, ...], seq_col: str, value, done):
@@ -172,44 +186,45 @@ def restore_deltas(chunks: DataFrame, *keys: str, timeout_ms: int | None = None)
     """
     value = F.struct("chunk", "mapping")
     out = _schema(chunks, keys, "seq long, restored string")
-    return _keyed(chunks, keys, "seq", value, F.col("done")).transformWithStateInPandas(_Restore(timeout_ms, out.names), out, "append", "none" if timeout_ms is None else "processingTime")
+    return _keyed(chunks, keys, "seq", value, F.col("done")).transformWithState(_Restore(timeout_ms, out.names), out, "append", "none" if timeout_ms is None else "processingTime")
 
 
 class _Carry(InOrder):
+    """Its own value is how many originals have a number."""
+
+    OWN, NEW = "long", 0
+
     def begin(self, handle):
         self.numbers = handle.getMapState("numbers", "entity_type string, original string", "number long")
-        self.count = handle.getValueState("count", "n long")
 
     def load(self, known):
-        self.known, self.n = known, self.count.get()[0] if known and self.count.exists() else 0
+        self.known = known
         self.cache: dict[tuple[str, str], int] = {}
         self.new: list[tuple[str, str]] = []
 
     def save(self):
-        self.count.update((self.n,))
         for key in self.new:
             self.numbers.updateValue(key, (self.cache[key],))
 
     def clear(self):
         self.numbers.clear()
-        self.count.clear()
 
     def take(self, seq, value, end):
         text, at, pieces, mapping = value.get("text"), 0, [], {}
         for s in value.get("spans") or []:
             key = (s["entity_type"], s["text"])
             if key not in self.cache:
-                if self.known and self.numbers.containsKey(key):
-                    self.cache[key] = self.numbers.getValue(key)[0]
+                if self.known and (number := self.numbers.getValue(key)) is not None:
+                    self.cache[key] = number[0]
                 else:
-                    self.n += 1
-                    self.cache[key] = self.n
+                    self.own += 1
+                    self.cache[key] = self.own
                     self.new.append(key)
             name = f"<{key[0]}_{self.cache[key]}>"
             pieces += [text[at : s["start"]], name]
             at = s["end"]
             mapping[name] = key[1]
-        yield seq, None if text is None else "".join([*pieces, text[at:]]), mapping
+        yield seq, None if text is None else "".join([*pieces, text[at:]]), list(mapping.items())
 
 
 def carry_mapping_stream(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", done_col: str | None = None, timeout_ms: int | None = None, entities: list[str] | None = None, lang: str | None = "ja", catalog: Catalog = DEFAULT) -> DataFrame:
@@ -219,7 +234,7 @@ def carry_mapping_stream(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """
     found = with_disjoint(turns.select(conv_col, turn_col, F.col(text_col).alias("text"), (F.col(done_col) if done_col else F.lit(False)).alias("done")), "text", entities, lang, catalog, True, 0.0)
     out = _schema(turns, (conv_col,), "turn long, redacted string, mapping map<string,string>")
-    return _keyed(found, (conv_col,), turn_col, F.struct("text", "spans"), F.col("done")).transformWithStateInPandas(_Carry(timeout_ms, out.names), out, "append", "none" if timeout_ms is None else "processingTime")
+    return _keyed(found, (conv_col,), turn_col, F.struct("text", "spans"), F.col("done")).transformWithState(_Carry(timeout_ms, out.names), out, "append", "none" if timeout_ms is None else "processingTime")
 
 
 def carry_mapping(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", entities: list[str] | None = None, lang: str | None = "ja", catalog: Catalog = DEFAULT, block: int = 64) -> DataFrame:

@@ -45,6 +45,12 @@ def drain(stream: DataFrame, place: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
+def spread(rows: DataFrame, *keys: str, steps: int = 4) -> DataFrame:
+    """``rows`` dealt by a hash of ``keys`` over so many parts that each of ``steps`` micro-batches has files for all cores."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), steps * spark.sparkContext.defaultParallelism), *keys)
+
+
 def replay(rows: DataFrame, through: Callable[[DataFrame], DataFrame], steps: int = 4) -> DataFrame:
     """``rows`` written down and streamed through ``through`` in about ``steps`` micro-batches; the sink's table."""
     spark, place = rows.sparkSession, shared_place(rows.sparkSession)

@@ -1,11 +1,13 @@
 """State of conversations: order, cuts, replays, ends and timers."""
 
+import json
 import time
 
 from pyspark.sql import functions as F
 
+from kakusu.streaming import conversations
 from kakusu.streaming.conversations import carry_mapping, carry_mapping_stream, restore_deltas
-from kakusu.streaming.runner import ROCKSDB, replay, shared_place
+from kakusu.streaming.runner import ROCKSDB, replay, shared_place, spread
 
 PAIR = ["EMAIL_ADDRESS", "IP_ADDRESS"]
 CHUNKS = "conv_id long, seq long, chunk string, mapping map<string,string>, done boolean"
@@ -71,3 +73,69 @@ def test_a_conversation_that_is_done_starts_anew(spark):
         assert sorted(r["redacted"] for r in out.collect()) == ["<EMAIL_ADDRESS_1>", "<EMAIL_ADDRESS_2>"]
     rows.write.parquet(f"{place}/in")
     assert spark.read.parquet(f"{place}/in").filter(F.col("over")).count() == 1
+
+
+class _Counted:
+    """A state that keeps tuples and counts what it is asked."""
+
+    def __init__(self):
+        self.kept, self.asked = {}, 0
+
+    def _ask(self, answer=None):
+        self.asked += 1
+        return answer
+
+    def get(self):
+        return self._ask(self.kept.get(()))
+
+    def exists(self):
+        return self._ask(() in self.kept)
+
+    def update(self, value):
+        self._ask(self.kept.update({(): value}))
+
+    def getValue(self, key):
+        return self._ask(self.kept.get(key))
+
+    def containsKey(self, key):
+        return self._ask(key in self.kept)
+
+    def updateValue(self, key, value):
+        self._ask(self.kept.update({key: value}))
+
+    def removeKey(self, key):
+        self._ask(self.kept.pop(key))
+
+    def iterator(self):
+        return self._ask(iter(list(self.kept.items())))
+
+    def clear(self):
+        self._ask(self.kept.clear())
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *schemas):
+        return self.states.setdefault(name, _Counted())
+
+    getMapState = getValueState
+
+
+def test_a_key_asks_its_state_little():
+    """Each question is a round trip: one for a response of one chunk; rows that are early for a moment only are never written."""
+    handle, processor = _Handle(), conversations._Restore(None, ["conv_id", "seq", "restored"])
+    processor.init(handle)
+    row = lambda seq, chunk, done: {"seq": seq, "value": json.dumps({"chunk": chunk, "mapping": {"<URL_1>": "u"}}), "done": done}
+    run = lambda *rows: [r["restored"] for r in processor.handleInputRows((1,), iter(rows), None)]
+    asked = lambda: sum(s.asked for s in handle.states.values())
+    assert run(row(0, "a <URL_1>", True)) == ["a u"] and asked() == 1
+    assert run(row(2, "c", True), row(1, "_1>", False), row(0, "<URL", False)) == ["", "u", "c"] and asked() == 2
+    assert run(row(1, "_1>", True)) == [] and asked() == 5
+    assert run(row(0, "<URL", False)) == ["", "u"] and not any(s.kept for s in handle.states.values())
+
+
+def test_micro_batches_have_files_for_all_cores(spark):
+    rows = spread(spark.range(1000), "id", steps=3)
+    assert rows.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
