@@ -269,10 +269,20 @@ def _count_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(chunks)
 
 
-def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = LEXICON_SIZE) -> bytes:
+def _compiled(vocabulary_file: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(SparkFiles.get(vocabulary_file), encoding="utf-8") as f:
+            vocabulary = Vocabulary(f.read())
+        yield pd.DataFrame({"lexicon": [compile_lexicon({(raw := p.encode()): ",".join(map(str, vocabulary.merge(raw))) for batch in batches for p in batch["piece"]})]})
+
+    return run
+
+
+def fit_lexicon(docs: DataFrame, vocabulary_file: str, text_col: str = "text", size: int = LEXICON_SIZE) -> bytes:
     """Counts the pieces of all texts and compiles the most frequent ones: all that occur often enough for ``size`` at most.
 
-    The least count comes from a histogram of counts, so the driver gets no more than ``size`` pieces, however many tasks there are.
+    The least count comes from a histogram of counts, so no more than ``size`` pieces are compiled, however many tasks there are. A task
+    does that, with the vocabulary that Spark has served as ``vocabulary_file``; the driver gets the compiled file, a few MB.
     """
     counts = docs.select(F.col(text_col).alias("text")).mapInPandas(_count_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = kept(counts.filter(F.length("piece") <= 64))
@@ -283,9 +293,10 @@ def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
         if room < 0:
             break
         least = r["least"]
-    top = counts.filter(F.col("n") >= least).select("piece").collect()  # at most size
+    top = counts.filter(F.col("n") >= least).select("piece").repartition(1)  # at most size
+    row = top.mapInPandas(_compiled(vocabulary_file), "lexicon binary").first()
     drop(counts)
-    return compile_lexicon({r.piece.encode(): ",".join(map(str, vocabulary.merge(r.piece.encode()))) for r in top})
+    return bytes(row["lexicon"]) if row else compile_lexicon({})
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lexicon_size: int = LEXICON_SIZE, with_text: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -297,9 +308,9 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "tex
     """
     need(docs, text_col, *keep)
     spark = docs.sparkSession
-    with open(vocabulary_path, encoding="utf-8") as f:
-        vocabulary = Vocabulary(f.read())
-    lexicon = fit_lexicon(docs, vocabulary, text_col, lexicon_size)
+    spark.sparkContext.addFile(vocabulary_path)
+    file = os.path.basename(vocabulary_path)
+    lexicon = fit_lexicon(docs, file, text_col, lexicon_size)
     name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:24]}.bin"
     if not _SERVED:
         _SERVED.append(tempfile.TemporaryDirectory(prefix="kakusu-lexicon-"))  # goes when the program ends
@@ -307,8 +318,6 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "tex
         with open(path, "wb") as f:
             f.write(lexicon)
     spark.sparkContext.addFile(path)  # Spark serves it to every executor, also to those that come later
-    spark.sparkContext.addFile(vocabulary_path)
-    file = os.path.basename(vocabulary_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(file, name)

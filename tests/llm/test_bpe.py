@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -64,3 +65,16 @@ def test_lexicon_shares_suffixes_and_knows_its_words_only(tmp_path):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), vocabulary_path()).count() == 0
+
+
+def test_the_driver_holds_no_vocabulary(spark):
+    """A task compiles the lexicon; with the vocabulary the driver took over 30 MB for it."""
+    rows = spark.createDataFrame([(1, "one two two"), (2, None)], "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        out = bpe.encode_documents(rows, vocabulary_path())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 15e6
+    assert sorted((r.doc_id, r.n_tokens) for r in out.collect()) == [(1, 3), (2, 0)]
