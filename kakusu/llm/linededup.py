@@ -66,15 +66,20 @@ _EARLIER = "(x.id < y.id or (x.id = y.id and (x.pos < y.pos or (x.pos = y.pos an
 _PLACE = ["_id", "_copy", "pos"]
 
 
+def _tokens(ranks: Column) -> Column:
+    """The hashes ``hs`` behind their ranks, ascending. They are never null: then plain numbers are sorted, not objects."""
+    code = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1))), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform("hs", lambda h: F.coalesce(code(h), F.lit(0).cast("long"))))
+
+
 def _encoded(base: DataFrame) -> DataFrame:
     """Each line with words: its place, class (two hashes of its set), size, maps, two kins and prefix."""
     hashed = _lines(base).select(*_PLACE, F.expr(_hashes("line")).alias("hs")).filter("size(hs) > 0").persist(StorageLevel.DISK_ONLY)  # a lost part is made anew
     ranks = _rarity(hashed)
-    code = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1))), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     maps = (F.expr(_MAP.format(side=side)).alias(m) for side, m in (("~", "m0"), ("", "m1")))
     kins = F.array(F.xxhash64(F.array_min("hs"), F.array_max("hs")), F.xxhash64(F.array_min("turned"), F.array_max("turned"), F.lit(1)))
     turned = hashed.withColumn("turned", F.transform("hs", lambda h: F.shiftleft(h, 21)))
-    shown = turned.select(*_PLACE, F.size("hs").alias("n"), F.sort_array(F.transform("hs", code)).alias("toks"), *maps, kins.alias("kins"))
+    shown = turned.select(*_PLACE, F.size("hs").alias("n"), _tokens(ranks).alias("toks"), *maps, kins.alias("kins"))
     prefix = F.expr("transform(slice(toks, 1, n - cast(ceil(n * 0.8D) as int) + 1), t -> hash(t))")
     lines = keep(shown.select(*_PLACE, "n", F.xxhash64("toks").alias("cls"), F.xxhash64(F.lit(1), "toks").alias("low"), "m0", "m1", "kins", prefix.alias("prefix")))
     hashed.unpersist()

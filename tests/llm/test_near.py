@@ -143,3 +143,10 @@ def test_filter_of_hashes_loses_none(spark, monkeypatch):
         other = np.array([r.h for r in spark.range(1000, 11000).select(F.xxhash64("id").alias("h")).collect()])
         assert neardup.may_have(found, held).all() and neardup.may_have(found, other).mean() < (0.2 if bits == 1 << 12 else 0.04)
     assert not neardup.may_have(neardup.hash_filter(spark.range(0).select(F.xxhash64("id").alias("h"))), held).any()
+
+
+def test_ordered_words_are_plain_numbers(spark):
+    ranks = F.split(F.lit(",".join(["1"] * linededup.BUCKETS)), ",").cast("array<bigint>")
+    rows = spark.createDataFrame([([512, 256],)], "hs array<long>").select(F.filter("hs", F.isnotnull).alias("hs")).select(linededup._tokens(ranks).alias("toks"))
+    assert not rows.schema["toks"].dataType.containsNull
+    assert rows.first()["toks"] == [(1 << 56) + 1, (1 << 56) + 2]
