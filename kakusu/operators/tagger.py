@@ -1,18 +1,23 @@
 """A trained tagger: an averaged structured perceptron over hashed features, trained by iterative parameter mixing.
 
 Texts are cut into runs of letters, runs of digits and single other characters; a tag says that a token begins an entity of a
-label, goes on with it, or is outside. Each epoch every shard of training documents goes through its documents from the same
-weights and gives back only what it changed; Spark sums these changes, and their mean is where the next epoch starts. Changes are whole
-numbers, so sums don't depend on their order and training again gives the same model. The result is the mean of all weights on
-the way of the second half of the epochs. A model is a table of 2 ** bits x tags weights, whatever the corpus; training takes about ``train_bytes`` of text, drawn by
-a hash from all of it; tagging reads every text as a whole.
+label, goes on with it, or is outside. All documents are dealt into shards of about ``shard_bytes`` by a hash. Each epoch every shard goes
+through its documents from the same weights and gives back only what it changed; Spark sums these changes, and their mean is where the next
+epoch starts. Changes are whole numbers, so sums don't depend on their order and training again gives the same model. The result is the mean
+of all weights on the way of the second half of the epochs. A model is a table of 2 ** bits x tags weights, whatever the corpus; training
+and tagging read every text as a whole.
+
+Texts are cut into tokens once: a shard is kept as numbers of what its tokens look like, each distinct look with its features, so an epoch
+scores distinct looks and shuffles no text. An epoch that changes nothing is not run again: those after it would change nothing either.
 
 Decoding is exact: where the outside tag leads by more than any neighbours could make up, it is certain, and what is between two
-such tokens is decoded apart from the rest - all such runs of a batch at once, step by step.
+such tokens is decoded apart from the rest - all such runs of a batch at once, step by step. Most tokens are certain by a bound already: what
+parts of their look can at most give any tag, summed; only the others are scored tag by tag.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterable
@@ -20,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +35,27 @@ from .ner import Backend, model_entities
 
 BITS = 16
 EPOCHS = 8
-#: About so much text is trained on, and one shard has.
-TRAIN_BYTES = 8 << 20
+#: About so much text one shard has.
 SHARD_BYTES = 1 << 20
 _TOKEN = re.compile(r"(?:[^\W\d_]+|\d+|[^\w\s]|_)\s*")
 _REACH = 2
-_STEP = 1 << 16
 #: Tokens that are learned from at once.
 STRETCH = 32
-#: Stretches that are scored ahead.
-WINDOW = 64
+#: Stretches that are scored ahead: at least, and at most where nothing is wrong.
+WINDOW, WIDEST = 64, 2048
 #: What tag 0 is ahead by when nothing is learned: words that no entity is near need no learning.
 AHEAD = 4.0
-#: Which neighbours' words, shapes and heads (the first character and the shape) a feature joins: (offset, kind) each.
-_FEATURES = (
-    ((0, "head"),), ((0, "head"), (-1, "shape")), ((0, "word"),), ((-1, "word"),), ((1, "word"),), ((0, "shape"),), ((-1, "shape"),), ((1, "shape"),), ((-2, "shape"),), ((2, "shape"),), ((-1, "shape"), (0, "shape")), ((0, "shape"), (1, "shape")),
+#: Which neighbours' words, shapes and heads (the first character and the shape) a feature joins: (offset, kind) each; by what they look at.
+_OF_SHAPES = (
+    ((0, "shape"),), ((-1, "shape"),), ((1, "shape"),), ((-2, "shape"),), ((2, "shape"),), ((-1, "shape"), (0, "shape")), ((0, "shape"), (1, "shape")),
     ((-1, "shape"), (0, "shape"), (1, "shape")), ((-2, "shape"), (-1, "shape"), (0, "shape")), ((0, "shape"), (1, "shape"), (2, "shape")), ((-2, "shape"), (-1, "shape"), (0, "shape"), (1, "shape"), (2, "shape")),
 )
+_OF_HEADS = (((0, "head"),), ((0, "head"), (-1, "shape")))
+#: Of a word as the one before, as itself, as the one after.
+_OF_WORDS = (((-1, "word"),), ((0, "word"),), ((1, "word"),))
+_FEATURES = (*_OF_HEADS, _OF_WORDS[1], _OF_WORDS[0], _OF_WORDS[2], *_OF_SHAPES)
+#: A bound is taken as so much higher than it was summed: sums in another order differ by less.
+_SLACK = 1e-6
 
 
 def _shape(core: str, spaced: bool) -> str:
@@ -78,13 +88,21 @@ class _Seen(dict):
 
     def __init__(self):
         self.table = np.empty((1024, 4), dtype=np.int64)
+        self.hashes: dict[str, int] = {}  # of shapes and heads, which are few
+
+    def _hash(self, look: str) -> int:
+        if look not in self.hashes:
+            if len(self.hashes) > self.most:
+                self.hashes.clear()
+            self.hashes[look] = zlib.crc32(look.encode("utf-8", "surrogatepass")) + 1
+        return self.hashes[look]
 
     def __missing__(self, piece: str) -> int:
         at, core = len(self), piece.rstrip()
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
         shape = _shape(core, len(core) < len(piece))
-        self.table[at] = (*(zlib.crc32(x.encode("utf-8", "surrogatepass")) + 1 for x in (core.lower(), shape, core[:1] + shape)), len(core))
+        self.table[at] = zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) + 1, self._hash(shape), self._hash(core[0] + shape), len(core)
         self[piece] = at
         return at
 
@@ -110,18 +128,59 @@ def tokens(texts: Iterable[str], seen: _Seen | None = None) -> Tokens:
     return Tokens(word, shape, head, np.concatenate(where), start, start + look[:, 3])
 
 
-def features(t: Tokens, first: int, last: int, bits: int) -> np.ndarray:
-    """Hashed features of the tokens from ``first`` to before ``last``, a row each; blanks at both ends are not asked for."""
-    out = np.empty((last - first, len(_FEATURES)), dtype=np.int64, order="F")
-    for k, parts in enumerate(_FEATURES):
-        h = np.full(last - first, k + 1, dtype=np.uint64)
-        for at, kind in parts:
-            h = (h ^ getattr(t, kind)[first + at : last + at]) * np.uint64(0x9E3779B97F4A7C15)
+def _features(t: Tokens, at: np.ndarray, which: tuple, bits: int) -> np.ndarray:
+    """Hashed features ``which`` of the tokens ``at``, a row each."""
+    out = np.empty((len(at), len(which)), dtype=np.uint16 if bits <= 16 else np.uint32)
+    for k, parts in enumerate(which):
+        h = np.full(len(at), _FEATURES.index(parts) + 1, dtype=np.uint64)
+        for by, kind in parts:
+            h = (h ^ getattr(t, kind)[at + by]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         out[:, k] = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
     return out
 
 
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each distinct row of numbers, by first appearance, and where each is first."""
+    key, size = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for column in columns:
+        n = int(column.max(initial=0)) + 1
+        if size * n >= 1 << 62:
+            key = pd.factorize(key)[0].astype(np.int64)
+            size = int(key.max(initial=0)) + 1
+        key, size = key * n + column, size * n
+    number, found = pd.factorize(key)
+    first = np.empty(len(found), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return number.astype(np.min_scalar_type(len(found))), first
+
+
+@dataclass
+class Looks:
+    """Which of the distinct looks each token has: its shapes, its head, and its word (of one more token at each end); features of each look.
+
+    The first and last blanks of the texts are left out.
+    """
+
+    shapes: np.ndarray
+    head: np.ndarray
+    word: np.ndarray
+    of_shapes: np.ndarray
+    of_head: np.ndarray
+    of_word: np.ndarray
+
+
+def looks_of(t: Tokens, bits: int) -> Looks:
+    n = max(0, len(t.word) - 2 * _REACH)
+    shape = pd.factorize(t.shape)[0].astype(np.int64)
+    near = lambda column, by: column[_REACH + by : _REACH + by + n]
+    shapes, first = _numbered(*(near(shape, by) for by in range(-_REACH, _REACH + 1)))
+    head, first_head = _numbered(pd.factorize(near(t.head, 0))[0], near(shape, -1))
+    word, first_word = _numbered(pd.factorize(t.word[_REACH - 1 : _REACH + n + 1])[0])
+    of_word = np.concatenate([_features(t, first_word + _REACH - 1 - parts[0][0], (parts,), bits) for parts in _OF_WORDS], axis=1)
+    return Looks(shapes, head, word, _features(t, first + _REACH, _OF_SHAPES, bits), _features(t, first_head + _REACH, _OF_HEADS, bits), of_word)
+
+
 def best_paths(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Best tags of runs that stand one after another in ``scores``; tag 0 is before and after each run. Ties: smaller tags."""
     tags = np.zeros(len(scores), dtype=np.int64)
@@ -157,14 +216,65 @@ def _open(scores: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return (scores[:, 1:] + gain[1:] >= scores[:, :1]).any(axis=1)
 
 
-def _decoded(scores: np.ndarray, moves: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Best tags of tokens one after another; each of ``edges`` begins a new sequence."""
-    at, tags = np.flatnonzero(_open(scores, _gain(moves))), np.zeros(len(scores), dtype=np.int64)
-    heads = np.flatnonzero((np.diff(at, prepend=-2) > 1) | np.isin(at, edges))
-    tags[at] = best_paths(scores[at], np.diff(np.append(heads, len(at))), moves)
+def _decoded(scores: np.ndarray, moves: np.ndarray, edges: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Best tags of tokens one after another; each of ``edges`` begins a new sequence. With ``at``: of the tokens there, those between are certain."""
+    at = np.arange(len(scores)) if at is None else at
+    some, tags = np.flatnonzero(_open(scores, _gain(moves))), np.zeros(len(scores), dtype=np.int64)
+    heads = np.flatnonzero((np.diff(at[some], prepend=-2) > 1) | np.isin(at[some], edges))
+    tags[some] = best_paths(scores[some], np.diff(np.append(heads, len(some))), moves)
     return tags
 
 
+class _Scorer:
+    """Scores of the tokens of ``look`` by weights that may change."""
+
+    def __init__(self, look: Looks, weights: np.ndarray, moves: np.ndarray):
+        self.look, self.weights, self.moves = look, weights, moves
+        self.lead = (weights[:, 1:] - weights[:, :1]).max(axis=1)  # of a feature: what it at most gives a tag over tag 0
+        self.of_shapes, self.of_head = self._sums(look.of_shapes), self._sums(look.of_head)
+        self._bounds()
+
+    def _sums(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.weights.shape[1]))
+        for column in rows.T:
+            out += self.weights[column]
+        return out
+
+    def _bounds(self) -> None:
+        gain = _gain(self.moves)
+        self.top_shapes = (self.of_shapes[:, 1:] - self.of_shapes[:, :1] + gain[1:]).max(axis=1)
+        self.top_head = (self.of_head[:, 1:] - self.of_head[:, :1]).max(axis=1)
+        self.least = -_SLACK * (1 + np.abs(self.top_shapes).max(initial=0))
+
+    def changed(self, features: np.ndarray) -> None:
+        """Weights of ``features`` or moves have changed."""
+        mark = np.zeros(len(self.weights), dtype=bool)
+        mark[features] = True
+        self.lead[features] = (self.weights[features, 1:] - self.weights[features, :1]).max(axis=1)
+        for rows, sums in ((self.look.of_shapes, self.of_shapes), (self.look.of_head, self.of_head)):
+            some = np.flatnonzero(mark[rows].any(axis=1))
+            sums[some] = self._sums(rows[some])
+        self._bounds()
+
+    def open(self, low: int, high: int) -> np.ndarray:
+        """Which tokens from ``low`` to before ``high`` may have another tag than 0; some that may not are among them."""
+        most = self.top_shapes[self.look.shapes[low:high]]
+        most += self.top_head[self.look.head[low:high]]
+        for k in range(3):
+            most += self.lead[self.look.of_word[self.look.word[low + k : high + k], k]]
+        return low + np.flatnonzero(most >= self.least)
+
+    def scores(self, at: np.ndarray) -> np.ndarray:
+        out = self.of_shapes[self.look.shapes[at]] + self.of_head[self.look.head[at]]
+        for k in range(3):
+            out += self.weights[self.look.of_word[self.look.word[at + k], k]]
+        return out
+
+    def features(self, at: np.ndarray) -> np.ndarray:
+        look = self.look
+        return np.concatenate([look.of_shapes[look.shapes[at]], look.of_head[look.head[at]], *(look.of_word[look.word[at + k], k : k + 1] for k in range(3))], axis=1).astype(np.int64)
+
+
 @dataclass
 class Tagger:
     """Labels, weights of features x tags, and of moves from tag to tag. Tag 0 is outside; label i begins by 2i + 1, goes on by 2i + 2."""
@@ -179,21 +289,12 @@ class Tagger:
 
     def tags(self, t: Tokens) -> np.ndarray:
         """The best tag of each token; exact, see the module."""
-        gain = _gain(self.moves)
-        open_, scores = [], []
-        for first in range(_REACH, len(t.word) - _REACH, _STEP):
-            last = min(first + _STEP, len(t.word) - _REACH)
-            here = np.zeros((last - first, len(self.moves)))
-            for column in features(t, first, last, self.bits).T:
-                here += self.weights[column]
-            some = (t.text[first:last] >= 0) & _open(here, gain)
-            open_.append(first + np.flatnonzero(some))
-            scores.append(here[some])
-        tags = np.zeros(len(t.word), dtype=np.int64)
-        if open_:
-            at = np.concatenate(open_)
-            heads = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-            tags[at] = best_paths(np.concatenate(scores), np.diff(np.append(heads, len(at))), self.moves)
+        tags, n = np.zeros(len(t.word), dtype=np.int64), len(t.word) - 2 * _REACH
+        if n > 0:
+            scorer = _Scorer(looks_of(t, self.bits), self.weights, self.moves)
+            at = scorer.open(0, n)
+            at = at[t.text[at + _REACH] >= 0]
+            tags[at + _REACH] = _decoded(scorer.scores(at), self.moves, np.empty(0, dtype=np.int64), at)
         return tags
 
     def entities(self, t: Tokens, texts: int) -> list[list[tuple[str, int, int, float]]]:
@@ -232,8 +333,11 @@ def spans_of_tags(t: Tokens, tags: np.ndarray, labels: tuple[str, ...]) -> list[
 def gold_tags(t: Tokens, entities: list[list[tuple[str, int, int]]], labels: tuple[str, ...]) -> np.ndarray:
     """Tags of the entities (label, start, end) of each text, widened to token edges; of those that share a token the first stays."""
     tags, inside = np.zeros(len(t.word), dtype=np.int64), np.flatnonzero(t.text >= 0)
+    text = t.text[inside]
     for i, spans in enumerate(entities):
-        lo, hi = np.searchsorted(t.text[inside], [i, i + 1])
+        if not spans:
+            continue
+        lo, hi = np.searchsorted(text, [i, i + 1])
         at = inside[lo:hi]
         for label, start, end in spans:
             a, b = int(np.searchsorted(t.start[at], start, side="right")) - 1, int(np.searchsorted(t.end[at], end, side="left"))
@@ -243,98 +347,163 @@ def gold_tags(t: Tokens, entities: list[list[tuple[str, int, int]]], labels: tup
     return tags
 
 
-def _learn(model: Tagger, texts: list[str], entities: list[list[tuple[str, int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+@dataclass
+class Shard:
+    """Documents of a shard: looks of their tokens, true tags that are not 0 and where, and where stretches begin and end."""
+
+    look: Looks
+    true_at: np.ndarray
+    true: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+
+def shard_of(texts: list[str], entities: list[list[tuple[str, int, int]]], labels: tuple[str, ...], bits: int, seen: _Seen | None = None) -> Shard:
+    t = tokens(texts, seen)
+    gold = gold_tags(t, entities, labels)
+    inside = np.flatnonzero(t.text >= 0)
+    heads = inside[np.flatnonzero(np.diff(t.text[inside], prepend=-1))]
+    ends = np.append(heads[1:] - _REACH, len(gold) - _REACH)[: len(heads)]
+    parts = [_stretches(gold, *x) for x in zip(heads.tolist(), ends.tolist())]
+    edges = np.concatenate([np.empty((0, 2), dtype=np.int64), *parts]) - _REACH
+    at = np.flatnonzero(gold)
+    return Shard(looks_of(t, bits), at - _REACH, gold[at], edges[:, 0], edges[:, 1])
+
+
+def _learn(model: Tagger, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """One pass over a shard: which weights changed (moves are behind the features), by how much, how much summed over all steps, steps."""
-    n_tags, size, seen, step = len(model.moves), model.weights.size, _Seen(), 0
+    n_tags, size = len(model.moves), model.weights.size
     flat = np.concatenate([model.weights.ravel(), model.moves.ravel()])
-    change, weighed = np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat), dtype=np.int64)
     weights, moves = flat[:size].reshape(model.weights.shape), flat[size:].reshape(n_tags, n_tags)
-    for text, spans in zip(texts, entities):
-        t = tokens([text], seen)
-        gold = gold_tags(t, [spans], model.labels)
-        todo = _stretches(gold)
-        while todo:
-            window, low, high = todo[:WINDOW], todo[0][0], todo[:WINDOW][-1][1]
-            rows, edges = features(t, low, high, model.bits), np.array([f - low for f, _ in window])
-            scores = np.zeros((high - low, n_tags))
-            for column in rows.T:
-                scores += weights[column]
-            true, said = gold[low:high], _decoded(scores, moves, edges)
-            wrong = np.flatnonzero(true != said)
-            if not len(wrong):
-                step, todo = step + len(window), todo[len(window) :]
-                continue
-            k = int(np.searchsorted(edges, wrong[0], side="right")) - 1  # what follows this stretch is scored anew
-            first, last = edges[k], window[k][1] - low
-            wrong = wrong[wrong < last]
-            for tags, by in ((true, 1), (said, -1)):
-                way = np.concatenate([[0], tags[first:last], [0]])
-                at = np.concatenate([(rows[wrong] * n_tags + tags[wrong][:, None]).ravel(), size + way[:-1] * n_tags + way[1:]])
-                np.add.at(change, at, by)
-                np.add.at(weighed, at, by * (step + k))
-                np.add.at(flat, at, by)
-            step, todo = step + k + 1, todo[k + 1 :]
-    some = np.flatnonzero((change != 0) | (weighed != 0))
-    return some, change[some], change[some] * step - weighed[some], step
-
-
-def _stretches(gold: np.ndarray) -> list[tuple[int, int]]:
+    scorer, (begin, end), steps = _Scorer(shard.look, weights, moves), (shard.begin, shard.end), len(shard.begin)
+    places, signs, times = [], [], []
+    step, ahead = 0, WINDOW
+    while step < steps:
+        stop = min(step + ahead, steps)
+        low, high = begin[step], end[stop - 1]
+        at = scorer.open(low, high)
+        at = at[at < end[np.searchsorted(begin, at, side="right") - 1]]  # no blanks
+        said, true = np.zeros(high - low, dtype=np.int64), np.zeros(high - low, dtype=np.int64)
+        said[at - low] = _decoded(scorer.scores(at), moves, begin[step:stop], at)
+        some = slice(*np.searchsorted(shard.true_at, [low, high]))
+        true[shard.true_at[some] - low] = shard.true[some]
+        wrong = low + np.flatnonzero(true != said)
+        if not len(wrong):
+            step, ahead = stop, min(2 * ahead, WIDEST)
+            continue
+        k = int(np.searchsorted(begin, wrong[0], side="right")) - 1  # what follows this stretch is scored anew
+        wrong = wrong[wrong < end[k]]
+        rows = scorer.features(wrong)
+        for tags, by in ((true, 1), (said, -1)):
+            way = np.concatenate([[0], tags[begin[k] - low : end[k] - low], [0]])
+            place = np.concatenate([(rows * n_tags + tags[wrong - low][:, None]).ravel(), size + way[:-1] * n_tags + way[1:]])
+            np.add.at(flat, place, by)
+            places.append(place)
+            signs.append(np.full(len(place), by))
+            times.append(np.full(len(place), k))
+        scorer.changed(np.unique(rows))
+        step, ahead = k + 1, max(ahead // 2, WINDOW)
+    if not places:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), steps
+    some, which = np.unique(np.concatenate(places), return_inverse=True)
+    change, area = np.zeros(len(some), dtype=np.int64), np.zeros(len(some), dtype=np.int64)
+    sign = np.concatenate(signs)
+    np.add.at(change, which, sign)
+    np.add.at(area, which, sign * (steps - np.concatenate(times)))
+    return some, change, area, steps
+
+
+def _stretches(gold: np.ndarray, first: int, end: int) -> np.ndarray:
     """Stretches of about STRETCH tokens that cut no entity: a step of learning each, so that a long document is no huge step."""
-    out, first, end = [], _REACH, len(gold) - _REACH
+    if not gold[first:end].any():
+        begin = np.arange(first, end, STRETCH)
+        return np.stack([begin, np.minimum(begin + STRETCH, end)], axis=1)
+    out = []
     while first < end:
         last = min(first + STRETCH, end)
         while last < end and gold[last]:
             last += 1
         out.append((first, last))
         first = last
-    return out
+    return np.array(out)
 
 
-def _shard(model):
+_WIDE = 8
+
+
+def _packed(shard: Shard) -> bytes:
+    raw = pickle.dumps(shard, protocol=5)
+    return len(raw).to_bytes(_WIDE, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> Shard:
+    return pickle.loads(pa.decompress(memoryview(packed)[_WIDE:], int.from_bytes(packed[:_WIDE], "little"), codec="zstd"))
+
+
+def _prepare(labels: tuple[str, ...], bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A shard's changes, and in row -1 that it is one and its steps."""
         pdf = pdf.sort_values(["draw", "id", "text"])
-        at, change, area, steps = _learn(model.value, list(pdf["text"]), [[(e["label"], e["start"], e["end"]) for e in es] for es in pdf["entities"]])
-        return pd.DataFrame({"at": np.append(at, -1), "change": np.append(change, 1), "area": np.append(area, steps)})
+        shard = shard_of(list(pdf["text"]), [[(e["label"], e["start"], e["end"]) for e in es] for es in pdf["entities"]], labels, bits)
+        return pd.DataFrame({"shard": [_packed(shard)]})
+
+    return run
+
+
+def _epoch(model):
+    def run(batches):
+        """What the shards of a task change, summed; in row -1 how many they are and their steps."""
+        start = model.value
+        change, area = (np.zeros(start.weights.size + start.moves.size, dtype=np.int64) for _ in range(2))
+        shards = steps = 0
+        for pdf in batches:
+            for packed in pdf["shard"]:
+                at, by, summed, n = _learn(start, _unpacked(packed))
+                change[at] += by
+                area[at] += summed
+                shards, steps = shards + 1, steps + n
+        some = np.flatnonzero((change != 0) | (area != 0))
+        if shards:
+            yield pd.DataFrame({"at": np.append(some, -1), "change": np.append(change[some], shards), "area": np.append(area[some], steps)})
 
     return run
 
 
-def train(df: DataFrame, labels: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", entities_col: str = "entities", epochs: int = EPOCHS, train_bytes: int = TRAIN_BYTES, shard_bytes: int = SHARD_BYTES, bits: int = BITS) -> Tagger:
-    """A tagger from texts and arrays of entities with ``label, start, end``.
+def train(df: DataFrame, labels: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", entities_col: str = "entities", epochs: int = EPOCHS, shard_bytes: int = SHARD_BYTES, bits: int = BITS) -> Tagger:
+    """A tagger from texts and arrays of entities with ``label, start, end``: from all of them, in each epoch.
 
-    Documents are drawn by a hash of id and text, so that about ``train_bytes`` are there; a shard has about ``shard_bytes``. Null texts and
-    null arrays are empty; other labels are ignored; without documents every token is outside. What comes to the driver are
-    2 ** bits x tags weights at most for each epoch.
+    Documents are dealt by a hash of id and text into shards of about ``shard_bytes``. Null texts and null arrays are empty; other labels are
+    ignored; without documents every token is outside. What comes to the driver are 2 ** bits x tags weights at most for each epoch.
     """
     text, place = F.coalesce(text_col, F.lit("")), shared_place(df.sparkSession)
     spans = F.transform(F.coalesce(entities_col, F.array()), lambda e: F.struct(e["label"].alias("label"), e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end")))
     rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("draw"), spans.alias("entities"))
     whole = max(1, df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"])
-    drawn = rows.filter(F.pmod("draw", F.lit(1 << 20)) < int(min(1.0, train_bytes / whole) * (1 << 20)) + (train_bytes >= whole))
-    shards = max(1, -(-min(train_bytes, whole) // shard_bytes))
-    drawn.withColumn("shard", F.pmod(F.shiftright("draw", 20), F.lit(shards)).cast("int")).write.parquet(f"{place}/train")
-    sample = df.sparkSession.read.parquet(f"{place}/train")
+    dealt = rows.withColumn("shard", F.pmod(F.shiftright("draw", 20), F.lit(-(-whole // shard_bytes))))
+    # A row is about 2 MB, so row groups are closed by their size, not by 100 rows.
+    kept = dealt.groupBy("shard").applyInPandas(_prepare(labels, bits), "shard binary").write.option("parquet.block.size", str(16 << 20))
+    kept.option("parquet.block.size.row.check.min", "1").option("parquet.page.size.row.check.min", "1").parquet(f"{place}/train")
+    shards = df.sparkSession.read.schema("shard binary").parquet(f"{place}/train")
 
     n_tags = 2 * len(labels) + 1
     start = np.zeros((1 << bits) * n_tags + n_tags * n_tags)
     start[(1 << bits) * n_tags :: n_tags] = AHEAD
-    mean = np.zeros_like(start)
+    mean, more = np.zeros_like(start), True
     split = lambda flat: Tagger(labels, flat[: (1 << bits) * n_tags].reshape(-1, n_tags), flat[(1 << bits) * n_tags :].reshape(n_tags, n_tags))
     for epoch in range(epochs):
-        model = df.sparkSession.sparkContext.broadcast(split(start))
-        rows_ = sample.groupBy("shard").applyInPandas(_shard(model), "at long, change long, area long").groupBy("at").agg(F.sum("change").alias("change"), F.sum("area").alias("area")).toPandas()
-        model.destroy()
-        sums = rows_[rows_["at"] < 0]
-        if not len(sums):
-            return split(start)
-        rows_ = rows_[rows_["at"] >= 0]
-        at = rows_["at"].to_numpy()
         here = start.copy()
-        here[at] += rows_["area"].to_numpy() / sums["area"].iloc[0]
+        if more:
+            model = df.sparkSession.sparkContext.broadcast(split(start))
+            rows_ = shards.mapInPandas(_epoch(model), "at long, change long, area long").groupBy("at").agg(F.sum("change").alias("change"), F.sum("area").alias("area")).toPandas()
+            model.destroy()
+            sums = rows_[rows_["at"] < 0]
+            if not len(sums):
+                return split(start)
+            rows_ = rows_[rows_["at"] >= 0]
+            at, more = rows_["at"].to_numpy(), len(rows_) > 0
+            here[at] += rows_["area"].to_numpy() / sums["area"].iloc[0]
+            start[at] += rows_["change"].to_numpy() / sums["change"].iloc[0]
         if epoch >= epochs // 2:
             mean += here / (epochs - epochs // 2)
-        start[at] += rows_["change"].to_numpy() / sums["change"].iloc[0]
     return split(mean)
 
 
