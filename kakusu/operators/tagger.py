@@ -2,8 +2,8 @@
 
 Texts are cut into runs of letters, runs of digits and single other characters; a tag says that a token begins an entity of a
 label, goes on with it, or is outside. All documents are dealt into shards of about ``shard_bytes`` by a hash. Each epoch every shard goes
-through its documents from the same weights and gives back only what it changed; Spark sums these changes, and their mean is where the next
-epoch starts. Changes are whole numbers, so sums don't depend on their order and training again gives the same model. The result is the mean
+through its documents from the same weights and gives back only what it changed; Spark sums these changes, and their mean over the shards
+that changed something is where the next epoch starts, so what a few of very many shards still have wrong is learned, too. Changes are whole numbers, so sums don't depend on their order and training again gives the same model. The result is the mean
 of all weights on the way of the second half of the epochs. A model is a table of 2 ** bits x tags weights, whatever the corpus; training
 and tagging read every text as a whole.
 
@@ -17,11 +17,13 @@ parts of their look can at most give any tag, summed; only the others are scored
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,8 @@ _TOKEN = re.compile(r"(?:[^\W\d_]+|\d+|[^\w\s]|_)\s*")
 _REACH = 2
 #: Tokens that are learned from at once.
 STRETCH = 32
-#: Stretches that are scored ahead: at least, and at most where nothing is wrong.
-WINDOW, WIDEST = 64, 2048
+#: Stretches that are scored ahead: after something was wrong, and at most, doubled while nothing is.
+WINDOW, WIDEST = 16, 4096
 #: What tag 0 is ahead by when nothing is learned: words that no entity is near need no learning.
 AHEAD = 4.0
 #: Which neighbours' words, shapes and heads (the first character and the shape) a feature joins: (offset, kind) each; by what they look at.
@@ -58,74 +60,106 @@ _FEATURES = (*_OF_HEADS, _OF_WORDS[1], _OF_WORDS[0], _OF_WORDS[2], *_OF_SHAPES)
 _SLACK = 1e-6
 
 
-def _shape(core: str, spaced: bool) -> str:
-    """What a token looks like: digits by number, letters by case, script and (up to 4) number, others as they are; what follows."""
-    if core[0].isdecimal():
-        kind = f"9{min(len(core), 20)}"
-    elif core[0].isalpha():
-        kind = ("a" if core.islower() else "A" if core.isupper() else "Aa") + ("" if core.isascii() else "~") + str(min(len(core), 4))
+def _shape(first: str, size: int, spaced: bool, lower: bool, upper: bool, narrow: bool) -> str:
+    """What a token looks like: digits by number, letters by case, script and (up to 4) number, others (``first``) as they are; what follows."""
+    if first.isdecimal():
+        kind = f"9{size}"
+    elif first.isalpha():
+        kind = ("a" if lower else "A" if upper else "Aa") + ("" if narrow else "~") + str(min(size, 4))
     else:
-        kind = core
+        kind = first
     return f"{kind} " if spaced else kind
 
 
+#: Rows of a table of pieces: hashes of word, shape and head; numbers of shape and head; lengths with and without what follows.
+_WORD, _SHAPE, _HEAD, _SHAPE_NO, _HEAD_NO, _CORE, _WIDE = range(7)
+_KIND = {"word": _WORD, "shape": _SHAPE, "head": _HEAD}
+
+
 @dataclass
 class Tokens:
-    """Tokens of several texts one after another, two blanks around each text; ``text`` is -1 at blanks."""
+    """Tokens of several texts one after another, two blanks around each text; ``text`` is -1 at blanks. ``piece`` is a column of ``table``."""
 
-    word: np.ndarray
-    shape: np.ndarray
-    head: np.ndarray
+    piece: np.ndarray
+    table: np.ndarray
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
 
 
-class _Seen(dict):
-    """Pieces of texts -> rows of ``table``: hashes of word, shape and head, length. Emptied when it has grown to ``most`` pieces."""
+class _Numbers(dict):
+    """Numbers from 1 for whatever is asked for, in the order in which it was."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self) + 1
+        return n
+
+
+def _latest(numbers: _Numbers, known: int) -> list:
+    """What is in ``numbers`` beyond the first ``known``."""
+    return list(itertools.islice(reversed(numbers), len(numbers) - known))[::-1]
+
+
+class _Seen:
+    """Pieces of texts -> columns of ``table``, column 0 for blanks. Emptied when it has grown to ``most`` pieces."""
 
     most = 500_000
 
     def __init__(self):
-        self.table = np.empty((1024, 4), dtype=np.int64)
-        self.hashes: dict[str, int] = {}  # of shapes and heads, which are few
-
-    def _hash(self, look: str) -> int:
-        if look not in self.hashes:
-            if len(self.hashes) > self.most:
-                self.hashes.clear()
-            self.hashes[look] = zlib.crc32(look.encode("utf-8", "surrogatepass")) + 1
-        return self.hashes[look]
-
-    def __missing__(self, piece: str) -> int:
-        at, core = len(self), piece.rstrip()
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        shape = _shape(core, len(core) < len(piece))
-        self.table[at] = zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) + 1, self._hash(shape), self._hash(core[0] + shape), len(core)
-        self[piece] = at
-        return at
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers, self.table = _Numbers(), np.zeros((7, 1024), dtype=np.int64)
+        self.kinds, self.of_kinds, self.shapes, self.heads = _Numbers(), [(0, 0, 0, 0)], _Numbers(), _Numbers()
+
+    def _of_kind(self, first: str, *rest) -> tuple[int, int, int, int]:
+        shape = _shape(first, *rest)
+        head = first[0] + shape
+        return *(zlib.crc32(x.encode("utf-8", "surrogatepass")) + 1 for x in (shape, head)), self.shapes[shape], self.heads[head]
+
+    def columns(self, pieces: list[str]) -> np.ndarray:
+        if len(self.numbers) > self.most:
+            self._empty()
+        known = len(self.numbers)
+        out = np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        new = _latest(self.numbers, known)
+        if new:
+            cores = [piece.rstrip() for piece in new]
+            kinds = [
+                (first if (first := core[0]).isalpha() or first.isdecimal() else core, size if (size := len(core)) < 20 else 20, size < len(piece), core.islower(), core.isupper(), core.isascii())
+                for piece, core in zip(new, cores)
+            ]
+            kind = np.fromiter(map(self.kinds.__getitem__, kinds), dtype=np.int64, count=len(new))
+            self.of_kinds += [self._of_kind(*k) for k in _latest(self.kinds, len(self.of_kinds) - 1)]
+            if known + len(new) >= self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros((7, known + 2 * len(new)), dtype=np.int64)], axis=1)
+            at = self.table[:, known + 1 : known + len(new) + 1]
+            at[_WORD] = np.fromiter((zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) for core in cores), dtype=np.int64, count=len(new)) + 1
+            at[[_SHAPE, _HEAD, _SHAPE_NO, _HEAD_NO]] = np.array(self.of_kinds, dtype=np.int64)[kind].T
+            at[_CORE] = np.fromiter(map(len, cores), dtype=np.int64, count=len(new))
+            at[_WIDE] = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        return out
 
 
 def tokens(texts: Iterable[str], seen: _Seen | None = None) -> Tokens:
     """``seen`` remembers words between calls."""
-    seen = _Seen() if seen is None else seen
-    if len(seen) > seen.most:
-        seen.clear()
-    none, gap = np.zeros((_REACH, 4), dtype=np.int64), np.full(_REACH, -1, dtype=np.int64)
-    looks, where, starts = [none], [gap], [gap]
+    seen, pieces, many, which, before = _Seen() if seen is None else seen, [], [], [], []
     for i, text in enumerate(texts):
         cut = _TOKEN.findall(text)
-        if not cut:
-            continue
-        wide = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        rows = np.fromiter(map(seen.__getitem__, cut), dtype=np.int64, count=len(cut))
-        looks += [seen.table[rows], none]
-        where += [np.full(len(cut), i, dtype=np.int64), gap]
-        starts += [len(text) - len(text.lstrip()) + np.cumsum(wide) - wide, gap]
-    look, start = np.concatenate(looks), np.concatenate(starts)
-    word, shape, head = (np.ascontiguousarray(look[:, k]).astype(np.uint64) for k in range(3))
-    return Tokens(word, shape, head, np.concatenate(where), start, start + look[:, 3])
+        if cut:
+            pieces += cut
+            many.append(len(cut))
+            which.append(i)
+            before.append(len(text) - len(text.lstrip()))
+    columns = seen.columns(pieces)
+    many, which = np.array(many, dtype=np.int64), np.array(which, dtype=np.int64)
+    at = np.arange(len(pieces)) + np.repeat(_REACH * np.arange(1, len(many) + 1), many)
+    piece, text, start, end = np.zeros(len(pieces) + _REACH * (len(many) + 1), dtype=np.int64), *(np.full(len(pieces) + _REACH * (len(many) + 1), -1, dtype=np.int64) for _ in range(3))
+    wide = seen.table[_WIDE][columns]
+    starts = np.cumsum(wide) - wide
+    starts += np.repeat(np.array(before, dtype=np.int64) - starts[np.cumsum(many) - many], many)
+    piece[at], text[at], start[at], end[at] = columns, np.repeat(which, many), starts, starts + seen.table[_CORE][columns]
+    return Tokens(piece, seen.table, text, start, end)
 
 
 def _features(t: Tokens, at: np.ndarray, which: tuple, bits: int) -> np.ndarray:
@@ -134,14 +168,14 @@ def _features(t: Tokens, at: np.ndarray, which: tuple, bits: int) -> np.ndarray:
     for k, parts in enumerate(which):
         h = np.full(len(at), _FEATURES.index(parts) + 1, dtype=np.uint64)
         for by, kind in parts:
-            h = (h ^ getattr(t, kind)[at + by]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ t.table[_KIND[kind]][t.piece[at + by]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         out[:, k] = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
     return out
 
 
 def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each distinct row of numbers, by first appearance, and where each is first."""
+    """A number for each distinct row of numbers, and where each is first."""
     key, size = np.zeros(len(columns[0]), dtype=np.int64), 1
     for column in columns:
         n = int(column.max(initial=0)) + 1
@@ -149,10 +183,14 @@ def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             key = pd.factorize(key)[0].astype(np.int64)
             size = int(key.max(initial=0)) + 1
         key, size = key * n + column, size * n
-    number, found = pd.factorize(key)
-    first = np.empty(len(found), dtype=np.int64)
-    first[number[::-1]] = np.arange(len(number))[::-1]
-    return number.astype(np.min_scalar_type(len(found))), first
+    if size > 1 << 22:
+        key, size = pd.factorize(key)[0], len(key)
+    where = np.full(size, -1, dtype=np.int64)
+    where[key[::-1]] = np.arange(len(key))[::-1]
+    found = np.flatnonzero(where >= 0)
+    number = np.zeros(size, dtype=np.min_scalar_type(len(found)))
+    number[found] = np.arange(len(found))
+    return number[key], where[found]
 
 
 @dataclass
@@ -171,12 +209,12 @@ class Looks:
 
 
 def looks_of(t: Tokens, bits: int) -> Looks:
-    n = max(0, len(t.word) - 2 * _REACH)
-    shape = pd.factorize(t.shape)[0].astype(np.int64)
+    n = max(0, len(t.piece) - 2 * _REACH)
+    shape = t.table[_SHAPE_NO][t.piece]
     near = lambda column, by: column[_REACH + by : _REACH + by + n]
     shapes, first = _numbered(*(near(shape, by) for by in range(-_REACH, _REACH + 1)))
-    head, first_head = _numbered(pd.factorize(near(t.head, 0))[0], near(shape, -1))
-    word, first_word = _numbered(pd.factorize(t.word[_REACH - 1 : _REACH + n + 1])[0])
+    head, first_head = _numbered(t.table[_HEAD_NO][near(t.piece, 0)], near(shape, -1))
+    word, first_word = _numbered(t.piece[_REACH - 1 : _REACH + n + 1])
     of_word = np.concatenate([_features(t, first_word + _REACH - 1 - parts[0][0], (parts,), bits) for parts in _OF_WORDS], axis=1)
     return Looks(shapes, head, word, _features(t, first + _REACH, _OF_SHAPES, bits), _features(t, first_head + _REACH, _OF_HEADS, bits), of_word)
 
@@ -226,48 +264,91 @@ def _decoded(scores: np.ndarray, moves: np.ndarray, edges: np.ndarray, at: np.nd
 
 
 class _Scorer:
-    """Scores of the tokens of ``look`` by weights that may change."""
+    """Scores of the tokens of ``look`` by weights that may change. Sums of a look's features are made anew when it is met after a change.
 
-    def __init__(self, look: Looks, weights: np.ndarray, moves: np.ndarray):
-        self.look, self.weights, self.moves = look, weights, moves
-        self.lead = (weights[:, 1:] - weights[:, :1]).max(axis=1)  # of a feature: what it at most gives a tag over tag 0
-        self.of_shapes, self.of_head = self._sums(look.of_shapes), self._sums(look.of_head)
-        self._bounds()
+    Most features have no weights; those that have are put together, row 0 stands for the others.
+    """
 
-    def _sums(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows), self.weights.shape[1]))
-        for column in rows.T:
+    def __init__(self, look: Looks, model: Tagger):
+        self.look, self.moves = look, model.moves.copy()
+        used, self.row = model.used, np.zeros(len(model.weights), dtype=np.int32)
+        self.row[used], self.rows = np.arange(1, len(used) + 1), len(used) + 1
+        self.weights = np.zeros((2 * len(used) + 256, len(self.moves)))
+        self.weights[1 : self.rows] = model.weights[used]
+        self.lead = (self.weights[:, 1:] - self.weights[:, :1]).max(axis=1)  # of a feature: what it at most gives a tag over tag 0
+        self.least = -_SLACK * (1 + np.abs(self.lead).max())
+        self.top_words = [self.lead[self.row[column]] for column in look.of_word.T]
+        self._gains()
+        self.parts, self.now = [], 0
+        for number, features, gains in ((look.shapes, look.of_shapes, True), (look.head, look.of_head, False)):
+            sums, top = np.empty((len(features), len(self.moves))), np.empty((4 if gains else 1, len(features)))
+            self.parts.append((number, features, gains, sums, top, np.zeros(len(features), dtype=np.int64)))
+            self._sum(self.parts[-1], slice(None))
+
+    def _gains(self) -> None:
+        """What neighbours can at most give each tag over tag 0: if tag 0 is certain on both sides, after it, before it, or not at all."""
+        before, after = self.moves[:, 1:] - self.moves[:, :1], (self.moves[1:] - self.moves[:1]).T
+        self.gains = [a + b for b in (after[0], after.max(axis=0)) for a in (before[0], before.max(axis=0))]
+
+    def _sum(self, part: tuple, some) -> None:
+        _, features, gains, sums, top, when = part
+        rows = self.row[features[some]]
+        out = self.weights[rows[:, 0]]
+        for column in rows.T[1:]:
             out += self.weights[column]
-        return out
-
-    def _bounds(self) -> None:
-        gain = _gain(self.moves)
-        self.top_shapes = (self.of_shapes[:, 1:] - self.of_shapes[:, :1] + gain[1:]).max(axis=1)
-        self.top_head = (self.of_head[:, 1:] - self.of_head[:, :1]).max(axis=1)
-        self.least = -_SLACK * (1 + np.abs(self.top_shapes).max(initial=0))
+        sums[some], when[some] = out, self.now
+        over = np.ascontiguousarray(out.T)
+        over = over[1:] - over[0]
+        for k, gain in enumerate(self.gains if gains else np.zeros((1, len(over)))):
+            top[k, some] = (over + gain[:, None]).max(axis=0)
+
+    def add(self, features: np.ndarray, tags: np.ndarray, by: int) -> None:
+        """Changes the weights of a row of ``features`` for each of ``tags``."""
+        new = np.unique(features[self.row[features] == 0])
+        if len(new):
+            if self.rows + len(new) > len(self.weights):
+                self.weights = np.concatenate([self.weights, np.zeros((len(new) + len(self.weights), len(self.moves)))])
+                self.lead = np.concatenate([self.lead, np.zeros(len(self.weights) - len(self.lead))])
+            self.row[new] = np.arange(self.rows, self.rows + len(new))
+            self.rows += len(new)
+        np.add.at(self.weights, (self.row[features], tags[:, None]), by)
 
     def changed(self, features: np.ndarray) -> None:
         """Weights of ``features`` or moves have changed."""
-        mark = np.zeros(len(self.weights), dtype=bool)
-        mark[features] = True
-        self.lead[features] = (self.weights[features, 1:] - self.weights[features, :1]).max(axis=1)
-        for rows, sums in ((self.look.of_shapes, self.of_shapes), (self.look.of_head, self.of_head)):
-            some = np.flatnonzero(mark[rows].any(axis=1))
-            sums[some] = self._sums(rows[some])
-        self._bounds()
+        rows = self.row[features]
+        self.lead[rows] = (self.weights[rows, 1:] - self.weights[rows, :1]).max(axis=-1)
+        self.top_words, self.now = None, self.now + 1
+        self._gains()
 
     def open(self, low: int, high: int) -> np.ndarray:
         """Which tokens from ``low`` to before ``high`` may have another tag than 0; some that may not are among them."""
-        most = self.top_shapes[self.look.shapes[low:high]]
-        most += self.top_head[self.look.head[low:high]]
+        most = np.zeros(high - low)
+        for part in self.parts:
+            here, top, when = part[0][low:high], part[4], part[5]
+            if self.now:
+                old = here[when[here] < self.now]
+                if len(old):
+                    self._sum(part, np.unique(old))
+            most += top[-1][here]
         for k in range(3):
-            most += self.lead[self.look.of_word[self.look.word[low + k : high + k], k]]
-        return low + np.flatnonzero(most >= self.least)
+            here = self.look.word[low + k : high + k]
+            most += self.top_words[k][here] if self.top_words else self.lead[self.row[self.look.of_word[here, k]]]
+        at = np.flatnonzero(most >= self.least)
+        most, top, number = most[at], self.parts[0][4], self.look.shapes[low:high][at]
+        most -= top[-1][number]
+        for _ in range(3):  # beside a certain token: only what tag 0 gives there
+            beside = np.diff(at) == 1
+            still = most + top[np.append(False, beside) + 2 * np.append(beside, False), number] >= self.least if len(at) else np.empty(0, dtype=bool)
+            if still.all():
+                break
+            at, most, number = at[still], most[still], number[still]
+        return low + at
 
     def scores(self, at: np.ndarray) -> np.ndarray:
-        out = self.of_shapes[self.look.shapes[at]] + self.of_head[self.look.head[at]]
+        """Of tokens that :meth:`open` has given since the last change."""
+        out = self.parts[0][3][self.look.shapes[at]] + self.parts[1][3][self.look.head[at]]
         for k in range(3):
-            out += self.weights[self.look.of_word[self.look.word[at + k], k]]
+            out += self.weights[self.row[self.look.of_word[self.look.word[at + k], k]]]
         return out
 
     def features(self, at: np.ndarray) -> np.ndarray:
@@ -287,11 +368,16 @@ class Tagger:
     def bits(self) -> int:
         return len(self.weights).bit_length() - 1
 
+    @cached_property
+    def used(self) -> np.ndarray:
+        """Which features have weights."""
+        return np.flatnonzero(self.weights.any(axis=1))
+
     def tags(self, t: Tokens) -> np.ndarray:
         """The best tag of each token; exact, see the module."""
-        tags, n = np.zeros(len(t.word), dtype=np.int64), len(t.word) - 2 * _REACH
+        tags, n = np.zeros(len(t.piece), dtype=np.int64), len(t.piece) - 2 * _REACH
         if n > 0:
-            scorer = _Scorer(looks_of(t, self.bits), self.weights, self.moves)
+            scorer = _Scorer(looks_of(t, self.bits), self)
             at = scorer.open(0, n)
             at = at[t.text[at + _REACH] >= 0]
             tags[at + _REACH] = _decoded(scorer.scores(at), self.moves, np.empty(0, dtype=np.int64), at)
@@ -332,7 +418,7 @@ def spans_of_tags(t: Tokens, tags: np.ndarray, labels: tuple[str, ...]) -> list[
 
 def gold_tags(t: Tokens, entities: list[list[tuple[str, int, int]]], labels: tuple[str, ...]) -> np.ndarray:
     """Tags of the entities (label, start, end) of each text, widened to token edges; of those that share a token the first stays."""
-    tags, inside = np.zeros(len(t.word), dtype=np.int64), np.flatnonzero(t.text >= 0)
+    tags, inside = np.zeros(len(t.piece), dtype=np.int64), np.flatnonzero(t.text >= 0)
     text = t.text[inside]
     for i, spans in enumerate(entities):
         if not spans:
@@ -373,9 +459,8 @@ def shard_of(texts: list[str], entities: list[list[tuple[str, int, int]]], label
 def _learn(model: Tagger, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """One pass over a shard: which weights changed (moves are behind the features), by how much, how much summed over all steps, steps."""
     n_tags, size = len(model.moves), model.weights.size
-    flat = np.concatenate([model.weights.ravel(), model.moves.ravel()])
-    weights, moves = flat[:size].reshape(model.weights.shape), flat[size:].reshape(n_tags, n_tags)
-    scorer, (begin, end), steps = _Scorer(shard.look, weights, moves), (shard.begin, shard.end), len(shard.begin)
+    scorer, (begin, end), steps = _Scorer(shard.look, model), (shard.begin, shard.end), len(shard.begin)
+    moves = scorer.moves
     places, signs, times = [], [], []
     step, ahead = 0, WINDOW
     while step < steps:
@@ -397,12 +482,13 @@ def _learn(model: Tagger, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndar
         for tags, by in ((true, 1), (said, -1)):
             way = np.concatenate([[0], tags[begin[k] - low : end[k] - low], [0]])
             place = np.concatenate([(rows * n_tags + tags[wrong - low][:, None]).ravel(), size + way[:-1] * n_tags + way[1:]])
-            np.add.at(flat, place, by)
+            scorer.add(rows, tags[wrong - low], by)
+            np.add.at(moves, (way[:-1], way[1:]), by)
             places.append(place)
             signs.append(np.full(len(place), by))
             times.append(np.full(len(place), k))
         scorer.changed(np.unique(rows))
-        step, ahead = k + 1, max(ahead // 2, WINDOW)
+        step, ahead = k + 1, WINDOW
     if not places:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), steps
     some, which = np.unique(np.concatenate(places), return_inverse=True)
@@ -428,22 +514,24 @@ def _stretches(gold: np.ndarray, first: int, end: int) -> np.ndarray:
     return np.array(out)
 
 
-_WIDE = 8
+_SIZE = 8
 
 
 def _packed(shard: Shard) -> bytes:
     raw = pickle.dumps(shard, protocol=5)
-    return len(raw).to_bytes(_WIDE, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(_SIZE, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes) -> Shard:
-    return pickle.loads(pa.decompress(memoryview(packed)[_WIDE:], int.from_bytes(packed[:_WIDE], "little"), codec="zstd"))
+    return pickle.loads(pa.decompress(memoryview(packed)[_SIZE:], int.from_bytes(packed[:_SIZE], "little"), codec="zstd"))
 
 
 def _prepare(labels: tuple[str, ...], bits: int):
+    seen = _Seen()  # a task's own, for all its shards
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "id", "text"])
-        shard = shard_of(list(pdf["text"]), [[(e["label"], e["start"], e["end"]) for e in es] for es in pdf["entities"]], labels, bits)
+        shard = shard_of(list(pdf["text"]), [[(e["label"], e["start"], e["end"]) for e in es] for es in pdf["entities"]], labels, bits, seen)
         return pd.DataFrame({"shard": [_packed(shard)]})
 
     return run
@@ -451,7 +539,7 @@ def _prepare(labels: tuple[str, ...], bits: int):
 
 def _epoch(model):
     def run(batches):
-        """What the shards of a task change, summed; in row -1 how many they are and their steps."""
+        """What the shards of a task change, summed; in row -1 how many of them change something, and the steps of all."""
         start = model.value
         change, area = (np.zeros(start.weights.size + start.moves.size, dtype=np.int64) for _ in range(2))
         shards = steps = 0
@@ -460,9 +548,9 @@ def _epoch(model):
                 at, by, summed, n = _learn(start, _unpacked(packed))
                 change[at] += by
                 area[at] += summed
-                shards, steps = shards + 1, steps + n
+                shards, steps = shards + (len(at) > 0), steps + n
         some = np.flatnonzero((change != 0) | (area != 0))
-        if shards:
+        if steps:
             yield pd.DataFrame({"at": np.append(some, -1), "change": np.append(change[some], shards), "area": np.append(area[some], steps)})
 
     return run
@@ -501,7 +589,7 @@ def train(df: DataFrame, labels: tuple[str, ...], id_col: str = "doc_id", text_c
             rows_ = rows_[rows_["at"] >= 0]
             at, more = rows_["at"].to_numpy(), len(rows_) > 0
             here[at] += rows_["area"].to_numpy() / sums["area"].iloc[0]
-            start[at] += rows_["change"].to_numpy() / sums["change"].iloc[0]
+            start[at] += rows_["change"].to_numpy() / max(1, sums["change"].iloc[0])
         if epoch >= epochs // 2:
             mean += here / (epochs - epochs // 2)
     return split(mean)

@@ -22,6 +22,14 @@ def test_every_document_is_learned_from(spark):
     assert [[x[:3] for x in f] for f in found] == [spans for *_, spans in docs]
 
 
+def test_what_one_of_many_shards_has_is_learned(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)), []) for i in range(100)]
+    docs.append((100, "abc K12345 6789 def", [("KEY", 4, 15)]))
+    model = tagger.train(spark.createDataFrame(docs, ROWS), LABELS, shard_bytes=700)
+    assert model.backend()(["abc K12345 6789 def", "abc defgh def"]) == [[("KEY", 4, 15, 1.0)], []]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_bounds_change_no_tag(seed):
     """Tags by bounds and distinct looks, and by all scores of all tokens: the same."""
@@ -30,7 +38,7 @@ def test_bounds_change_no_tag(seed):
     weights, moves = np.round(r.normal(size=(1 << 8, 5)), 1), r.normal(size=(5, 5))
     weights[:, 0] += 0.3
     t = tagger.tokens(texts)
-    at = np.arange(2, len(t.word) - 2)
+    at = np.arange(2, len(t.piece) - 2)
     scores = sum(weights[column] for column in tagger._features(t, at, tagger._FEATURES, 8).T)
     inside = t.text[at] >= 0
     heads = np.flatnonzero(np.diff(np.flatnonzero(inside), prepend=-2) > 1)
